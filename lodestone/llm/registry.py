@@ -3,9 +3,18 @@
 from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
+from .jaccard import op5_jaccard
 from .langid import op1_language
 from .packing import op9_pack
 from .quality import op2_quality
+from .repeats import op4_repeats
 from .sql import SQL  # noqa: F401
 
-QUERIES = {"op1_language": op1_language, "op2_quality": op2_quality, "op3_decontaminate": op3_decontaminate, "op9_pack": op9_pack}
+QUERIES = {
+    "op1_language": op1_language,
+    "op2_quality": op2_quality,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_repeats": op4_repeats,
+    "op5_jaccard": op5_jaccard,
+    "op9_pack": op9_pack,
+}
