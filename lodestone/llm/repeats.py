@@ -25,7 +25,7 @@ from .shared import _powers, cut, drop_cut, mix, table, utf8
 
 LENGTH = 100
 K = 32
-SHARD = 4 << 20
+SHARD = 1 << 20
 BLOCK = 8 << 20
 V = 13
 COVER = np.array([0, 1, 3, 9])
