@@ -3,9 +3,10 @@
 * A document's tokens are ordered by frequency class, then by hash.  The classes come from a counting sketch of fixed size over all documents: any order of
   tokens is right, and a good one keeps frequent tokens out of the prefixes.
 * With o the least overlap that a document of n tokens needs, two similar documents share at least l of their first n - o + l tokens (the l-prefix
-  scheme of AdaptJoin: Wang, Li, Feng, SIGMOD 2012).  Each document takes the l that makes its estimated candidate cost least: the summed frequencies of the
-  prefix for scanning, plus that sum over l, which bounds the documents that share l of these tokens, for verifying.  A pair goes on only if
-  it shares the smaller l of the two.
+  scheme of AdaptJoin: Wang, Li, Feng, SIGMOD 2012); the smaller document needs more overlap with a larger one, so that a shorter prefix of it does (as in
+  PPJoin).  Each document takes the l that makes its estimated candidate cost least: the summed frequencies of the prefix for scanning, plus that sum
+  over l, which bounds the documents that share l of these tokens, for verifying.  A pair goes on only if it shares as many prefix tokens as the l of
+  the two and their sizes ask for.
 * Documents of equal sets are one class.  A first round links each member of a token's group to the group's leader of its size class.  The second takes all pairs of a
   group that the first round hasn't connected already, so that no link between different components is lost and large groups of near copies
   cost a star and not a square.
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from .shared import connected_components, cut, drop_cut, grams, mix, shards, table, utf8, words
 
 SHINGLE, NUM, DEN = 3, 90, 100
-SHARD = 4 << 20
-CELL_BITS, CHUNK = 21, 8192
+SHARD = 2 << 20
+CELL_BITS, ROWS, CHUNK = 21, 2, 8192
 MOST_SHARED = 6
 FREQ_SHIFT = np.uint64(58)
 
@@ -63,19 +64,40 @@ def _signed(x: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- frequencies
 
 
-def frequency_classes(docs: DataFrame, size: int) -> np.ndarray:
-    """uint8[2**CELL_BITS]: the frequency class of each cell of shingle hashes, from counts over all documents.
+def cells_of(key: np.ndarray) -> list[np.ndarray]:
+    """The cell of each hash in each row of the sketch."""
+    return [((key >> np.uint64(64 - CELL_BITS * (r + 1))) & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64) for r in range(ROWS)]
 
-    Each task adds up one fixed table and sends it in chunks; only the final classes (2 MiB) come to the driver."""
+
+class Frequencies:
+    """The counting sketch, less what other tokens put into a cell on average: about the occurrences of a token, at the smaller of its cells."""
+
+    def __init__(self, counts: np.ndarray):
+        self.load = counts.mean(1)
+        self.above = np.maximum(counts - self.load[:, None], 0).astype(np.float32)
+
+    def __call__(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class, estimated occurrences, 1 at least)"""
+        above = np.minimum.reduce([self.above[r][c] for r, c in enumerate(cells_of(key))])
+        noise = 1.5 * np.sqrt(self.load.mean())  # chance seldom lifts both cells that far; a rare token that it does lift only comes later in the order
+        group = np.where(above <= noise, 0, np.minimum(np.ceil(4 * np.log2(1 + above / 4)), 62))
+        return group.astype(np.uint64), np.where(above <= noise, 1, np.maximum(above, 1)).astype(np.float32)
+
+
+def frequencies(docs: DataFrame, size: int) -> Frequencies:
+    """Counts of shingle hashes over all documents in a sketch of fixed size (2 rows of 2**21 cells).
+
+    Each task adds up one table and sends it in chunks; only the sums (16 MiB) come to the driver, piece by piece."""
     cells = 1 << CELL_BITS
 
     def count(batches):
-        total = np.zeros(cells, np.int64)
+        total = np.zeros((ROWS, cells), np.int32)
         for b in batches:
             bounds, raw = utf8(b.column(0))
             for lo, hi in shards(bounds, SHARD):
                 _, key = shingles(bounds[lo : hi + 1] - bounds[lo], raw[bounds[lo] : bounds[hi]], size)
-                total += np.bincount((key >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=cells)
+                for r, c in enumerate(cells_of(key)):
+                    total[r] += np.bincount(c, minlength=cells).astype(np.int32)
         if total.any():
             part = np.minimum(total, 0xFFFF).astype("<u2").reshape(-1, CHUNK)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(part)), pa.int32()), pa.array([p.tobytes() for p in part], pa.binary())], ["chunk", "counts"])
@@ -87,27 +109,25 @@ def frequency_classes(docs: DataFrame, size: int) -> np.ndarray:
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())})
 
     rows = docs.select("text").mapInArrow(count, "chunk int, counts binary")
-    out = np.zeros(cells, np.int64)
+    out = np.zeros(ROWS * cells, np.uint32)
     for r in rows.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").toLocalIterator():
         out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, "<u4")
-    load = out.mean()
-    above = np.maximum(out - load - 3 * np.sqrt(load), 0)  # what is left is more than other tokens of the cell explain
-    return np.minimum(np.ceil(4 * np.log2(1 + above / 8)), 62).astype(np.uint8), np.maximum(out - load, 1).astype(np.float32)
+    return Frequencies(out.reshape(ROWS, cells))
 
 
 # ---------------------------------------------------------------- sets and prefixes
 
 
-def sets(bounds: np.ndarray, raw: np.ndarray, classes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens in order: (start of each text's tokens, tokens, cells).  A token is 6 bits of frequency class, then 58 bits of hash."""
+def sets(bounds: np.ndarray, raw: np.ndarray, known: Frequencies, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens in order: (start of each text's tokens, tokens, estimated occurrences).  A token is 6 bits of frequency class, then 58 bits of hash."""
     doc, key = shingles(bounds, raw, size)
-    cell = (key >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-    token = (classes[cell].astype(np.uint64) << FREQ_SHIFT) | (mix(key) >> np.uint64(6))
+    group, freq = known(key)
+    token = (group << FREQ_SHIFT) | (mix(key) >> np.uint64(6))
     order = np.lexsort((token, doc))
-    doc, token, cell = doc[order], token[order], cell[order]
+    doc, token, freq = doc[order], token[order], freq[order]
     new = np.append(True, (doc[1:] != doc[:-1]) | (token[1:] != token[:-1])) if len(doc) else np.zeros(0, bool)
-    doc, token, cell = doc[new], token[new], cell[new]
-    return np.searchsorted(doc, np.arange(len(bounds))), token, cell
+    doc, token, freq = doc[new], token[new], freq[new]
+    return np.searchsorted(doc, np.arange(len(bounds))), token, freq
 
 
 def need(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -115,10 +135,15 @@ def need(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return (num * n + den - 1) // den
 
 
-def _choose(n: np.ndarray, start: np.ndarray, freq: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each set: the number of shared prefix tokens to ask for, and the prefix length, at the least estimated cost."""
+def overlap(total: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The least overlap of similar sets whose sizes add up to ``total``."""
+    return (num * total + num + den - 1) // (num + den)
+
+
+def _choose(n: np.ndarray, start: np.ndarray, freq: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each set, at the least estimated cost: its l, the length of its prefix, and of the part of it that serves towards larger sets."""
     total = np.append(0.0, np.cumsum(freq))
-    o = need(n, num, den)
+    o, own = need(n, num, den), overlap(2 * n, num, den)
     best, level = np.full(len(n), np.inf), np.ones(len(n), np.int64)
     for k in range(1, MOST_SHARED + 1):
         length = np.minimum(n - o + k, n)
@@ -126,7 +151,7 @@ def _choose(n: np.ndarray, start: np.ndarray, freq: np.ndarray, num: int, den: i
         cost = np.where(k <= np.maximum(o, 1), scan + scan / k * (1 + n / 16), np.inf)
         level = np.where(cost < best, k, level)
         best = np.minimum(cost, best)
-    return level, np.minimum(n - o + level, n)
+    return level, np.minimum(n - o + level, n), np.minimum(n - own + level, n)
 
 
 def _class_ids(start: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -136,24 +161,36 @@ def _class_ids(start: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(total[start[1:]] - total[start[:-1]] + n * np.uint64(0xE7037ED1A0B428DB))
 
 
-def _describe(docs: DataFrame, sent, freqs, size: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, c, l, prefix) of each row."""
+def text_hash() -> F.Column:
+    return F.xxhash64(F.col("text"), F.lit(1))
+
+
+def _class_ids(start: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """A 64-bit number of each set, equal for equal sets."""
+    total = np.append(np.uint64(0), np.cumsum(mix(token + np.uint64(0xA0761D6478BD642F))))
+    n = np.diff(start).astype(np.uint64)
+    return mix(total[start[1:]] - total[start[:-1]] + n * np.uint64(0xE7037ED1A0B428DB))
+
+
+def _describe(docs: DataFrame, sent, size: int, num: int, den: int) -> DataFrame:
+    """(doc_id, h, n, c, short, weight, prefix) of each row; short: how much of the prefix serves towards larger sets; weight: mean occurrences of its tokens."""
 
     def run(batches):
         for b in batches:
             bounds, raw = utf8(b.column(1))
             for lo, hi in shards(bounds, SHARD):
-                start, token, cell = sets(bounds[lo : hi + 1] - bounds[lo], raw[bounds[lo] : bounds[hi]], sent.value, size)
+                start, token, freq = sets(bounds[lo : hi + 1] - bounds[lo], raw[bounds[lo] : bounds[hi]], sent.value, size)
                 n = np.diff(start)
-                level, length = _choose(n, start, freqs.value[cell], num, den)
+                _, length, short = _choose(n, start, freq, num, den)
                 offs = np.append(0, np.cumsum(length))
                 take = np.repeat(start[:-1] - offs[:-1], length) + np.arange(offs[-1])
+                weight = np.bincount(np.repeat(np.arange(len(n)), length), freq[take], len(n)) / np.maximum(length, 1)
                 prefix = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(_signed(token[take]), pa.int64()))
-                cols = [b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(_signed(_class_ids(start, token)), pa.int64()), pa.array(level, pa.int32()), prefix]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "c", "l", "prefix"])
+                cols = [b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(_signed(_class_ids(start, token)), pa.int64()), pa.array(short, pa.int64()), pa.array(weight.astype(np.float32)), prefix]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "n", "c", "short", "weight", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, c long, l int, prefix array<long>")
+    return docs.select("doc_id", "text", text_hash().alias("h")).mapInArrow(run, f"doc_id {kind}, h long, n long, c long, short long, weight float, prefix array<long>")
 
 
 # ---------------------------------------------------------------- candidates
@@ -173,73 +210,79 @@ def _shared(t: np.ndarray) -> np.ndarray:
     return np.append(False, same) | np.append(same, False) if len(t) else np.zeros(0, bool)
 
 
-def _pairs_out(a: np.ndarray, b: np.ndarray):
-    """Distinct pairs with their counts."""
+def _pairs_out(a: np.ndarray, b: np.ndarray, asked: np.ndarray):
+    """Distinct pairs with their counts and how many shared tokens they are asked for."""
     order = np.lexsort((b, a))
-    a, b = a[order], b[order]
+    a, b, asked = a[order], b[order], asked[order]
     new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
     k = np.diff(np.append(new, len(a)))
     for lo in range(0, len(new), 200_000):
         s = slice(lo, lo + 200_000)
-        yield pa.RecordBatch.from_arrays([pa.array(a[new[s]], pa.int64()), pa.array(b[new[s]], pa.int64()), pa.array(k[s], pa.int64())], ["a", "b", "k"])
+        yield pa.RecordBatch.from_arrays([pa.array(a[new[s]], pa.int64()), pa.array(b[new[s]], pa.int64()), pa.array(k[s], pa.int64()), pa.array(asked[new[s]], pa.int64())], ["a", "b", "k", "asked"])
+
+
+PAIRS = "a long, b long, k long, asked long"
 
 
 def _stars(num: int, den: int):
-    """Pairs of each member of a token's group with the group's first of the same size class; sizes of a class may always be similar."""
+    """Pairs of each member of a token's group with the weightiest of the same size class, the one that edits have left most like the others; sizes of a class may always be similar."""
 
     def run(batches):
-        t, c, n = _gather(batches, 3)
+        t, c, n, weight = _gather(batches, 4)
         order = np.argsort(t, kind="stable")
-        t, c, n = t[order], c[order], n[order]
+        t, c, n, weight = t[order], c[order], n[order], weight[order]
         keep = _shared(t)
-        t, c, n = t[keep], c[keep], n[keep]
+        t, c, n, weight = t[keep], c[keep], n[keep], weight[keep]
         size = np.floor(np.log(np.maximum(n, 1)) / np.log(den / num) if num < den else n).astype(np.int64)
-        order = np.lexsort((c, n, size, t))
+        order = np.lexsort((c, -weight, size, t))
         t, c, size = t[order], c[order], size[order]
         if not len(t):
             return
         first = np.append(True, (t[1:] != t[:-1]) | (size[1:] != size[:-1]))
         lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-        yield from _pairs_out(np.minimum(c[lead], c)[~first], np.maximum(c[lead], c)[~first])
+        yield from _pairs_out(np.minimum(c[lead], c)[~first], np.maximum(c[lead], c)[~first], np.full((~first).sum(), 2))
 
     return run
 
 
 def _cross(num: int, den: int, room: int = 4_000_000):
-    """All pairs of a token's group that may be similar by their sizes and are of different components.
+    """All pairs of a token's group that may be similar by sizes and places and are of different components.
 
-    Members stand in order of size, and each is paired with those after it, distance by distance, so that memory stays with the group; counts
-    are handed on whenever ``room`` pairs have gathered."""
+    Members stand in order of size; each one whose shorter prefix holds the token is paired with those after it, distance by distance, so that memory stays with the
+    group.  With (i, j) the token's places, at most min(i, j) tokens can be shared before it and the smaller rest after it.  Of the tokens that come before the end
+    of either prefix, a set may miss only as many as its size exceeds the overlap: that is the count that a pair is asked for."""
 
     def run(batches):
-        t, c, n, m = _gather(batches, 4)
+        t, c, n, m, place, short, length = _gather(batches, 7)
         order = np.lexsort((c, n, t))
-        t, c, n, m = t[order], c[order], n[order], m[order]
-        keep = _shared(t)
-        t, c, n, m = t[keep], c[keep], n[keep], m[keep]
+        order = order[_shared(t[order])]
+        t, c, n, m, place, short, length = (x[order] for x in (t, c, n, m, place, short, length))
         if not len(t):
             return
         start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
         mixed = np.minimum.reduceat(m, start) != np.maximum.reduceat(m, start)
         keep = np.repeat(mixed, np.diff(np.append(start, len(t))))
-        t, c, n, m = t[keep], c[keep], n[keep], m[keep]
-        live, step, left, right, held = np.arange(len(t)), 1, [], [], 0
+        t, c, n, m, place, short, length = (x[keep] for x in (t, c, n, m, place, short, length))
+        live, step, held, made = np.flatnonzero(place < short), 1, 0, []
         while len(live):
             live = live[live + step < len(t)]
             j = live + step
             on = (t[live] == t[j]) & (den * n[live] >= num * n[j])
             live, j = live[on], j[on]
-            new = m[live] != m[j]
-            x, y = c[live[new]], c[j[new]]
-            left.append(np.minimum(x, y))
-            right.append(np.maximum(x, y))
+            least = overlap(n[live] + n[j], num, den)
+            reach = np.minimum(place[live], place[j]) + np.minimum(n[live] - place[live], n[j] - place[j])
+            new = (m[live] != m[j]) & (reach >= least)
+            x, y = live[new], j[new]
+            asked = np.maximum(1, least[new] - np.maximum(n[x] - short[x], n[y] - length[y]))
+            swap = c[x] > c[y]
+            made.append((np.where(swap, c[y], c[x]), np.where(swap, c[x], c[y]), asked))
             held += len(x)
             step += 1
             if held > room:
-                yield from _pairs_out(np.concatenate(left), np.concatenate(right))
-                left, right, held = [], [], 0
+                yield from _pairs_out(*(np.concatenate(z) for z in zip(*made, strict=True)))
+                made, held = [], 0
         if held:
-            yield from _pairs_out(np.concatenate(left), np.concatenate(right))
+            yield from _pairs_out(*(np.concatenate(z) for z in zip(*made, strict=True)))
 
     return run
 
@@ -253,26 +296,20 @@ def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _may_be_similar(num: int, den: int):
-    """Pairs whose prefixes leave the overlap that they need within reach, and share the smaller of the two asked-for numbers of tokens."""
+    """Pairs whose prefixes leave the overlap that they need within reach."""
 
     def run(batches):
         for b in batches:
-            na, nb, la, lb = (b.column(k).to_numpy() for k in range(2, 6))
-            (oa, ta), (ob, tb) = _lists(b.column(6)), _lists(b.column(7))
-            ok = np.zeros(b.num_rows, bool)
-            asked = np.minimum(la, lb)
-            least = (num * (na + nb) + num + den - 1) // (num + den)
+            na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
+            (oa, ta), (ob, tb) = _lists(b.column(4)), _lists(b.column(5))
+            least, ok = overlap(na + nb, num, den), np.zeros(b.num_rows, bool)
             for i in range(b.num_rows):
                 x, y = ta[oa[i] : oa[i + 1]], tb[ob[i] : ob[i + 1]]
-                if not len(x) or not len(y):
-                    continue
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                if shared < asked[i]:
-                    continue
-                last = min(x[-1], y[-1])
-                px, py = np.searchsorted(x, last, "right"), np.searchsorted(y, last, "right")
-                seen = len(np.intersect1d(x[:px], y[:py], assume_unique=True))
-                ok[i] = seen + min(na[i] - px, nb[i] - py) >= (num * (na[i] + nb[i]) + num + den - 1) // (num + den) if least[i] else True
+                if len(x) and len(y):
+                    last = min(x[-1], y[-1])
+                    px, py = np.searchsorted(x, last, "right"), np.searchsorted(y, last, "right")
+                    seen = len(np.intersect1d(x[:px], y[:py], assume_unique=True))
+                    ok[i] = seen + min(na[i] - px, nb[i] - py) >= least[i]
             mask = pa.array(ok)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
@@ -336,23 +373,23 @@ def _fetch_sets(docs: DataFrame, wanted: DataFrame, sent, size: int) -> DataFram
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text): sets of ``size``-word shingles, links at Jaccard >= num/den.
+    """(doc_id, n_shingles, component_id, text_hash, keeper) of each row of ``docs`` (doc_id, text): sets of ``size``-word shingles, links at Jaccard >= num/den.
 
+    ``keeper`` marks the document to keep of each component: the smallest doc_id, then the smallest hash of its text (repeated rows are all marked).
     Null and empty texts have no shingles and are their own component; so is a row without words.  Repeated rows are answered each.  A row
     with a null doc_id takes part; the component's number is the smallest that is not null, and null if there is none.  Nothing is capped: all documents and all pairs
     that prefixes bring together are looked at."""
     spark = docs.sparkSession
     docs = docs.select(docs["doc_id"], docs["text"])
-    classes, freqs = frequency_classes(docs, size)
-    sent, freqs = spark.sparkContext.broadcast(classes), spark.sparkContext.broadcast(freqs)
-    rows = cut(_describe(docs, sent, freqs, size, num, den), "jaccard-rows")
-    of_class = rows.where("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.first("l").alias("l"), F.first("prefix").alias("prefix"), F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).alias("id"))
+    sent = spark.sparkContext.broadcast(frequencies(docs, size))
+    rows = cut(_describe(docs, sent, size, num, den), "jaccard-rows")
+    of_class = rows.where("n > 0").groupBy("c").agg(*[F.first(x).alias(x) for x in ("n", "short", "weight", "prefix")], F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).alias("id"))
     reps = cut(of_class, "jaccard-classes")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        a = reps.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("prefix").alias("pa"))
-        b = reps.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("prefix").alias("pb"))
-        likely = pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", "la", "lb", "pa", "pb").mapInArrow(_may_be_similar(num, den), "a long, b long")
+        a = reps.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
+        b = reps.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+        likely = pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_may_be_similar(num, den), "a long, b long")
         likely = cut(likely, f"jaccard-{name}")
         ends = likely.select(F.col("a").alias("c")).unionByName(likely.select(F.col("b").alias("c"))).distinct()
         full = cut(_fetch_sets(docs, ends.join(reps.select("c", "id"), "c"), sent, size), f"jaccard-{name}-sets")
@@ -362,25 +399,39 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den
         drop_cut(likely)
         return links
 
-    tokens = reps.select(F.explode("prefix").alias("t"), "c", "n").repartition("t")
-    stars = tokens.mapInArrow(_stars(num, den), "a long, b long, k long").groupBy("a", "b").agg(F.sum("k").alias("k")).where("k >= 2").select("a", "b")
-    first = verified(stars, "stars")
+    def counted(tokens: DataFrame, pairs) -> DataFrame:
+        got = tokens.repartition("t").mapInArrow(pairs, PAIRS).groupBy("a", "b").agg(F.sum("k").alias("k"), F.max("asked").alias("asked"))
+        return got.where("k >= asked").select("a", "b")
+
+    tokens = reps.select(F.explode("prefix").alias("t"), "c", "n", "weight")
+    first = verified(counted(tokens, _stars(num, den)), "stars")
     joined = cut(connected_components(first, "a", "b"), "jaccard-first")
-    label = reps.join(joined, reps["c"] == joined["id"], "left").select("c", "n", "prefix", F.coalesce("component_id", "c").alias("m"))
-    tokens = label.select(F.explode("prefix").alias("t"), "c", "n", "m").repartition("t")
-    level = reps.select("c", "l")
-    cross = tokens.mapInArrow(_cross(num, den), "a long, b long, k long").groupBy("a", "b").agg(F.sum("k").alias("k"))
-    cross = cross.join(level.select(F.col("c").alias("a"), F.col("l").alias("la")), "a").join(level.select(F.col("c").alias("b"), F.col("l").alias("lb")), "b")
-    second = verified(cross.where(F.col("k") >= F.least("la", "lb")).select("a", "b"), "cross")
+    label = reps.join(joined, reps["c"] == joined["id"], "left").select("c", "n", "short", "prefix", F.coalesce("component_id", "c").alias("m"))
+    tokens = label.select(F.posexplode("prefix").alias("place", "t"), "c", "n", "m", "short", F.size("prefix").alias("length")).select("t", "c", "n", "m", "place", "short", "length")
+    second = verified(counted(tokens, _cross(num, den)), "cross")
     linked = connected_components(first.unionByName(second), "a", "b")
-    named = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("low")).join(linked, F.col("c") == F.col("id"), "left")
+    who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h").alias("h"))
+    named = rows.where("n > 0").groupBy("c").agg(F.min(who).alias("low")).join(linked, F.col("c") == F.col("id"), "left")
     named = named.select("c", "low", F.coalesce("component_id", "c").alias("m"))
-    least = named.groupBy("m").agg(F.min("low").alias("component_id"))
-    of = named.join(least, "m").select("c", "component_id")
-    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(of, "c", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    least = named.groupBy("m").agg(F.min("low").alias("first"))
+    of = named.join(least, "m").select("c", "first")
+    out = rows.select("doc_id", "h", "n", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(of, "c", "left")
+    some = F.col("n") > 0
+    keeper = F.when(some, F.col("doc_id").eqNullSafe(F.col("first.id")) & F.col("h").eqNullSafe(F.col("first.h"))).otherwise(F.lit(True))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("first.id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("h").alias("text_hash"), keeper.alias("keeper"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of each component of ``docs``, with the columns of ``docs``: five-word shingles and 0.8 unless told otherwise.
+
+    Texts without words are in no component and stay; of repeated rows (equal doc_id and text) one stays."""
+    names = [f.name for f in docs.schema.fields]
+    kept = jaccard_components(docs, size, num, den).where("keeper").select(F.col("doc_id").alias("lodestone kept id"), F.col("text_hash").alias("lodestone kept hash")).distinct()
+    tagged = docs.withColumn("lodestone hash", text_hash())
+    same = F.col("doc_id").eqNullSafe(F.col("`lodestone kept id`")) & (F.col("`lodestone hash`") == F.col("`lodestone kept hash`"))
+    return tagged.join(kept, same, "left_semi").dropDuplicates(["doc_id", "lodestone hash"]).select(*[F.col(f"`{n}`") for n in names])
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
