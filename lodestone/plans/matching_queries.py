@@ -238,7 +238,7 @@ def assignment_match(spark, d):
 
 
 @query("box_overlaps", """WITH b AS (SELECT p_brand g, p_partkey id, p_partkey%60 x, (p_partkey*7)%60 y, 3+p_size%5 w, 2+p_size%4 h FROM part)
- SELECT a.g, count(*) overlaps FROM b a JOIN b c ON a.g=c.g AND a.id<c.id AND a.x<c.x+c.w AND c.x<a.x+a.w AND a.y<c.y+c.h AND c.y<a.y+a.h GROUP BY 1""")
+ SELECT a.g, count(*) AS n_overlaps FROM b a JOIN b c ON a.g=c.g AND a.id<c.id AND a.x<c.x+c.w AND c.x<a.x+a.w AND a.y<c.y+c.h AND c.y<a.y+a.h GROUP BY 1""")
 def box_overlaps(spark, d):
     """Overlapping boxes of a drawing.  A box enters the grid cells that it touches, and boxes meet in the first cell that they share."""
     p = table(spark, d, "part")
@@ -248,7 +248,7 @@ def box_overlaps(spark, d):
     l, r = (c.select("g", "cx", "cy", *[F.col(k).alias(s + k) for k in ("id", "x", "y", "w", "h")]) for s in "lr")
     j = l.join(r, ["g", "cx", "cy"]).where("lid < rid and lx < rx + rw and rx < lx + lw and ly < ry + rh and ry < ly + lh")
     first = (F.col("cx") == F.greatest(F.floor(F.col("lx") / cell), F.floor(F.col("rx") / cell))) & (F.col("cy") == F.greatest(F.floor(F.col("ly") / cell), F.floor(F.col("ry") / cell)))
-    return j.where(first).groupBy("g").agg(F.count(F.lit(1)).alias("overlaps"))
+    return j.where(first).groupBy("g").agg(F.count(F.lit(1)).alias("n_overlaps"))
 
 
 @query("ref_integrity", "SELECT count(*) edges, count(*) FILTER (c_custkey IS NULL) dangling, (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*)>1)) duplicate_ids FROM orders LEFT JOIN customer ON o_custkey=c_custkey AND c_acctbal>0")

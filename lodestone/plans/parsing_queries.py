@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -190,7 +191,7 @@ def compact_render(spark, d):
 PLANS = ["Plan: A, B\n---\nclass A", "no plan", "Plan: C\n---\nclass D\n---\nmore", "Plan:\n---\n"]
 
 
-@query("marker_split", f"SELECT id, CASE WHEN contains(t,'---') THEN trim(regexp_replace(split_part(t,'---',1),'^Plan:','')) ELSE '' END AS plan, CASE WHEN contains(t,'---') THEN trim(substr(t,strpos(t,'---')+3),chr(10)||' ') ELSE t END AS rest FROM (SELECT id, replace(t,'\\n',chr(10)) t FROM (VALUES {numbered([p.replace(chr(10), chr(92) + 'n') for p in PLANS])}) v(id,t))")
+@query("marker_split", f"SELECT id, CASE WHEN contains(t,'---') THEN trim(regexp_replace(split_part(t,'---',1),'^Plan:',''),chr(10)||' ') ELSE '' END AS plan, CASE WHEN contains(t,'---') THEN trim(substr(t,strpos(t,'---')+3),chr(10)||' ') ELSE t END AS rest FROM (SELECT id, replace(t,'\\n',chr(10)) t FROM (VALUES {numbered([p.replace(chr(10), chr(92) + 'n') for p in PLANS])}) v(id,t))")
 def marker_split(spark, d):
     t = F.col("t")
     has = t.contains("---")
@@ -201,8 +202,6 @@ def marker_split(spark, d):
 @query("edit_script")
 def edit_script(spark, d):
     """An ordered script of edits on each group's names; each edit sees what the ones before have left."""
-    import pandas as pd
-
     script = [("require", "p1", ""), ("rename", "p1", "first"), ("upper", "p2", ""), ("suffix", "p3", "_x"), ("add", "extra", ""), ("move_first", "extra", ""), ("remove", "first", "")]
 
     @F.pandas_udf("struct<names:array<string>,error:string>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -73,8 +74,6 @@ def _spearman(spark, d):
 @query("spearman_p")
 def spearman_p(spark, d):
     """Two-sided p-values of the t-distribution for rho; one row for each pair of conditions."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def p(t: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([S.student_two_sided(a, b - 2) if b > 2 and a == a else None for a, b in zip(t, n, strict=True)])
@@ -103,7 +102,7 @@ def paired_t(spark, d):
     return diffs(spark, d).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("d") / (F.stddev_samp("d") / F.sqrt(F.count("d"))), 5).alias("t"))
 
 
-@query("holm_adjust", f"WITH {D}, t AS (SELECT a, b, round(1/(1+abs(avg(d)/(stddev_samp(d)/sqrt(count(*))))),6) p FROM D GROUP BY ALL), h AS (SELECT *, least(1.0,(count(*) OVER (PARTITION BY a)-row_number() OVER (PARTITION BY a ORDER BY p,b)+1)*p) st FROM t) SELECT a, b, p, round(max(st) OVER (PARTITION BY a ORDER BY p,b ROWS UNBOUNDED PRECEDING),6) holm FROM h")
+@query("holm_adjust", f"WITH {D}, pv AS (SELECT a, b, round(1/(1+abs(avg(d)/(stddev_samp(d)/sqrt(count(*))))),6) p FROM D GROUP BY ALL), h AS (SELECT *, least(1.0,(count(*) OVER (PARTITION BY a)-row_number() OVER (PARTITION BY a ORDER BY p,b)+1)*p) st FROM pv) SELECT a, b, p, round(max(st) OVER (PARTITION BY a ORDER BY p,b ROWS UNBOUNDED PRECEDING),6) holm FROM h")
 def holm_adjust(spark, d):
     """Holm's step-down adjustment within each family; the p-values are a stand-in that SQL can make too."""
     t = diffs(spark, d).groupBy("a", "b").agg(F.round(1 / (1 + F.abs(F.avg("d") / (F.stddev_samp("d") / F.sqrt(F.count("d"))))), 6).alias("p"))
@@ -122,9 +121,9 @@ def bootstrap_ci(spark, d):
     return m.groupBy("c").agg(F.round(F.percentile("m", F.lit(0.025)), 5).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 5).alias("high"))
 
 
-@query("within_demean", f"WITH {T} SELECT u, c, round(s-avg(s) OVER (PARTITION BY u),5) x FROM T")
+@query("within_demean", f"WITH {T} SELECT u, c, round(s-avg(s) OVER (PARTITION BY u),8) x FROM T")
 def within_demean(spark, d):
-    return scores(spark, d).select("u", "c", F.round(F.col("s") - F.avg("s").over(Window.partitionBy("u")), 5).alias("x"))
+    return scores(spark, d).select("u", "c", F.round(F.col("s") - F.avg("s").over(Window.partitionBy("u")), 8).alias("x"))
 
 
 @query("half_split_rank", f"WITH {T}, h AS (SELECT u, row_number() OVER (ORDER BY round(avg(s),6), u) r, count(*) OVER () n FROM T GROUP BY 1) SELECT c, round(avg(s) FILTER (r<=n/2),5) hard, round(avg(s) FILTER (r>n/2),5) easy FROM T JOIN h USING(u) GROUP BY 1")
@@ -222,7 +221,7 @@ def effect_verdict(spark, d):
     return diffs(spark, d).groupBy("a", "b").agg(F.when((m >= 0.1) & (t > 1.96), "effect").when(m >= 0.1, "unclear").otherwise("none").alias("verdict"))
 
 
-@query("eta_hours", "SELECT event_type, round(median(value)*count(*)/3600,5) hours FROM events GROUP BY 1")
+@query("eta_hours", "SELECT event_type, round(median(value)*count(*)/3600,5) AS hours FROM events GROUP BY 1")
 def eta_hours(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.round(F.median("value") * F.count(F.lit(1)) / 3600, 5).alias("hours"))
 
@@ -283,7 +282,7 @@ def grid_layout(spark, d):
     return n.join(y, ["g", "r"]).select("g", "id", (F.col("c").cast("long") * 120).alias("x"), "y")
 
 
-@query("ordered_composite", "SELECT c_mktsegment seg, c_nationkey nat, count(*) n, CAST(row_number() OVER (ORDER BY count(*) DESC, c_mktsegment, c_nationkey) AS INTEGER) pos FROM customer GROUP BY ALL QUALIFY pos<=20")
+@query("ordered_composite", "SELECT * FROM (SELECT seg, nat, n, CAST(row_number() OVER (ORDER BY n DESC, seg, nat) AS INTEGER) pos FROM (SELECT c_mktsegment seg, c_nationkey nat, count(*) n FROM customer GROUP BY ALL)) WHERE pos<=20")
 def ordered_composite(spark, d):
     """The first twenty by a composite key."""
     g = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("nat")).agg(F.count(F.lit(1)).alias("n"))
@@ -291,10 +290,10 @@ def ordered_composite(spark, d):
     return top.withColumn("pos", F.row_number().over(Window.orderBy(F.col("n").desc(), "seg", "nat")))
 
 
-@query("metrics_wide_pivot", f"WITH {T} SELECT u, round(max(s) FILTER (c='click'),4) click, round(max(s) FILTER (c='purchase'),4) purchase, round(max(s) FILTER (c='view'),4) AS \"view\" FROM T GROUP BY 1")
+@query("metrics_wide_pivot", f"WITH {T} SELECT u, max(s) FILTER (c='click') click, max(s) FILTER (c='purchase') purchase, max(s) FILTER (c='view') AS \"view\" FROM T GROUP BY 1")
 def metrics_wide_pivot(spark, d):
     t = scores(spark, d)
-    return t.groupBy("u").agg(*[F.round(F.max(F.when(F.col("c") == k, F.col("s"))), 4).alias(k) for k in ("click", "purchase", "view")])
+    return t.groupBy("u").agg(*[F.max(F.when(F.col("c") == k, F.col("s"))).alias(k) for k in ("click", "purchase", "view")])
 
 
 @query("round4_export", "SELECT c_custkey, coalesce(round(c_acctbal/7,4)::VARCHAR,'') v, coalesce(nullif(c_mktsegment,'BUILDING'),'') seg FROM customer WHERE c_acctbal/7=round(c_acctbal/7,4) OR true")
