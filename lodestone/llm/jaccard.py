@@ -3,10 +3,9 @@
 * A document's tokens are ordered by frequency class, then by hash.  The classes come from a counting sketch of fixed size over all documents: any order of
   tokens is right, and a good one keeps frequent tokens out of the prefixes.
 * With o the least overlap that a document of n tokens needs, two similar documents share at least l of their first n - o + l tokens (the l-prefix
-  scheme of AdaptJoin: Wang, Li, Feng, SIGMOD 2012); the smaller document needs more overlap with a larger one, so that a shorter prefix of it does (as in
-  PPJoin).  Each document takes the l that makes its estimated candidate cost least: the summed frequencies of the prefix for scanning, plus that sum
-  over l, which bounds the documents that share l of these tokens, for verifying.  A pair goes on only if it shares as many prefix tokens as the l of
-  the two and their sizes ask for.
+  scheme of AdaptJoin: Wang, Li, Feng, SIGMOD 2012).  Each document takes the l that makes its estimated candidate cost least: the summed frequencies of
+  the prefix for scanning, plus that sum over l, which bounds the documents that share l of these tokens, for verifying.  A pair takes the smaller l of the
+  two and the overlap that both sizes together need, so its prefixes are shorter, and goes on only if it shares l tokens that are in both of them.
 * Documents of equal sets are one class.  A first round links each member of a token's group to the group's leader of its size class.  The second takes all pairs of a
   group that the first round hasn't connected already, so that no link between different components is lost and large groups of near copies
   cost a star and not a square.
@@ -140,18 +139,18 @@ def overlap(total: np.ndarray, num: int, den: int) -> np.ndarray:
     return (num * total + num + den - 1) // (num + den)
 
 
-def _choose(n: np.ndarray, start: np.ndarray, freq: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each set, at the least estimated cost: its l, the length of its prefix, and of the part of it that serves towards larger sets."""
+def _choose(n: np.ndarray, start: np.ndarray, freq: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set: its l, at the least estimated cost towards sets of its own size, and the length of its prefix."""
     total = np.append(0.0, np.cumsum(freq))
     o, own = need(n, num, den), overlap(2 * n, num, den)
     best, level = np.full(len(n), np.inf), np.ones(len(n), np.int64)
     for k in range(1, MOST_SHARED + 1):
-        length = np.minimum(n - o + k, n)
+        length = np.minimum(n - own + k, n)
         scan = total[start[:-1] + length] - total[start[:-1]]
         cost = np.where(k <= np.maximum(o, 1), scan + scan / k * (1 + n / 16), np.inf)
         level = np.where(cost < best, k, level)
         best = np.minimum(cost, best)
-    return level, np.minimum(n - o + level, n), np.minimum(n - own + level, n)
+    return level, np.minimum(n - o + level, n)
 
 
 def _class_ids(start: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -173,7 +172,7 @@ def _class_ids(start: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 
 def _describe(docs: DataFrame, sent, size: int, num: int, den: int) -> DataFrame:
-    """(doc_id, h, n, c, short, weight, prefix) of each row; short: how much of the prefix serves towards larger sets; weight: mean occurrences of its tokens."""
+    """(doc_id, h, n, c, l, weight, prefix) of each row; weight: mean occurrences of its prefix's tokens."""
 
     def run(batches):
         for b in batches:
@@ -181,16 +180,16 @@ def _describe(docs: DataFrame, sent, size: int, num: int, den: int) -> DataFrame
             for lo, hi in shards(bounds, SHARD):
                 start, token, freq = sets(bounds[lo : hi + 1] - bounds[lo], raw[bounds[lo] : bounds[hi]], sent.value, size)
                 n = np.diff(start)
-                _, length, short = _choose(n, start, freq, num, den)
+                level, length = _choose(n, start, freq, num, den)
                 offs = np.append(0, np.cumsum(length))
                 take = np.repeat(start[:-1] - offs[:-1], length) + np.arange(offs[-1])
                 weight = np.bincount(np.repeat(np.arange(len(n)), length), freq[take], len(n)) / np.maximum(length, 1)
                 prefix = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(_signed(token[take]), pa.int64()))
-                cols = [b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(_signed(_class_ids(start, token)), pa.int64()), pa.array(short, pa.int64()), pa.array(weight.astype(np.float32)), prefix]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "n", "c", "short", "weight", "prefix"])
+                cols = [b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(_signed(_class_ids(start, token)), pa.int64()), pa.array(level, pa.int64()), pa.array(weight.astype(np.float32)), prefix]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "n", "c", "l", "weight", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", text_hash().alias("h")).mapInArrow(run, f"doc_id {kind}, h long, n long, c long, short long, weight float, prefix array<long>")
+    return docs.select("doc_id", "text", text_hash().alias("h")).mapInArrow(run, f"doc_id {kind}, h long, n long, c long, l long, weight float, prefix array<long>")
 
 
 # ---------------------------------------------------------------- candidates
@@ -248,22 +247,23 @@ def _stars(num: int, den: int):
 def _cross(num: int, den: int, room: int = 4_000_000):
     """All pairs of a token's group that may be similar by sizes and places and are of different components.
 
-    Members stand in order of size; each one whose shorter prefix holds the token is paired with those after it, distance by distance, so that memory stays with the
-    group.  With (i, j) the token's places, at most min(i, j) tokens can be shared before it and the smaller rest after it.  Of the tokens that come before the end
-    of either prefix, a set may miss only as many as its size exceeds the overlap: that is the count that a pair is asked for."""
+    Members stand in order of size and are paired with those after them, distance by distance, so that memory stays with the group.  A pair of sizes n, n' that
+    needs the overlap o has its first l shared tokens at places below n - o + l and n' - o + l; the token counts for it only there.  With (i, j) the
+    token's places, at most min(i, j) tokens can be shared before it and the smaller rest after it."""
 
     def run(batches):
-        t, c, n, m, place, short, length = _gather(batches, 7)
+        t, c, n, m, place, level = _gather(batches, 6)
         order = np.lexsort((c, n, t))
         order = order[_shared(t[order])]
-        t, c, n, m, place, short, length = (x[order] for x in (t, c, n, m, place, short, length))
+        t, c, n, m, place, level = (x[order] for x in (t, c, n, m, place, level))
         if not len(t):
             return
         start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
         mixed = np.minimum.reduceat(m, start) != np.maximum.reduceat(m, start)
         keep = np.repeat(mixed, np.diff(np.append(start, len(t))))
-        t, c, n, m, place, short, length = (x[keep] for x in (t, c, n, m, place, short, length))
-        live, step, held, made = np.flatnonzero(place < short), 1, 0, []
+        t, c, n, m, place, level = (x[keep] for x in (t, c, n, m, place, level))
+        own = place < n - overlap(2 * n, num, den) + level  # a larger partner asks for no less
+        live, step, held, made = np.flatnonzero(own), 1, 0, []
         while len(live):
             live = live[live + step < len(t)]
             j = live + step
@@ -271,9 +271,9 @@ def _cross(num: int, den: int, room: int = 4_000_000):
             live, j = live[on], j[on]
             least = overlap(n[live] + n[j], num, den)
             reach = np.minimum(place[live], place[j]) + np.minimum(n[live] - place[live], n[j] - place[j])
-            new = (m[live] != m[j]) & (reach >= least)
-            x, y = live[new], j[new]
-            asked = np.maximum(1, least[new] - np.maximum(n[x] - short[x], n[y] - length[y]))
+            ell = np.minimum(level[live], level[j])
+            new = (m[live] != m[j]) & (reach >= least) & (place[live] < n[live] - least + ell) & (place[j] < n[j] - least + ell)
+            x, y, asked = live[new], j[new], ell[new]
             swap = c[x] > c[y]
             made.append((np.where(swap, c[y], c[x]), np.where(swap, c[x], c[y]), asked))
             held += len(x)
@@ -383,7 +383,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den
     docs = docs.select(docs["doc_id"], docs["text"])
     sent = spark.sparkContext.broadcast(frequencies(docs, size))
     rows = cut(_describe(docs, sent, size, num, den), "jaccard-rows")
-    of_class = rows.where("n > 0").groupBy("c").agg(*[F.first(x).alias(x) for x in ("n", "short", "weight", "prefix")], F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).alias("id"))
+    of_class = rows.where("n > 0").groupBy("c").agg(*[F.first(x).alias(x) for x in ("n", "l", "weight", "prefix")], F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).alias("id"))
     reps = cut(of_class, "jaccard-classes")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -406,8 +406,8 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den
     tokens = reps.select(F.explode("prefix").alias("t"), "c", "n", "weight")
     first = verified(counted(tokens, _stars(num, den)), "stars")
     joined = cut(connected_components(first, "a", "b"), "jaccard-first")
-    label = reps.join(joined, reps["c"] == joined["id"], "left").select("c", "n", "short", "prefix", F.coalesce("component_id", "c").alias("m"))
-    tokens = label.select(F.posexplode("prefix").alias("place", "t"), "c", "n", "m", "short", F.size("prefix").alias("length")).select("t", "c", "n", "m", "place", "short", "length")
+    label = reps.join(joined, reps["c"] == joined["id"], "left").select("c", "n", "l", "prefix", F.coalesce("component_id", "c").alias("m"))
+    tokens = label.select(F.posexplode("prefix").alias("place", "t"), "c", "n", "m", "l").select("t", "c", "n", "m", "place", "l")
     second = verified(counted(tokens, _cross(num, den)), "cross")
     linked = connected_components(first.unionByName(second), "a", "b")
     who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h").alias("h"))
