@@ -216,5 +216,4 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
-        F.coalesce(F.array_max(F.transform("matches", lambda m: m["words"])), F.lit(0).cast("long")).alias("longest_match"),
     )

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .backoff import op7_backoff
 from .decontaminate import op3_decontaminate
+from .embeddings import op8_embeddings
 from .jaccard import op5_jaccard
 from .langid import op1_language
 from .packing import op9_pack
+from .pii import op10_pii
 from .quality import op2_quality
 from .repeats import op4_repeats
+from .warc import op6_warc
 from .sql import SQL  # noqa: F401
 
 QUERIES = {
@@ -16,5 +20,9 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_repeats": op4_repeats,
     "op5_jaccard": op5_jaccard,
+    "op6_warc": op6_warc,
+    "op7_backoff": op7_backoff,
+    "op8_embeddings": op8_embeddings,
     "op9_pack": op9_pack,
+    "op10_pii": op10_pii,
 }

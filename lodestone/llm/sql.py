@@ -1,3 +1,30 @@
 """DuckDB SQL of the queries that SQL can express on whole tables."""
 
-SQL: dict[str, str] = {}
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_BASE32 = "||".join(f"substr('{_ALPHABET}', 1+((('0x'||substr(h,{10 * (k // 8) + 1},10))::BIGINT>>{35 - 5 * (k % 8)})&31)::INTEGER, 1)" for k in range(32))
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(text,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
+
+SQL: dict[str, str] = {
+    "op6_warc": f"""WITH p AS (SELECT page_id, coalesce(html,'') html, sha1(coalesce(html,'')) h FROM pages), t AS (SELECT h, max(page_id) top FROM p GROUP BY 1)
+ SELECT page_id, strlen(html)::BIGINT payload_bytes, {_BASE32} payload_digest, CASE WHEN page_id<top THEN 'revisit' ELSE 'response' END record_type, CASE WHEN page_id<top THEN top END refers_to FROM p JOIN t USING(h)""",
+    "op7_backoff": f"""WITH w AS (SELECT doc_id, i, w FROM (SELECT doc_id, unnest(a) w, generate_subscripts(a,1) i FROM (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') a FROM documents))),
+ b AS (SELECT doc_id, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i),'<s>') u, w FROM w), n AS (SELECT count(*) n FROM w),
+ c2 AS (SELECT u, w, count(*) c FROM b GROUP BY ALL), cu AS (SELECT u, count(*) c FROM b GROUP BY 1), cw AS (SELECT w, count(*) c FROM b GROUP BY 1),
+ o2 AS (SELECT doc_id, u, w, count(*) c FROM b GROUP BY ALL), ou AS (SELECT doc_id, u, count(*) c FROM b GROUP BY ALL), ow AS (SELECT doc_id, w, count(*) c FROM b GROUP BY ALL), od AS (SELECT doc_id, count(*) c FROM b GROUP BY 1),
+ s AS (SELECT doc_id, o2.c k, CASE WHEN c2.c>o2.c THEN ln((c2.c-o2.c)/(cu.c-ou.c)) ELSE ln(0.4::DOUBLE*greatest(cw.c-ow.c,1)/greatest(n-od.c,1)) END v
+  FROM o2 JOIN c2 USING(u,w) JOIN cu USING(u) JOIN cw USING(w) JOIN ou USING(doc_id,u) JOIN ow USING(doc_id,w) JOIN od USING(doc_id), n),
+ d AS (SELECT doc_id, sum(k)::BIGINT n_words, sum(k*v) x FROM s GROUP BY 1)
+ SELECT doc_id, coalesce(n_words,0)::BIGINT n_words, coalesce(round(x,4),0.0) log_score, round(x/n_words,6) log_score_per_word FROM documents LEFT JOIN d USING(doc_id)""",
+    "op8_embeddings": """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) e FROM embeddings),
+ u AS (SELECT vec_id, label, list_transform(e, lambda x: x/sqrt(list_sum(list_transform(e, lambda y: y*y)))) e FROM v WHERE label IS NOT NULL AND list_sum(list_transform(e, lambda y: y*y))>0),
+ l AS (SELECT a.vec_id a, b.vec_id b FROM u a JOIN u b ON a.label=b.label AND a.vec_id<>b.vec_id AND list_dot_product(a.e,b.e)>=0.93),
+ r AS (SELECT vec_id a, vec_id b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a=r.b), c AS (SELECT a vec_id, min(b) component_id FROM r GROUP BY 1), n AS (SELECT a, count(*) n FROM l GROUP BY 1)
+ SELECT c.vec_id, coalesce(n,0)::BIGINT n_links, component_id, c.vec_id=component_id kept FROM c LEFT JOIN n ON n.a=c.vec_id""",
+    "op3_decontaminate": f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') a FROM documents), b AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_WORD}') a FROM benchmark),
+ bw AS (SELECT DISTINCT item_id, least(10,len(a)) k, array_to_string(a[i:i+least(10,len(a))-1],' ') s FROM (SELECT item_id, a, unnest(range(1, 2+len(a)-least(10,len(a)))) i FROM b WHERE len(a)>0)), ks AS (SELECT DISTINCT k FROM bw),
+ dw AS (SELECT doc_id, i, k, array_to_string(a[i:i+k-1],' ') s FROM (SELECT doc_id, a, k, unnest(range(1, 2+len(a)-k)) i FROM d, ks WHERE len(a)>=k)), h AS (SELECT doc_id, i, k, item_id FROM dw JOIN bw USING(k,s)),
+ w AS (SELECT doc_id, count(DISTINCT p) n FROM (SELECT doc_id, unnest(range(i,i+k)) p FROM (SELECT DISTINCT doc_id, i, k FROM h)) GROUP BY 1), it AS (SELECT doc_id, count(*) n, string_agg(x, ',' ORDER BY x) l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR x FROM h) GROUP BY 1)
+ SELECT d.doc_id, len(a)::BIGINT n_words, coalesce(w.n,0)::BIGINT n_hit, coalesce(it.n,0)::BIGINT n_items, sha256(coalesce(l,'')) items_sha256, coalesce(w.n,0)>0 contaminated FROM d LEFT JOIN w ON w.doc_id=d.doc_id LEFT JOIN it ON it.doc_id=d.doc_id""",
+}
