@@ -15,8 +15,8 @@ def average_rank(value: Column, *by: str) -> Column:
 def spearman(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     """(by..., n, rho): Pearson's correlation of average ranks over rows where both are there; null where one is constant."""
     r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, average_rank(F.col(x), *by).alias("rx"), average_rank(F.col(y), *by).alias("ry"))
-    flat = (F.count_distinct("rx") > 1) & (F.count_distinct("ry") > 1)
-    return r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(flat, F.corr("rx", "ry")).alias("rho"))
+    spread = F.stddev_pop("rx") * F.stddev_pop("ry")  # corr() itself fails on a constant column in ANSI mode
+    return r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("rx", "ry"), spread).alias("rho"))
 
 
 def column_pairs(long: DataFrame, key: str, column: str, value: str) -> DataFrame:

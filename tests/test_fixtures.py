@@ -116,7 +116,8 @@ def test_assignment_is_optimal(spark):
 def test_statistics(spark):
     df = spark.createDataFrame([(1, 1.0, 2.0), (1, 2.0, 1.0), (1, 2.0, 4.0), (1, 4.0, 3.0), (2, 1.0, 1.0), (2, 1.0, 2.0)], "g int, x double, y double")
     got = {r.g: r for r in S.spearman(df, "x", "y", "g").collect()}
-    assert got[1].rho == pytest.approx(0.632456, abs=1e-5) and got[2].rho is None
+    # ranks 1, 2.5, 2.5, 4 and 2, 1, 4, 3: 1.5 / sqrt(4.5 * 5)
+    assert got[1].rho == pytest.approx(1.5 / math.sqrt(22.5), abs=1e-9) and got[2].rho is None
     p = spark.createDataFrame([("f", "a", 0.01), ("f", "b", 0.04), ("f", "c", 0.03), ("f", "d", 0.03)], "f string, k string, p double")
     assert {r.k: round(r.holm, 6) for r in S.holm(p, "p", "f", tie="k").collect()} == {"a": 0.04, "c": 0.09, "d": 0.09, "b": 0.09}
     d = spark.createDataFrame([(k, "a", "b", x) for k, x in enumerate([1.0, -2.0, 3.0, 0.0, 3.0])], "u int, a string, b string, d double")
