@@ -22,6 +22,11 @@ SQL: dict[str, str] = {
  l AS (SELECT a.vec_id a, b.vec_id b FROM u a JOIN u b ON a.label=b.label AND a.vec_id<>b.vec_id AND list_dot_product(a.e,b.e)>=0.93),
  r AS (SELECT vec_id a, vec_id b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a=r.b), c AS (SELECT a vec_id, min(b) component_id FROM r GROUP BY 1), n AS (SELECT a, count(*) n FROM l GROUP BY 1)
  SELECT c.vec_id, coalesce(n,0)::BIGINT n_links, component_id, c.vec_id=component_id kept FROM c LEFT JOIN n ON n.a=c.vec_id""",
+    "op5_jaccard": f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') a FROM documents),
+ g AS (SELECT DISTINCT doc_id, array_to_string(a[i:i+least(3,len(a))-1],chr(1)) s FROM (SELECT doc_id, a, unnest(range(1, 2+len(a)-least(3,len(a)))) i FROM d WHERE len(a)>0)), n AS (SELECT doc_id, count(*) n FROM g GROUP BY 1),
+ p AS (SELECT x.doc_id a, y.doc_id b, count(*) c FROM g x JOIN g y ON x.s=y.s AND x.doc_id<>y.doc_id GROUP BY ALL), l AS (SELECT a, b FROM p JOIN n x ON x.doc_id=a JOIN n y ON y.doc_id=b WHERE 100*c>=90*(x.n+y.n-c)),
+ r AS (SELECT doc_id a, doc_id b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a=r.b)
+ SELECT d.doc_id, coalesce(n.n,0)::BIGINT n_shingles, m.component_id FROM d LEFT JOIN n ON n.doc_id=d.doc_id JOIN (SELECT a, min(b) component_id FROM r GROUP BY 1) m ON m.a=d.doc_id""",
     "op3_decontaminate": f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') a FROM documents), b AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_WORD}') a FROM benchmark),
  bw AS (SELECT DISTINCT item_id, least(10,len(a)) k, array_to_string(a[i:i+least(10,len(a))-1],' ') s FROM (SELECT item_id, a, unnest(range(1, 2+len(a)-least(10,len(a)))) i FROM b WHERE len(a)>0)), ks AS (SELECT DISTINCT k FROM bw),
  dw AS (SELECT doc_id, i, k, array_to_string(a[i:i+k-1],' ') s FROM (SELECT doc_id, a, k, unnest(range(1, 2+len(a)-k)) i FROM d, ks WHERE len(a)>=k)), h AS (SELECT doc_id, i, k, item_id FROM dw JOIN bw USING(k,s)),
