@@ -98,32 +98,58 @@ def _unpack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return place, lo, lo + ((x >> TAG_BITS) & 127), x & ((1 << TAG_BITS) - 1)
 
 
+def _later(h: np.ndarray, whole: np.ndarray, ids: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """Which runs have the bytes of a run of the same least string that starts at a smaller (id, place)."""
+    key = h ^ mix(whole)
+    order = np.lexsort((packed, ids, key))
+    same = np.append(False, key[order][1:] == key[order][:-1])
+    lead = order[np.flatnonzero(~same)[np.cumsum(~same) - 1]] if len(order) else order
+    out = np.zeros(len(h), bool)
+    out[order] = same & ((ids[order] != ids[lead]) | (packed[order] >> 32 != packed[lead] >> 32))
+    return out
+
+
 def _runs_of(batches):
-    """(id, tag, text) -> (h, whole, id, packed)."""
+    """(id, tag, text) -> (h, id, packed, whole, done).
+
+    Runs that repeat an earlier one of the same batch are known at once (done 1); they go on under a key of their own, so that frequent strings don't meet in one task."""
     for b in batches:
         bounds, raw = utf8(b.column(2))
         ids, tags = b.column(0).to_numpy(), b.column(1).to_numpy()
+        parts = []
         for rows in _pieces(bounds):
             doc, base, a, z = (np.array(x) for x in zip(*rows, strict=True))
             text = np.concatenate([raw[x:y] for x, y in zip(a, z, strict=True)])
             own = np.append(0, np.cumsum(z - a))
             piece, h, whole, place, lo, hi = runs(text, own)
             shift = base[piece] - own[piece]
-            packed = _pack(place + shift, lo + shift, hi + shift, tags[doc[piece]])
-            for k in range(0, len(h), 500_000):
-                s = slice(k, k + 500_000)
-                yield pa.RecordBatch.from_arrays([pa.array(h[s].view(np.int64)), pa.array(whole[s].view(np.int64)), pa.array(ids[doc[piece[s]]], pa.int64()), pa.array(packed[s])], ["h", "whole", "id", "packed"])
+            parts.append((h, whole, ids[doc[piece]], _pack(place + shift, lo + shift, hi + shift, tags[doc[piece]])))
+        if not parts:
+            continue
+        h, whole, id_, packed = (np.concatenate(x) for x in zip(*parts, strict=True))
+        done = _later(h, whole, id_, packed)
+        h = np.where(done, mix(packed.view(np.uint64) + mix(id_.astype(np.int64).view(np.uint64))), h)
+        for k in range(0, len(h), 500_000):
+            s = slice(k, k + 500_000)
+            yield pa.RecordBatch.from_arrays([pa.array(h[s].view(np.int64)), pa.array(id_[s], pa.int64()), pa.array(packed[s]), pa.array(whole[s].view(np.int64)), pa.array(done[s].astype(np.int32))], ["h", "id", "packed", "whole", "done"])
 
 
 def _settle(batches):
-    """All runs of some buckets -> (id, packed, h, whole, open): repeats of an earlier run's bytes (open 0), and earliest runs whose bucket has other bytes too (open 1)."""
-    h, whole, ids, packed = _gather(batches, 4)
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    same = h[1:] == h[:-1] if len(h) else np.zeros(0, bool)
-    keep = (np.append(False, same) | np.append(same, False)) if len(h) else np.zeros(0, bool)
-    order, h = order[keep], h[keep]
-    whole, ids, packed = whole[order], ids[order], packed[order]
+    """All runs of some buckets -> (id, packed, h, open): repeats of an earlier run's bytes (open 0), and earliest runs whose bucket has other bytes too (open 1)."""
+
+    def out(ids, packed, h, state):
+        for k in range(0, len(ids), 500_000):
+            s = slice(k, k + 500_000)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[s], pa.int64()), pa.array(packed[s], pa.int64()), pa.array(h[s], pa.int64()), pa.array(state[s].astype(np.int32))], ["id", "packed", "h", "open"])
+
+    h, ids, packed, whole, done = _gather(batches, 5)
+    known, rest = np.flatnonzero(done == 1), np.flatnonzero(done != 1)
+    yield from out(ids[known], packed[known], h[known], np.zeros(len(known)))
+    order = rest[np.argsort(h[rest], kind="stable")]
+    same = h[order][1:] == h[order][:-1] if len(order) else np.zeros(0, bool)
+    keep = (np.append(False, same) | np.append(same, False)) if len(order) else np.zeros(0, bool)
+    order = order[keep]
+    h, whole, ids, packed = h[order], whole[order], ids[order], packed[order]
     order = np.lexsort((packed, ids, whole, h))
     h, whole, ids, packed = h[order], whole[order], ids[order], packed[order]
     if not len(h):
@@ -134,10 +160,8 @@ def _settle(batches):
     bucket = np.append(True, h[1:] != h[:-1])
     kinds = np.add.reduceat(first.astype(np.int64), np.flatnonzero(bucket))[np.cumsum(bucket) - 1]
     state = np.where(later, 0, np.where(kinds > 1, 1, 2))
-    out = np.flatnonzero(state < 2)
-    for k in range(0, len(out), 500_000):
-        s = out[k : k + 500_000]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[s]), pa.array(packed[s]), pa.array(h[s]), pa.array(whole[s]), pa.array(state[s].astype(np.int32))], ["id", "packed", "h", "whole", "open"])
+    some = np.flatnonzero(state < 2)
+    yield from out(ids[some], packed[some], h[some], state[some])
 
 
 # ---------------------------------------------------------------- suffix sorting of a block
@@ -262,11 +286,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def find_repeats(docs: DataFrame) -> DataFrame:
     """(id, tag, windows): for each text that repeats anything, its runs of repeated windows as packed numbers.  Texts are told apart by id and by a tag of their hash."""
-    found = _keyed(docs).mapInArrow(_runs_of, "h long, whole long, id long, packed long").repartition("h")
-    settled = cut(found.mapInArrow(_settle, "id long, packed long, h long, whole long, open int"), "repeats-settled")
+    found = _keyed(docs).mapInArrow(_runs_of, "h long, id long, packed long, whole long, done int").repartition("h")
+    settled = cut(found.mapInArrow(_settle, "id long, packed long, h long, open int"), "repeats-settled")
     mask = F.lit((1 << TAG_BITS) - 1)
     tagged = F.col("packed").bitwiseAND(mask).alias("tag")
-    wanted = settled.where("open = 1").select("id", tagged, "h", "whole", "packed")
+    wanted = settled.where("open = 1").select("id", tagged, "h", "packed")
     bloom, bits = _wanted_filter(wanted.select("id").distinct())
     sent = docs.sparkSession.sparkContext.broadcast(bloom)
 

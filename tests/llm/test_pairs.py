@@ -56,7 +56,7 @@ def test_repeats_small_blocks_and_long_texts(spark, monkeypatch):
     raw = {i: (t or "").encode() for i, t in rows}
     opened = []
     for b in settled:
-        for i, packed, h, is_open in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 4)), strict=True):
+        for i, packed, h, is_open in zip(*(b.column(k).to_pylist() for k in ("id", "packed", "h", "open")), strict=True):
             if is_open:
                 _, lo, hi, _ = repeats._unpack(np.array([packed]))
                 opened.append((h, i, packed, raw[i][lo[0] : hi[0] + 100]))
