@@ -4,9 +4,10 @@ The model is the corpus without the document itself (leave one out), so every sc
 documents less the document's own, a word w after u scores c(u, w) / c(u) if c(u, w) > 0, else 0.4 * max(c(w), 1) / N; the first word of a
 document follows a start mark.  A document's score is the sum of the logarithms.
 
-Count tables are partitioned by the hash of u into ``slices``, which are worked off one after another to bound scratch space: in each, tasks pre-aggregate
-the n-grams of a batch, a shuffle adds them up, the counts of u and w are joined on, and the exploded n-grams of all documents are joined to the table and summed
-per document.  All n-grams of all documents take part, so what is gathered grows with the corpus.
+The n-grams of all documents are exploded, one row for each different one of a document with the document's own counts, and dealt out by their hash.  There each
+n-gram's rows meet its count.  A row then needs one more count, of u where other documents have the n-gram and of w where none has: a join with the table of word counts.  The
+terms are summed per document.  To bound scratch space this is done for one hash slice of the n-grams after the other.  All n-grams of all
+documents take part, so what is gathered grows with the corpus; nothing is held in one place, and every step can spill.
 """
 
 from __future__ import annotations
@@ -15,15 +16,15 @@ import gc
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .decontaminate import LUT
 from .shared import cut, drop_cut, mix, shards, table, utf8, words
 
 ALPHA = 0.4
-SLICES = 4
-SHARD = 16 << 20
+SLICES = 6
+SHARD = 4 << 20
 START = np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -40,10 +41,6 @@ def _gram(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(u * np.uint64(0x9E3779B97F4A7C15) + w)
 
 
-def _in_slice(u: np.ndarray, k: int, slices: int) -> np.ndarray:
-    return mix(u ^ np.uint64(0x1F83D9ABFB41BD6B)) % np.uint64(slices) == np.uint64(k)
-
-
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -54,26 +51,14 @@ def _out(cols: list, names: list[str], most: int = 400_000):
 
 
 def _word_counts(batches):
+    """(x, n, m): how often each word occurs, and how often it is followed by another; the start mark is followed once in each text."""
     for b in batches:
         bounds, raw = utf8(b.column(0))
-        for lo, hi in shards(bounds, SHARD):
-            _, _, w = _bigrams(bounds[lo : hi + 1] - bounds[lo], raw[bounds[lo] : bounds[hi]])
-            w, n = np.unique(w, return_counts=True)
-            yield from _out([_long(w), pa.array(n, pa.int64())], ["w", "n"])
-
-
-def _gram_counts(k: int, slices: int):
-    def run(batches):
-        for b in batches:
-            bounds, raw = utf8(b.column(0))
-            for lo, hi in shards(bounds, SHARD):
-                _, u, w = _bigrams(bounds[lo : hi + 1] - bounds[lo], raw[bounds[lo] : bounds[hi]])
-                own = _in_slice(u, k, slices)
-                u, w = u[own], w[own]
-                g, at, n = np.unique(_gram(u, w), return_index=True, return_counts=True)
-                yield from _out([_long(g), _long(u[at]), _long(w[at]), pa.array(n, pa.int64())], ["g", "u", "w", "n"])
-
-    return run
+        for lo, hi in shards(bounds, 4 * SHARD):
+            _, u, w = _bigrams(bounds[lo : hi + 1] - bounds[lo], raw[bounds[lo] : bounds[hi]])
+            x, at = np.unique(np.concatenate([w, u]), return_inverse=True)
+            n, m = np.bincount(at[: len(w)], minlength=len(x)), np.bincount(at[len(w) :], minlength=len(x))
+            yield from _out([_long(x), pa.array(n, pa.int64()), pa.array(m, pa.int64())], ["x", "n", "m"])
 
 
 def _runs(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -86,25 +71,28 @@ def _runs(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
+NAMES = ["row", "g", "u", "w", "c", "cu", "cw", "words"]
+
+
 def _exploded(k: int, slices: int):
-    """(row, g, c, cu, cw, words): each different n-gram of each row, with the row's own counts of it, of u, of w, and of all words."""
+    """NAMES: each different n-gram of the slice of each row, with the row's own counts of it, of u, of w, and of all words."""
 
     def run(batches):
         for b in batches:
             bounds, raw = utf8(b.column(1))
             row = b.column(0).to_numpy()
-            for lo, hi in shards(bounds, SHARD >> 1):
+            for lo, hi in shards(bounds, SHARD):
                 doc, u, w = _bigrams(bounds[lo : hi + 1] - bounds[lo], raw[bounds[lo] : bounds[hi]])
-                total = np.bincount(doc, minlength=hi - lo)
-                cw, own = _runs(doc, w), _in_slice(u, k, slices)
-                doc, u, w, cw = doc[own], u[own], w[own], cw[own]
-                cu, g = _runs(doc, u), _gram(u, w)
+                total, g = np.bincount(doc, minlength=hi - lo), _gram(u, w)
+                own = (g >> np.uint64(40)) % np.uint64(slices) == np.uint64(k)
+                cu, cw = _runs(doc, u)[own], _runs(doc, w)[own]
+                doc, u, w, g = doc[own], u[own], w[own], g[own]
                 order = np.lexsort((g, doc))
                 new = np.append(True, (doc[order][1:] != doc[order][:-1]) | (g[order][1:] != g[order][:-1])) if len(doc) else np.zeros(0, bool)
                 at = order[new]
                 c = np.diff(np.append(np.flatnonzero(new), len(order)))
-                cols = [pa.array(row[lo:hi][doc[at]], pa.int64()), _long(g[at]), *(pa.array(x, pa.int32()) for x in (c, cu[at], cw[at], total[doc[at]]))]
-                yield from _out(cols, ["row", "g", "c", "cu", "cw", "words"])
+                cols = [pa.array(row[lo:hi][doc[at]], pa.int64()), _long(g[at]), _long(u[at]), _long(w[at]), *(pa.array(x, pa.int32()) for x in (c, cu[at], cw[at], total[doc[at]]))]
+                yield from _out(cols, NAMES)
 
     return run
 
@@ -116,25 +104,22 @@ def backoff_scores(docs: DataFrame, alpha: float = ALPHA, slices: int = SLICES)
     doc_id is a value like any other.  In a corpus of one document all counts are 0 and every word scores alpha."""
     spark = docs.sparkSession
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", F.lit(1), F.col("text")).alias("row"))
-    texts = keyed.select("text")
-    ones = cut(texts.mapInArrow(_word_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("cw_all")), "backoff-words")
-    total = ones.agg(F.sum("cw_all")).first()[0] or 0
-    sums = []
+    counts = cut(keyed.select("text").mapInArrow(_word_counts, "x long, n long, m long").groupBy("x").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "backoff-words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    gram, sums = Window.partitionBy("g"), []
     for k in range(slices):
-        grams = texts.mapInArrow(_gram_counts(k, slices), "g long, u long, w long, n long").groupBy("g").agg(F.first("u").alias("u"), F.first("w").alias("w"), F.sum("n").alias("c_all"))
-        grams = cut(grams, "backoff-grams")
-        before = grams.groupBy("u").agg(F.sum("c_all").alias("cu_all"))
-        counts = cut(grams.join(before, "u").join(ones, "w").select("g", "c_all", "cu_all", "cw_all"), "backoff-counts")
-        drop_cut(grams)
-        rows = keyed.select("row", "text").mapInArrow(_exploded(k, slices), "row long, g long, c int, cu int, cw int, words int")
-        seen = F.log((F.col("c_all") - F.col("c")) / (F.col("cu_all") - F.col("cu")))
-        unseen = F.log(F.lit(alpha) * F.greatest(F.col("cw_all") - F.col("cw"), F.lit(1)) / F.greatest(F.lit(total) - F.col("words"), F.lit(1)))
+        rows = keyed.select("row", "text").mapInArrow(_exploded(k, slices), "row long, g long, u long, w long, c int, cu int, cw int, words int")
+        rows = rows.withColumn("rest", F.sum("c").over(gram) - F.col("c"))
+        seen = F.col("rest") > 0
+        rows = rows.select("row", "c", "words", "rest", F.when(seen, F.col("u")).otherwise(F.col("w")).alias("x"), F.when(seen, F.col("cu")).otherwise(F.col("cw")).alias("own"))
+        there = F.log(F.col("rest") / (F.col("m") - F.col("own")))
+        backed = F.log(F.lit(alpha) * F.greatest(F.col("n") - F.col("own"), F.lit(1)) / F.greatest(F.lit(total) - F.col("words"), F.lit(1)))
         # n-grams of one row are different, so a row that occurs m times has m of each
-        scored = rows.join(counts, "g").select("row", F.col("c").alias("n"), (F.col("c") * F.when(F.col("c_all") > F.col("c"), seen).otherwise(unseen)).alias("s"))
-        sums.append(cut(scored.groupBy("row").agg(F.sum("s").alias("s"), F.sum("n").alias("n")), "backoff-sums"))
-        drop_cut(counts)
+        scored = rows.join(counts, "x").select("row", "c", (F.col("c") * F.when(F.col("rest") > 0, there).otherwise(backed)).alias("s"))
+        sums.append(cut(scored.groupBy("row").agg(F.sum("s").alias("s"), F.sum("c").alias("n")), "backoff-sums"))
         gc.collect()
         spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of this slice
+    drop_cut(counts)
     every = sums[0]
     for x in sums[1:]:
         every = every.unionByName(x)
