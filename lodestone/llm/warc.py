@@ -183,39 +183,47 @@ class Index:
         return parse(gzip.GzipFile(fileobj=io.BytesIO(self._range(f"{shard}.warc.gz", rows[i][2], rows[i][3]))).read())
 
 
-def _with_keys(pages: DataFrame, html: bool) -> DataFrame:
-    """Adds the url key, and with ``html`` the payload's digest."""
+def _with_keys(pages: DataFrame) -> DataFrame:
+    """Adds the key of the column url."""
+    k = pages.columns.index("url")
 
     def run(batches):
         for b in batches:
-            keys = pa.array([url_key(u) for u in b.column(1).to_pylist()], pa.string())
+            keys = pa.array([url_key(u) for u in b.column(k).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, keys], [*b.schema.names, "key"])
 
-    cols = "page_id long, url string, html string, refers_to long" if html else "page_id long, url string"
-    return pages.mapInArrow(run, f"{cols}, key string")
+    return pages.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in pages.dtypes) + ", key string")
 
 
 def write_archives(pages: DataFrame, root: str) -> list[tuple[str, str, str]]:
     """Write ``pages`` (page_id, url, html) below ``root``; the list of (first key, first id, name) of the archives, in order of keys.
 
     Of rows with equal payloads the one with the largest page_id is the response and the others revisit it.  A null html is an empty payload, a null url an
-    empty one.  Rows of equal page_id and payload are repeated rows and get one record for each different url."""
-    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), pages["html"].alias("html"))
+    empty one.  Rows of equal page_id, url and payload are repeated rows and get one record.  Payloads are dealt out once: which page a record refers to comes as a row of its
+    own, sorted just before it."""
     sha = F.sha1(F.coalesce("html", F.lit("")))
-    small = rows.select("page_id", sha.alias("sha")).distinct()
-    largest = small.groupBy("sha").agg(F.max("page_id").alias("top"))
-    refers = small.join(largest, "sha").where("page_id is null or page_id < top").select(F.col("page_id").alias("p"), F.col("sha").alias("s"), "top")
-    rows = rows.withColumn("sha", sha).dropDuplicates(["page_id", "url", "sha"])
-    rows = rows.join(refers, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")), "left").select("page_id", "url", "html", F.col("top").alias("refers_to"))
-    keyed = _with_keys(rows, True).repartitionByRange("key", "page_id").sortWithinPartitions("key", F.col("page_id").asc_nulls_first())
+    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), pages["html"].alias("html")).withColumn("sha", sha)
+    small = rows.select("page_id", "url", "sha")
+    largest = small.groupBy("sha").agg(F.max("page_id").alias("refers_to"))
+    refers = small.join(largest, "sha").where("page_id is null or page_id < refers_to").select("page_id", "url", F.lit(None).cast("string").alias("html"), "sha", "refers_to", F.lit(0).alias("kind"))
+    every = rows.select("page_id", "url", "html", "sha", F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind")).unionByName(refers)
+    keyed = _with_keys(every).repartitionByRange("key", "page_id", "sha", "url").sortWithinPartitions("key", "page_id", "sha", "url", "kind")
 
     def write(batches):
-        out, first = None, None
+        out, first, last, refers_to, written = None, None, None, None, False
         for b in batches:
-            for page_id, url, html, refers_to, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page_id, url, html, own, top, kind, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (page_id, own, url) != last:
+                    last, refers_to, written = (page_id, own, url), None, False
+                if kind == 0:
+                    refers_to = top
+                    continue
+                if written:
+                    continue
+                written, name = True, "" if page_id is None else str(page_id)
                 if out is None:
-                    out, first = Archive(root, TaskContext.get().partitionId()), (key, "" if page_id is None else str(page_id))
-                payload, name = (html or "").encode(), "" if page_id is None else str(page_id)
+                    out, first = Archive(root, TaskContext.get().partitionId()), (key, name)
+                payload = (html or "").encode()
                 out.add(key, name, record(name, url or "", payload, digest(payload), None if refers_to is None else str(refers_to)))
         if out is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (*first, out.close())], ["key", "page_id", "name"])
@@ -229,7 +237,7 @@ def write_archives(pages: DataFrame, root: str) -> list[tuple[str, str, str]]:
 def read_captures(pages: DataFrame, root: str, shards: list[tuple[str, str, str]], payloads: bool = False) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to[, payload]) of each row of ``pages`` (page_id, url), by way of the index."""
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"))
-    keyed = _with_keys(rows, False).repartitionByRange("key", "page_id").sortWithinPartitions("key", F.col("page_id").asc_nulls_first())
+    keyed = _with_keys(rows).repartitionByRange("key", "page_id").sortWithinPartitions("key", F.col("page_id").asc_nulls_first())
 
     def read(batches):
         index = Index(root, shards)
