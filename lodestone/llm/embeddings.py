@@ -4,6 +4,9 @@ In each pass the vectors of a label stand in the order of the concatenated signs
 compared with its neighbours there: with its own block of BLOCK places and the block before, whatever partitions they lie in.  A pair at cosine c agrees in a
 sign with probability 1 - acos(c)/pi, so a pair that one pass leaves apart meets in another; measured recall is in the README.  Verified pairs of all passes are united.
 
+The passes only say which vectors hang together, for a window holds no more than a part of a large group.  Links are counted afterwards: all vectors of a
+component are compared with each other, in blocks of GROUP and pair by pair of blocks, so links within a component are exact whatever its size.
+
 Equal vectors of one label are one class before anything is compared, so copies cost nothing and are linked exactly.
 """
 
@@ -20,6 +23,7 @@ from .shared import connected_components, cut, drop_cut, table
 THRESHOLD = 0.93
 PASSES = 8
 BLOCK = 512
+GROUP = 2048
 BITS = 60
 SEED = 20
 
@@ -54,36 +58,109 @@ def _numbered(batches):
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), place], [*b.schema.names, "part", "place"])
 
 
+def _vectors(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, numbers) of a column of lists."""
+    lists = column.combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+
+
+def _units(offs: np.ndarray, flat: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Vectors of one dimension, scaled to unit length in double precision."""
+    dim = int(offs[rows[0] + 1] - offs[rows[0]])
+    x = flat[offs[rows][:, None] + np.arange(dim)[None, :]].astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _roots(near: np.ndarray, mine: np.ndarray) -> np.ndarray:
+    """The smallest place that each place reaches, where near[i, j] joins the places mine[i] and j."""
+    n = near.shape[1]
+    root = np.arange(n)
+    while True:
+        new = np.minimum(root, np.where(near, root[mine][:, None], n).min(0))
+        new[mine] = np.minimum(new[mine], np.where(near, new[None, :], n).min(1))
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
 def _compare(threshold: float):
+    """An edge from each vector of a window to the first one that verified pairs of the window lead to."""
+
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         meta = [t.column(k).to_numpy() for k in ("pass", "label", "dim", "c", "spare")]
-        lists = t.column("v").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        offs, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        offs, flat = _vectors(t.column("v"))
         group = np.lexsort(meta[2::-1])
         a, b = [], []
         start = np.flatnonzero(np.append(True, np.any([m[group][1:] != m[group][:-1] for m in meta[:3]], axis=0)))
         for lo, hi in zip(start, np.append(start[1:], len(group)), strict=True):
             rows = group[lo:hi]
-            own, dim = rows[meta[4][rows] == 0], int(meta[2][rows[0]])
-            if not len(own) or len(rows) < 2:
-                continue
-            x = flat[offs[rows][:, None] + np.arange(dim)[None, :]].astype(np.float64)
-            x /= np.abs(x).max(1, keepdims=True)
-            x /= np.sqrt((x * x).sum(1, keepdims=True))
             mine = np.flatnonzero(meta[4][rows] == 0)
-            i, j = np.nonzero(x[mine] @ x.T >= threshold)
-            ca, cb = meta[3][rows[mine[i]]], meta[3][rows[j]]
-            keep = ca != cb
-            a.append(np.minimum(ca, cb)[keep])
-            b.append(np.maximum(ca, cb)[keep])
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
+            if not len(mine) or len(rows) < 2:
+                continue
+            x = _units(offs, flat, rows)
+            root = _roots(x[mine] @ x.T >= threshold, mine)
+            j = np.flatnonzero(root != np.arange(len(rows)))
+            a.append(meta[3][rows[root[j]]])
+            b.append(meta[3][rows[j]])
+        ca, cb = (np.concatenate(k) if k else np.zeros(0, np.int64) for k in (a, b))
+        pairs = np.unique(np.stack([np.minimum(ca, cb), np.maximum(ca, cb)]), axis=1)
         return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
     return run
 
 
+def _count(threshold: float):
+    """(c, n) of two blocks of a component, or of one with itself, or of whole small components: n is the sum of the copies of what c links with there."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        m, c, copies, side = (t.column(k).to_numpy() for k in ("m", "c", "copies", "side"))
+        offs, flat = _vectors(t.column("v"))
+        group = np.argsort(m, kind="stable")
+        n = np.zeros(len(c))
+        start = np.flatnonzero(np.append(True, m[group][1:] != m[group][:-1]))
+        two = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
+        for lo, hi in zip(start, np.append(start[1:], len(group)), strict=True):
+            rows = group[lo:hi]
+            left, right = (rows[side[rows] == 0], rows[side[rows] == 1]) if two else (rows, rows)
+            if not len(left) or not len(right):
+                continue
+            x = _units(offs, flat, left)
+            y = _units(offs, flat, right) if two else x
+            for s in range(0, len(left), BLOCK):
+                near = x[s : s + BLOCK] @ y.T >= threshold
+                if not two:
+                    near[np.arange(len(near)), s + np.arange(len(near))] = False
+                near = near.astype(np.float64)
+                n[left[s : s + BLOCK]] += near @ copies[right]
+                if two:
+                    n[right] += copies[left[s : s + BLOCK]] @ near
+        return pa.table({"c": pa.array(c, pa.int64()), "n": pa.array(n.astype(np.int64))})
+
+    return run
+
+
+def _links(classes: DataFrame, size: DataFrame, joined: DataFrame, threshold: float) -> DataFrame:
+    """(c, n): with how many vectors of its component each class links, its own copies left out.
+
+    A component of more than GROUP classes is dealt into blocks by hash, and each pair of blocks is one group; small components share groups."""
+    members = joined.select(F.col("id").alias("c"), F.col("component_id").alias("m"))
+    total = members.count()
+    large = members.groupBy("m").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > GROUP).select("m", F.ceil(F.col("k") / GROUP).cast("int").alias("blocks"))
+    rows = members.join(classes.select("c", "v"), "c").join(size.select("c", "copies"), "c").join(F.broadcast(large), "m", "left")
+    big = F.col("blocks").isNotNull()
+    own = F.when(big, F.pmod(F.xxhash64("c", F.lit(SEED)), F.col("blocks"))).otherwise(F.pmod(F.xxhash64("m"), F.lit(-(-total // GROUP) or 1))).cast("int")
+    rows = rows.select("m", "c", "copies", "v", F.coalesce("blocks", F.lit(0)).alias("blocks"), own.alias("own"))
+    met = F.when(F.col("blocks") > 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    rows = rows.select("m", "c", "copies", "v", "blocks", "own", F.explode(met).alias("met"))
+    rows = rows.select(F.when(F.col("blocks") > 0, F.col("m")).alias("g"), F.least("own", "met").alias("lo"), F.greatest("own", "met").alias("hi"), (F.col("own") > F.col("met")).cast("int").alias("side"), "m", "c", "copies", "v")
+    return rows.groupBy("g", "lo", "hi").applyInArrow(_count(threshold), "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of ``vectors`` (vec_id, embedding, label).
 
@@ -113,9 +190,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     links = cut(both.groupBy("block").applyInArrow(_compare(threshold), "a long, b long").distinct(), "vectors-links")
     drop_cut(placed)
     size = ok.groupBy("c").agg(F.countDistinct("vec_id").alias("copies"), F.min("vec_id").alias("low"))
-    ways = links.select(F.col("a").alias("c"), F.col("b").alias("o")).unionByName(links.select(F.col("b").alias("c"), F.col("a").alias("o")))
-    far = ways.join(size.select(F.col("c").alias("o"), F.col("copies").alias("n")), "o").groupBy("c").agg(F.sum("n").alias("n"))
     joined = connected_components(links, "a", "b")
+    far = _links(classes, size, joined, threshold)
     named = size.join(joined, F.col("c") == F.col("id"), "left").select("c", "copies", "low", F.coalesce("component_id", "c").alias("m"))
     least = named.groupBy("m").agg(F.min("low").alias("component_id"))
     of = named.join(least, "m").join(far, "c", "left").select("c", "component_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))

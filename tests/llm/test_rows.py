@@ -219,6 +219,17 @@ def test_vector_recall_over_many_blocks(spark, monkeypatch):
     assert got.n_links.sum() / 2 / want >= 0.9
 
 
+def test_large_group_of_near_copies_keeps_all_links(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    monkeypatch.setattr(embeddings, "GROUP", 100)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=32) + rng.normal(size=(900, 32)) * 0.2, np.repeat(rng.normal(size=(60, 1, 32)), 3, 1).reshape(180, 32) + rng.normal(size=(180, 32)) * 0.05]).astype(np.float32)
+    x = np.concatenate([x, x[:40]])
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")).collect()}
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    assert [got[k] for k in range(len(x))] == ((y @ y.T >= 0.93).sum(1) - 1).tolist()
+
+
 # ------------------------------------------------------------------ 9
 
 
