@@ -40,22 +40,22 @@ _L, _N = r"\p{L}", r"\p{N}"
 _TITLE = "|".join(sorted([*TITLES_M, *TITLES_F, *TITLES_N], key=len, reverse=True))
 _FIRST = "".join(sorted({t[0] for t in [*TITLES_M, *TITLES_F, *TITLES_N]}))
 _BEFORE = rf"(?<![{_L}{_N}])"
-_SECRET = "(?:token|secret|password|passwd|api_key|apikey|api-key|access_key)[\"']? {0,2}[=:] {0,2}[\"']?"
+_SECRET = "(?i:token|secret|password|passwd|api_key|apikey|api-key|access_key)[\"']? {0,2}[=:] {0,2}[\"']?"
 #: Each begins with a set of first characters, so that most places of a text are left at once.
 PATTERNS = [
-    ("secret", rf"(?=[tspa]){_BEFORE}{_SECRET}[A-Za-z0-9_\-+/.]{{8,}}+"),
+    ("secret", rf"(?=[tspaTSPA]){_BEFORE}{_SECRET}[A-Za-z0-9_\-+/.]{{8,}}+"),
     ("email", rf"(?=[{_L}{_N}._%+\-])(?<![{_L}{_N}._%+\-])[{_L}{_N}._%+\-]++@[{_L}{_N}\-]++(?:\.[{_L}{_N}\-]++)*\.\p{{L}}{{2,}}"),
     ("ip", rf"(?=[0-9])(?<![{_L}{_N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1\d\d|\d?\d)(?![{_N}]|\.[{_N}])"),
     ("phone", rf"(?=[0-9+(])(?:(?<![{_L}{_N}+])\+\d{{1,3}}[ .\-]?(?:\(\d{{1,4}}\)[ .\-]?)?\d{{2,4}}(?<sep>[ .\-])\d{{2,4}}(?:\k<sep>\d{{2,4}}){{0,3}}(?![{_N}]|[.\-][0-9])|(?<![{_L}{_N}+])\+\d{{8,15}}(?![{_N}])|{_BEFORE}\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?![{_N}])|(?<![{_L}{_N}\-.])\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}}(?![{_N}]))"),
     ("ssn", rf"(?=[0-9])(?<![{_L}{_N}\-])\d{{3}}-\d{{2}}-\d{{4}}(?![{_N}\-])"),
     ("iban", rf"(?=[A-Z]){_BEFORE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_L}{_N}])"),
     ("card", rf"(?=[0-9]){_BEFORE}\d(?:[ \-]?\d){{12,18}}(?![{_L}{_N}])"),
-    ("secret", rf"(?=[0-9a-fAgs]){_BEFORE}(?:[0-9a-f]{{32,128}}|AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20,64}})(?![{_L}{_N}])"),
+    ("secret", rf"(?=[0-9a-gA-GsS]){_BEFORE}(?i:[0-9a-f]{{32,128}}|AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20,64}})(?![{_L}{_N}])"),
     ("name", rf"(?=[{_FIRST}]){_BEFORE}(?:{_TITLE})\.? \p{{Lu}}[\p{{Ll}}\p{{M}}]+(?:[ -]\p{{Lu}}[\p{{Ll}}\p{{M}}]+)?"),
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: Every entity holds a digit or an @, or follows a title, or a secret's name.
-MAYBE = [r"[0-9@]", rf"(?=[{_FIRST}])(?:{_TITLE})\.? \p{{Lu}}", rf"(?=[tspa]){_SECRET}"]
+MAYBE = [r"[0-9@]", rf"(?=[{_FIRST}])(?:{_TITLE})\.? \p{{Lu}}", rf"(?=[tspaTSPA]){_SECRET}"]
 
 
 def _hits(text: Column) -> Column:
@@ -101,11 +101,13 @@ def _pick(letters: str, n: Column) -> Column:
 def _same_shape(x: Column, h: Column) -> Column:
     """Digits for digits, letters for letters of the same case; a string of hexadecimal digits stays one.  Letters become Latin."""
     hexes = x.rlike("^[0-9a-f]{16,}$") & x.rlike("[a-f]")
+    upper = x.rlike("^[0-9A-F]{16,}$") & x.rlike("[A-F]")
+    mixed = x.rlike("^[0-9a-fA-F]{16,}$")
 
     def one(c: Column) -> Column:
         n = _byte(h, c["i"])
         return (
-            F.when(hexes, _pick("0123456789abcdef", n)).when(c["c"].rlike(r"\p{N}"), _pick("0123456789", n))
+            F.when(hexes, _pick("0123456789abcdef", n)).when(upper, _pick("0123456789ABCDEF", n)).when(mixed & c["c"].rlike("[A-F]"), _pick("ABCDEF", n)).when(mixed & c["c"].rlike("[a-f]"), _pick("abcdef", n)).when(c["c"].rlike(r"\p{N}"), _pick("0123456789", n))
             .when(c["c"].rlike(r"\p{Lu}"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n)).when(c["c"].rlike(r"\p{L}"), _pick("abcdefghijklmnopqrstuvwxyz", n)).otherwise(c["c"])
         )
 

@@ -303,6 +303,19 @@ def test_surrogates(spark):
     assert pii.replace_pii(frame(spark, [])).collect() == []
 
 
+def test_surrogates_of_upper_case_secrets(spark):
+    digits = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    rows = [
+        (1, f'TOKEN = "{digits}"'), (2, f"SEE {digits}."), (3, "Password: AbC123xyzQQ"), (4, "PASSWORD=QWERTYUIOP"), (5, digits.lower()), (6, "9233a8ECf7c5b09fe5949719b6b82bc4"),
+        (7, "USE GHP_ABCDEFGHIJ0123456789ABCDEFGHIJ012345 NOW"),
+    ]
+    out = {r.doc_id: r.text for r in pii.replace_pii(frame(spark, rows)).collect()}
+    shapes = {1: r'TOKEN = "([0-9A-F]{40})"', 2: r"SEE ([0-9A-F]{40})\.", 3: r"Password: ([A-Z][a-z][A-Z]\d{3}[a-z]{3}[A-Z]{2})", 4: "PASSWORD=([A-Z]{10})", 5: "([0-9a-f]{40})", 6: r"(\d{4}[a-f]\d[A-F]{2}[a-f]\d[a-f]\d[a-f]\d\d[a-f]{2}[a-f0-9]{15})", 7: r"USE ([A-Z]{3}_[A-Z]{10}\d{10}[A-Z]{10}\d{6}) NOW"}
+    found = {k: re.fullmatch(p, out[k]) for k, p in shapes.items()}
+    assert all(found.values()), out
+    assert found[1][1] == found[2][1] and all(found[k][1] not in t for k, t in rows)
+
+
 def test_surrogates_stay_distinct(spark):
     names = [("family", f"n:{a}{b}") for a in "ABCDEFGHIJ" for b in "abcdefghijklmnopqrst"] + [("given", f"m:{a}x") for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"] + [("ssn", f"{k:09d}") for k in range(300)]
     got = pii.surrogates(spark.createDataFrame(names, "kind string, form string")).collect()
