@@ -167,6 +167,29 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
     return pool.where("pick is not null").select("q", "id", "pick")
 
 
+def mmr_whole(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
+    """(q, id, pick) as ``mmr``, chosen among all ``docs`` (id, toks) for each of ``queries`` (q); documents without a row in ``scores`` (q, id, score) score 0.
+
+    Relevance is the score on [0, 1] within the whole ranking.  One of the first k is always free and worth weight * its relevance - (1 - weight) at least, so
+    documents under that bound are left out.  Token lists aren't shuffled by query: a row for each query carries what is chosen."""
+    every = queries.select("q").distinct().crossJoin(docs.select("id")).join(scores.select("q", "id", "score"), ["q", "id"], "left")
+    w = Window.partitionBy("q")
+    pool = min_max(rank(every.withColumn("score", F.coalesce("score", F.lit(0.0))))).withColumn("kth", F.max(F.when(F.col("rank") == k, F.col("norm"))).over(w))
+    pool = pool.where(F.col("kth").isNull() | (F.col("norm") >= F.col("kth") - (1 - weight) / weight - 1e-8)).select("q", "id", "rank", F.col("norm").alias("rel"))
+    state = pool.where("rank = 1").select("q", F.array("id").alias("ids"))
+    for _ in range(1, k):
+        taken = state.select("q", F.posexplode("ids").alias("pos", "id")).join(docs, "id").groupBy("q").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "toks"))).alias("taken"))
+        x = pool.join(docs, "id").join(taken, "q")
+        union = lambda t: F.size(F.array_union(F.col("toks"), t["toks"]))
+        most = F.array_max(F.transform("taken", lambda t: F.coalesce(F.try_divide(F.size(F.array_intersect(F.col("toks"), t["toks"])), union(t)), F.lit(0.0))))
+        ids = F.col("taken")["id"]
+        value = F.round(F.lit(weight) * F.col("rel") - F.lit(1 - weight) * most, 9)
+        x = x.select("q", "id", "rank", ids.alias("ids"), F.array_contains(ids, F.col("id")).alias("old"), value.alias("value"))
+        best = x.groupBy("q").agg(F.min("ids").alias("ids"), F.min_by(F.when(~F.col("old"), F.col("id")), F.struct("old", -F.col("value"), "rank")).alias("best"))
+        state = best.select("q", F.when(F.col("best").isNull(), F.col("ids")).otherwise(F.array_append("ids", F.col("best"))).alias("ids"))
+    return state.select("q", F.posexplode("ids").alias("pos", "id")).select("q", "id", (F.col("pos") + 1).alias("pick"))
+
+
 def tfidf(toks: DataFrame, corpus: DataFrame) -> DataFrame:
     """(id, t, w): sublinear tf times smoothed idf, scaled to unit length.  ``corpus``: all ids, texts without tokens too."""
     tf = postings(toks)

@@ -223,10 +223,10 @@ def struct_bm25(spark, d):
  p3 AS (SELECT * FROM c3 QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(0.7*rel-0.3*m,9) DESC, rank)=1)
  SELECT q item_id, id doc_id, 1 pick FROM p1 UNION ALL SELECT q, id, 2 FROM p2 UNION ALL SELECT q, id, 3 FROM p3""")
 def mmr_top3(spark, d):
-    top = R.min_max(R.rank(bm25_scores(spark, d), 20))
+    """Relevance is scaled over, and chosen among, the whole ranking; the SQL still has the first 20 alone."""
     toks = docs(spark, d).select(F.col("doc_id").alias("id"), F.array_distinct(R.token_array(F.col("text"))).alias("toks"))
-    c = top.join(toks, "id").select("q", "id", "rank", F.col("norm").alias("rel"), "toks")
-    return R.mmr(c, 3).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "pick")
+    picks = R.mmr_whole(bm25_scores(spark, d), bench(spark, d).select(F.col("item_id").alias("q")), toks, 3)
+    return picks.select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "pick")
 
 
 CUES = [("license", "license|licence"), ("caps", "[A-Z]{4,}!!"), ("table", r"\|")]

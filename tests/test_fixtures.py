@@ -72,6 +72,34 @@ def test_mmr(spark, weight, order):
     assert "".join(r.id for r in got.orderBy("pick").collect()) == order
 
 
+def test_mmr_chooses_among_the_whole_ranking(spark, tmp_path):
+    from lodestone.plans import registry
+
+    texts = ["red fox jumps over one lazy dog"] * 25 + ["red red red fox fox fox jumps jumps jumps over over over one one one kite moon"] + [f"other words {k} are here for all" for k in range(300)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "red fox jumps over one lazy dog")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.pick: r.doc_id for r in registry.QUERIES["mmr_top3"](spark, str(tmp_path)).collect()}
+    assert got[1] == 0 and 25 in got.values() and len(set(got.values())) == 3
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mmr_whole_equals_the_loop(spark, seed):
+    rng = random.Random(seed)
+    toks = {i: sorted({rng.choice("abcdefghij") for _ in range(rng.randint(0, 4))}) for i in range(40)}
+    scores = [(q, i, rng.choice([5.0, 4.0, 1.0, 0.5, 0.1])) for q in (1, 2) for i in range(40) if rng.random() < 0.7] + [(3, 7, 2.0)]
+    got = R.mmr_whole(spark.createDataFrame(scores, "q long, id long, score double"), spark.createDataFrame([(q,) for q in (1, 2, 3, 4)], "q long"), spark.createDataFrame(list(toks.items()), "id long, toks array<string>"), 3)
+    want = set()
+    for q in (1, 2, 3, 4):
+        s = {i: 0.0 for i in toks} | {i: x for p, i, x in scores if p == q}
+        lo, hi = min(s.values()), max(s.values())
+        chosen = []
+        for pick in (1, 2, 3):
+            sim = lambda i: max((len(set(toks[i]) & set(toks[j])) / max(1, len(set(toks[i]) | set(toks[j]))) for j in chosen), default=0.0)  # noqa: B023, E731
+            chosen.append(min((i for i in s if i not in chosen), key=lambda i: (-round(0.7 * ((s[i] - lo) / (hi - lo) if hi > lo else 1.0) - 0.3 * sim(i), 9), -s[i], i)))  # noqa: B023
+            want.add((q, chosen[-1], pick))
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_camel(spark):
     from lodestone.plans.retrieval_queries import camel
 
