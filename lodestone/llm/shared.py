@@ -3,6 +3,7 @@ word hashes, the held-out fold, and connected components."""
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -18,12 +19,14 @@ from pyspark.sql import functions as F
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, a laptop) a temporary folder is set instead."""
+    Only where a local session names none (tests, a laptop) a temporary folder is set instead; a cluster without one is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm.isDefined():
             return jvm.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -120,32 +123,91 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def words(bounds: np.ndarray, raw: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+#: Words of more bytes than this are hashed by BLAKE2b, one call each; shorter ones eight bytes at a time, all at once.
+_LONG = 64
+_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_STEP = 1 << 20
+
+
+def _ends(bounds: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each run of bytes other than 0, and the byte after it; runs end where texts do.  Works block by block."""
+    n = len(b)
+    kind = np.int64 if n < 1 << 24 else np.int32 if n < 1 << 31 else np.int64
+    starts, stops, before = [], [], False
+    edges = np.unique(bounds[:-1])
+    for lo in range(0, n, _STEP):
+        on = b[lo : lo + _STEP] != 0
+        prev = np.append(before, on[:-1])
+        brk = np.zeros(len(on), bool)
+        i, j = np.searchsorted(edges, (lo, lo + len(on)))
+        brk[edges[i:j] - lo] = True
+        starts.append((np.flatnonzero(on & (~prev | brk)) + lo).astype(kind))
+        stops.append((np.flatnonzero(prev & (~on | brk)) + lo).astype(kind))
+        before = bool(on[-1])
+    if before:
+        stops.append(np.array([n], kind))
+    return (np.concatenate(starts), np.concatenate(stops)) if starts else (np.zeros(0, kind), np.zeros(0, kind))
+
+
+def _hashes(padded: np.ndarray, s: np.ndarray, e: np.ndarray, lane: int) -> np.ndarray:
+    """64-bit hash of each padded[s:e]: eight bytes at a time through a mixing step that has an inverse, so words of seven bytes at most never collide."""
+    at = np.ndarray((len(padded) - 7,), "<u8", buffer=padded, strides=(1,))
+    out, seed = np.empty(len(s), np.uint64), _SEEDS[lane]
+    for k in range(0, len(s), _STEP):
+        x, n = s[k : k + _STEP], (e[k : k + _STEP] - s[k : k + _STEP]).astype(np.int64)
+        h = at[x] & _LOW[np.minimum(n, 8)]
+        h = mix((h | np.where(n < 8, n, 0).astype(np.uint64) << np.uint64(56)) ^ seed)
+        live, done = np.flatnonzero((n > 8) & (n <= _LONG)), 8
+        while len(live):
+            more = at[x[live] + done] & _LOW[np.minimum(n[live] - done, 8)]
+            h[live] = mix(h[live] * seed + more + np.uint64(done))
+            done += 8
+            live = live[n[live] > done]
+        long = np.flatnonzero((n > 8) & (n <= _LONG))
+        h[long] = mix(h[long] ^ n[long].astype(np.uint64))
+        for i in np.flatnonzero(n > _LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(padded[x[i] : x[i] + n[i]], digest_size=8, salt=bytes([lane])).digest(), "little")
+        out[k : k + _STEP] = h
+    return out
+
+
+def words(bounds: np.ndarray, raw: np.ndarray, lut: np.ndarray, lanes: int = 1) -> tuple[np.ndarray, ...]:
     """Maximal runs of bytes that ``lut`` maps to other than 0, never across texts.
 
-    Returns (hash, text number, start byte, end byte) of each run, in order; equal runs (after ``lut``) have equal hashes."""
-    n = len(raw)
-    none = np.zeros(0, np.int64)
-    if n == 0:
-        return none.astype(np.uint64), none, none, none
-    b = lut[raw]
-    on = b != 0
-    first = np.zeros(n + 1, bool)
-    first[bounds[:-1]] = True  # a bound at n (trailing empty texts) falls on the spare cell
-    brk = first[:n].copy()
-    starts = on.copy()
-    starts[1:] &= ~on[:-1] | brk[1:]
-    ends = on.copy()
-    ends[:-1] &= ~on[1:] | brk[1:]
-    s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    if not len(s):
-        return none.astype(np.uint64), none, none, none
-    p, q = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(b.astype(np.uint64) * p[:n], out=total[1:])
-    h = mix((total[e] - total[s]) * q[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    doc = np.searchsorted(bounds, s, "right") - 1
-    return h, doc, s, e
+    Returns (hash, text number, start byte, end byte) of each run, in order; equal runs (after ``lut``) have equal hashes.  With ``lanes`` 2 a second,
+    independent hash comes last: both together are 128 bits, for decisions that a chance collision must not take."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    for k in range(0, len(raw), _STEP):
+        np.take(lut, raw[k : k + _STEP], out=padded[k : min(k + _STEP, len(raw))])
+    s, e = _ends(bounds, padded[: len(raw)])
+    doc = (np.searchsorted(bounds, s, "right") - 1).astype(s.dtype)
+    return (_hashes(padded, s, e, 0), doc, s, e, *(_hashes(padded, s, e, k) for k in range(1, lanes)))
+
+
+def pieces(raw: np.ndarray, lut: np.ndarray, most: int, carry: int, lanes: int = 1):
+    """The words of one long text in pieces of about ``most`` bytes, cut between words: (words as ``words`` gives them, how many of them were in the piece before).
+
+    Each piece begins with the last ``carry`` words of the one before, so runs of carry + 1 words are whole in some piece.  All but the last piece have new
+    words, and more than ``carry`` words.  Places are those in the whole text."""
+    at, end, kept = 0, 0, None
+    while end < len(raw):
+        end = min(end + most, len(raw))
+        while end < len(raw):
+            gap = np.flatnonzero(lut[raw[end : end + _STEP]] == 0)
+            if len(gap):
+                end += int(gap[0])
+                break
+            end = min(end + _STEP, len(raw))
+        h, doc, s, e, *more = words(np.array([0, end - at]), raw[at:end], lut, lanes)
+        lead = 0 if kept is None else len(kept[0])
+        if len(h) + lead <= carry and end < len(raw):
+            continue
+        own = [h, doc.astype(np.int64), s.astype(np.int64) + at, e.astype(np.int64) + at, *more]
+        if lead:
+            own = [np.concatenate(x) for x in zip(kept, own, strict=True)]
+        yield own, lead
+        kept, at = [x[max(0, len(x) - carry) :] for x in own], end
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:

@@ -169,7 +169,7 @@ def test_archive_round_trip(spark, monkeypatch):
 def test_backoff_equals_brute_force(spark):
     rng = random.Random(2)
     rows = [(k, " ".join(rng.choice("a b c d e fé g1".split()) for _ in range(rng.randint(1, 30)))) for k in range(25)] + [(90, None), (91, "!!"), (3, "a b"), (None, "A b")]
-    got = sorted((str(r.doc_id), r.n_words, round(r.log_score, 6)) for r in backoff.backoff_scores(frame(spark, rows), slices=3).collect())
+    got = sorted((str(r.doc_id), r.n_words, round(r.log_score, 6)) for r in backoff.backoff_scores(frame(spark, rows).repartition(5), slice_grams=100).collect())
     split = [re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower()) for _, t in rows]
     gram = [list(zip(["<s>", *w[:-1]], w, strict=True)) if w else [] for w in split]
     c2, cu, cw = Counter(g for x in gram for g in x), Counter(g[0] for x in gram for g in x), Counter(w for x in split for w in x)
@@ -182,6 +182,35 @@ def test_backoff_equals_brute_force(spark):
         want.append((str(i), len(w), round(s, 6)))
     assert got == sorted(want)
     assert backoff.backoff_scores(frame(spark, [])).collect() == []
+    alone = backoff.backoff_scores(frame(spark, [(1, "a b a")])).collect()
+    assert [(r.n_words, round(r.log_score, 9)) for r in alone] == [(3, round(3 * math.log(0.4), 9))]
+
+
+def test_words_and_pieces_agree_and_hashes_differ():
+    from lodestone.llm import shared
+
+    rng = random.Random(8)
+    morse = [bytes(97 + bin(i).count("1") % 2 for i in range(1024)), bytes(98 - bin(i).count("1") % 2 for i in range(1024))]
+    for k in range(30):
+        parts = [*morse, *(bytes(rng.choice([b"a", b"B", b"\xc3\xa9", b" ", b"-", b"longer-word-of-bytes", b"y" * 70])) for _ in range(rng.randint(0, 300)))]
+        rng.shuffle(parts)
+        raw = b" ".join(parts) if k % 2 else b"".join(parts)
+        whole = np.frombuffer(raw, np.uint8)
+        h, _, s, e, other = shared.words(np.array([0, len(raw)]), whole, decontaminate.LUT, 2)
+        want = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", raw.lower())]
+        assert list(zip(s.tolist(), e.tolist(), strict=True)) == [w[:2] for w in want]
+        by = {}
+        for lane in (h, other):
+            by = {}
+            for w, x in zip(want, lane.tolist(), strict=True):
+                assert by.setdefault(w[2], x) == x
+            assert len(set(by.values())) == len(by)
+        for most, carry in ((17, 2), (400, 9), (5000, 0)):
+            got, places = [], []
+            for own, lead in shared.pieces(whole, decontaminate.LUT, most, carry):
+                got += own[0][lead:].tolist()
+                places += own[2][lead:].tolist()
+            assert got == h.tolist() and places == s.tolist()
 
 
 # ------------------------------------------------------------------ 8
