@@ -6,7 +6,10 @@ array.  Every window-long start of every benchmark suffix is then binary-searche
 occurrences, and comparing on from there gives the longest verbatim match of each and its place.  No shuffle: the work follows the documents.
 
 The benchmark travels to the tasks in blocks of at most ``block_bytes`` of text (documented bound, 16 MiB); a benchmark of more than one block is searched in as
-many passes, each of which adds to the columns of the one before.
+many passes, each of which is written to the shared folder and adds to the columns of the one before, so driver and executors hold one block.
+
+Words are known by 128 bits of hash.  A text beyond two shards is read in pieces that overlap by a window less one word: memory stays with the piece, and
+matches that run on are joined.  Ties don't arise: every occurrence counts.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import shards, table, utf8, words
+from .shared import cut, drop_cut, pieces, shards, table, utf8, words
 
 WINDOW = 10
 SHARD = 4 << 20
@@ -40,10 +43,11 @@ class Block:
     """Benchmark items as numbers of their own vocabulary, and the windows that start at each of their suffixes."""
 
     def __init__(self, ids: list[str], texts: list[str], window: int):
-        self.ids = ids
+        self.ids, self.window = ids, window
         bounds, raw = utf8(pa.array(texts, pa.large_string()))
-        h, item, _, _ = words(bounds, raw, LUT)
-        self.vocab = np.unique(h)
+        h, item, _, _, check = words(bounds, raw, LUT, 2)
+        self.vocab, first = np.unique(h, return_index=True)
+        self.check = check[first]
         self.w = np.append(np.searchsorted(self.vocab, h) + 1, 0).astype(np.int32)
         self.item = np.append(item, -1)
         n = np.bincount(item, minlength=len(ids)) if len(ids) else np.zeros(0, np.int64)
@@ -62,15 +66,15 @@ def _keys(w: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return np.ascontiguousarray(m).view(f"S{4 * k}").ravel()
 
 
-def search(block: Block, h: np.ndarray, doc: np.ndarray):
-    """Of one shard's words: (place, window size) hits, (doc, item) pairs, and maximal matches (doc, item, item word, word, words)."""
+def search(block: Block, h: np.ndarray, check: np.ndarray, doc: np.ndarray):
+    """Of one shard's words, known by both hashes: (place, window size) hits, (doc, item) pairs, and maximal matches (doc, item, item word, word, words)."""
     v = block.vocab
     none = np.zeros(0, np.int64)
     if not len(h) or not len(v):
         return none, none, none, none, np.zeros((0, 5), np.int64)
     pos = np.searchsorted(v, h)
     pos[pos == len(v)] = 0
-    w = np.where(v[pos] == h, pos + 1, 0).astype(np.int32)
+    w = np.where((v[pos] == h) & (block.check[pos] == check), pos + 1, 0).astype(np.int32)
     n = len(w)
     same = np.append((w[1:] != 0) & (w[:-1] != 0) & (doc[1:] == doc[:-1]), False)
     stop = np.flatnonzero(~same)  # the last word of each run of vocabulary words of a document
@@ -113,34 +117,62 @@ def search(block: Block, h: np.ndarray, doc: np.ndarray):
     return np.concatenate(hits), np.concatenate(sizes), np.concatenate(docs), np.concatenate(items), np.concatenate(found)
 
 
+def _found(block: Block, h: np.ndarray, check: np.ndarray, doc: np.ndarray, texts: int):
+    """Per text of a shard's words: number of words, hit spans [from, to) in words, item ids, matches."""
+    n = np.bincount(doc, minlength=texts)
+    first = np.cumsum(n) - n
+    hits, sizes, docs, items, found = search(block, h, check, doc)
+    spans: dict[int, list[list[int]]] = {}
+    if len(hits):
+        edge = np.zeros(len(h) + 1, np.int64)
+        np.add.at(edge, hits, 1)
+        np.add.at(edge, hits + sizes, -1)
+        cover = np.cumsum(edge[:-1]) > 0
+        turn = np.append(True, doc[1:] != doc[:-1])
+        s = np.flatnonzero(cover & (turn | ~np.append(False, cover[:-1])))
+        e = np.flatnonzero(cover & np.append(turn[1:] | ~cover[1:], True)) + 1
+        for d, x, y in zip(doc[s].tolist(), (s - first[doc[s]]).tolist(), (e - first[doc[s]]).tolist(), strict=True):
+            spans.setdefault(d, []).append([x, y])
+    of: dict[int, set[str]] = {}
+    for d, i in zip(docs.tolist(), items.tolist(), strict=True):
+        of.setdefault(d, set()).add(block.ids[i])
+    by: dict[int, list] = {}
+    for d, i, x, p, k in found.tolist():
+        by.setdefault(d, []).append({"item_id": block.ids[i], "item_word": x, "doc_word": p - int(first[d]), "words": k})
+    for d in range(texts):
+        yield int(n[d]), spans.get(d, []), of.get(d, ()), by.get(d, [])
+
+
+def _long(block: Block, raw: np.ndarray, window: int):
+    """The same of one long text, piece by piece; matches that go on from piece to piece become one."""
+    total, spans, items, matches = 0, [], set(), []
+    for (h, doc, _, _, check), lead in pieces(raw, LUT, SHARD, window - 1, 2):
+        base = total - lead
+        n, s, i, m = next(_found(block, h, check, doc, 1))
+        total = base + n
+        spans = _union(spans, [[x + base, y + base] for x, y in s])
+        items |= set(i)
+        matches += [{**x, "doc_word": x["doc_word"] + base} for x in m]
+    joined: list[dict] = []
+    for m in sorted(matches, key=lambda x: (x["item_id"], x["doc_word"] - x["item_word"], x["doc_word"])):
+        last = joined[-1] if joined else None
+        if last and last["item_id"] == m["item_id"] and last["doc_word"] - last["item_word"] == m["doc_word"] - m["item_word"] and m["doc_word"] <= last["doc_word"] + last["words"]:
+            last["words"] = max(last["words"], m["doc_word"] + m["words"] - last["doc_word"])
+        else:
+            joined.append(m)
+    return total, spans, items, joined
+
+
 def _scan(block: Block, column: pa.Array):
-    """Per text of one Arrow batch: number of words, hit spans [from, to) in words, item ids, matches."""
+    """``_found`` of each text of one Arrow batch, shard by shard."""
     bounds, raw = utf8(column)
     for a, b in shards(bounds, SHARD):
-        own = bounds[a : b + 1] - bounds[a]
-        h, doc, _, _ = words(own, raw[bounds[a] : bounds[b]], LUT)
-        n = np.bincount(doc, minlength=b - a)
-        first = np.cumsum(n) - n
-        hits, sizes, docs, items, found = search(block, h, doc)
-        spans: dict[int, list[list[int]]] = {}
-        if len(hits):
-            edge = np.zeros(len(h) + 1, np.int64)
-            np.add.at(edge, hits, 1)
-            np.add.at(edge, hits + sizes, -1)
-            cover = np.cumsum(edge[:-1]) > 0
-            turn = np.append(True, doc[1:] != doc[:-1])
-            s = np.flatnonzero(cover & (turn | ~np.append(False, cover[:-1])))
-            e = np.flatnonzero(cover & np.append(turn[1:] | ~cover[1:], True)) + 1
-            for d, x, y in zip(doc[s].tolist(), (s - first[doc[s]]).tolist(), (e - first[doc[s]]).tolist(), strict=True):
-                spans.setdefault(d, []).append([x, y])
-        of: dict[int, set[str]] = {}
-        for d, i in zip(docs.tolist(), items.tolist(), strict=True):
-            of.setdefault(d, set()).add(block.ids[i])
-        by: dict[int, list] = {}
-        for d, i, x, p, k in found.tolist():
-            by.setdefault(d, []).append({"item_id": block.ids[i], "item_word": x, "doc_word": p - int(first[d]), "words": k})
-        for d in range(b - a):
-            yield int(n[d]), spans.get(d, []), of.get(d, ()), by.get(d, [])
+        part = raw[bounds[a] : bounds[b]]
+        if len(part) > 2 * SHARD:  # one text
+            yield _long(block, part, block.window)
+            continue
+        h, doc, _, _, check = words(bounds[a : b + 1] - bounds[a], part, LUT, 2)
+        yield from _found(block, h, check, doc, b - a)
 
 
 def _union(a: list, b: list) -> list:
@@ -179,9 +211,10 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
     keep = have if only_clean else [c for c in have if c.lower() not in added]
     df, k = docs.select(*[docs[f"`{c}`"] for c in keep]), keep.index(next(c for c in keep if c.lower() == "text"))
     width = len(keep)
-    blocks = list(_blocks(benchmark, block_bytes, window))
-    for turn, block in enumerate(blocks):
-        sent = spark.sparkContext.broadcast(block)
+    blocks = _blocks(benchmark, block_bytes, window)
+    block, turn, held = next(blocks), 0, None
+    while block is not None:
+        sent, after = spark.sparkContext.broadcast(block), next(blocks, None)
 
         def scan(batches, sent=sent, k=k, width=width, later=turn > 0, clean=only_clean):
             for batch in batches:
@@ -201,6 +234,13 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
 
         plain = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields[:width]])
         df = df.mapInArrow(scan, plain if only_clean else T.StructType([*plain.fields, *ADDED.fields]))
+        if after is not None:  # ends this block's pass, so that one block at a time is held
+            df = cut(df, "decontaminate")
+            sent.destroy()
+            if held is not None:
+                drop_cut(held)
+            held = df
+        block, turn = after, turn + 1
     return df
 
 

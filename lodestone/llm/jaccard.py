@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import connected_components, cut, drop_cut, grams, mix, shards, table, utf8, words
+from .shared import connected_components, cut, drop_cut, grams, mix, pieces, shards, table, utf8, words
 
 SHINGLE, NUM, DEN = 3, 90, 100
 SHARD = 2 << 20
@@ -34,16 +35,14 @@ LUT[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
 LUT[0x41:0x5B] = np.arange(0x61, 0x7B)
 
 
-def shingles(bounds: np.ndarray, raw: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of each shingle occurrence; a text of fewer words than ``size``, but some, has its whole sequence as one."""
-    h, doc, _, _ = words(bounds, raw, LUT)
-    n = len(bounds) - 1
+def _runs(h: np.ndarray, doc: np.ndarray, texts: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of each run of ``size`` words; a text of fewer words, but some, has its whole sequence as one."""
     if not len(h):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     g = grams(h, size)
     ok = doc[size - 1 :] == doc[: len(doc) - size + 1] if len(g) else np.zeros(0, bool)
     docs, keys = [doc[: len(g)][ok]], [g[ok]]
-    count = np.bincount(doc, minlength=n)
+    count = np.bincount(doc, minlength=texts)
     for k in range(1, size):
         own = np.flatnonzero(count == k)
         if len(own):
@@ -56,6 +55,18 @@ def shingles(bounds: np.ndarray, raw: np.ndarray, size: int = SHINGLE) -> tuple[
     return np.concatenate(docs), np.concatenate(keys)
 
 
+def _pieces(column: pa.Array, size: int):
+    """(first text, one after the last, their shingles as (text number, hash) in parts): shards of texts are one part, a text beyond two shards is several."""
+    bounds, raw = utf8(column)
+    for lo, hi in shards(bounds, SHARD):
+        own, part = bounds[lo : hi + 1] - bounds[lo], raw[bounds[lo] : bounds[hi]]
+        if len(part) <= 2 * SHARD:
+            h, doc, _, _ = words(own, part, LUT)
+            yield lo, hi, [_runs(h, doc, hi - lo, size)]
+        else:
+            yield lo, hi, (_runs(h, np.zeros(len(h), np.int64), 1, size) if not lead or len(h) >= size else _runs(h[:0], h[:0], 1, size) for (h, *_), lead in pieces(part, LUT, SHARD, size - 1))
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
@@ -86,47 +97,67 @@ class Frequencies:
 def frequencies(docs: DataFrame, size: int) -> Frequencies:
     """Counts of shingle hashes over all documents in a sketch of fixed size (2 rows of 2**21 cells).
 
-    Each task adds up one table and sends it in chunks; only the sums (16 MiB) come to the driver, piece by piece."""
+    Each task adds up one table and sends it in chunks.  Chunks are added for 512 tasks at a time, then the sums; only the totals (16 MiB) come to the driver, piece by piece."""
     cells = 1 << CELL_BITS
 
+    def narrow(x: np.ndarray) -> bytes:
+        kind = next(k for k in ("u1", "<u2", "<u4", "<u8") if int(x.max()) < 1 << 8 * np.dtype(k).itemsize)
+        return x.astype(kind).tobytes()
+
     def count(batches):
         total = np.zeros((ROWS, cells), np.int32)
         for b in batches:
-            bounds, raw = utf8(b.column(0))
-            for lo, hi in shards(bounds, SHARD):
-                _, key = shingles(bounds[lo : hi + 1] - bounds[lo], raw[bounds[lo] : bounds[hi]], size)
-                for r, c in enumerate(cells_of(key)):
-                    total[r] += np.bincount(c, minlength=cells).astype(np.int32)
+            for _, _, parts in _pieces(b.column(0), size):
+                for _, key in parts:
+                    for r, c in enumerate(cells_of(key)):
+                        total[r] += np.bincount(c, minlength=cells).astype(np.int32)
         if total.any():
-            part = np.minimum(total, 0xFFFF).astype("<u2").reshape(-1, CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(part)), pa.int32()), pa.array([p.tobytes() for p in part], pa.binary())], ["chunk", "counts"])
+            part = total.reshape(-1, CHUNK)
+            task = np.full(len(part), TaskContext.get().partitionId() // 512, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(part)), pa.int32()), pa.array(task), pa.array([narrow(p) for p in part], pa.binary())], ["chunk", "tasks", "counts"])
 
     def add(key, part):
         total = np.zeros(CHUNK, np.int64)
         for x in part.column("counts"):
-            total += np.frombuffer(x.as_py(), "<u2")
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())})
-
-    rows = docs.select("text").mapInArrow(count, "chunk int, counts binary")
-    out = np.zeros(ROWS * cells, np.uint32)
-    for r in rows.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").toLocalIterator():
-        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, "<u4")
+            raw = x.as_py()
+            total += np.frombuffer(raw, f"<u{len(raw) // CHUNK}").astype(np.int64)
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([narrow(total)], pa.binary())})
+
+    rows = docs.select("text").mapInArrow(count, "chunk int, tasks int, counts binary")
+    rows = rows.groupBy("chunk", "tasks").applyInArrow(add, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
+    out = np.zeros(ROWS * cells, np.float32)
+    for r in rows.toLocalIterator():
+        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, f"<u{len(r.counts) // CHUNK}")
     return Frequencies(out.reshape(ROWS, cells))
 
 
 # ---------------------------------------------------------------- sets and prefixes
 
 
-def sets(bounds: np.ndarray, raw: np.ndarray, known: Frequencies, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens in order: (start of each text's tokens, tokens, estimated occurrences).  A token is 6 bits of frequency class, then 58 bits of hash."""
-    doc, key = shingles(bounds, raw, size)
-    group, freq = known(key)
-    token = (group << FREQ_SHIFT) | (mix(key) >> np.uint64(6))
-    order = np.lexsort((token, doc))
-    doc, token, freq = doc[order], token[order], freq[order]
-    new = np.append(True, (doc[1:] != doc[:-1]) | (token[1:] != token[:-1])) if len(doc) else np.zeros(0, bool)
-    doc, token, freq = doc[new], token[new], freq[new]
-    return np.searchsorted(doc, np.arange(len(bounds))), token, freq
+def sets(column: pa.Array, known: Frequencies, size: int):
+    """Per shard (first text, one after the last, start of each text's tokens, tokens, estimated occurrences); tokens are distinct and in order.
+
+    A token is 6 bits of frequency class, then 58 bits of hash.  Of a text in parts only the distinct tokens are held."""
+
+    def ordered(doc, key):
+        group, freq = known(key)
+        token = (group << FREQ_SHIFT) | (mix(key) >> np.uint64(6))
+        order = np.lexsort((token, doc))
+        doc, token, freq = doc[order], token[order], freq[order]
+        new = np.append(True, (doc[1:] != doc[:-1]) | (token[1:] != token[:-1])) if len(doc) else np.zeros(0, bool)
+        return doc[new], token[new], freq[new]
+
+    for lo, hi, parts in _pieces(column, size):
+        if isinstance(parts, list):
+            doc, token, freq = ordered(*parts[0])
+            yield lo, hi, np.searchsorted(doc, np.arange(hi - lo + 1)), token, freq
+            continue
+        token, freq = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        for doc, key in parts:
+            _, t, f = ordered(doc, key)
+            token, at = np.unique(np.append(token, t), return_index=True)
+            freq = np.append(freq, f)[at]
+        yield lo, hi, np.array([0, len(token)]), token, freq
 
 
 def need(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -153,43 +184,39 @@ def _choose(n: np.ndarray, start: np.ndarray, freq: np.ndarray, num: int, den: i
     return level, np.minimum(n - o + level, n)
 
 
-def _class_ids(start: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """A 64-bit number of each set, equal for equal sets."""
-    total = np.append(np.uint64(0), np.cumsum(mix(token + np.uint64(0xA0761D6478BD642F))))
-    n = np.diff(start).astype(np.uint64)
-    return mix(total[start[1:]] - total[start[:-1]] + n * np.uint64(0xE7037ED1A0B428DB))
-
-
 def text_hash() -> F.Column:
-    return F.xxhash64(F.col("text"), F.lit(1))
+    """128 bits of a text; of a null text null."""
+    return F.md5(F.col("text").cast("binary"))
 
 
-def _class_ids(start: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """A 64-bit number of each set, equal for equal sets."""
-    total = np.append(np.uint64(0), np.cumsum(mix(token + np.uint64(0xA0761D6478BD642F))))
-    n = np.diff(start).astype(np.uint64)
-    return mix(total[start[1:]] - total[start[:-1]] + n * np.uint64(0xE7037ED1A0B428DB))
+def _class_ids(start: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each set, as two numbers, equal for equal sets."""
+    out = []
+    for salt in (0xA0761D6478BD642F, 0x8EBC6AF09C88C6E3):
+        total = np.append(np.uint64(0), np.cumsum(mix(mix(token + np.uint64(salt)) ^ np.uint64(salt >> 7))))
+        n = np.diff(start).astype(np.uint64)
+        out.append(_signed(mix(total[start[1:]] - total[start[:-1]] + n * np.uint64(0xE7037ED1A0B428DB))))
+    return out[0], out[1]
 
 
 def _describe(docs: DataFrame, sent, size: int, num: int, den: int) -> DataFrame:
-    """(doc_id, h, n, c, l, weight, prefix) of each row; weight: mean occurrences of its prefix's tokens."""
+    """(doc_id, h, row, n, ca, cb, l, weight, prefix) of each row; weight: mean occurrences of its prefix's tokens; row: a number of its own, settled once this is written."""
 
     def run(batches):
         for b in batches:
-            bounds, raw = utf8(b.column(1))
-            for lo, hi in shards(bounds, SHARD):
-                start, token, freq = sets(bounds[lo : hi + 1] - bounds[lo], raw[bounds[lo] : bounds[hi]], sent.value, size)
+            for lo, hi, start, token, freq in sets(b.column(1), sent.value, size):
                 n = np.diff(start)
                 level, length = _choose(n, start, freq, num, den)
                 offs = np.append(0, np.cumsum(length))
                 take = np.repeat(start[:-1] - offs[:-1], length) + np.arange(offs[-1])
                 weight = np.bincount(np.repeat(np.arange(len(n)), length), freq[take], len(n)) / np.maximum(length, 1)
                 prefix = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(_signed(token[take]), pa.int64()))
-                cols = [b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(_signed(_class_ids(start, token)), pa.int64()), pa.array(level, pa.int64()), pa.array(weight.astype(np.float32)), prefix]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "n", "c", "l", "weight", "prefix"])
+                ids = [pa.array(x, pa.int64()) for x in _class_ids(start, token)]
+                cols = [*(b.column(k).slice(lo, hi - lo) for k in (0, 2, 3)), pa.array(n, pa.int64()), *ids, pa.array(level, pa.int64()), pa.array(weight.astype(np.float32)), prefix]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "row", "n", "ca", "cb", "l", "weight", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", text_hash().alias("h")).mapInArrow(run, f"doc_id {kind}, h long, n long, c long, l long, weight float, prefix array<long>")
+    return docs.select("doc_id", "text", text_hash().alias("h"), F.monotonically_increasing_id().alias("row")).mapInArrow(run, f"doc_id {kind}, h string, row long, n long, ca long, cb long, l long, weight float, prefix array<long>")
 
 
 # ---------------------------------------------------------------- candidates
@@ -346,7 +373,7 @@ def _wanted_filter(ids: DataFrame, bits_each: int = 16, most_bits: int = 1 << 27
 
 
 def _fetch_sets(docs: DataFrame, wanted: DataFrame, sent, size: int) -> DataFrame:
-    """(c, tokens) of the classes in ``wanted`` (c, id): whole sets, made again from the text of one document of each class."""
+    """(c, tokens) of the classes in ``wanted`` (c, ca, cb, id): whole sets, made again from the text of a document of each class that has the id.  A null id is looked for as -1, beside any real -1."""
     spark = docs.sparkSession
     bloom, bits = _wanted_filter(wanted.select("id"))
     held = spark.sparkContext.broadcast(bloom)
@@ -357,16 +384,14 @@ def _fetch_sets(docs: DataFrame, wanted: DataFrame, sent, size: int) -> DataFram
             hs = [b.column(k).to_numpy() for k in range(2, 5)]
             ok = np.logical_and.reduce([(table_[x >> 5] >> (x & 31).astype(np.uint32)) & 1 == 1 for x in hs])
             b = b.filter(pa.array(ok))
-            bounds, raw = utf8(b.column(1))
-            for lo, hi in shards(bounds, SHARD):
-                start, token, _ = sets(bounds[lo : hi + 1] - bounds[lo], raw[bounds[lo] : bounds[hi]], sent.value, size)
-                c = _signed(_class_ids(start, token))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(c, pa.int64()), pa.array([token[start[i] : start[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], ["id", "c", "tokens"])
+            for lo, hi, start, token, _ in sets(b.column(1), sent.value, size):
+                ids = [pa.array(x, pa.int64()) for x in _class_ids(start, token)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *ids, pa.array([token[start[i] : start[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], ["id", "ca", "cb", "tokens"])
 
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), "text")
     keyed = keyed.select("id", "text", *[F.pmod(F.xxhash64(F.lit(k), F.col("id")), F.lit(bits)).alias(f"h{k}") for k in range(3)])
-    got = keyed.mapInArrow(maybe, "id long, c long, tokens binary")
-    return got.join(wanted, ["id", "c"], "left_semi").groupBy("c").agg(F.first("tokens").alias("tokens"))
+    got = keyed.mapInArrow(maybe, "id long, ca long, cb long, tokens binary")
+    return got.join(wanted, ["id", "ca", "cb"]).groupBy("c").agg(F.first("tokens").alias("tokens"))
 
 
 # ---------------------------------------------------------------- the operator
@@ -376,14 +401,16 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den
     """(doc_id, n_shingles, component_id, text_hash, keeper) of each row of ``docs`` (doc_id, text): sets of ``size``-word shingles, links at Jaccard >= num/den.
 
     ``keeper`` marks the document to keep of each component: the smallest doc_id, then the smallest hash of its text (repeated rows are all marked).
-    Null and empty texts have no shingles and are their own component; so is a row without words.  Repeated rows are answered each.  A row
+    Null and empty texts have no shingles and are their own component; so is a row without words.  A text beyond two shards is read in pieces, and memory holds its distinct
+    shingles.  Sets are the same class by 128 bits.  Ties of frequency are broken by hash, ties between leaders by the row.  Repeated rows are answered each.  A row
     with a null doc_id takes part; the component's number is the smallest that is not null, and null if there is none.  Nothing is capped: all documents and all pairs
     that prefixes bring together are looked at."""
     spark = docs.sparkSession
     docs = docs.select(docs["doc_id"], docs["text"])
     sent = spark.sparkContext.broadcast(frequencies(docs, size))
     rows = cut(_describe(docs, sent, size, num, den), "jaccard-rows")
-    of_class = rows.where("n > 0").groupBy("c").agg(*[F.first(x).alias(x) for x in ("n", "l", "weight", "prefix")], F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).alias("id"))
+    named = F.min("row").alias("c"), F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).alias("id")
+    of_class = rows.where("n > 0").groupBy("ca", "cb").agg(*[F.first(x).alias(x) for x in ("n", "l", "weight", "prefix")], *named)  # a class is named after a row of it
     reps = cut(of_class, "jaccard-classes")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -392,7 +419,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den
         likely = pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_may_be_similar(num, den), "a long, b long")
         likely = cut(likely, f"jaccard-{name}")
         ends = likely.select(F.col("a").alias("c")).unionByName(likely.select(F.col("b").alias("c"))).distinct()
-        full = cut(_fetch_sets(docs, ends.join(reps.select("c", "id"), "c"), sent, size), f"jaccard-{name}-sets")
+        full = cut(_fetch_sets(docs, ends.join(reps.select("c", "ca", "cb", "id"), "c"), sent, size), f"jaccard-{name}-sets")
         both = likely.join(full.select(F.col("c").alias("b"), F.col("tokens").alias("tb")), "b").join(full.select(F.col("c").alias("a"), F.col("tokens").alias("ta")), "a")
         links = cut(both.select("a", "b", "ta", "tb").mapInArrow(_similar(num, den), "a long, b long"), f"jaccard-{name}-links")
         drop_cut(full)
@@ -411,11 +438,11 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den
     second = verified(counted(tokens, _cross(num, den)), "cross")
     linked = connected_components(first.unionByName(second), "a", "b")
     who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h").alias("h"))
-    named = rows.where("n > 0").groupBy("c").agg(F.min(who).alias("low")).join(linked, F.col("c") == F.col("id"), "left")
-    named = named.select("c", "low", F.coalesce("component_id", "c").alias("m"))
+    named = rows.where("n > 0").groupBy("ca", "cb").agg(F.min(who).alias("low"), F.min("row").alias("c")).join(linked, F.col("c") == F.col("id"), "left")
+    named = named.select("ca", "cb", "low", F.coalesce("component_id", "c").alias("m"))
     least = named.groupBy("m").agg(F.min("low").alias("first"))
-    of = named.join(least, "m").select("c", "first")
-    out = rows.select("doc_id", "h", "n", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(of, "c", "left")
+    of = named.join(least, "m").select("ca", "cb", "first")
+    out = rows.select("doc_id", "h", "n", *[F.when(F.col("n") > 0, F.col(x)).alias(x) for x in ("ca", "cb")]).join(of, ["ca", "cb"], "left")
     some = F.col("n") > 0
     keeper = F.when(some, F.col("doc_id").eqNullSafe(F.col("first.id")) & F.col("h").eqNullSafe(F.col("first.h"))).otherwise(F.lit(True))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("first.id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("h").alias("text_hash"), keeper.alias("keeper"))
@@ -426,10 +453,13 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> D
 
     Texts without words are in no component and stay; of repeated rows (equal doc_id and text) one stays."""
     names = [f.name for f in docs.schema.fields]
-    kept = jaccard_components(docs, size, num, den).where("keeper").select(F.col("doc_id").alias("lodestone kept id"), F.col("text_hash").alias("lodestone kept hash")).distinct()
-    tagged = docs.withColumn("lodestone hash", text_hash())
-    same = F.col("doc_id").eqNullSafe(F.col("`lodestone kept id`")) & (F.col("`lodestone hash`") == F.col("`lodestone kept hash`"))
-    return tagged.join(kept, same, "left_semi").dropDuplicates(["doc_id", "lodestone hash"]).select(*[F.col(f"`{n}`") for n in names])
+    mark = "h"
+    while mark in {n.lower() for n in names}:
+        mark += "_"
+    kept = jaccard_components(docs, size, num, den).where("keeper").select(F.col("doc_id").alias("kept id"), F.col("text_hash").alias("kept hash")).distinct()
+    tagged = docs.withColumn(mark, text_hash())
+    same = tagged["doc_id"].eqNullSafe(kept["kept id"]) & tagged[mark].eqNullSafe(kept["kept hash"])
+    return tagged.join(kept, same, "left_semi").dropDuplicates(["doc_id", mark]).select(*[F.col(f"`{n}`") for n in names])
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
