@@ -2,10 +2,12 @@
 
 Writing: records are dealt out and sorted by the key of their URL (host labels reversed, so that captures of a site stand together), and each task writes one
 archive of gzip members, one member a record, with its shard of the index: lines of key and position in compressed blocks of BLOCK_LINES, and a directory file with the first key
-and the place of each block.  Files are written under a name of the attempt and renamed when whole, so a task that is run again replaces nothing but its own work.
+and the place of each block.  Files carry a name of the attempt that wrote them, and only the names that successful tasks return are listed, so a task that is run again
+leaves unlisted files at most.
 
 Reading: a key is looked up in the shard list (one entry for each archive, held by the driver), then in the shard's sparse directory, then in one
 decompressed block, each by binary search; then exactly the record's bytes are read from the archive.  Lookups come in the order of keys, so neighbours share blocks.
+Several records may have one key: all are found, in the blocks and shards after the first.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import shared_path, table
 
@@ -87,9 +90,9 @@ class Archive:
 
     def __init__(self, root: str, number: int):
         self.fs, base = filesystem(root)
-        self.final = f"{base}/part-{number:06d}"
-        self.work = f"{self.final}.{uuid.uuid4().hex[:8]}"
-        self.out = {x: self.fs.open_output_stream(f"{self.work}.{x}", compression=None) for x in ("warc.gz", "cdx.gz")}
+        self.name = f"part-{number:06d}-{uuid.uuid4().hex[:12]}"
+        self.path = f"{base}/{self.name}"
+        self.out = {x: self.fs.open_output_stream(f"{self.path}.{x}", compression=None) for x in ("warc.gz", "cdx.gz")}
         self.at, self.lines, self.places, self.place = 0, [], [], 0
 
     def add(self, key: str, page_id: str, raw: bytes) -> None:
@@ -113,11 +116,9 @@ class Archive:
         self.flush()
         for f in self.out.values():
             f.close()
-        with self.fs.open_output_stream(f"{self.work}.idx", compression=None) as f:
+        with self.fs.open_output_stream(f"{self.path}.idx", compression=None) as f:
             f.write("\n".join(self.places).encode())
-        for x in ("warc.gz", "cdx.gz", "idx"):
-            self.fs.move(f"{self.work}.{x}", f"{self.final}.{x}")
-        return self.final.rsplit("/", 1)[1]
+        return self.name
 
 
 def order(key: str, page_id: str) -> tuple[bytes, int, str]:
@@ -165,62 +166,62 @@ class Index:
             self.blocks[at] = [order(r[0], r[1]) for r in rows], rows
         return self.blocks[at]
 
-    def find(self, key: str, page_id: str) -> dict | None:
-        """The record of a capture, or None."""
+    def find(self, key: str, page_id: str):
+        """The records of a key and page id, one by one: none, one, or as many as rows had them."""
         want = order(key, page_id)
-        k = bisect.bisect_right(self.first, want) - 1
-        if k < 0:
-            return None
-        shard = self.shards[k][2]
-        keys, rows = self._directory(shard)
-        j = bisect.bisect_right(keys, want) - 1
-        if j < 0:
-            return None
-        keys, rows = self._block(shard, rows[j])
-        i = bisect.bisect_left(keys, want)
-        if i == len(keys) or keys[i] != want:
-            return None
-        return parse(gzip.GzipFile(fileobj=io.BytesIO(self._range(f"{shard}.warc.gz", rows[i][2], rows[i][3]))).read())
-
-
-def _with_keys(pages: DataFrame) -> DataFrame:
-    """Adds the key of the column url."""
-    k = pages.columns.index("url")
-
-    def run(batches):
-        for b in batches:
-            keys = pa.array([url_key(u) for u in b.column(k).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, keys], [*b.schema.names, "key"])
+        for k in range(max(bisect.bisect_left(self.first, want) - 1, 0), bisect.bisect_right(self.first, want)):
+            shard = self.shards[k][2]
+            keys, places = self._directory(shard)
+            for j in range(max(bisect.bisect_left(keys, want) - 1, 0), bisect.bisect_right(keys, want)):
+                names, rows = self._block(shard, places[j])
+                for i in range(bisect.bisect_left(names, want), bisect.bisect_right(names, want)):
+                    yield parse(gzip.GzipFile(fileobj=io.BytesIO(self._range(f"{shard}.warc.gz", rows[i][2], rows[i][3]))).read())
+
+
+@F.arrow_udf(T.StringType())
+def key_of(url: pa.Array) -> pa.Array:
+    """The keys of a column of URLs; only that column goes to Python."""
+    return pa.array([url_key(u) for u in url.to_pylist()], pa.string())
+
+
+HOT = 1000  # payloads with more than one in HOT of all rows: fewer than HOT of them, which bounds what is broadcast
+
 
-    return pages.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in pages.dtypes) + ", key string")
+def _references(small: DataFrame) -> DataFrame:
+    """(page_id, url, sha, refers_to), each once, for pages (page_id, url, sha) whose payload a page of a larger id has.
+
+    Only payloads that occur more than once are joined; frequent ones, whose rows would meet in one task, by a broadcast of bounded size."""
+    counts = small.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    total = small.count()
+    hot = counts.where(F.col("n") * HOT > total).select("sha", "refers_to")
+    rest = counts.where(F.col("n") * HOT <= total).select("sha", "refers_to")
+    seen = small.join(F.broadcast(hot), "sha", "left")
+    both = seen.where("refers_to is not null").unionByName(small.join(F.broadcast(hot), "sha", "left_anti").join(rest, "sha"))
+    return both.where("page_id is null or page_id < refers_to").select("page_id", "url", "sha", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, root: str) -> list[tuple[str, str, str]]:
     """Write ``pages`` (page_id, url, html) below ``root``; the list of (first key, first id, name) of the archives, in order of keys.
 
-    Of rows with equal payloads the one with the largest page_id is the response and the others revisit it.  A null html is an empty payload, a null url an
-    empty one.  Rows of equal page_id, url and payload are repeated rows and get one record.  Payloads are dealt out once: which page a record refers to comes as a row of its
-    own, sorted just before it."""
-    sha = F.sha1(F.coalesce("html", F.lit("")))
+    One record for each row.  Of rows with equal payloads those with the largest page_id (one, unless the id is repeated) are responses and the others revisit it; a row without
+    an id revisits any that has one.  A null html is an empty payload, a null url an empty one.  Payloads are dealt out once, by key and id: which page a record refers to comes as a row of its
+    own, sorted just before it.  A payload is held whole, one at a time.  Columns but these three play no part."""
+    sha = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), pages["html"].alias("html")).withColumn("sha", sha)
-    small = rows.select("page_id", "url", "sha")
-    largest = small.groupBy("sha").agg(F.max("page_id").alias("refers_to"))
-    refers = small.join(largest, "sha").where("page_id is null or page_id < refers_to").select("page_id", "url", F.lit(None).cast("string").alias("html"), "sha", "refers_to", F.lit(0).alias("kind"))
+    refers = _references(rows.select("page_id", "url", "sha")).select("page_id", "url", F.lit(None).cast("string").alias("html"), "sha", "refers_to", F.lit(0).alias("kind"))
     every = rows.select("page_id", "url", "html", "sha", F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind")).unionByName(refers)
-    keyed = _with_keys(every).repartitionByRange("key", "page_id", "sha", "url").sortWithinPartitions("key", "page_id", "sha", "url", "kind")
+    keyed = every.withColumn("key", key_of("url")).repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "sha", "url", "kind")
 
     def write(batches):
-        out, first, last, refers_to, written = None, None, None, None, False
+        out, first, last, refers_to = None, None, None, None
         for b in batches:
             for page_id, url, html, own, top, kind, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (page_id, own, url) != last:
-                    last, refers_to, written = (page_id, own, url), None, False
+                    last, refers_to = (page_id, own, url), None
                 if kind == 0:
                     refers_to = top
                     continue
-                if written:
-                    continue
-                written, name = True, "" if page_id is None else str(page_id)
+                name = "" if page_id is None else str(page_id)
                 if out is None:
                     out, first = Archive(root, TaskContext.get().partitionId()), (key, name)
                 payload = (html or "").encode()
@@ -235,25 +236,37 @@ def write_archives(pages: DataFrame, root: str) -> list[tuple[str, str, str]]:
 
 
 def read_captures(pages: DataFrame, root: str, shards: list[tuple[str, str, str]], payloads: bool = False) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to[, payload]) of each row of ``pages`` (page_id, url), by way of the index."""
-    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"))
-    keyed = _with_keys(rows).repartitionByRange("key", "page_id").sortWithinPartitions("key", F.col("page_id").asc_nulls_first())
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to[, payload]) of each record of the captures that ``pages`` (page_id, url) names, by way of the index.
+
+    Length and digest of a response are made from the payload that was read; a revisit has its own in its headers.  A capture that isn't there gives no row; one that is named
+    several times is answered once, with all its records."""
+    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), key_of(pages["url"]).alias("key")).distinct()
+    keyed = rows.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
 
     def read(batches):
         index = Index(root, shards)
         for b in batches:
-            ids = b.column(0).to_pylist()
-            got = [index.find(k, "" if i is None else str(i)) for i, k in zip(ids, b.column(2).to_pylist(), strict=True)]
-            cols = [b.column(0), pa.array([g and g["length"] for g in got], pa.int64()), pa.array([g and g["digest"] for g in got], pa.string()), pa.array([g and g["type"] for g in got], pa.string()), pa.array([int(g["refers_to"]) if g and g["refers_to"] else None for g in got], pa.int64())]
-            names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-            if payloads:
-                cols.append(pa.array([g and (g["payload"] if g["type"] == "response" else None) for g in got], pa.binary()))
-                names.append("payload")
-            yield pa.RecordBatch.from_arrays(cols, names)
+            out, held = [], 0
+            for i, k in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for g in index.find(k, "" if i is None else str(i)):
+                    whole = g["type"] == "response"
+                    out.append((i, len(g["payload"]) if whole else g["length"], digest(g["payload"]) if whole else g["digest"], g["type"], int(g["refers_to"]) if g["refers_to"] else None, g["payload"] if whole and payloads else None))
+                    held += 100 + len(g["payload"]) * payloads
+                    if held > 16 << 20:
+                        yield _captures(out, payloads)
+                        out, held = [], 0
+            if out:
+                yield _captures(out, payloads)
 
     return keyed.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads)
 
 
+def _captures(rows: list[tuple], payloads: bool) -> pa.RecordBatch:
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][: 5 + payloads]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True))[: len(names)], kinds[: len(names)], strict=True)], names)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written to archives and read back by their index."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")

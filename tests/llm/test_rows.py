@@ -130,6 +130,40 @@ def test_contamination_equals_brute_force(spark, block):
 SCHEMA_NAMES = ["doc_id", "text", "score", "Items", "lang", "source"]
 
 
+def test_long_texts_in_pieces_equal_whole_ones(monkeypatch):
+    """Texts beyond two shards, cut between words: quality statistics, contamination and shingle sets."""
+    import pyarrow as pa
+    from lodestone.llm import jaccard
+
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["Ab", "cd", "é", "123", "x" * 90, "line\n", "!!"]) for _ in range(rng.randint(0, 400))) for _ in range(12)] + ["y" * 900, "", "a " + "z" * 800 + " b", "w"]
+    column = pa.array(texts)
+    known = jaccard.Frequencies(np.zeros((jaccard.ROWS, 1 << jaccard.CELL_BITS), np.float32))
+    block = decontaminate.Block(["i", "j", "k"], [" ".join(texts[0].split()[20:80]), "cd 123", texts[3]], 10)
+
+    def every():
+        sets = [t[s[i] : s[i + 1]].tolist() for _, _, s, t, _ in jaccard.sets(column, known, 3) for i in range(len(s) - 1)]
+        found = [(n, s, sorted(i), sorted((m["item_id"], m["item_word"], m["doc_word"], m["words"]) for m in ms)) for n, s, i, ms in decontaminate._scan(block, column)]
+        return quality.statistics(column), sets, found
+
+    whole = every()
+    for module in (jaccard, decontaminate, quality):
+        monkeypatch.setattr(module, "SHARD", 150)
+    parts = every()
+    assert np.allclose(whole[0], parts[0]) and whole[1] == parts[1] and whole[2] == parts[2]
+
+
+def test_contamination_of_words_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse words differ in every letter and are told apart."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    from lodestone.llm import jaccard
+
+    got = {r.doc_id: len(r.hit_spans) for r in decontaminate.find_matches(frame(spark, [(1, a), (2, b)]), spark.createDataFrame([(1, a)], "item_id long, text string")).collect()}
+    assert got == {1: 1, 2: 0}
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame(spark, [(1, a), (2, b)])).collect()} == {1: 1, 2: 2}
+
+
 def test_contamination_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     got = decontaminate.find_matches(frame(spark, [(1, "a b"), (1, "a b"), (None, None)]), bench).collect()
@@ -158,11 +192,26 @@ def test_archive_round_trip(spark, monkeypatch):
         assert (r.record_type, r.refers_to) == (("response", None) if r.page_id == last else ("revisit", last))
         assert r.payload == (h.encode() if r.page_id == last else None)
     index = warc.Index(root, shards)
-    assert index.find("com,example,nowhere)/", "1") is None
+    assert list(index.find("com,example,nowhere)/", "1")) == []
     assert warc.url_key("http://www.Example.com:80/a?b#c") == "com,example,www)/a?b"
     assert warc.write_archives(pages.limit(0), shared_path(spark, "test-warc")) == []
 
 
+def test_archive_keeps_every_row(spark, monkeypatch):
+    """Repeated rows, one id and URL with several payloads, null ids, and columns that clash with the operator's own."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 2)
+    rows = [(1, "http://a.b/", "x")] * 5 + [(1, "http://a.b/", "yyy"), (1, "http://a.b/#z", "wwwwwww"), (2, "http://a.b/", "x"), (None, "http://a.b/", "x"), (None, None, None), (3, "http://c/", "")]
+    pages = spark.createDataFrame([(*r, "k", 1, "s") for r in rows], "page_id long, url string, html string, key string, kind int, sha string").repartition(3)
+    root = shared_path(spark, "test-warc")
+    got = warc.read_captures(pages, root, warc.write_archives(pages, root)).collect()
+    want = []
+    for i, _, h in rows:
+        h = h or ""
+        top = max(j for j, _, x in rows if (x or "") == h and j is not None)
+        want.append((i, len(h), warc.digest(h.encode()), *(("response", None) if i == top else ("revisit", top))))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 # ------------------------------------------------------------------ 7
 
 
