@@ -7,9 +7,14 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Spellings of simple types.
-TYPE_NAMES = {"int": "int", "integer": "int", "string": "string", "text": "string", "boolean": "boolean", "bool": "boolean", "float": "float", "double": "double", "date": "date"}
-VISIBILITY = "^([-+#~])"
+# Spellings of simple types; domain types that stand for simple ones unless the diagram declares a class of that name.
+TYPE_NAMES = {
+    "string": "string", "String": "string", "int": "int", "Int": "int", "Integer": "int", "integer": "int", "double": "double", "Double": "double", "float": "float", "Float": "float",
+    "boolean": "boolean", "Boolean": "boolean", "bool": "boolean", "Bool": "boolean", "date": "date", "Date": "date", "time": "time", "Time": "time", "datetime": "datetime", "DateTime": "datetime",
+    "Datetime": "datetime", "long": "long", "Long": "long", "Real": "double", "Text": "string",
+}
+DOMAIN_TYPES = {"Guid": "string", "Address": "string", "Phone": "string", "Supplier": "string", "Price": "double"}
+VISIBILITY = r"^[\s+\-#~]+"
 
 
 def norm(x: Column) -> Column:
@@ -25,50 +30,83 @@ def norm_mult(x: Column) -> Column:
 
 
 def norm_mult_etl(x: Column) -> Column:
-    """Multiplicity for loading: three dots are two, n is *, and nothing else changes."""
-    u = F.regexp_replace(F.replace(x, F.lit(" "), F.lit("")), r"\.{3}", "..")
-    return F.when(u.isin("n", "N"), "*").otherwise(F.regexp_replace(u, r"(^|\.\.)[nN]$", "$1*"))
+    """Multiplicity for loading: three dots or more are two, n is *, and nothing else changes."""
+    u = F.regexp_replace(x, r"\.{3,}", "..")
+    return F.when(u.isin("n", "N"), "*").otherwise(F.regexp_replace(u, r"\.\.[nN]$", "..*"))
 
 
-def normalize_type(x: Column, declared: list[str]) -> Column:
+def normalize_type(x: Column, declared: Column) -> Column:
+    """A type name as the tables spell it; pairs of brackets at its end stay, names in the array ``declared`` and unknown ones too."""
     base, suffix = F.regexp_replace(x, r"(\[\])+$", ""), F.regexp_extract(x, r"((\[\])*)$", 1)
-    known = F.create_map(*[F.lit(v) for kv in TYPE_NAMES.items() for v in kv])
-    return F.concat(F.when(base.isin(declared), base).otherwise(F.coalesce(F.try_element_at(known, F.lower(base)), base)), suffix)
+    table = lambda names: F.create_map(*[F.lit(v) for kv in names.items() for v in kv])
+    domain = F.when(~F.array_contains(declared, base), F.try_element_at(table(DOMAIN_TYPES), base))
+    return F.concat(F.coalesce(domain, F.try_element_at(table(TYPE_NAMES), base), base), suffix)
 
 
-def parse_attribute(x: Column) -> list[Column]:
-    """vis, const, dflt, name, typ of ``name : T = d`` or ``T name``, with modifiers in braces."""
-    t = F.trim(F.regexp_replace(x, r"\{[^}]*\}", ""))
-    vis = F.regexp_extract(t, VISIBILITY, 1)
-    t = F.trim(F.regexp_replace(t, r"^[-+#~]\s*", ""))
-    const, default = t.rlike(r"^const\s"), F.trim(F.regexp_extract(t, "=(.*)$", 1))
-    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"^const\s+", ""), "=.*$", ""))
-    colon, space = t.contains(":"), t.contains(" ")
-    name = F.when(colon, F.trim(F.split(t, ":")[0])).when(space, F.regexp_extract(t, r"(\S+)$", 1)).otherwise(t)
-    typ = F.when(colon, F.trim(F.get(F.split(t, ":"), F.lit(1)))).when(space, F.trim(F.regexp_replace(t, r"\S+$", ""))).otherwise("")
-    return [vis.alias("vis"), const.alias("const"), default.alias("dflt"), name.alias("name"), typ.alias("typ")]
+def squeeze(x: Column) -> Column:
+    return F.trim(F.regexp_replace(x, r"\s+", " "))
+
+
+def _plain(x: Column) -> Column:
+    """Without white space around it and one sign of visibility before it."""
+    s = F.trim(x)
+    return F.when(s.rlike(r"^[-+#~]"), F.trim(F.substring(s, 2, 1 << 30))).otherwise(s)
 
 
-def parse_method(x: Column) -> list[Column]:
-    inner = F.regexp_extract(x, r"\((.*)\)", 1)
-    name = F.trim(F.regexp_replace(F.split(x, r"\(")[0], r"^[-+#~]\s*", ""))
-    n = F.when(F.trim(inner) == "", 0).otherwise(F.size(F.split(inner, ",")))
-    return [F.regexp_extract(x, VISIBILITY, 1).alias("vis"), name.alias("name"), n.cast("long").alias("n_params"), F.trim(F.regexp_replace(F.regexp_extract(x, r"\)([^)]*)$", 1), r"^\s*:", "")).alias("ret")]
+def parse_attribute(x: Column) -> list[Column]:
+    """name, typ, dflt (null without one) and modifiers of ``name : T = d`` or ``T name``, with modifiers in braces or a leading const."""
+    s = _plain(x)
+    inner = F.array_join(F.regexp_extract_all(s, F.lit(r"\{([^}]*)\}"), F.lit(1)), " ")
+    marks = F.filter(F.split(F.lower(inner), r"[,\s]+"), lambda m: m != "")
+    s = squeeze(F.regexp_replace(s, r"\{[^}]*\}", " "))
+    const = s.startswith("const ")
+    s = F.when(const, F.trim(F.substring(s, 7, 1 << 30))).otherwise(s)
+    marks = F.when(const, F.array_append(marks, "const")).otherwise(marks)
+    given = s.contains("=")
+    default = F.when(given, F.trim(F.regexp_extract(s, "^[^=]*=(.*)$", 1)))
+    s = F.when(given, F.trim(F.regexp_extract(s, "^([^=]*)=", 1))).otherwise(s)
+    colon = s.contains(":")
+    name = F.when(colon, F.trim(F.regexp_extract(s, "^([^:]*):", 1))).otherwise(F.regexp_extract(s, r"(\S*)$", 1))
+    typ = F.when(colon, F.trim(F.regexp_extract(s, "^[^:]*:(.*)$", 1))).otherwise(F.trim(F.regexp_replace(s, r"\S*$", "")))
+    return [name.alias("name"), typ.alias("typ"), default.alias("dflt"), marks.alias("modifiers")]
+
+
+def method_signature(x: Column, declared: Column) -> Column:
+    """``+ name(parameters) : type`` of ``T name(...)`` or ``name(...) : T``; without brackets the text after a plus."""
+    s = _plain(x)
+    parts = r"^(.*)\(([^(]*)\)([^)]*)$"
+    before, params, after = (F.trim(F.regexp_extract(s, parts, 1)), F.regexp_extract(s, parts, 2), F.trim(F.regexp_extract(s, parts, 3)))
+    java = (after == "") & before.rlike(r"\S\s+\S")
+    name = F.when(java, F.regexp_extract(before, r"(\S+)$", 1)).otherwise(before)
+    ret = F.when(after != "", F.trim(F.regexp_replace(after, "^:+", ""))).when(java, F.trim(F.regexp_replace(before, r"\S+$", ""))).otherwise("")
+    out = F.concat(F.lit("+ "), name, F.lit("("), params, F.lit(")"))
+    return F.when(~s.rlike(parts), F.concat(F.lit("+ "), s)).when(ret != "", F.concat(out, F.lit(" : "), normalize_type(ret, declared))).otherwise(out)
 
 
 def mult_role(x: Column) -> list[Column]:
-    head = F.regexp_extract(x, r"^(\S*)", 1)
-    is_mult = head.rlike(r"^[0-9*nN.]+$")
-    return [F.when(is_mult, head).otherwise("").alias("mult"), F.when(is_mult, F.trim(F.substr(x, F.length(head) + 1))).otherwise(x).alias("role")]
+    """The first word of an end and what follows it; constraints in braces are left out."""
+    s = squeeze(F.regexp_replace(x, r"\{[^}]*\}", " "))
+    return [F.regexp_extract(s, r"^(\S*)", 1).alias("mult"), F.regexp_extract(s, r"^\S+ (.*)$", 1).alias("role")]
 
 
-def reading_direction(x: Column) -> list[Column]:
-    way = F.when(x.rlike("^>|>$"), "forward").when(x.rlike("^<|<$"), "back").otherwise("")
-    return [F.trim(F.regexp_replace(x, r"^[<>]\s*|\s*[<>]$", "")).alias("label"), way.alias("dir")]
+def reading_direction(x: Column) -> Column:
+    """A label without one sign of reading direction at its end or start; doubled signs stay."""
+    s = F.trim(x)
+    many = F.length(s) > 1
+    return (
+        F.when(s.rlike(" [<>]$"), F.rtrim(F.regexp_replace(s, " [<>]$", ""))).when(s.rlike("^[<>] "), F.ltrim(F.regexp_replace(s, "^[<>] ", "")))
+        .when(many & s.rlike("[^<>-][<>]$"), F.rtrim(F.regexp_replace(s, "[<>]$", ""))).when(many & s.rlike("^[<>][^<>]"), F.ltrim(F.regexp_replace(s, "^[<>]", ""))).otherwise(s)
+    )
 
 
 def attribute_name(x: Column) -> Column:
-    return F.trim(F.regexp_replace(F.split(x, ":")[0], r"^\s*[-+#~]\s*", ""))
+    """The name before a colon, without signs of visibility."""
+    return F.trim(F.regexp_replace(F.split(x, ":")[0], VISIBILITY, ""))
+
+
+def quoted_multiplicities(x: Column) -> Column:
+    """Multiplicities in quotes rewritten in place: n is *, 1..1 is 1."""
+    return F.regexp_replace(F.regexp_replace(x, r'"([0-9]*)(\.\.)?[nN]"', '"$1$2*"'), r'"1\.\.1"', '"1"')
 
 
 def glossary(x: Column, terms: list[tuple[str, str]]) -> Column:

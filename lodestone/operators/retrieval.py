@@ -105,33 +105,101 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def dense(queries: DataFrame, vectors: DataFrame, block: int = 512) -> DataFrame:
-    """(q, id, score) of all vectors for each query; both sides: (q or id, v).
+def _cosines(x, y):
+    import numpy as np
 
-    Queries are gathered into blocks of ``block`` and every block meets every vector once, as one matrix product for each batch of vectors."""
-    numbered = queries.select("q", "v", F.pmod(F.xxhash64("q"), F.lit(1 << 20)).alias("r"))
-    n = queries.count()
-    blocks = numbered.withColumn("b", F.col("r") % max(1, -(-n // block))).groupBy("b").agg(F.collect_list(F.struct("q", "v")).alias("qs"))
+    return (x / np.sqrt((x * x).sum(1, keepdims=True))) @ (y / np.sqrt((y * y).sum(1, keepdims=True))).T
 
-    def product(batches):
+
+def _profiles(x, y):
+    """One less half the L1 distance, a block of rows at a time."""
+    import numpy as np
+
+    return 1 - 0.5 * np.concatenate([np.abs(x[k : k + 256, None, :] - y[None, :, :]).sum(2) for k in range(0, len(x), 256)])
+
+
+MEASURES = {"cosine": _cosines, "profile": _profiles}
+QUERY_BYTES = 32 << 20
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int | None = None, measure: str = "cosine", own: bool = False, digits: int = 6) -> DataFrame:
+    """(q, id, score): of each query (q, v) the ``k`` best of all vectors (id, v), with ``own`` off but its own id, ties at the k-th place included; all of them without ``k``.
+
+    Queries are sent in blocks of QUERY_BYTES at most, one pass over the vectors for each block, so what is broadcast is bounded.  A batch of vectors meets a block in one product
+    and lets only its own k best go on.  Vectors that are null, of other length than the query's, or (for cosines) zero or not finite have no score."""
+    import math
+
+    spark = queries.sparkSession
+    n, dim = queries.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    blocks = max(1, math.ceil(n * (8 * (dim or 1) + 64) / QUERY_BYTES))
+
+    def table_of(part: DataFrame):
         import numpy as np
-        import pyarrow as pa
 
-        for b in batches:
-            ids = b.column(0).to_numpy()
-            x = np.array(b.column(1).to_pylist(), dtype=np.float64)
-            groups = b.column(2)
-            for key in set(b.column(3).to_pylist()):
-                rows = np.flatnonzero(b.column(3).to_numpy() == key)
-                qs = groups[int(rows[0])].as_py()
-                y = np.array([r["v"] for r in qs], dtype=np.float64)
-                own = x[rows]
-                s = (own @ y.T) / np.sqrt((own * own).sum(1))[:, None] / np.sqrt((y * y).sum(1))[None, :]
-                q = np.tile(np.array([r["q"] for r in qs]), len(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(np.repeat(ids[rows], len(qs)), pa.int64()), pa.array(s.ravel())], ["q", "id", "score"])
+        rows = [(r.q, np.array(r.v, dtype=np.float64)) for r in part.collect() if r.v is not None and None not in r.v]  # one block, of bounded size
+        return {d: (np.array([q for q, v in rows if len(v) == d]), np.stack([v for _, v in rows if len(v) == d])) for d in {len(v) for _, v in rows}}
+
+    def product(sent):
+        def run(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            for b in batches:
+                ids, lists = b.column(0).to_numpy(), b.column(1)
+                sizes = np.array([-1 if x is None else x for x in lists.value_lengths().to_pylist()])
+                for d, (qs, y) in sent.value.items():
+                    rows = np.flatnonzero(sizes == d)
+                    if not len(rows) or not d:
+                        continue
+                    x = np.array(lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, d)
+                    with np.errstate(all="ignore"):
+                        s = np.round(MEASURES[measure](x, y), digits + 3)
+                    if not own:
+                        s[ids[rows][:, None] == qs[None, :]] = np.nan
+                    s = np.where(np.isfinite(s), s, -np.inf)
+                    low = -np.inf if k is None or len(rows) <= k else np.partition(s, len(rows) - k, axis=0)[len(rows) - k] - 10.0**-digits
+                    i, j = np.nonzero((s >= low) & (s > -np.inf))
+                    yield pa.RecordBatch.from_arrays([pa.array(qs[j], pa.int64()), pa.array(ids[rows[i]], pa.int64()), pa.array(s[i, j])], ["q", "id", "score"])
+
+        return run
+
+    out = None
+    for block in range(blocks):
+        part = table_of(queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block))
+        got = vectors.select(F.col("id").cast("long").alias("id"), "v").mapInArrow(product(spark.sparkContext.broadcast(part)), "q long, id long, score double")
+        out = got if out is None else out.unionByName(got)
+    return out
 
-    pairs = vectors.select("id", "v").crossJoin(blocks.select("qs", "b"))  # a vector meets each block of queries
-    return pairs.mapInArrow(product, "q long, id long, score double")
+
+DIM = 16
+
+
+def encode(toks: DataFrame, *by: str) -> DataFrame:
+    """(by..., v): a stand-in for an encoder.  Each token adds 1 or -1 at one of DIM places, both by its MD5; the sum is scaled to unit length (zero stays zero)."""
+    h = F.md5("t")
+    digit = lambda a, n: F.conv(F.substring(h, a, n), 16, 10).cast("long")
+    x = toks.select(*by, F.pmod(digit(1, 8), F.lit(DIM)).alias("i"), F.when(digit(9, 1) % 2 == 0, 1.0).otherwise(-1.0).alias("s"))
+    v = x.groupBy(*by).agg(*[F.sum(F.when(F.col("i") == k, F.col("s")).otherwise(0.0)).alias(f"v{k}") for k in range(DIM)])
+    norm = F.sqrt(sum((F.col(f"v{k}") * F.col(f"v{k}") for k in range(1, DIM)), F.col("v0") * F.col("v0")))
+    return v.select(*by, F.array(*[F.coalesce(F.try_divide(F.col(f"v{k}"), norm), F.lit(0.0)) for k in range(DIM)]).alias("v"))
+
+
+def with_zeros(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int, own: bool = True, digits: int = 6) -> DataFrame:
+    """``scores`` (q, id, score) and enough documents of score 0 to fill the first ``k`` places of every query: those of the smallest ids.
+
+    Only queries with fewer than k scores above 0 meet the documents (id); with ``own`` off a query isn't filled with the document of its own id."""
+    n = scores.groupBy("q").agg(F.count_if(F.round("score", digits) > 0).alias("above"))
+    short = queries.select("q").distinct().join(n, "q", "left").where(F.coalesce("above", F.lit(0)) < k).select("q")
+    fill = docs.select("id").crossJoin(short)
+    fill = (fill if own else fill.where("id <> q")).join(scores.select("q", "id"), ["q", "id"], "left_anti")
+    fill = fill.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("id"))).where(F.col("n") <= k)
+    return scores.select("q", "id", "score").unionByName(fill.select("q", "id", F.lit(0.0).alias("score")))
+
+
+def rank_all(scores: DataFrame, queries: DataFrame, docs: DataFrame, digits: int = 6) -> DataFrame:
+    """(q, id, score, rank) of every document for every query; those without a score have 0.  For fusions, which need ranks over whole lists."""
+    every = docs.select("id").crossJoin(queries.select("q").distinct()).join(scores.select("q", "id", "score"), ["q", "id"], "left")
+    return rank(every.withColumn("score", F.coalesce("score", F.lit(0.0))), digits=digits)
 
 
 def reciprocal_rank_fusion(runs: list[DataFrame], c: int = 60) -> DataFrame:
@@ -190,28 +258,58 @@ def mmr_whole(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int, we
     return state.select("q", F.posexplode("ids").alias("pos", "id")).select("q", "id", (F.col("pos") + 1).alias("pick"))
 
 
-def tfidf(toks: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(id, t, w): sublinear tf times smoothed idf, scaled to unit length.  ``corpus``: all ids, texts without tokens too."""
+def classes(toks: DataFrame) -> DataFrame:
+    """(id, rep): documents of equal token multisets, named after the smallest id; documents without tokens aren't there."""
+    bag = postings(toks).groupBy("id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("t", "f")))), 256).alias("bag"))
+    return bag.select("id", "bag").join(bag.groupBy("bag").agg(F.min("id").alias("rep")), "bag").select("id", "rep")
+
+
+def tfidf(toks: DataFrame, corpus: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(id, t, df, w): sublinear tf times smoothed idf, scaled to unit length.  ``corpus``: all ids, texts without tokens too.  ``only`` (id): documents to weigh; frequencies are those of all."""
     tf = postings(toks)
     n = corpus.agg(F.count(F.lit(1)).alias("n"))
     df = tf.groupBy("t").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("t", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    tf = tf if only is None else tf.join(only, "id", "left_semi")
     raw = tf.join(df, "t").select("id", "t", "df", ((1 + F.log("f")) * F.col("idf")).alias("w"))
     return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id"))))
 
 
+def _dots(batches):
+    """(a, b, terms and weights of both) -> (a, b, sim)."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        lists = []
+        for k in (2, 3):
+            col = batch.column(k)
+            offs, flat = col.offsets.to_numpy() - col.offsets[0].as_py(), col.flatten()
+            lists.append((offs, flat.field(0).to_numpy(), flat.field(1).to_numpy()))
+        row = [np.repeat(np.arange(batch.num_rows), np.diff(o)) for o, _, _ in lists]
+        # one merge over the batch: a term that both sides of a row have stands twice in a row
+        r, t, w = (np.concatenate(x) for x in (row, [x[1] for x in lists], [x[2] for x in lists]))
+        order = np.lexsort((t, r))
+        r, t, w = r[order], t[order], w[order]
+        same = np.flatnonzero((r[1:] == r[:-1]) & (t[1:] == t[:-1]))
+        sim = np.bincount(r[same], w[same] * w[same + 1], batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim)], ["a", "b", "sim"])
+
+
 def similar_pairs(weights: DataFrame, threshold: float, left: Column | None = None) -> DataFrame:
     """(a, b, sim) with a < b and sim >= threshold of unit vectors (id, t, df, w).
 
-    A pair at the threshold shares a term among the rarest terms of each that come before the rest's length falls under it, so only those terms make candidates; the
-    full product is taken of candidates alone.  ``left`` splits the ids in two sides, of which pairs take one each."""
+    A pair at the threshold shares a term among the rarest terms of each that come before the rest's length falls under it, so only those terms make candidates.  A
+    candidate goes on if the length of the two rests after their first shared term leaves the threshold within reach; the product is taken of packed vectors, terms as
+    64-bit hashes.  ``left`` splits the ids in two sides, of which pairs take one each."""
     order = Window.partitionBy("id").orderBy("df", "t")
     before = F.coalesce(F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    prefix = weights.withColumn("rest", F.sqrt(F.greatest(1 - before, F.lit(0.0)))).where(F.col("rest") >= threshold - 1e-9)
-    side = weights.select("id").distinct().select("id", (left if left is not None else F.lit(True)).alias("side"))
-    x = prefix.select("id", "t").join(side, "id")
-    a, b = x.select(F.col("id").alias("a"), "t", F.col("side").alias("sa")), x.select(F.col("id").alias("b"), "t", F.col("side").alias("sb"))
+    x = weights.withColumn("rest", F.sqrt(F.greatest(1 - before, F.lit(0.0)))).where(F.col("rest") >= threshold - 1e-9)
+    x = x.select("id", "t", "rest", (left if left is not None else F.lit(True)).alias("side"))
+    a, b = x.select(F.col("id").alias("a"), "t", F.col("rest").alias("ra"), F.col("side").alias("sa")), x.select(F.col("id").alias("b"), "t", F.col("rest").alias("rb"), F.col("side").alias("sb"))
     ok = F.col("a") < F.col("b") if left is None else (F.col("sa") & ~F.col("sb"))
-    pairs = a.join(b, "t").where(ok).select("a", "b").distinct()
-    u, v = weights.select(F.col("id").alias("a"), "t", F.col("w").alias("wa")), weights.select(F.col("id").alias("b"), "t", F.col("w").alias("wb"))
-    sims = pairs.join(u, "a").join(v, ["b", "t"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
+    pairs = a.join(b, "t").where(ok).groupBy("a", "b").agg(F.max(F.col("ra") * F.col("rb")).alias("most")).where(F.col("most") >= threshold - 1e-9).select("a", "b")
+    packed = weights.groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("t").alias("t"), "w")).alias("v"))  # a document's own terms
+    both = pairs.join(packed.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(packed.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
+    kinds = dict(both.dtypes)
+    sims = both.select("a", "b", "va", "vb").mapInArrow(_dots, f"a {kinds['a']}, b {kinds['b']}, sim double")
     return sims.withColumn("sim", F.round("sim", 6)).where(F.col("sim") >= threshold)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
-from ..sources.tables import table
+from ..sources.tables import dimension, table
 from .registry import query
 
 STOP = ["a", "an", "and", "are", "as", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with", "de", "la", "le", "et", "der", "die", "das", "und", "que"]
@@ -27,7 +27,13 @@ def bm25_sql(k1="1.5", b="0.75"):
     return f"sum(c*w*f*({k1}+1)/(f+{k1}*(1-{b}+{b}*dl/avgdl)))"
 
 
-SCORES = f"s AS (SELECT q, id, round({bm25_sql()},6) score FROM qt JOIN tf USING(t) JOIN idf USING(t) JOIN dl USING(id) CROSS JOIN st GROUP BY ALL)"
+def all_sql(queries="SELECT DISTINCT item_id q FROM benchmark", ids="SELECT DISTINCT doc_id id FROM documents", extra=""):
+    """Scores of all documents for all queries: 0 where no term is shared."""
+    return f"s AS (SELECT q, id, coalesce(score,0.0) score FROM ({queries}) CROSS JOIN ({ids}) LEFT JOIN s0 USING(q,id) {extra})"
+
+
+SCORED = f"s0 AS (SELECT q, id, round({bm25_sql()},6) score FROM qt JOIN tf USING(t) JOIN idf USING(t) JOIN dl USING(id) CROSS JOIN st GROUP BY ALL)"
+SCORES = f"{SCORED}, {all_sql()}"
 RANKED = "rk AS (SELECT q, id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS INTEGER) rank FROM s)"
 BM25 = f"WITH {INDEX}, {IDF}, {QT}, {SCORES}, {RANKED}"
 
@@ -44,34 +50,53 @@ def ix(spark, d):
     return R.index(docs(spark, d), "doc_id", "text")
 
 
+def ids(spark, d):
+    return docs(spark, d).select(F.col("doc_id").alias("id")).distinct()
+
+
+def items(spark, d):
+    return bench(spark, d).select(F.col("item_id").alias("q"))
+
+
+def best(spark, d, s, k):
+    """The first k of all documents, also of those that share no term with the query."""
+    return R.rank(R.with_zeros(s, items(spark, d), ids(spark, d), k), k)
+
+
 def bm25_scores(spark, d):
     return R.bm25(ix(spark, d), R.query_terms(bench(spark, d), "item_id", "text"))
 
 
-@query("tokenize_counts", f"SELECT doc_id, count(*) n_tokens, count(DISTINCT t) n_distinct FROM (SELECT doc_id, unnest({TOKENS}) t FROM documents) GROUP BY 1")
+@query("tokenize_counts", f"SELECT doc_id, coalesce(len({TOKENS}),0) n_tokens, coalesce(len(list_distinct({TOKENS})),0) n_distinct FROM documents")
 def tokenize_counts(spark, d):
-    t = R.token_array(F.col("text"))
-    return docs(spark, d).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct")).where("n_tokens > 0")
+    t = F.coalesce(R.token_array(F.col("text")), F.array().cast("array<string>"))
+    return docs(spark, d).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+
+
+def stopwords(spark):
+    """The words of the file that the setting ``spark.lodestone.stopwords`` names, one a line; without it a short list of function words."""
+    path = spark.conf.get("spark.lodestone.stopwords", None)
+    return [r.value.strip() for r in spark.read.text(path).where("trim(value) <> ''").collect()] if path else STOP
 
 
-@query("tokenize_stop", f"SELECT doc_id, count(*) n_tokens FROM (SELECT doc_id, unnest({TOKENS}) t FROM documents) WHERE t NOT IN {STOP_SQL} GROUP BY 1")
+@query("tokenize_stop", f"SELECT doc_id, coalesce(len(list_filter({TOKENS}, lambda t: t NOT IN {STOP_SQL})),0) n_tokens FROM documents")
 def tokenize_stop(spark, d):
-    kept = F.filter(R.token_array(F.col("text")), lambda t: ~t.isin(STOP))
-    return docs(spark, d).select("doc_id", F.size(kept).cast("long").alias("n_tokens")).where("n_tokens > 0")
+    kept = F.filter(F.coalesce(R.token_array(F.col("text")), F.array().cast("array<string>")), lambda t: ~t.isin(stopwords(spark)))
+    return docs(spark, d).select("doc_id", F.size(kept).cast("long").alias("n_tokens"))
 
 
 @query("bm25_topk", f"{BM25} SELECT q item_id, id doc_id, score, rank FROM rk WHERE rank<=3")
 def bm25_topk(spark, d):
-    return R.rank(bm25_scores(spark, d), 3).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+    return best(spark, d, bm25_scores(spark, d), 3).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
 @query("bm25_score_norm", f"""{BM25}, qd AS (SELECT q, sum(c) dl FROM qt GROUP BY 1),
  self AS (SELECT q, sum(c*w*c*2.5/(c+1.5*(0.25+0.75*dl/avgdl))) self FROM qt JOIN idf USING(t) JOIN qd USING(q) CROSS JOIN st GROUP BY 1)
- SELECT q item_id, id doc_id, rank, CASE WHEN self=0 THEN 0.0 ELSE round(score/self,5) END score_norm FROM rk JOIN self USING(q) WHERE rank<=5""")
+ SELECT q item_id, id doc_id, rank, CASE WHEN coalesce(self,0)=0 THEN 0.0 ELSE round(score/self,5) END score_norm FROM rk LEFT JOIN self USING(q) WHERE rank<=5""")
 def bm25_score_norm(spark, d):
     index, q = ix(spark, d), R.query_terms(bench(spark, d), "item_id", "text")
-    top = R.rank(R.bm25(index, q), 5).join(R.bm25_self(index, q), "q")
-    return top.select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.when(F.col("self") == 0, 0.0).otherwise(F.round(F.col("score") / F.col("self"), 5)).alias("score_norm"))
+    top = best(spark, d, R.bm25(index, q), 5).join(R.bm25_self(index, q), "q", "left")
+    return top.select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.when(F.coalesce("self", F.lit(0.0)) == 0, 0.0).otherwise(F.round(F.col("score") / F.col("self"), 5)).alias("score_norm"))
 
 
 LOO = f"""WITH {INDEX}, m AS (SELECT doc_id q FROM documents WHERE doc_id % 100 = 0),
@@ -79,8 +104,8 @@ LOO = f"""WITH {INDEX}, m AS (SELECT doc_id q FROM documents WHERE doc_id % 100
  dfq AS (SELECT m.q, df.t, df.df - (CASE WHEN own.t IS NULL THEN 0 ELSE 1 END) d FROM m CROSS JOIN df LEFT JOIN own ON own.q=m.q AND own.t=df.t),
  rawq AS (SELECT q, t, ln(nd-1-d+0.5)-ln(d+0.5) w FROM dfq, st WHERE d>0), mean AS (SELECT q, avg(w) mean FROM rawq GROUP BY 1),
  len AS (SELECT q, (total-sum(c))::DOUBLE/(nd-1) avgdl FROM own, st GROUP BY q, total, nd),
- s AS (SELECT own.q, tf.id, round(sum(c*(CASE WHEN w<0 THEN 0.25*mean ELSE w END)*f*2.5/(f+1.5*(0.25+0.75*dl/len.avgdl))),6) score
-  FROM own JOIN rawq USING(q,t) JOIN mean USING(q) JOIN len USING(q) JOIN tf ON tf.t=own.t AND tf.id<>own.q JOIN dl ON dl.id=tf.id GROUP BY own.q, tf.id), {RANKED}"""
+ s0 AS (SELECT own.q, tf.id, round(sum(c*(CASE WHEN w<0 THEN 0.25*mean ELSE w END)*f*2.5/(f+1.5*(0.25+0.75*dl/len.avgdl))),6) score
+  FROM own JOIN rawq USING(q,t) JOIN mean USING(q) JOIN len USING(q) JOIN tf ON tf.t=own.t AND tf.id<>own.q JOIN dl ON dl.id=tf.id GROUP BY own.q, tf.id), {all_sql('SELECT q FROM m', extra='WHERE q<>id')}, {RANKED}"""
 
 
 def loo_scores(spark, d):
@@ -91,24 +116,66 @@ def loo_scores(spark, d):
 @query("loo_bm25", f"{LOO} SELECT q, id doc_id, score, rank FROM rk WHERE rank<=10")
 def loo_bm25(spark, d):
     """Leave-one-out ranking of the query set (ids divisible by 100) against all documents."""
-    return R.rank(loo_scores(spark, d), 10).select("q", F.col("id").alias("doc_id"), "score", "rank")
+    members = ids(spark, d).where("id % 100 = 0").select(F.col("id").alias("q"))
+    return R.rank(R.with_zeros(loo_scores(spark, d), members, ids(spark, d), 10, own=False), 10).select("q", F.col("id").alias("doc_id"), "score", "rank")
 
 
-@query("bm25_grid", f"""WITH {INDEX}, {IDF}, {QT}, g AS (SELECT * FROM (VALUES (0.9),(1.2),(1.5),(2.0)) a(k1), (VALUES (0.0),(0.5),(0.75)) b(b)),
- s AS (SELECT k1, b, q, id, round({bm25_sql('k1', 'b')},6) score FROM qt JOIN tf USING(t) JOIN idf USING(t) JOIN dl USING(id) CROSS JOIN st CROSS JOIN g GROUP BY ALL),
- top AS (SELECT k1, b, q, max(score) best FROM s GROUP BY ALL), base AS (SELECT q, best b0 FROM top WHERE k1=1.5 AND b=0.75),
- x AS (SELECT k1::DOUBLE k1, b::DOUBLE b, best-b0 d FROM top JOIN base USING(q))
- SELECT k1, b, round(avg(d),5) mean_diff, round(stddev_samp(d)/sqrt(count(*)),5) se, abs(round(avg(d),5))>2*round(stddev_samp(d)/sqrt(count(*)),5) AS beyond_2se FROM x GROUP BY 1,2""")
+GRID = [(k, b) for k in (0.9, 1.2, 1.5, 2.0) for b in (0.5, 0.75, 0.9)]
+
+
+@query("bm25_grid", f"""WITH v AS (SELECT unnest([true,false]) stop), tk AS (SELECT stop, id, t FROM v, (SELECT doc_id id, unnest({TOKENS}) t FROM documents) WHERE NOT (stop AND t IN {STOP_SQL})), tf AS (SELECT stop, id, t, count(*) f FROM tk GROUP BY ALL), dl AS (SELECT stop, id, count(*) dl FROM tk GROUP BY ALL),
+ st AS (SELECT stop, (SELECT count(*) FROM documents) nd, count(*)::DOUBLE/(SELECT count(*) FROM documents) avgdl FROM tk GROUP BY 1), df AS (SELECT stop, t, count(*) df FROM tf GROUP BY ALL), raw AS (SELECT stop, t, ln(nd-df+0.5)-ln(df+0.5) w FROM df JOIN st USING(stop)), mw AS (SELECT stop, avg(w) mean FROM raw GROUP BY 1),
+ idf AS (SELECT stop, t, CASE WHEN w<0 THEN 0.25*mean ELSE w END w FROM raw JOIN mw USING(stop)), qt AS (SELECT stop, q, t, count(*) c FROM v, (SELECT item_id q, unnest({TOKENS}) t FROM benchmark) WHERE NOT (stop AND t IN {STOP_SQL}) GROUP BY ALL),
+ g AS (SELECT * FROM (VALUES (0.9::DOUBLE),(1.2),(1.5),(2.0)) a(k1), (VALUES (0.5::DOUBLE),(0.75),(0.9)) b(b)),
+ s0 AS (SELECT stop, k1, b, q, id, round({bm25_sql('k1', 'b')},6) score FROM qt JOIN tf USING(stop,t) JOIN idf USING(stop,t) JOIN dl USING(stop,id) JOIN st USING(stop) CROSS JOIN g GROUP BY ALL),
+ s AS (SELECT stop, k1, b, q, id, coalesce(score,0.0) score FROM v CROSS JOIN g CROSS JOIN (SELECT DISTINCT item_id q FROM benchmark) CROSS JOIN (SELECT DISTINCT doc_id id FROM documents) LEFT JOIN s0 USING(stop,k1,b,q,id)),
+ r AS (SELECT stop, k1, b, q, id, row_number() OVER (PARTITION BY stop,k1,b,q ORDER BY score DESC, id) rank FROM s QUALIFY rank<=3), l AS (SELECT doc_id id, max(quality) g FROM labels GROUP BY 1),
+ m AS (SELECT stop, k1, b, q, avg(coalesce(g,0)) FILTER (rank=1) m1, avg(coalesce(g,0)) m3 FROM r LEFT JOIN l USING(id) GROUP BY ALL), z AS (SELECT q, m1 z1, m3 z3 FROM m WHERE stop AND k1=1.5 AND b=0.75),
+ x AS (SELECT stop, k1, b, m1, m3, m1-z1 d1, m3-z3 d3 FROM m JOIN z USING(q)),
+ y AS (SELECT stop, k1, b, round(avg(m1),6) at1, round(avg(m3),6) at3, round(avg(d1),6) d1, round(stddev_samp(d1)/sqrt(count(*)),6) se1, round(avg(d3),6) d3, round(stddev_samp(d3)/sqrt(count(*)),6) se3 FROM x GROUP BY ALL)
+ SELECT stop, false stem, k1, b, at1, at3, d1, se1, d3, se3, abs(d1)>2*se1 OR abs(d3)>2*se3 beyond_2se FROM y""")
 def bm25_grid(spark, d):
-    """Parameters against the standard setting: paired differences of each query's best score, with standard errors."""
-    index, q = ix(spark, d), R.query_terms(bench(spark, d), "item_id", "text")
-    grid = spark.createDataFrame([(k, b) for k in (0.9, 1.2, 1.5, 2.0) for b in (0.0, 0.5, 0.75)], "k1 double, b double")
-    hits = index["tf"].join(q.join(R.idf(index), "t"), "t").join(index["length"], "id").crossJoin(F.broadcast(index["figures"])).crossJoin(F.broadcast(grid))
-    s = hits.groupBy("k1", "b", "q", "id").agg(F.round(F.sum(F.col("c") * R.bm25_weight(F.col("w"), F.col("f"), F.col("dl"), F.col("avgdl"), F.col("k1"), F.col("b"))), 6).alias("score"))
-    top = s.groupBy("k1", "b", "q").agg(F.max("score").alias("best"))
-    diff = top.withColumn("d", F.col("best") - F.max(F.when((F.col("k1") == 1.5) & (F.col("b") == 0.75), F.col("best"))).over(Window.partitionBy("q")))
-    out = diff.groupBy("k1", "b").agg(F.round(F.avg("d"), 5).alias("mean_diff"), F.round(F.stddev_samp("d") / F.sqrt(F.count("d")), 5).alias("se"))
-    return out.withColumn("beyond_2se", F.abs("mean_diff") > 2 * F.col("se"))
+    """The settings without stems of ``bm25_grid48``, which SQL can make too."""
+    return _grid(spark, d, [(True, False), (False, False)])
+
+
+@query("bm25_grid48")
+def bm25_grid48(spark, d):
+    """Stopwords by stems by k1 by b, 48 settings: quality at 1 and at 3, and paired differences to the standard setting with standard errors."""
+    return _grid(spark, d, [(stop, stem) for stop in (True, False) for stem in (True, False)])
+
+
+def _grid(spark, d, variants):
+    from ..functions.stem import stem_column
+
+    def tokens(df, id_col, stop, stem):
+        t = R.tokens(df, id_col, "text", stopwords(spark) if stop else None)
+        if not stem:
+            return t
+        known = t.select("t").distinct().withColumn("s", stem_column("t"))  # each different word is stemmed once
+        return t.join(known, "t").select("id", F.col("s").alias("t"))
+
+    settings = dimension(spark, GRID, "k1 double, b double")  # twelve rows
+    every, good = ids(spark, d), table(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("g"))
+    tops = None
+    for stop, stem in variants:
+        index = R.index(docs(spark, d), "doc_id", "text", toks=tokens(docs(spark, d), "doc_id", stop, stem))
+        q = tokens(bench(spark, d), "item_id", stop, stem).groupBy(F.col("id").alias("q"), "t").agg(F.count(F.lit(1)).alias("c"))
+        hits = index["tf"].join(q.join(R.idf(index), "t"), "t").join(index["length"], "id").crossJoin(F.broadcast(index["figures"])).crossJoin(F.broadcast(settings))
+        s = hits.groupBy("k1", "b", "q", "id").agg(F.sum(F.col("c") * R.bm25_weight(F.col("w"), F.col("f"), F.col("dl"), F.col("avgdl"), F.col("k1"), F.col("b"))).alias("score"))
+        cell = F.struct("k1", "b", "q")
+        s = s.select(cell.alias("q"), "id", "score")
+        cells = items(spark, d).distinct().crossJoin(F.broadcast(settings)).select(cell.alias("q"))
+        top = R.rank(R.with_zeros(s, cells, every, 3), 3).select(F.lit(stop).alias("stop"), F.lit(stem).alias("stem"), "q.k1", "q.b", "q.q", "id", "rank")
+        tops = top if tops is None else tops.unionByName(top)
+    g = F.coalesce("g", F.lit(0)).cast("double")
+    m = tops.join(good, "id", "left").groupBy("stop", "stem", "k1", "b", "q").agg(F.avg(F.when(F.col("rank") == 1, g)).alias("m1"), F.avg(g).alias("m3"))
+    standard = F.col("stop") & (F.col("stem") == variants[0][1]) & (F.col("k1") == 1.5) & (F.col("b") == 0.75)
+    w = Window.partitionBy("q")
+    x = m.withColumns({f"d{k}": F.col(f"m{k}") - F.max(F.when(standard, F.col(f"m{k}"))).over(w) for k in (1, 3)})
+    se = lambda c: F.round(F.stddev_samp(c) / F.sqrt(F.count(c)), 6)
+    out = x.groupBy("stop", "stem", "k1", "b").agg(*[F.round(F.avg(f"m{k}"), 6).alias(f"at{k}") for k in (1, 3)], *[f for k in (1, 3) for f in (F.round(F.avg(f"d{k}"), 6).alias(f"d{k}"), se(f"d{k}").alias(f"se{k}"))])
+    return out.withColumn("beyond_2se", (F.abs("d1") > 2 * F.col("se1")) | (F.abs("d3") > 2 * F.col("se3")))
 
 
 DOT = "list_sum(list_transform(list_zip(a.embedding,b.embedding), lambda x: x[1]::DOUBLE*x[2]::DOUBLE))/sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE*x::DOUBLE))*list_sum(list_transform(b.embedding, lambda x: x::DOUBLE*x::DOUBLE)))"
@@ -118,7 +185,7 @@ DENSE = f"WITH s AS (SELECT a.vec_id q, b.vec_id id, round({DOT},6) score FROM e
 def dense_scores(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
     q = v.where("id % 100 = 0").select(F.col("id").alias("q"), "v")
-    return R.dense(q, v).where("q <> id")
+    return R.nearest(q, v, 5)
 
 
 @query("dense_topk", f"{DENSE} SELECT q, id vec_id, score, rank FROM rk WHERE rank<=5")
@@ -138,39 +205,53 @@ def topk_tiebreak(spark, d):
 def exclude_ids(spark, d):
     """Exclusion before the cut."""
     bad = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
-    s = bm25_scores(spark, d).join(bad, "id", "left_anti")
-    return R.rank(s, 3).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+    s, left = bm25_scores(spark, d).join(bad, "id", "left_anti"), ids(spark, d).join(bad, "id", "left_anti")
+    return R.rank(R.with_zeros(s, items(spark, d), left, 3), 3).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
-RUN_B = "rb AS (SELECT q, id, CAST(row_number() OVER (PARTITION BY q ORDER BY round(-abs(strlen(d.text)-strlen(b.text)),6) DESC, id) AS INTEGER) rank FROM (SELECT q, id FROM s) x JOIN documents d ON d.doc_id=x.id JOIN benchmark b ON b.item_id=x.q)"
+def encode_sql(name, toks, by="id"):
+    """Unit vectors of signed counts of hashed tokens, in long form: (by..., i, v)."""
+    return f"""{name}h AS (SELECT {by}, ('0x'||substr(md5(t),1,8))::BIGINT % 16 i, CASE WHEN ('0x'||substr(md5(t),9,1))::BIGINT%2=0 THEN 1.0 ELSE -1.0 END::DOUBLE s FROM {toks}), {name}s AS (SELECT {by}, i, sum(s) v FROM {name}h GROUP BY ALL),
+ {name}n AS (SELECT {by}, sqrt(sum(v*v)) l FROM {name}s GROUP BY ALL), {name} AS (SELECT {by}, i, v/l v FROM {name}s JOIN {name}n USING({by}) WHERE l>0)"""
 
 
-def length_run(spark, d, s):
-    """A second ranking of the same candidates: nearness in length."""
-    a = docs(spark, d).select(F.col("doc_id").alias("id"), F.octet_length("text").alias("la"))
-    b = bench(spark, d).select(F.col("item_id").alias("q"), F.octet_length("text").alias("lb"))
-    return R.rank(s.select("q", "id").join(a, "id").join(F.broadcast(b), "q").select("q", "id", (-F.abs(F.col("la") - F.col("lb"))).cast("double").alias("score")))
+QTOK = f"qtok AS (SELECT item_id id, unnest({TOKENS}) t FROM benchmark)"
+RUN_B = f"""{QTOK}, {encode_sql('ev', 'tok')}, {encode_sql('eq', 'qtok')}, dot AS (SELECT eq.id q, ev.id id, round(sum(eq.v*ev.v),6) score FROM eq JOIN ev USING(i) GROUP BY ALL),
+ rb AS (SELECT q, id, CAST(row_number() OVER (PARTITION BY q ORDER BY coalesce(dot.score,0.0) DESC, id) AS INTEGER) rank FROM (SELECT q, id FROM s) x LEFT JOIN dot USING(q,id))"""
+
+
+def dense_run(spark, d):
+    """(q, id, score): cosines of the encoded texts of items and documents."""
+    v = R.encode(R.tokens(docs(spark, d), "doc_id", "text"), "id")
+    return R.nearest(R.encode(R.tokens(bench(spark, d), "item_id", "text"), "id").select(F.col("id").alias("q"), "v"), v, own=True)
 
 
 @query("rrf_fusion", f"{BM25}, {RUN_B}, f AS (SELECT q, id, sum(1.0::DOUBLE/(60+rank)) score FROM (SELECT q,id,rank FROM rk UNION ALL SELECT q,id,rank FROM rb) GROUP BY ALL) SELECT q item_id, id doc_id, round(score,8) score, CAST(row_number() OVER (PARTITION BY q ORDER BY round(score,8) DESC, id) AS INTEGER) rank, round(score/(2.0::DOUBLE/61),8) score_norm FROM f QUALIFY rank<=10")
 def rrf_fusion(spark, d):
-    s = bm25_scores(spark, d)
-    fused = R.reciprocal_rank_fusion([R.rank(s), length_run(spark, d, s)])
+    """The hybrid of BM25 and vectors, by ranks over the full lists of both."""
+    q, every = items(spark, d), ids(spark, d)
+    fused = R.reciprocal_rank_fusion([R.rank_all(bm25_scores(spark, d), q, every), R.rank_all(dense_run(spark, d), q, every)])
     norm = fused.withColumn("score_norm", F.round(F.col("score") / (2.0 / 61), 8))
     return R.rank(norm, 10, 8).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank", "score_norm")
 
 
-@query("minmax_norm", f"{BM25} SELECT q item_id, id doc_id, round(CASE WHEN max(score) OVER w=min(score) OVER w THEN 1.0 ELSE (score-min(score) OVER w)/(max(score) OVER w-min(score) OVER w) END,6) norm FROM s WINDOW w AS (PARTITION BY q)")
+@query("minmax_norm", f"{BM25} SELECT q item_id, id doc_id, rank, round(CASE WHEN max(score) OVER w=min(score) OVER w THEN 1.0 ELSE (score-min(score) OVER w)/(max(score) OVER w-min(score) OVER w) END,6) norm FROM rk WINDOW w AS (PARTITION BY q) QUALIFY rank<=10")
 def minmax_norm(spark, d):
+    """The first ten, scaled by the least and the largest score of the whole ranking, documents of score 0 included."""
     s = bm25_scores(spark, d).withColumn("score", F.round("score", 6))
-    return R.min_max(s).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), F.round("norm", 6).alias("norm"))
+    nd = ids(spark, d).agg(F.count(F.lit(1)).alias("nd"))
+    span = items(spark, d).distinct().join(s.groupBy("q").agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count(F.lit(1)).alias("n")), "q", "left").crossJoin(F.broadcast(nd))
+    zero = F.coalesce("n", F.lit(0)) < F.col("nd")
+    span = span.select("q", F.when(zero, F.least(F.coalesce("lo", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("lo")).alias("lo"), F.when(zero, F.greatest(F.coalesce("hi", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("hi")).alias("hi"))
+    norm = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    return best(spark, d, s, 10).join(span, "q").select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.round(norm, 6).alias("norm"))
 
 
-@query("random_topk", "SELECT q item_id, id doc_id, 0.0::DOUBLE score, rank FROM (SELECT item_id q, doc_id id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY sha256(concat_ws('|','7',b.text,doc_id::VARCHAR)), doc_id) AS INTEGER) rank FROM benchmark b, documents) WHERE rank<=5")
+@query("random_topk", "SELECT q item_id, id doc_id, 0.0::DOUBLE score, rank FROM (SELECT item_id q, doc_id id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY sha256(concat_ws('|','7',sha256(coalesce(b.text,'')),doc_id::VARCHAR)), doc_id) AS INTEGER) rank FROM benchmark b, documents) WHERE rank<=5")
 def random_topk(spark, d):
     """A random baseline, fixed by seed and query text, independent of the order of rows."""
-    q = bench(spark, d).select("item_id", F.col("text").alias("qt"))
-    pairs = docs(spark, d).select("doc_id").crossJoin(F.broadcast(q))  # a draw for each query and document is the definition
+    q = bench(spark, d).select("item_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("qt"))
+    pairs = docs(spark, d).select("doc_id").crossJoin(q)  # a draw for each query and document is the definition; ids and digests meet, and each task keeps its first five
     h = F.sha2(F.concat_ws("|", F.lit("7"), "qt", F.col("doc_id").cast("string")), 256)
     r = F.row_number().over(Window.partitionBy("item_id").orderBy(h, "doc_id"))
     return pairs.select("item_id", "doc_id", F.lit(0.0).alias("score"), r.alias("rank")).where("rank <= 5")
@@ -203,18 +284,18 @@ def camel_tokens(spark, d):
  tok AS (SELECT doc_id id, unnest({TOKENS}) t FROM base), tf AS (SELECT id, t, count(*) f FROM tok GROUP BY ALL), dl AS (SELECT id, count(*) dl FROM tok GROUP BY 1),
  st AS (SELECT (SELECT count(*) FROM base) nd, (SELECT count(*) FROM tok)::DOUBLE/(SELECT count(*) FROM base) avgdl), df AS (SELECT t, count(*) df FROM tf GROUP BY 1), {IDF},
  qt AS (SELECT p_size q, t, count(*) c FROM (SELECT p_size, unnest(regexp_extract_all(lower(min(p_type)),'[\\p{{L}}\\p{{N}}]+')) t FROM part GROUP BY 1) GROUP BY ALL),
- {SCORES}, {RANKED} SELECT q p_size, id p_partkey, score, rank FROM rk WHERE rank<=3""")
+ {SCORED}, {all_sql('SELECT DISTINCT p_size q FROM part', 'SELECT doc_id id FROM base')}, {RANKED} SELECT q p_size, id p_partkey, score, rank FROM rk WHERE rank<=3""")
 def struct_bm25(spark, d):
     """BM25 over the words of identifiers instead of running text."""
     p = table(spark, d, "part")
     base = p.select("p_partkey", F.array_join(camel(F.concat("p_brand", F.regexp_replace("p_type", " ", ""))), " ").alias("text"))
     q = p.groupBy("p_size").agg(F.min("p_type").alias("text"))
-    s = R.rank(R.bm25(R.index(base, "p_partkey", "text"), R.query_terms(q, "p_size", "text")), 3)
+    s = R.bm25(R.index(base, "p_partkey", "text"), R.query_terms(q, "p_size", "text"))
+    s = R.rank(R.with_zeros(s, q.select(F.col("p_size").alias("q")), base.select(F.col("p_partkey").alias("id")), 3), 3)
     return s.select(F.col("q").alias("p_size"), F.col("id").alias("p_partkey"), "score", "rank")
 
 
-@query("mmr_top3", f"""{BM25}, base AS (SELECT * FROM rk WHERE rank<=20),
- n AS (SELECT *, CASE WHEN max(score) OVER w=min(score) OVER w THEN 1.0 ELSE (score-min(score) OVER w)/(max(score) OVER w-min(score) OVER w) END rel FROM base WINDOW w AS (PARTITION BY q)),
+@query("mmr_top3", f"""{BM25}, n AS (SELECT *, CASE WHEN max(score) OVER w=min(score) OVER w THEN 1.0 ELSE (score-min(score) OVER w)/(max(score) OVER w-min(score) OVER w) END rel FROM rk WINDOW w AS (PARTITION BY q)),
  tk AS (SELECT doc_id id, list_distinct({TOKENS}) toks FROM documents), c AS (SELECT n.*, toks FROM n JOIN tk USING(id)),
  p1 AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(0.7*rel,9) DESC, rank)=1),
  c2 AS (SELECT c.*, len(list_intersect(c.toks,p1.toks))/len(list_distinct(c.toks||p1.toks)) m FROM c JOIN p1 ON c.q=p1.q AND c.id<>p1.id),
@@ -223,7 +304,7 @@ def struct_bm25(spark, d):
  p3 AS (SELECT * FROM c3 QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(0.7*rel-0.3*m,9) DESC, rank)=1)
  SELECT q item_id, id doc_id, 1 pick FROM p1 UNION ALL SELECT q, id, 2 FROM p2 UNION ALL SELECT q, id, 3 FROM p3""")
 def mmr_top3(spark, d):
-    """Relevance is scaled over, and chosen among, the whole ranking; the SQL still has the first 20 alone."""
+    """Relevance is scaled over, and chosen among, the whole ranking."""
     toks = docs(spark, d).select(F.col("doc_id").alias("id"), F.array_distinct(R.token_array(F.col("text"))).alias("toks"))
     picks = R.mmr_whole(bm25_scores(spark, d), bench(spark, d).select(F.col("item_id").alias("q")), toks, 3)
     return picks.select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "pick")
@@ -232,17 +313,17 @@ def mmr_top3(spark, d):
 CUES = [("license", "license|licence"), ("caps", "[A-Z]{4,}!!"), ("table", r"\|")]
 
 
-@query("cue_boost", f"""{BM25}, cu AS (SELECT doc_id id, regexp_matches(text,'license|licence')::INT+regexp_matches(text,'[A-Z]{{4,}}!!')::INT+regexp_matches(text,'\\|')::INT n FROM documents),
+@query("cue_boost", f"""{BM25}, cu AS (SELECT doc_id id, coalesce(regexp_matches(text,'license|licence')::INT+regexp_matches(text,'[A-Z]{{4,}}!!')::INT+regexp_matches(text,'\\|')::INT,0) n FROM documents),
  qc AS (SELECT item_id q, strlen(text)>150 cue FROM benchmark), rc AS (SELECT q, id, CAST(row_number() OVER (PARTITION BY q ORDER BY n DESC, id) AS INTEGER) rank FROM rk JOIN cu USING(id)),
  f AS (SELECT q, id, sum(x) score FROM (SELECT q, id, 1.0::DOUBLE/(60+rank) x FROM rk UNION ALL SELECT q, id, 1.0::DOUBLE/(60+rank) FROM rc JOIN qc USING(q) WHERE cue) GROUP BY ALL)
  SELECT q item_id, id doc_id, round(score,8) score, CAST(row_number() OVER (PARTITION BY q ORDER BY round(score,8) DESC, id) AS INTEGER) rank FROM f QUALIFY rank<=3""")
 def cue_boost(spark, d):
     """Fusion with a ranking by constructs, for queries that cue them; others keep the base ranking."""
-    base = R.rank(bm25_scores(spark, d))
+    base = R.rank_all(bm25_scores(spark, d), items(spark, d), ids(spark, d))
     n = sum((F.col("text").rlike(p).cast("int") for _, p in CUES), F.lit(0))
     cues = docs(spark, d).select(F.col("doc_id").alias("id"), n.alias("n"))
     cued = bench(spark, d).where(F.octet_length("text") > 150).select(F.col("item_id").alias("q"))
-    second = R.rank(base.join(cues, "id").select("q", "id", F.col("n").cast("double").alias("score"))).join(F.broadcast(cued), "q", "left_semi")
+    second = R.rank(cued.distinct().crossJoin(cues).select("q", "id", F.coalesce(F.col("n").cast("double"), F.lit(0.0)).alias("score")))
     return R.rank(R.reciprocal_rank_fusion([base, second]), 3, 8).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
@@ -250,26 +331,34 @@ def cue_boost(spark, d):
 def quality_weighted(spark, d):
     lab = table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality")
     s = bm25_scores(spark, d).withColumn("score", F.round("score", 6)).join(lab, "id", "left")
-    return R.rank(s.select("q", "id", (F.col("score") * F.coalesce(F.col("quality").cast("double"), F.lit(0.5))).alias("score")), 3).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+    return best(spark, d, s.select("q", "id", (F.col("score") * F.coalesce(F.col("quality").cast("double"), F.lit(0.5))).alias("score")), 3).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
 PROFILE = """WITH e AS (SELECT l_suppkey id, l_returnflag k, count(*) n FROM lineitem GROUP BY ALL), z AS (SELECT id, sum(n) tot FROM e GROUP BY 1),
  pr AS (SELECT s.s_suppkey id, f.k, coalesce(n,0)::DOUBLE/nullif(coalesce(tot,0),0) p FROM supplier s CROSS JOIN (VALUES ('A'),('N'),('R')) f(k) LEFT JOIN e ON e.id=s.s_suppkey AND e.k=f.k LEFT JOIN z ON z.id=s.s_suppkey)"""
 
 
-@query("profile_similarity", PROFILE + """, l1 AS (SELECT a.id a, b.id b, sum(abs(coalesce(a.p,0)-coalesce(b.p,0))) d FROM pr a JOIN pr b ON a.k=b.k AND a.id<b.id GROUP BY ALL)
- SELECT a, b, round(0.5*((1-0.5*d)+CASE WHEN coalesce(x.tot,0)=0 AND coalesce(y.tot,0)=0 THEN 1 ELSE least(coalesce(x.tot,0),coalesce(y.tot,0))::DOUBLE/greatest(coalesce(x.tot,0),coalesce(y.tot,0)) END),6) s FROM l1 LEFT JOIN z x ON x.id=a LEFT JOIN z y ON y.id=b""")
+QUERY_SET = "JOIN (SELECT s_suppkey qq FROM supplier WHERE s_suppkey%100=0) ON qq=a.id"
+
+
+@query("profile_similarity", PROFILE + f""", l1 AS (SELECT a.id q, b.id id, sum(abs(coalesce(a.p,0)-coalesce(b.p,0))) d FROM pr a JOIN pr b ON a.k=b.k AND a.id<>b.id {QUERY_SET} GROUP BY ALL)
+ SELECT q, l1.id id, round(0.5*((1-0.5*d)+CASE WHEN coalesce(x.tot,0)=0 AND coalesce(y.tot,0)=0 THEN 1 ELSE least(coalesce(x.tot,0),coalesce(y.tot,0))::DOUBLE/greatest(coalesce(x.tot,0),coalesce(y.tot,0)) END),6) s FROM l1 LEFT JOIN z x ON x.id=q LEFT JOIN z y ON y.id=l1.id""")
 def profile_similarity(spark, d):
-    """Half the likeness of edge-type profiles, half the ratio of sizes; graphs without edges have a zero profile, two of them the ratio 1."""
+    """Half the likeness of edge-type profiles, half the ratio of sizes, of the query set (ids divisible by 100) and all graphs; graphs without edges have a zero profile, two of them the ratio 1."""
+    p = _profiles(spark, d)
+    n = p.select("id", "n")
+    pairs = R.nearest(p.where("id % 100 = 0").select(F.col("id").alias("q"), F.col("p").alias("v")), p.select("id", F.col("p").alias("v")), measure="profile")
+    pairs = pairs.join(n.select(F.col("id").alias("q"), F.col("n").alias("a_n")), "q").join(n.select("id", F.col("n").alias("b_n")), "id")
+    ratio = F.when(F.greatest("a_n", "b_n") == 0, 1.0).otherwise(F.least("a_n", "b_n") / F.greatest("a_n", "b_n"))
+    return pairs.select("q", "id", F.round(0.5 * (F.col("score") + ratio), 6).alias("s"))
+
+
+def _profiles(spark, d):
+    """(id, n, p): edges of each graph and the shares of their types."""
     e = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).pivot("l_returnflag", ["A", "N", "R"]).count().na.fill(0)
     p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")).join(e, "id", "left").na.fill(0)
     tot = F.col("A") + F.col("N") + F.col("R")
-    share = lambda c: F.when(tot > 0, F.col(c) / tot).otherwise(0.0)
-    p = p.select("id", tot.alias("n"), F.array(share("A"), share("N"), share("R")).alias("p"))
-    pairs = p.select(*[F.col(c).alias(f"a_{c}") for c in p.columns]).join(p.select(*[F.col(c).alias(f"b_{c}") for c in p.columns]), F.col("a_id") < F.col("b_id"))
-    l1 = F.aggregate(F.zip_with("a_p", "b_p", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
-    ratio = F.when(F.greatest("a_n", "b_n") == 0, 1.0).otherwise(F.least("a_n", "b_n") / F.greatest("a_n", "b_n"))
-    return pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(0.5 * ((1 - 0.5 * l1) + ratio), 6).alias("s"))
+    return p.select("id", tot.alias("n"), F.array(*[F.when(tot > 0, F.col(c) / tot).otherwise(0.0) for c in "ANR"]).alias("p"))
 
 
 @query("measure_at_k", f"{DENSE}, g AS (SELECT rk.*, (x.label=y.label)::INT rel FROM rk JOIN embeddings x ON x.vec_id=q JOIN embeddings y ON y.vec_id=id WHERE rank<=5), m AS (SELECT k::INTEGER k, q, avg(rel) m FROM g, (VALUES (1),(3),(5)) t(k) WHERE rank<=k GROUP BY ALL) SELECT k, round(avg(m),6) measure FROM m GROUP BY 1")
@@ -281,51 +370,55 @@ def measure_at_k(spark, d):
     return per.groupBy("k").agg(F.round(F.avg("m"), 6).alias("measure"))
 
 
-@query("oracle_topk", PROFILE + """, l1 AS (SELECT a.id a, b.id b, round(1-0.5*sum(abs(coalesce(a.p,0)-coalesce(b.p,0))),6) sim FROM pr a JOIN pr b ON a.k=b.k AND a.id<>b.id GROUP BY ALL)
- SELECT a q, b id, sim, CAST(row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS INTEGER) rank FROM l1 QUALIFY rank<=3""")
+L1 = f"l1 AS (SELECT a.id a, b.id b, round(1-0.5*sum(abs(coalesce(a.p,0)-coalesce(b.p,0))),6) sim FROM pr a JOIN pr b ON a.k=b.k AND a.id<>b.id {QUERY_SET} GROUP BY ALL)"
+
+
+@query("oracle_topk", f"{PROFILE}, {L1} SELECT a q, b id, sim, CAST(row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS INTEGER) rank FROM l1 QUALIFY rank<=3")
 def oracle_topk(spark, d):
-    s = _profile_pairs(spark, d)
-    return R.rank(s.select("q", "id", F.col("sim").alias("score")), 3).select("q", "id", F.col("score").alias("sim"), "rank")
+    """The most similar graphs by their profiles, for the query set (ids divisible by 100)."""
+    return _oracle(spark, d).select("q", "id", F.col("score").alias("sim"), "rank")
 
 
-def _profile_pairs(spark, d):
-    e = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).pivot("l_returnflag", ["A", "N", "R"]).count().na.fill(0)
-    p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")).join(e, "id", "left").na.fill(0)
-    tot = F.col("A") + F.col("N") + F.col("R")
-    p = p.select("id", F.array(*[F.when(tot > 0, F.col(c) / tot).otherwise(0.0) for c in "ANR"]).alias("p"))
-    pairs = p.select(F.col("id").alias("q"), F.col("p").alias("x")).join(p.select("id", "p"), F.col("q") != F.col("id"))
-    l1 = F.aggregate(F.zip_with("x", "p", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, v: s + v)
-    return pairs.select("q", "id", F.round(1 - 0.5 * l1, 6).alias("sim"))
+def _oracle(spark, d):
+    p = _profiles(spark, d).select("id", F.col("p").alias("v"))
+    return R.rank(R.nearest(p.where("id % 100 = 0").select(F.col("id").alias("q"), "v"), p, 3, "profile"), 3)
 
 
-@query("oracle_at_k", PROFILE + """, l1 AS (SELECT a.id a, b.id b, round(1-0.5*sum(abs(coalesce(a.p,0)-coalesce(b.p,0))),6) sim FROM pr a JOIN pr b ON a.k=b.k AND a.id<>b.id GROUP BY ALL),
- r AS (SELECT a, sim, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) rank FROM l1), m AS (SELECT k::INTEGER k, a, avg(sim) m FROM r, (VALUES (1),(3)) t(k) WHERE rank<=k GROUP BY ALL) SELECT k, round(avg(m),6) best FROM m GROUP BY 1""")
+@query("oracle_at_k", f"{PROFILE}, {L1}, r AS (SELECT a, sim, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) rank FROM l1), m AS (SELECT k::INTEGER k, a, avg(sim) m FROM r, (VALUES (1),(3)) t(k) WHERE rank<=k GROUP BY ALL) SELECT k, round(avg(m),6) best FROM m GROUP BY 1")
 def oracle_at_k(spark, d):
     """The best that any ranking could reach at k."""
-    top = R.rank(_profile_pairs(spark, d).withColumnRenamed("sim", "score"), 3).select("q", "score", "rank", F.explode(F.array(F.lit(1), F.lit(3))).alias("k")).where("rank <= k")
+    top = _oracle(spark, d).select("q", "score", "rank", F.explode(F.array(F.lit(1), F.lit(3))).alias("k")).where("rank <= k")
     return top.groupBy("k", "q").agg(F.avg("score").alias("m")).groupBy("k").agg(F.round(F.avg("m"), 6).alias("best"))
 
 
-@query("hubness", f"{BM25}, f AS (SELECT id, count(*) FILTER (rank=1) n1, count(*) FILTER (rank<=3) n3 FROM rk GROUP BY 1), a AS (SELECT doc_id, coalesce(n1,0) n1, coalesce(n3,0) n3 FROM documents LEFT JOIN f ON id=doc_id) SELECT count(*) FILTER (n1>0) distinct_top1, count(*) FILTER (n3>0) distinct_top3, count(*) FILTER (n3=0) never, (SELECT doc_id FROM a ORDER BY n3 DESC, doc_id LIMIT 1) hub, max(n3) hub_n FROM a")
+@query("hubness", f"{BM25}, f AS (SELECT id, count(*) FILTER (rank=1) n1, count(*) FILTER (rank<=3) n3 FROM rk GROUP BY 1), a AS (SELECT doc_id, coalesce(n1,0) n1, coalesce(n3,0) n3 FROM documents LEFT JOIN f ON id=doc_id) SELECT count(*) FILTER (n1>0) distinct_top1, count(*) FILTER (n3>0) distinct_top3, count(*) FILTER (n3=0) never, arg_min(doc_id,(-n3,doc_id)) hub, max(n3) hub_n, arg_min(doc_id,(-n1,doc_id)) hub1, max(n1) hub1_n FROM a")
 def hubness(spark, d):
-    n = R.rank(bm25_scores(spark, d), 3).groupBy(F.col("id").alias("doc_id")).agg(F.count_if(F.col("rank") == 1).alias("n1"), F.count(F.lit(1)).alias("n3"))
+    n = best(spark, d, bm25_scores(spark, d), 3).groupBy(F.col("id").alias("doc_id")).agg(F.count_if(F.col("rank") == 1).alias("n1"), F.count(F.lit(1)).alias("n3"))
     a = docs(spark, d).select("doc_id").join(n, "doc_id", "left").na.fill(0)
-    return a.agg(F.count_if(F.col("n1") > 0).alias("distinct_top1"), F.count_if(F.col("n3") > 0).alias("distinct_top3"), F.count_if(F.col("n3") == 0).alias("never"), F.min_by("doc_id", F.struct(-F.col("n3"), "doc_id")).alias("hub"), F.max("n3").alias("hub_n"))
+    hub = lambda c: F.min_by("doc_id", F.struct(-F.col(c), "doc_id"))
+    return a.agg(F.count_if(F.col("n1") > 0).alias("distinct_top1"), F.count_if(F.col("n3") > 0).alias("distinct_top3"), F.count_if(F.col("n3") == 0).alias("never"), hub("n3").alias("hub"), F.max("n3").alias("hub_n"), hub("n1").alias("hub1"), F.max("n1").alias("hub1_n"))
 
 
 @query("topk_overlap", f"{BM25}, {RUN_B}, o AS (SELECT a.q, count(b.id) n, bool_or(a.rank=1 AND b.rank=1) same1 FROM (SELECT * FROM rk WHERE rank<=3) a LEFT JOIN (SELECT * FROM rb WHERE rank<=3) b ON a.q=b.q AND a.id=b.id GROUP BY 1) SELECT q item_id, n overlap, round(n/3.0,6) share, coalesce(same1,false) same_top1 FROM o")
 def topk_overlap(spark, d):
-    s = bm25_scores(spark, d)
-    a, b = R.rank(s, 3), length_run(spark, d, s).where("rank <= 3").select("q", "id", F.col("rank").alias("rank_b"))
+    """What the first three of BM25 and of the vectors have in common."""
+    a = best(spark, d, bm25_scores(spark, d), 3)
+    b = best(spark, d, dense_run(spark, d), 3).select("q", "id", F.col("rank").alias("rank_b"))
     j = a.join(b, ["q", "id"], "left").groupBy("q").agg(F.count("rank_b").alias("overlap"), F.coalesce(F.bool_or((F.col("rank") == 1) & (F.col("rank_b") == 1)), F.lit(False)).alias("same_top1"))
     return j.select(F.col("q").alias("item_id"), "overlap", F.round(F.col("overlap") / 3.0, 6).alias("share"), "same_top1")
 
 
 @query("tie_report", f"{BM25}, l AS (SELECT *, lead(score) OVER (PARTITION BY q ORDER BY rank) nxt FROM rk) SELECT q item_id, count(*) FILTER (rank<3 AND score=nxt) inside, coalesce(bool_or(rank=3 AND score=nxt),false) boundary, count(DISTINCT score) distinct_scores FROM l GROUP BY 1")
 def tie_report(spark, d):
-    r = R.rank(bm25_scores(spark, d)).withColumn("nxt", F.lead("score").over(Window.partitionBy("q").orderBy("rank")))
+    """Ties inside the first three and at their edge, and how many scores the whole ranking has."""
+    s = bm25_scores(spark, d).withColumn("score", F.round("score", 6))
+    r = best(spark, d, s, 4).withColumn("nxt", F.lead("score").over(Window.partitionBy("q").orderBy("rank")))
     tie = F.col("score") == F.col("nxt")
-    return r.groupBy(F.col("q").alias("item_id")).agg(F.count_if((F.col("rank") < 3) & tie).alias("inside"), F.coalesce(F.bool_or((F.col("rank") == 3) & tie), F.lit(False)).alias("boundary"), F.countDistinct("score").alias("distinct_scores"))
+    top = r.groupBy("q").agg(F.count_if((F.col("rank") < 3) & tie).alias("inside"), F.coalesce(F.bool_or((F.col("rank") == 3) & tie), F.lit(False)).alias("boundary"))
+    nd = ids(spark, d).agg(F.count(F.lit(1)).alias("nd"))
+    n = s.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("score").alias("k"), F.bool_or(F.col("score") == 0).alias("zero"))
+    zeros = F.when((F.coalesce("n", F.lit(0)) < F.col("nd")) & ~F.coalesce("zero", F.lit(False)), 1).otherwise(0)
+    return top.join(n, "q", "left").crossJoin(F.broadcast(nd)).select(F.col("q").alias("item_id"), "inside", "boundary", (F.coalesce("k", F.lit(0)) + zeros).alias("distinct_scores"))
 
 
 WORDS2 = r"regexp_extract_all(lower(text),'[\p{L}\p{N}_]{2,}')"
@@ -352,22 +445,33 @@ def tfidf_leakage(spark, d):
 NEAR = f"WITH base AS (SELECT doc_id id, text FROM documents), {tfidf_sql('base')}, p AS (SELECT a.id a, b.id b, round(sum(a.w*b.w),6) sim FROM w a JOIN w b ON a.t=b.t AND a.id<b.id GROUP BY a.id, b.id HAVING round(sum(a.w*b.w),6)>=0.8)"
 
 
-def near_pairs(spark, d):
+def near_classes(spark, d):
+    """Classes of documents with equal bags of words (id, rep), and pairs of representatives whose TF-IDF cosine is 0.8 or more."""
     base = docs(spark, d).select(F.col("doc_id").alias("id"), "text")
-    return R.similar_pairs(R.tfidf(word_tokens(base), base), 0.8)
+    c = R.classes(word_tokens(base))
+    reps = c.where("id = rep").select("id")
+    return c, R.similar_pairs(R.tfidf(word_tokens(base), base, reps), 0.8)
 
 
-@query("near_dup_pairs", f"{NEAR} SELECT * FROM p")
+@query("near_dup_pairs", f"{NEAR}, c AS (SELECT id, min(id) OVER (PARTITION BY bag) rep, count(*) OVER (PARTITION BY bag) n FROM (SELECT id, list_sort({WORDS2}) bag FROM base) WHERE len(bag)>0) SELECT a, b, sim, x.n copies_a, y.n copies_b FROM p JOIN c x ON x.id=a AND x.rep=a JOIN c y ON y.id=b AND y.rep=b")
 def near_dup_pairs(spark, d):
-    """Pairs of documents whose TF-IDF cosine is 0.8 or more; candidates come from the rarest terms alone."""
-    return near_pairs(spark, d)
+    """Pairs of documents whose TF-IDF cosine is 0.8 or more, one of each class of equal bags of words, with the size of both classes."""
+    c, p = near_classes(spark, d)
+    n = c.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    return p.join(n.select(F.col("rep").alias("a"), F.col("n").alias("copies_a")), "a").join(n.select(F.col("rep").alias("b"), F.col("n").alias("copies_b")), "b").select("a", "b", "sim", "copies_a", "copies_b")
 
 
 @query("pair_partners", f"{NEAR} SELECT id doc_id, count(*) n, min(o) first_partner FROM (SELECT a id, b o FROM p UNION ALL SELECT b, a FROM p) GROUP BY 1")
 def pair_partners(spark, d):
-    p = near_pairs(spark, d)
-    both = p.select(F.col("a").alias("doc_id"), F.col("b").alias("o")).unionByName(p.select(F.col("b").alias("doc_id"), F.col("a").alias("o")))
-    return both.groupBy("doc_id").agg(F.count("o").alias("n"), F.min("o").alias("first_partner"))
+    """How many partners each document has, and the first: its own copies, and all copies of what its class is similar to."""
+    c, p = near_classes(spark, d)
+    n = c.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("id") != F.col("rep"), F.col("id"))).alias("second"))
+    both = p.select(F.col("a").alias("rep"), F.col("b").alias("o")).unionByName(p.select(F.col("b").alias("rep"), F.col("a").alias("o")))
+    far = both.join(n.select(F.col("rep").alias("o"), F.col("n").alias("m")), "o").groupBy("rep").agg(F.sum("m").alias("m"), F.min("o").alias("o"))
+    x = c.join(n, "rep").join(far, "rep", "left")
+    own = F.when(F.col("id") == F.col("rep"), F.col("second")).otherwise(F.col("rep"))
+    x = x.select(F.col("id").alias("doc_id"), (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n"), F.least(own, F.col("o")).alias("first_partner"))
+    return x.where("n > 0")
 
 
 @query("jaccard_pairs", f"WITH tk AS (SELECT doc_id, list_distinct({TOKENS}) a FROM documents), q AS (SELECT item_id, list_distinct({TOKENS}) b FROM benchmark) SELECT item_id, doc_id, CASE WHEN len(list_distinct(a||b))=0 THEN 0.0 ELSE round(len(list_intersect(a,b))/len(list_distinct(a||b)),6) END jac FROM tk, q WHERE len(list_intersect(a,b))>=3")
@@ -379,22 +483,41 @@ def jaccard_pairs(spark, d):
     return both.select("item_id", "doc_id", F.round(F.col("c") / (F.col("nx") + F.col("ny") - F.col("c")), 6).alias("jac"))
 
 
-@query("chunk_mean_vec", """WITH m AS (SELECT label, i, avg(e) e FROM (SELECT label, unnest(list_transform(embedding, lambda x: x::DOUBLE)) e, generate_subscripts(embedding,1) i FROM embeddings) GROUP BY ALL),
- n AS (SELECT label, sqrt(sum(e*e)) l FROM m GROUP BY 1) SELECT label, CAST(i AS INTEGER) i, round(e/l,5) v FROM m JOIN n USING(label)""")
+PIECE = 64
+
+
+@query("chunk_mean_vec", f"""WITH w AS (SELECT doc_id id, unnest(a) t, (generate_subscripts(a,1)-1)//{PIECE} p FROM (SELECT doc_id, {TOKENS} a FROM documents)), {encode_sql('e', 'w', 'id, p')},
+ np AS (SELECT id, max(p)+1 n FROM w GROUP BY 1), m AS (SELECT id, i, sum(v)/n e FROM e JOIN np USING(id) GROUP BY id, i, n), l AS (SELECT id, sqrt(sum(e*e)) l FROM m GROUP BY 1)
+ SELECT d.doc_id, x.i::INTEGER i, round(coalesce(e/nullif(l,0),0.0),5) v FROM (SELECT id doc_id FROM np) d CROSS JOIN range(16) x(i) LEFT JOIN m ON m.id=d.doc_id AND m.i=x.i LEFT JOIN l ON l.id=d.doc_id""")
 def chunk_mean_vec(spark, d):
-    """Mean of a group's unit vectors, scaled to unit length again."""
-    m = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("p", "e")).groupBy("label", (F.col("p") + 1).alias("i")).agg(F.avg(F.col("e").cast("double")).alias("e"))
-    return m.select("label", "i", F.round(F.col("e") / F.sqrt(F.sum(F.col("e") * F.col("e")).over(Window.partitionBy("label"))), 5).alias("v"))
+    """Texts in pieces of 64 words, each encoded as a unit vector; the mean of a text's pieces, scaled to unit length again."""
+    t = docs(spark, d).select(F.col("doc_id").alias("id"), F.posexplode(R.token_array(F.col("text"))).alias("at", "t")).withColumn("p", F.floor(F.col("at") / PIECE))
+    piece = R.encode(t, "id", "p")
+    m = piece.groupBy("id").agg(*[F.avg(F.col("v")[k]).alias(f"m{k}") for k in range(R.DIM)])
+    norm = F.sqrt(sum((F.col(f"m{k}") * F.col(f"m{k}") for k in range(1, R.DIM)), F.col("m0") * F.col("m0")))
+    unit = F.array(*[F.round(F.coalesce(F.try_divide(F.col(f"m{k}"), norm), F.lit(0.0)), 5) for k in range(R.DIM)])
+    return m.select(F.col("id").alias("doc_id"), F.posexplode(unit).alias("i", "v"))
 
 
-@query("hash_encoder")
+@query("hash_encoder", f"WITH {TOK}, {encode_sql('e', 'tok')} SELECT d.id doc_id, x.i::INTEGER i, round(coalesce(e.v,0.0),6) v FROM (SELECT DISTINCT id FROM tok) d CROSS JOIN range(16) x(i) LEFT JOIN e ON e.id=d.id AND e.i=x.i")
 def hash_encoder(spark, d):
     """A stand-in for an encoder: signed feature hashing of words into 16 numbers, scaled to unit length."""
-    h = lambda t: F.xxhash64(t)
-    x = R.tokens(docs(spark, d), "doc_id", "text").select("id", F.pmod(h("t"), F.lit(16)).alias("i"), F.when(F.pmod(F.shiftright(h("t"), 20), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s"))
-    v = x.groupBy("id", "i").agg(F.sum("s").alias("v"))
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("id")))
-    return v.select(F.col("id").alias("doc_id"), F.col("i").cast("int").alias("i"), F.when(norm > 0, F.col("v") / norm).otherwise(0.0).alias("v"))
+    v = R.encode(R.tokens(docs(spark, d), "doc_id", "text"), "id")
+    return v.select(F.col("id").alias("doc_id"), F.posexplode("v").alias("i", "v")).select("doc_id", "i", F.round("v", 6).alias("v"))
+
+
+@query("struct_dense", f"""WITH base AS (SELECT p_partkey id, {CAMEL_SQL} a FROM (SELECT p_partkey, p_brand||replace(p_type,' ','') x FROM part)), tok AS (SELECT id, unnest(a) t FROM base),
+ qtok AS (SELECT p_size id, unnest(regexp_extract_all(lower(min(p_type)),'[\\p{{L}}\\p{{N}}]+')) t FROM part GROUP BY 1), {encode_sql('ev', 'tok')}, {encode_sql('eq', 'qtok')},
+ s AS (SELECT q, id, coalesce(score,0.0) score FROM (SELECT DISTINCT id q FROM qtok) CROSS JOIN (SELECT DISTINCT id FROM tok) LEFT JOIN (SELECT eq.id q, ev.id id, round(sum(eq.v*ev.v),6) score FROM eq JOIN ev USING(i) GROUP BY ALL) USING(q,id)), {RANKED}
+ SELECT q p_size, id p_partkey, score, rank FROM rk WHERE rank<=3""")
+def struct_dense(spark, d):
+    """Vectors of the words of identifiers instead of running text."""
+    p = table(spark, d, "part")
+    words = p.select(F.col("p_partkey").alias("id"), F.explode(camel(F.concat("p_brand", F.regexp_replace("p_type", " ", "")))).alias("t"))
+    q = R.tokens(p.groupBy("p_size").agg(F.min("p_type").alias("text")), "p_size", "text").withColumn("id", F.col("id").cast("long"))
+    s = R.nearest(R.encode(q, "id").select(F.col("id").alias("q"), "v"), R.encode(words, "id"), 3, own=True)
+    top = R.rank(R.with_zeros(s, q.select(F.col("id").alias("q")), words.select("id").distinct(), 3), 3)
+    return top.select(F.col("q").alias("p_size"), F.col("id").alias("p_partkey"), "score", "rank")
 
 
 @query("stem_tokens")

@@ -5,16 +5,41 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..sources.tables import dimension, table
+from ..sources.tables import table
 from .registry import query
 
 
-def values(rows: list[str]) -> str:
-    return ", ".join("('" + r.replace("'", "''") + "')" for r in rows)
+#: Notations made of the columns of part, in an SQL that both engines read.
+MULT = "CASE p_partkey%10 WHEN 0 THEN '' WHEN 1 THEN 'n' WHEN 2 THEN 'N' WHEN 3 THEN (p_size%3)||'..n' WHEN 4 THEN (p_size%3)||'...*' WHEN 5 THEN (p_size%2)||'..'||(p_size%2) WHEN 6 THEN ' 0 .. N ' WHEN 7 THEN '0..*' WHEN 8 THEN '1....N' ELSE p_size||'..'||(p_size+3) END"
+TYPE = "CASE p_partkey%16 WHEN 0 THEN 'Int' WHEN 1 THEN 'integer' WHEN 2 THEN 'String' WHEN 3 THEN 'Text' WHEN 4 THEN 'Bool[]' WHEN 5 THEN 'DateTime' WHEN 6 THEN 'Real' WHEN 7 THEN 'Address' WHEN 8 THEN 'Price[]' WHEN 9 THEN 'text' WHEN 10 THEN 'long' WHEN 11 THEN 'Guid[][]' WHEN 12 THEN 'Float' WHEN 13 THEN 'Supplier' WHEN 14 THEN 'date' ELSE split_part(p_type,' ',1) END"
+DECLARED = "CASE p_size%3 WHEN 0 THEN 'Address' WHEN 1 THEN 'Price' ELSE 'Supplier' END"
+WORD = "split_part(p_name,' ',1)"
+ATTR = f"CASE p_partkey%8 WHEN 0 THEN '- '||{WORD}||' : '||{TYPE} WHEN 1 THEN 'Int '||{WORD}||' {{frozen}}' WHEN 2 THEN '{{Static, readOnly}} const int K'||p_size||' = '||p_size WHEN 3 THEN '+ '||{WORD}||':double=0.5' WHEN 4 THEN {WORD}||'[]  list'||p_size WHEN 5 THEN {WORD} WHEN 6 THEN ' #'||{WORD}||' : '||{TYPE}||' = a:b=c' ELSE '' END"
+METHOD = f"CASE p_partkey%7 WHEN 0 THEN '+ add'||p_size||'(x: int, y): '||{TYPE} WHEN 1 THEN {TYPE}||' get_'||{WORD}||'()' WHEN 2 THEN '- run(a, b)' WHEN 3 THEN 'size() :'||{TYPE} WHEN 4 THEN {WORD} WHEN 5 THEN '~set('||{WORD}||' v) void' ELSE 'f(g(1), 2)' END"
+END = f"CASE p_partkey%6 WHEN 0 THEN '0..1  '||{WORD} WHEN 1 THEN '*' WHEN 2 THEN {WORD} WHEN 3 THEN '1..* {{ordered, unique}} the '||{WORD} WHEN 4 THEN '{{xor}}' ELSE '' END"
+LABEL = f"CASE p_partkey%9 WHEN 0 THEN {WORD}||' >' WHEN 1 THEN '< '||{WORD}||' to' WHEN 2 THEN '>'||{WORD} WHEN 3 THEN {WORD}||'<' WHEN 4 THEN '<<'||{WORD}||'>>' WHEN 5 THEN '>' WHEN 6 THEN 'a->' WHEN 7 THEN '' ELSE ' '||{WORD}||' ' END"
+QUOTED = f"'A \"'||trim({MULT})||'\" -- \"'||CASE p_size%3 WHEN 0 THEN '1..1' WHEN 1 THEN 'n' ELSE '0..n' END||'\" B'||p_partkey"
 
 
-def literal(spark, rows):
-    return dimension(spark, [(r,) for r in rows], "s string")
+def made(spark, d, text):
+    """(p_partkey, s, declared) of part: the notation ``text`` and a declared class."""
+    return table(spark, d, "part").select("p_partkey", F.expr(text).alias("s"), F.array(F.expr(DECLARED)).alias("declared"))
+
+
+def made_sql(text):
+    return f"(SELECT p_partkey, {text} s, {DECLARED} declared FROM part)"
+
+
+def sql_map(names):
+    return "MAP {" + ",".join(f"'{k}':'{v}'" for k, v in names.items()) + "}"
+
+
+def type_sql(x, declared="declared"):
+    base, suffix = f"regexp_replace({x},'(\\[\\])+$','')", f"regexp_extract({x},'((\\[\\])*)$',1)"
+    return f"coalesce(CASE WHEN {base}<>{declared} THEN {sql_map(X.DOMAIN_TYPES)}[{base}] END, {sql_map(X.TYPE_NAMES)}[{base}], {base})||{suffix}"
+
+
+PLAIN = "CASE WHEN regexp_matches(trim(s),'^[-+#~]') THEN trim(substr(trim(s),2)) ELSE trim(s) END"
 
 
 @query("norm_names", "SELECT p_partkey, regexp_replace(lower(p_name||' '||p_brand),'[^0-9a-z]','','g') n FROM part")
@@ -22,67 +47,52 @@ def norm_names(spark, d):
     return table(spark, d, "part").select("p_partkey", X.norm(F.concat_ws(" ", "p_name", "p_brand")).alias("n"))
 
 
-MULTS = ["", "n", "N", "0..n", "1..N", "1...*", "0..*", "1..1", " 0 .. N ", "2..5", "*", "0..1", "1..n"]
-
-
-@query("norm_mult", f"WITH a AS (SELECT s, replace(s,' ','') t FROM (VALUES {values(MULTS)}) v(s)) SELECT s, CASE WHEN u='0..*' THEN '*' WHEN u='1..1' THEN '1' ELSE u END m FROM (SELECT s, CASE WHEN lower(t)='n' THEN '*' ELSE regexp_replace(t,'\\.\\.[nN]$','..*') END u FROM a)")
+@query("norm_mult", f"SELECT p_partkey, s, CASE WHEN u='0..*' THEN '*' WHEN u='1..1' THEN '1' ELSE u END m FROM (SELECT p_partkey, s, CASE WHEN lower(t)='n' THEN '*' ELSE regexp_replace(t,'\\.\\.[nN]$','..*') END u FROM (SELECT p_partkey, s, replace(s,' ','') t FROM {made_sql(MULT)}))")
 def norm_mult(spark, d):
-    return literal(spark, MULTS).select("s", X.norm_mult(F.col("s")).alias("m"))
+    return made(spark, d, MULT).select("p_partkey", "s", X.norm_mult(F.col("s")).alias("m"))
 
 
-@query("norm_mult_etl", f"SELECT s, CASE WHEN u IN ('n','N') THEN '*' ELSE regexp_replace(u,'(^|\\.\\.)[nN]$','\\1*') END m FROM (SELECT s, regexp_replace(replace(s,' ',''),'\\.{{3}}','..','g') u FROM (VALUES {values(MULTS)}) v(s))")
+@query("norm_mult_etl", f"SELECT p_partkey, s, CASE WHEN u IN ('n','N') THEN '*' ELSE regexp_replace(u,'\\.\\.[nN]$','..*') END m FROM (SELECT p_partkey, s, regexp_replace(s,'\\.{{3,}}','..','g') u FROM {made_sql(MULT)})")
 def norm_mult_etl(spark, d):
     """The variant of loading: dots mended, n as *, and 0..* kept."""
-    return literal(spark, MULTS).select("s", X.norm_mult_etl(F.col("s")).alias("m"))
-
-
-TYPES = ["Int", "integer", "String", "text", "Boolean", "bool", "float", "Double", "Int[]", "Customer", "date", "String[][]", "Money"]
+    return made(spark, d, MULT).select("p_partkey", "s", X.norm_mult_etl(F.col("s")).alias("m"))
 
 
-@query("type_normalize", f"""WITH m AS (SELECT * FROM (VALUES ('int','int'),('integer','int'),('string','string'),('text','string'),('boolean','boolean'),('bool','boolean'),('float','float'),('double','double'),('date','date')) t(k,v))
- SELECT s, coalesce(CASE WHEN b='Customer' THEN b END, v, b)||sfx t FROM (SELECT s, regexp_replace(s,'(\\[\\])+$','') b, regexp_extract(s,'((\\[\\])*)$',1) sfx FROM (VALUES {values(TYPES)}) x(s)) LEFT JOIN m ON k=lower(b)""")
+@query("type_normalize", f"SELECT p_partkey, s, {type_sql('s')} t FROM {made_sql(TYPE)}")
 def type_normalize(spark, d):
     """Type names by a table, array marks kept, declared classes as they are."""
-    return literal(spark, TYPES).select("s", X.normalize_type(F.col("s"), ["Customer"]).alias("t"))
+    return made(spark, d, TYPE).select("p_partkey", "s", X.normalize_type(F.col("s"), F.col("declared")).alias("t"))
 
 
-ATTRS = ["- id : int", "Int x {frozen}", "{static} const int K = 32", "+ total : double = 0", "T[] xs", "name", "# owner: Person", "~ rate : float = 1.5"]
-
-
-@query("parse_attribute", f"""WITH a AS (SELECT s, trim(regexp_replace(s,'\\{{[^}}]*\\}}','','g')) t FROM (VALUES {values(ATTRS)}) v(s)),
- b AS (SELECT s, regexp_extract(t,'^([-+#~])',1) vis, trim(regexp_replace(t,'^[-+#~]\\s*','')) t FROM a), c AS (SELECT s, vis, regexp_matches(t,'^const\\s') const, trim(regexp_extract(t,'=(.*)$',1)) dflt, trim(regexp_replace(regexp_replace(t,'^const\\s+',''),'=.*$','')) t FROM b)
- SELECT s, vis, const, dflt, CASE WHEN contains(t,':') THEN trim(split_part(t,':',1)) WHEN contains(t,' ') THEN regexp_extract(t,'(\\S+)$',1) ELSE t END AS name, CASE WHEN contains(t,':') THEN trim(split_part(t,':',2)) WHEN contains(t,' ') THEN trim(regexp_replace(t,'\\S+$','')) ELSE '' END AS typ FROM c""")
+@query("parse_attribute", f"""WITH a AS (SELECT p_partkey, {PLAIN} s FROM {made_sql(ATTR)}),
+ b AS (SELECT p_partkey, list_filter(regexp_split_to_array(lower(array_to_string(regexp_extract_all(s,'\\{{([^}}]*)\\}}',1),' ')),'[,\\s]+'), lambda m: m<>'') marks, trim(regexp_replace(regexp_replace(s,'\\{{[^}}]*\\}}',' ','g'),'\\s+',' ','g')) s FROM a),
+ c AS (SELECT p_partkey, CASE WHEN starts_with(s,'const ') THEN list_append(marks,'const') ELSE marks END marks, CASE WHEN starts_with(s,'const ') THEN trim(substr(s,7)) ELSE s END s FROM b),
+ e AS (SELECT p_partkey, marks, CASE WHEN contains(s,'=') THEN trim(substr(s,strpos(s,'=')+1)) END dflt, CASE WHEN contains(s,'=') THEN trim(split_part(s,'=',1)) ELSE s END s FROM c)
+ SELECT p_partkey, CASE WHEN contains(s,':') THEN trim(split_part(s,':',1)) ELSE regexp_extract(s,'(\\S*)$',1) END AS name, CASE WHEN contains(s,':') THEN trim(substr(s,strpos(s,':')+1)) ELSE trim(regexp_replace(s,'\\S*$','')) END AS typ, dflt, array_to_string(marks,',') modifiers FROM e""")
 def parse_attribute(spark, d):
-    return literal(spark, ATTRS).select("s", *X.parse_attribute(F.col("s")))
-
+    return made(spark, d, ATTR).select("p_partkey", *X.parse_attribute(F.col("s"))).withColumn("modifiers", F.array_join("modifiers", ","))
 
-METHODS = ["+ add(x: int): void", "getName() : String", "- run(a, b)", "size(): int", "sum(double x, double y) double"]
 
-
-@query("parse_method", f"""SELECT s, regexp_extract(s,'^([-+#~])',1) vis, trim(regexp_replace(split_part(s,'(',1),'^[-+#~]\\s*','')) AS name, CASE WHEN trim(regexp_extract(s,'\\((.*)\\)',1))='' THEN 0 ELSE len(string_split(regexp_extract(s,'\\((.*)\\)',1),',')) END n_params, trim(regexp_replace(regexp_extract(s,'\\)([^)]*)$',1),'^\\s*:','')) ret FROM (VALUES {values(METHODS)}) v(s)""")
+@query("parse_method", f"""WITH a AS (SELECT p_partkey, declared, {PLAIN} s FROM {made_sql(METHOD)}), b AS (SELECT *, regexp_matches(s,'^(.*)\\(([^(]*)\\)([^)]*)$') ok, trim(regexp_extract(s,'^(.*)\\(([^(]*)\\)([^)]*)$',1)) bef, regexp_extract(s,'^(.*)\\(([^(]*)\\)([^)]*)$',2) par, trim(regexp_extract(s,'^(.*)\\(([^(]*)\\)([^)]*)$',3)) aft FROM a),
+ c AS (SELECT *, CASE WHEN aft='' AND regexp_matches(bef,'\\S\\s+\\S') THEN regexp_extract(bef,'(\\S+)$',1) ELSE bef END nam, CASE WHEN aft<>'' THEN trim(regexp_replace(aft,'^:+','')) WHEN regexp_matches(bef,'\\S\\s+\\S') THEN trim(regexp_replace(bef,'\\S+$','')) ELSE '' END ret FROM b)
+ SELECT p_partkey, CASE WHEN NOT ok THEN '+ '||s WHEN ret<>'' THEN '+ '||nam||'('||par||') : '||{type_sql('ret')} ELSE '+ '||nam||'('||par||')' END sig FROM c""")
 def parse_method(spark, d):
-    return literal(spark, METHODS).select("s", *X.parse_method(F.col("s")))
-
-
-ENDS = ["0..1 owner", "* items", "1", "customer", "2..5  wheels left", "", "n part"]
+    return made(spark, d, METHOD).select("p_partkey", X.method_signature(F.col("s"), F.col("declared")).alias("sig"))
 
 
-@query("mult_role", f"""SELECT s, CASE WHEN regexp_matches(h,'^[0-9*nN.]+$') THEN h ELSE '' END mult, CASE WHEN regexp_matches(h,'^[0-9*nN.]+$') THEN trim(substr(s,length(h)+1)) ELSE s END AS role FROM (SELECT s, regexp_extract(s,'^(\\S*)',1) h FROM (VALUES {values(ENDS)}) v(s))""")
+@query("mult_role", f"SELECT p_partkey, regexp_extract(s,'^(\\S*)',1) mult, regexp_extract(s,'^\\S+ (.*)$',1) AS role FROM (SELECT p_partkey, trim(regexp_replace(regexp_replace(s,'\\{{[^}}]*\\}}',' ','g'),'\\s+',' ','g')) s FROM {made_sql(END)})")
 def mult_role(spark, d):
-    return literal(spark, ENDS).select("s", *X.mult_role(F.col("s")))
+    return made(spark, d, END).select("p_partkey", *X.mult_role(F.col("s")))
 
 
-READINGS = ["owns >", "< belongs to", "uses", "> has", "part of <", ""]
-
-
-@query("reading_dir", f"""SELECT s, trim(regexp_replace(s,'^[<>]\\s*|\\s*[<>]$','','g')) label, CASE WHEN regexp_matches(s,'^>|>$') THEN 'forward' WHEN regexp_matches(s,'^<|<$') THEN 'back' ELSE '' END dir FROM (VALUES {values(READINGS)}) v(s)""")
+@query("reading_dir", f"SELECT p_partkey, s, CASE WHEN regexp_matches(t,' [<>]$') THEN rtrim(t[:-3]) WHEN regexp_matches(t,'^[<>] ') THEN ltrim(t[3:]) WHEN length(t)>1 AND regexp_matches(t,'[^<>-][<>]$') THEN rtrim(t[:-2]) WHEN length(t)>1 AND regexp_matches(t,'^[<>][^<>]') THEN ltrim(t[2:]) ELSE t END label FROM (SELECT p_partkey, s, trim(s) t FROM {made_sql(LABEL)})")
 def reading_dir(spark, d):
-    return literal(spark, READINGS).select("s", *X.reading_direction(F.col("s")))
+    return made(spark, d, LABEL).select("p_partkey", "s", X.reading_direction(F.col("s")).alias("label"))
 
 
-@query("attr_name", f"SELECT s, trim(regexp_replace(split_part(s,':',1),'^\\s*[-+#~]\\s*','')) n FROM (VALUES {values(ATTRS)}) v(s)")
+@query("attr_name", f"SELECT p_partkey, trim(regexp_replace(split_part(s,':',1),'^[\\s+\\-#~]+','')) n FROM {made_sql(ATTR)}")
 def attr_name(spark, d):
-    return literal(spark, ATTRS).select("s", X.attribute_name(F.col("s")).alias("n"))
+    return made(spark, d, ATTR).select("p_partkey", X.attribute_name(F.col("s")).alias("n"))
 
 
 GLOSSARY = [("forest", "foresta"), ("forest green", "verde bosco"), ("steel", "acciaio"), ("brass", "ottone"), ("the", "il")]
@@ -94,12 +104,9 @@ def glossary_replace(spark, d):
     return table(spark, d, "part").select("p_partkey", X.glossary(F.lower(F.concat_ws(" ", "p_name", "p_type")), GLOSSARY).alias("t"))
 
 
-QUOTED = ['A "0..n" -- "1" B', 'C "1..1" --> "*" D', 'E --|> F', 'G "n" o-- "1..n" H']
-
-
-@query("quoted_rewrite", f"""SELECT s, regexp_replace(regexp_replace(s,'"([0-9]*)(\\.\\.)?[nN]"','"\\1\\2*"','g'),'"1\\.\\.1"','"1"','g') t FROM (VALUES {values(QUOTED)}) v(s)""")
+@query("quoted_rewrite", f"""SELECT p_partkey, regexp_replace(regexp_replace(s,'"([0-9]*)(\\.\\.)?[nN]"','"\\1\\2*"','g'),'"1\\.\\.1"','"1"','g') t FROM {made_sql(QUOTED)}""")
 def quoted_rewrite(spark, d):
-    return literal(spark, QUOTED).select("s", F.regexp_replace(F.regexp_replace("s", r'"([0-9]*)(\.\.)?[nN]"', '"$1$2*"'), r'"1\.\.1"', '"1"').alias("t"))
+    return made(spark, d, QUOTED).select("p_partkey", X.quoted_multiplicities(F.col("s")).alias("t"))
 
 
 @query("paragraph_exclude", r"SELECT doc_id, strlen(t) n FROM (SELECT doc_id, regexp_replace(replace(text,'Released under the MIT License.',''),'\n{2,}',chr(10),'g') t FROM documents)")
@@ -131,22 +138,25 @@ def sentence_topk(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(s).alias("p", "s")).select("doc_id", (F.col("p") + 1).alias("i"), "s")
 
 
-FK = r"SELECT doc_id, len(regexp_extract_all(lower(text),'[a-zà-ÿ]+')) w, greatest(len(regexp_extract_all(text,'[.!?]+')),1) s, len(regexp_extract_all(lower(text),'[aeiouyàâäáéèêëíîïóôöúùûü]+')) v FROM documents"
+FK = r"SELECT doc_id, lang, len(regexp_extract_all(lower(text),'[a-zà-ÿ]+')) w, greatest(len(regexp_extract_all(text,'[.!?]+')),1) s, len(regexp_extract_all(lower(text),'[aeiouyàâäáéèêëíîïóôöúùûü]+')) v FROM documents"
 
 
-@query("fk_grade", f"SELECT doc_id, round(0.39::DOUBLE*w/s+11.8::DOUBLE*v/w-15.59::DOUBLE,4) grade FROM ({FK}) WHERE w>0")
+@query("fk_grade", f"SELECT doc_id, CASE WHEN w>0 THEN round(0.39::DOUBLE*w/s+11.8::DOUBLE*v/w-15.59::DOUBLE,4) END grade FROM ({FK})")
 def fk_grade(spark, d):
-    """Flesch-Kincaid grade with groups of vowels as syllables."""
+    """Flesch-Kincaid grade with groups of vowels as syllables; null for a text without words."""
+    return _grades(spark, d).select("doc_id", "grade")
+
+
+def _grades(spark, d):
     t = F.lower("text")
-    x = table(spark, d, "documents").select("doc_id", F.regexp_count(t, F.lit("[a-zà-ÿ]+")).alias("w"), F.greatest(F.regexp_count("text", F.lit("[.!?]+")), F.lit(1)).alias("s"), F.regexp_count(t, F.lit("[aeiouyàâäáéèêëíîïóôöúùûü]+")).alias("v")).where("w > 0")
-    return x.select("doc_id", F.round(F.lit(0.39) * F.col("w") / F.col("s") + F.lit(11.8) * F.col("v") / F.col("w") - 15.59, 4).alias("grade"))
+    x = table(spark, d, "documents").select("doc_id", "lang", F.regexp_count(t, F.lit("[a-zà-ÿ]+")).alias("w"), F.greatest(F.regexp_count("text", F.lit("[.!?]+")), F.lit(1)).alias("s"), F.regexp_count(t, F.lit("[aeiouyàâäáéèêëíîïóôöúùûü]+")).alias("v"))
+    grade = F.round(F.lit(0.39) * F.col("w") / F.col("s") + F.lit(11.8) * F.try_divide(F.col("v"), F.col("w")) - 15.59, 4)
+    return x.select("doc_id", "lang", F.coalesce("w", F.lit(0)).cast("long").alias("size"), F.when(F.col("w") > 0, grade).alias("grade"))
 
 
-@query("exercise_difficulty", f"SELECT doc_id, lang, round(0.39::DOUBLE*w/s+11.8::DOUBLE*v/w-15.59::DOUBLE,4) grade, w size, coalesce(quality,-1) gold FROM ({FK}) JOIN documents USING(doc_id) LEFT JOIN labels USING(doc_id) WHERE w>0")
+@query("exercise_difficulty", f"SELECT doc_id, lang, CASE WHEN w>0 THEN round(0.39::DOUBLE*w/s+11.8::DOUBLE*v/w-15.59::DOUBLE,4) END grade, coalesce(w,0) size, coalesce(quality,-1) gold FROM ({FK}) LEFT JOIN labels USING(doc_id)")
 def exercise_difficulty(spark, d):
-    docs, lab = table(spark, d, "documents").select("doc_id", "lang", "text"), table(spark, d, "labels").select("doc_id", "quality")
-    size = docs.select("doc_id", "lang", F.regexp_count(F.lower("text"), F.lit("[a-zà-ÿ]+")).cast("long").alias("size"))
-    return fk_grade(spark, d).join(size, "doc_id").join(lab, "doc_id", "left").select("doc_id", "lang", "grade", "size", F.coalesce("quality", F.lit(-1)).alias("gold"))
+    return _grades(spark, d).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", "lang", "grade", "size", F.coalesce("quality", F.lit(-1)).alias("gold"))
 
 
 @query("token_proxy", "SELECT doc_id, ceil(length(text)/4.0)::BIGINT tokens, length(text)>8000 truncated FROM documents")
@@ -200,7 +210,9 @@ def kv_parse(spark, d):
     return table(spark, d, "events").select("event_id", F.trim(p[0]).alias("k"), F.trim(p[1]).cast("long").alias("v"))
 
 
-@query("regex_section_split", "SELECT doc_id, CAST(i AS INTEGER) i, length(s) n FROM (SELECT doc_id, unnest(x) s, generate_subscripts(x,1) i FROM (SELECT doc_id, regexp_split_to_array(text,'\\n') x FROM documents))")
+@query("regex_section_split", r"WITH p AS (SELECT doc_id, regexp_replace(text, '(^|\n)([0-9]+(?:\.[0-9]+)*[.)]? )', '\1'||chr(1)||'\2', 'g') x FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(i AS INTEGER) i, length(s) n, regexp_extract(s,'^([0-9]+(?:\.[0-9]+)*)[.)]? ',1) heading FROM (SELECT doc_id, unnest(a) s, generate_subscripts(a,1) i FROM (SELECT doc_id, string_split(x,chr(1)) a FROM p))")
 def regex_section_split(spark, d):
-    """Parts between headings; here each line begins one."""
-    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "s")).select("doc_id", (F.col("p") + 1).alias("i"), F.length("s").cast("long").alias("n"))
+    """Parts that begin at numbered headings, with the number; the first part is what comes before any."""
+    x = F.split(F.regexp_replace("text", r"(^|\n)([0-9]+(?:\.[0-9]+)*[.)]? )", "$1\u0001$2"), "\u0001", -1)
+    s = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(x).alias("p", "s"))
+    return s.select("doc_id", (F.col("p") + 1).alias("i"), F.length("s").cast("long").alias("n"), F.regexp_extract("s", r"^([0-9]+(?:\.[0-9]+)*)[.)]? ", 1).alias("heading"))
