@@ -2,79 +2,107 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scan
+from ..functions import text as X
 from ..sources.tables import dimension, table
 from .registry import query
 
-RESPONSES = [
-    "<think>plan</think>{\"a\":1}", "left over</think>{\"a\":2}", "{\"a\":3}<think>never closed", "text ```json\n{\"a\":4}\n``` end", "no json", "{\"a\":{\"b\":\"}\"}} tail", "{\"a\":5", "[reasoning]x[/reasoning]\n{\"c\":\"{\"}", "", "{}{\"long\":\"object\"}",
-]
+#: Responses made of the turns of conversations, in an SQL that both engines read; a turn's own signs of structure are taken out, so that what must be found is known.
+TURN = "translate(text,'{}`<>|','')"
+RESPONSE = f"""CASE (conv_id*7+turn)%14 WHEN 0 THEN '<think>'||{TURN}||'</think>{{"a":'||turn||'}}' WHEN 1 THEN {TURN}||'</think>{{"a":1}}</think> tail' WHEN 2 THEN '{{"a":3}}<Thinking>'||{TURN}
+ WHEN 3 THEN {TURN}||chr(10)||'```json'||chr(10)||'{{"a":4}}'||chr(10)||'```'||chr(10)||'```'||chr(10)||'[1]'||chr(10)||'```' WHEN 4 THEN {TURN} WHEN 5 THEN ' {{"a":{{"b":"}}"}}}} ' WHEN 6 THEN {TURN}||' {{"a":'
+ WHEN 7 THEN '<reasoning>'||{TURN}||'</reasoning>{{"c":"{{"}} and {{"longer":"object"}}' WHEN 8 THEN '' WHEN 9 THEN '```'||chr(10)||'not json'||chr(10)||'``` {{"a":1}}' WHEN 10 THEN '{{}}{{"broken":}} {{"x":[1]}}'
+ WHEN 11 THEN '<|channel> thought'||{TURN}||'<channel|>[1,2]' WHEN 12 THEN '{{"only":broken}}' ELSE '<think>a</think><think>b'||{TURN} END"""
+# Marks around reasoning, by name.
+MARKERS = {"think": ("<think>", "</think>"), "thinking": ("<thinking>", "</thinking>"), "reasoning": ("<reasoning>", "</reasoning>"), "gemma4_channel_thought": (r"<\|channel>\s*thought", r"<channel\|>")}
 
 
 def sql_values(rows):
     return ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'" for v in r) + ")" for r in rows)
 
 
-def numbered(rows):
-    return sql_values([(i, r) for i, r in enumerate(rows)])
+def responses(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.expr(RESPONSE).alias("t"))
 
 
-def responses(spark):
-    return dimension(spark, list(enumerate(RESPONSES)), "id int, t string")
+RESPONSES = f"(SELECT conv_id, turn, {RESPONSE} t FROM conversations)"
 
 
 def strip(text):
-    """Closed blocks go; before a lone closing mark everything goes, after a lone opening one too."""
-    for m in ("<think>", "[reasoning]"):
-        o, c = m.replace("[", r"\[").replace("]", r"\]"), (m[0] + "/" + m[1:]).replace("[", r"\[").replace("]", r"\]")
-        for p in (f"(?is){o}.*?{c}", f"(?is)^.*{c}", f"(?is){o}.*$"):
+    """A response without reasoning, mark by mark: closed blocks go, then all up to the first lone closing mark, then all from a lone opening one."""
+    for o, c in MARKERS.values():
+        for p in (f"(?is){o}.*?{c}", f"(?is)^.*?{c}", f"(?is){o}.*$"):
             text = F.regexp_replace(text, p, "")
-    return F.trim(text)
+    return text
 
 
 def strip_sql(x):
-    for o, c in (("<think>", "</think>"), (r"\[reasoning\]", r"\[/reasoning\]")):
-        for p in (f"(?is){o}.*?{c}", f"(?is)^.*{c}", f"(?is){o}.*$"):
+    for o, c in MARKERS.values():
+        for p in (f"(?is){o}.*?{c}", f"(?is)^.*?{c}", f"(?is){o}.*$"):
             x = f"regexp_replace({x},'{p}','','g')"
-    return f"trim({x})"
+    return x
 
 
-@query("strip_blocks", f"SELECT id, {strip_sql('t')} s FROM (VALUES {numbered(RESPONSES)}) v(id,t) UNION ALL SELECT (1000+page_id)::INTEGER, length(regexp_replace(html,'(?is)<script.*?</script>','','g'))::VARCHAR FROM pages")
+@query("strip_blocks", f"SELECT conv_id, turn, s, s<>t removed FROM (SELECT *, {strip_sql('t')} s FROM {RESPONSES})")
 def strip_blocks(spark, d):
-    pages = table(spark, d, "pages").select((1000 + F.col("page_id")).cast("int").alias("id"), F.length(F.regexp_replace("html", "(?is)<script.*?</script>", "")).cast("string").alias("s"))
-    return responses(spark).select("id", strip(F.col("t")).alias("s")).unionByName(pages)
+    return responses(spark, d).withColumn("s", strip(F.col("t"))).select("conv_id", "turn", "s", (F.col("s") != F.col("t")).alias("removed"))
+
+
+MARKS_SQL = ", ".join(f"CASE WHEN regexp_matches(t,'(?i){o}') OR regexp_matches(t,'(?i){c}') THEN '{n}' END" for n, (o, c) in MARKERS.items())
 
 
-@query("marker_flags", f"SELECT id, contains(t,'<think>') open_mark, contains(t,'</think>') close_mark, regexp_matches(t,'```') fence, regexp_matches(t,'\\[/?reasoning\\]') bracket FROM (VALUES {numbered(RESPONSES)}) v(id,t)")
+@query("marker_flags", f"SELECT conv_id, turn, array_to_string(list_filter([{MARKS_SQL}], lambda x: x IS NOT NULL),',') marks FROM {RESPONSES}")
 def marker_flags(spark, d):
+    """Names of the marks that a response holds."""
     t = F.col("t")
-    return responses(spark).select("id", t.contains("<think>").alias("open_mark"), t.contains("</think>").alias("close_mark"), t.rlike("```").alias("fence"), t.rlike(r"\[/?reasoning\]").alias("bracket"))
+    marks = F.array_compact(F.array(*[F.when(t.rlike(f"(?i){o}") | t.rlike(f"(?i){c}"), n) for n, (o, c) in MARKERS.items()]))
+    return responses(spark, d).select("conv_id", "turn", F.array_join(marks, ",").alias("marks"))
 
 
-@query("extract_json")
+# What must come out of each kind of response, worked out by hand.
+EXPECTED = [
+    (0, None, "raw"), (1, None, "braces"), (2, '{"a":3}', "raw"), (3, '{"a":4}', "fence"), (4, "", ""), (5, '{"a":{"b":"}"}}', "raw"), (6, "", ""), (7, '{"longer":"object"}', "braces"), (8, "", ""), (9, "not json", "fence"),
+    (10, '{"x":[1]}', "braces"), (11, "", ""), (12, '{"only":broken}', "raw"), (13, "", ""),
+]
+
+
+@query("extract_json", f"""SELECT conv_id, turn, CASE e.k WHEN 0 THEN '{{"a":'||turn||'}}' WHEN 1 THEN '{{"a":1}}' ELSE nullif(json,'') END AS json, how AS method FROM (SELECT conv_id, turn, (conv_id*7+turn)%14 k FROM conversations) x JOIN (VALUES {sql_values(EXPECTED)}) e(k,json,how) ON e.k=x.k""")
 def extract_json(spark, d):
-    return responses(spark).select("id", strip(F.col("t")).alias("t")).select("id", scan.json_of("t").alias("json"))
+    """The JSON of a response: whole, fenced, or between braces; null where there is none."""
+    x = responses(spark, d).select("conv_id", "turn", strip(F.col("t")).alias("t"))
+    return x.select("conv_id", "turn", scan.json_of("t").alias("x")).select("conv_id", "turn", "x.json", "x.method")
 
 
-@query("brace_scan")
+@query("brace_scan", f"SELECT conv_id, turn, CASE k WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 5 THEN 1 WHEN 7 THEN 2 WHEN 9 THEN 1 WHEN 10 THEN 3 WHEN 12 THEN 1 ELSE 0 END::BIGINT n FROM (SELECT conv_id, turn, (conv_id*7+turn)%14 k FROM conversations)")
 def brace_scan(spark, d):
-    return responses(spark).select("id", F.posexplode(scan.braces("t")).alias("pos", "part"))
+    """How many outermost {...} a response has, braces inside strings left out."""
+    return responses(spark, d).select("conv_id", "turn", F.size(scan.braces("t")).cast("long").alias("n"))
+
+
+NODE = '{"id":"n1","type":"class","position":{"x":0,"y":0},"width":160,"height":80,"data":{"name":"A","attributes":[{"id":"a1","name":"+ x : int"}],"methods":[{"id":"m1","name":"size(): int"}]}}'
+EDGE = '{"id":"e1","source":"n1","target":"n2","data":{"sourceMultiplicity":"1","targetMultiplicity":"1..n"}}'
+DIAGRAM = f'{{"version":"4.2.0","type":"ClassDiagram","nodes":[{NODE},' + '{"id":"n2","data":{"name":"B"}}],"edges":[' + EDGE + "]}"
+#: (response, cut off, level, failure, how it was found, rewritings)
+LADDER = [
+    (DIAGRAM, 0, 4, "", "raw", 2), ("<think>{</think>" + DIAGRAM, 0, 4, "", "raw", 2), ("none here", 0, -1, "no_json", "", 0), (DIAGRAM[:80], 0, -1, "incomplete_json", "", 0), (DIAGRAM[:80], 1, -1, "truncated", "", 0),
+    ("see {a} there", 0, 0, "invalid_json", "braces", 0), ("```json\n[1]\n```", 0, 0, "not_object", "fence", 0), ('{"nodes":[]}', 0, 1, "schema", "raw", 0), (DIAGRAM.replace('"target":"n2"', '"target":"n9"'), 0, 2, "integrity", "raw", 0),
+    (DIAGRAM.replace('"id":"a1"', '"id":"n1"'), 0, 2, "integrity", "raw", 0), (DIAGRAM.replace("+ x : int", "x : int"), 0, 3, "style", "raw", 2), (DIAGRAM.replace("+ x : int", "+ x : Money"), 0, 3, "style", "raw", 2), (DIAGRAM.replace("+ x : int", "+ x : B[]"), 0, 4, "", "raw", 2),
+    (DIAGRAM.replace("1..n", "2..N"), 0, 3, "style", "raw", 1), (DIAGRAM.replace('"name":"B"', '"name":7'), 0, 1, "schema", "raw", 0),
+]
 
 
-@query("level_ladder", """SELECT conv_id, turn, CASE WHEN NOT l0 THEN -1 WHEN NOT l1 THEN 0 WHEN NOT l2 THEN 1 WHEN NOT l3 THEN 2 ELSE 3 END::INTEGER lvl, CASE WHEN NOT l0 THEN 'empty' WHEN NOT l1 THEN 'short' WHEN NOT l2 THEN 'no_end' WHEN NOT l3 THEN 'marks' ELSE '' END failure
- FROM (SELECT conv_id, turn, length(trim(text))>0 l0, length(text)>=40 l1, regexp_matches(text,'[.!?]\\s*$') l2, NOT regexp_matches(text,'(%%%|&&&|###)') l3 FROM conversations)""")
+@query("level_ladder", f"SELECT c_custkey, lvl, failure, how AS extraction, n AS rewrites FROM customer JOIN (VALUES {sql_values([(i, *r[2:]) for i, r in enumerate(LADDER)])}) e(k,lvl,failure,how,n) ON k=c_custkey%{len(LADDER)}")
 def level_ladder(spark, d):
-    """Levels build on each other; the failure names the first that isn't reached."""
-    t = F.col("text")
-    checks = [(F.length(F.trim(t)) > 0, "empty"), (F.length(t) >= 40, "short"), (t.rlike(r"[.!?]\s*$"), "no_end"), (~t.rlike("(%%%|&&&|###)"), "marks")]
-    level, failure = F.lit(3), F.lit("")
-    for k in range(3, -1, -1):
-        level, failure = F.when(~checks[k][0], k - 1).otherwise(level), F.when(~checks[k][0], checks[k][1]).otherwise(failure)
-    return table(spark, d, "conversations").select("conv_id", "turn", level.alias("lvl"), failure.alias("failure"))
+    """Levels build on each other: found, an object, schema, integrity, style; the failure names what stops a response."""
+    made = dimension(spark, [(i, *r[:2]) for i, r in enumerate(LADDER)], "k long, t string, cut int")
+    x = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % len(LADDER)).alias("k")).join(F.broadcast(made), "k").select("c_custkey", strip(F.col("t")).alias("t"), "cut")
+    return x.select("c_custkey", scan.levels("t", "cut").alias("x")).select("c_custkey", F.col("x.level").alias("lvl"), "x.failure", "x.extraction", "x.rewrites")
 
 
 @query("rewrite_counts", "SELECT count(*) FILTER (a<>text) marks, count(*) FILTER (b<>a) spaces, count(*) FILTER (c<>b) bangs FROM (SELECT text, a, b, regexp_replace(b,'!!+','!','g') c FROM (SELECT text, a, regexp_replace(a,' +',' ','g') b FROM (SELECT text, regexp_replace(text,'(%%%|&&&|###|\\$\\$\\$|\\*\\*\\*)','','g') a FROM documents)))")
@@ -85,22 +113,59 @@ def rewrite_counts(spark, d):
     return x.agg(F.count_if(F.col("a") != F.col("text")).alias("marks"), F.count_if(F.col("b") != F.col("a")).alias("spaces"), F.count_if(F.col("c") != F.col("b")).alias("bangs"))
 
 
+# Arrows, the type of edge that they stand for, whether the ends change places, and whether multiplicities and labels are left out.
 OPERATORS = [
-    ("--", "bidirectional", 0), ("-->", "unidirectional", 0), ("<--", "unidirectional", 1), ("o--", "aggregation", 1), ("--o", "aggregation", 0), ("*--", "composition", 1), ("--*", "composition", 0), ("<|--", "inheritance", 1),
-    ("--|>", "inheritance", 0), ("<|..", "realization", 1), ("..|>", "realization", 0), ("..>", "dependency", 0), ("<..", "dependency", 1), ("..", "dependency", 0),
+    ("<|--", "ClassInheritance", 1, 1), ("--|>", "ClassInheritance", 0, 1), ("<|-", "ClassInheritance", 1, 1), ("-|>", "ClassInheritance", 0, 1), ("..|>", "ClassRealization", 0, 1), ("<|..", "ClassRealization", 1, 1),
+    ("<-->", "ClassBidirectional", 0, 0), ("*-->", "ClassComposition", 1, 0), ("*->", "ClassComposition", 1, 0), ("-->", "ClassUnidirectional", 0, 0), ("<--", "ClassUnidirectional", 1, 0),
+    ("..>", "ClassDependency", 0, 0), ("<..", "ClassDependency", 1, 0), ("*--", "ClassComposition", 1, 0), ("--*", "ClassComposition", 0, 0), ("o--", "ClassAggregation", 1, 0), ("--o", "ClassAggregation", 0, 0),
+    ("*-", "ClassComposition", 1, 0), ("-*", "ClassComposition", 0, 0), ("--", "ClassBidirectional", 0, 0), ("..", "ClassBidirectional", 0, 0), ("-o", "ClassAggregation", 0, 0), ("o-", "ClassAggregation", 1, 0),
+    ("-", "ClassBidirectional", 0, 0), (".", "ClassBidirectional", 0, 0),
 ]
-LINES = ["A -- B", "C --> D", "E *-- F", "G <|-- H", "I ..> J", "K o-- L : has", "M --o N", "X ?? Y", "P ..|> Q", "R <-- S"]
-LINE = r"^(\w+) ([^\w ]+|[<*o]?[|]?[-.]+[|]?[>*o]?) (\w+)(?: : (.*))?$"
+_ARROW = "|".join(re.escape(o[0]) for o in sorted(OPERATORS, key=lambda o: -len(o[0])))
+RELATION = rf'^\s*(\w+)\s*(?:"([^"]*)")?\s*({_ARROW})\s*(?:"([^"]*)")?\s*(\w+)\s*(?::\s*(.*))?\s*$'
+HEADER = r"^(abstract\s+class|class|enum|interface)\s+(\w+)(?:\s*<<(\w+)>>)?\s*(\{)?\s*(\})?\s*$"
+ASSOCIATION = r"^\s*(\w+)\s*\.{1,2}\s*\(\s*(\w+)\s*,\s*(\w+)\s*\)\s*$"
+ARROW = "CASE p_partkey%27 " + " ".join(f"WHEN {i} THEN '{o[0]}'" for i, o in enumerate(OPERATORS)) + " ELSE '??' END"
+LINE = f"""'C'||(p_partkey%40)||CASE p_size%4 WHEN 0 THEN ' "0..n owner" ' WHEN 1 THEN ' "1 {{ordered}}"' ELSE ' ' END||{ARROW}||CASE p_size%3 WHEN 0 THEN ' "*" ' WHEN 1 THEN '"1..1  the part"' ELSE ' ' END||'D'||(p_size%30)||CASE p_size%5 WHEN 0 THEN '' WHEN 1 THEN ' : has >' WHEN 2 THEN ':<owns' WHEN 3 THEN ' : {{disjoint}}' ELSE ' : uses' END"""
+
+
+def relations(lines, ops):
+    """Lines (..., t) that are relations: type, ends, their multiplicities and roles, and label, turned as the arrow says; lines that aren't keep a null type."""
+    part = lambda k: F.regexp_extract("t", RELATION, k)
+    x = lines.withColumns({"op": part(3), "a": part(1), "b": part(5), "l": X.reading_direction(part(6))})
+    for side, k in (("a", 2), ("b", 4)):
+        mult, role = X.mult_role(part(k))
+        x = x.withColumns({f"{side}m": mult, f"{side}r": role})
+    x = x.join(F.broadcast(ops), "op", "left")
+    turned, bare = F.coalesce(F.col("swap") == 1, F.lit(False)), F.coalesce(F.col("bare") == 1, F.lit(False))
+    end = lambda p, q: F.when(turned, F.col(q)).otherwise(F.col(p))
+    kept = lambda c: F.when(bare, "").otherwise(c)
+    made = {"source": end("a", "b"), "target": end("b", "a"), "source_mult": kept(end("am", "bm")), "target_mult": kept(end("bm", "am")), "source_role": kept(end("ar", "br")), "target_role": kept(end("br", "ar")), "label": kept(F.col("l"))}
+    return x.select(*lines.columns, "typ", *[c.alias(n) for n, c in made.items()])
+
+
+def operators(spark):
+    return dimension(spark, OPERATORS, "op string, typ string, swap int, bare int")
+
+
+def _quoted(x):
+    return x.replace("'", "''")
+
 
+def relations_sql(source, keep):
+    part = lambda k: f"regexp_extract(t,'{_quoted(RELATION)}',{k})"
+    squeeze = lambda k: f"trim(regexp_replace(regexp_replace({part(k)},'\\{{[^}}]*\\}}',' ','g'),'\\s+',' ','g'))"
+    label = "CASE WHEN regexp_matches(l,' [<>]$') THEN rtrim(l[:-3]) WHEN regexp_matches(l,'^[<>] ') THEN ltrim(l[3:]) WHEN length(l)>1 AND regexp_matches(l,'[^<>-][<>]$') THEN rtrim(l[:-2]) WHEN length(l)>1 AND regexp_matches(l,'^[<>][^<>]') THEN ltrim(l[2:]) ELSE l END"
+    return f"""(SELECT {keep}, typ, CASE WHEN swap=1 THEN b ELSE a END source, CASE WHEN swap=1 THEN a ELSE b END target, CASE WHEN bare=1 THEN '' WHEN swap=1 THEN bm ELSE am END source_mult, CASE WHEN bare=1 THEN '' WHEN swap=1 THEN am ELSE bm END target_mult,
+ CASE WHEN bare=1 THEN '' WHEN swap=1 THEN br ELSE ar END source_role, CASE WHEN bare=1 THEN '' WHEN swap=1 THEN ar ELSE br END target_role, CASE WHEN bare=1 THEN '' ELSE {label} END AS label
+ FROM (SELECT *, regexp_extract(as_,'^(\\S*)',1) am, regexp_extract(as_,'^\\S+ (.*)$',1) ar, regexp_extract(bs_,'^(\\S*)',1) bm, regexp_extract(bs_,'^\\S+ (.*)$',1) br FROM
+ (SELECT *, {part(3)} op, {part(1)} a, {part(5)} b, trim({part(6)}) l, {squeeze(2)} as_, {squeeze(4)} bs_ FROM {source})) LEFT JOIN (VALUES {sql_values(OPERATORS)}) o(op,typ,swap,bare) USING(op))"""
 
-@query("edge_op_map", f"WITH l AS (SELECT id, regexp_extract(t,'^(\\w+) ',1) a, split_part(t,' ',2) op, split_part(t,' ',3) b, trim(split_part(t,' : ',2)) label FROM (VALUES {numbered(LINES)}) v(id,t)) SELECT id, coalesce(typ,'unknown') typ, CASE WHEN swap=1 THEN b ELSE a END source, CASE WHEN swap=1 THEN a ELSE b END target, label FROM l LEFT JOIN (VALUES {sql_values(OPERATORS)}) o(op,typ,swap) USING(op)")
+
+@query("edge_op_map", f"SELECT * FROM {relations_sql(f'(SELECT p_partkey, {LINE} t FROM part)', 'p_partkey')}")
 def edge_op_map(spark, d):
-    """Arrows by a table: the type, and whether the ends change places."""
-    p = F.split("t", " ")
-    l = dimension(spark, list(enumerate(LINES)), "id int, t string").select("id", p[0].alias("a"), p[1].alias("op"), p[2].alias("b"), F.trim(F.coalesce(F.get(F.split("t", " : "), F.lit(1)), F.lit(""))).alias("label"))
-    j = l.join(F.broadcast(dimension(spark, OPERATORS, "op string, typ string, swap int")), "op", "left")
-    s = F.coalesce(F.col("swap") == 1, F.lit(False))
-    return j.select("id", F.coalesce("typ", F.lit("unknown")).alias("typ"), F.when(s, F.col("b")).otherwise(F.col("a")).alias("source"), F.when(s, F.col("a")).otherwise(F.col("b")).alias("target"), "label")
+    """Relations by a table of arrows: the type, and whether the ends change places with their multiplicities and roles."""
+    return relations(table(spark, d, "part").select("p_partkey", F.expr(LINE).alias("t")), operators(spark)).drop("t")
 
 
 @query("reify_rows", "WITH e AS (SELECT c_custkey id, c_nationkey a, c_custkey%25 b, c_mktsegment cls FROM customer), f AS (SELECT least(a,b) x, greatest(a,b) y, min(id) id FROM e WHERE cls='BUILDING' GROUP BY ALL), r AS (SELECT e.* FROM e JOIN f USING(id)) SELECT id, a::BIGINT s, (1000+id)::BIGINT t, 'left' side FROM r UNION ALL SELECT id, 1000+id, b::BIGINT, 'right' FROM r UNION ALL SELECT id, a::BIGINT, b::BIGINT, 'plain' FROM e WHERE id NOT IN (SELECT id FROM r)")
@@ -113,21 +178,27 @@ def reify_rows(spark, d):
     return two.unionByName(e.join(first, "id", "left_anti").select("id", F.col("a").alias("s"), F.col("b").alias("t"), F.lit("plain").alias("side")))
 
 
-CONSTRAINTS = ["{disjoint, complete}", "owns", "{overlapping}", "has {x}", "{ disjoint }", "", "{}"]
+LABELS = "CASE p_partkey%6 WHEN 0 THEN '{disjoint, complete}' WHEN 1 THEN p_brand WHEN 2 THEN '{ '||p_brand||' }' WHEN 3 THEN 'has {x}' WHEN 4 THEN '' ELSE '{}' END"
 
 
-@query("constraint_extract", f"SELECT id, CASE WHEN regexp_matches(t,'^\\{{.*\\}}$') THEN trim(regexp_replace(t,'[{{}}]','','g')) ELSE '' END c, CASE WHEN regexp_matches(t,'^\\{{.*\\}}$') THEN '' ELSE t END label FROM (VALUES {numbered(CONSTRAINTS)}) v(id,t)")
+@query("constraint_extract", f"SELECT p_partkey, CASE WHEN regexp_matches(t,'^\\{{.*\\}}$') THEN trim(regexp_replace(t,'[{{}}]','','g')) ELSE '' END c, CASE WHEN regexp_matches(t,'^\\{{.*\\}}$') THEN '' ELSE t END label FROM (SELECT p_partkey, {LABELS} t FROM part)")
 def constraint_extract(spark, d):
+    """Labels that are constraints of a generalisation as a whole."""
     t = F.col("t")
     whole = t.rlike(r"^\{.*\}$")
-    return dimension(spark, list(enumerate(CONSTRAINTS)), "id int, t string").select("id", F.when(whole, F.trim(F.regexp_replace(t, "[{}]", ""))).otherwise("").alias("c"), F.when(whole, F.lit("")).otherwise(t).alias("label"))
+    return table(spark, d, "part").select("p_partkey", F.expr(LABELS).alias("t")).select("p_partkey", F.when(whole, F.trim(F.regexp_replace(t, "[{}]", ""))).otherwise("").alias("c"), F.when(whole, F.lit("")).otherwise(t).alias("label"))
+
 
+KEYS = ("p_brand", "s", "m", "w", "c")
 
-@query("composite_lookup", "WITH k AS (SELECT p_brand, p_size%5 s, min(p_type) label FROM part WHERE p_partkey%3=0 GROUP BY ALL) SELECT p_partkey, coalesce(label,'missing') label FROM part LEFT JOIN k ON k.p_brand=part.p_brand AND k.s=p_size%5")
+
+@query("composite_lookup", """WITH x AS (SELECT p_partkey, p_type, p_brand, p_size%5 s, p_partkey%2 m, split_part(p_type,' ',1) w, p_size>25 c FROM part), k AS (SELECT p_brand, s, m, w, c, min(p_type) label FROM x WHERE p_partkey%3=0 GROUP BY ALL)
+ SELECT p_partkey, label, label IS NULL missing FROM x LEFT JOIN k USING(p_brand,s,m,w,c)""")
 def composite_lookup(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", (F.col("p_size") % 5).alias("s"))
-    k = p.where("p_partkey % 3 = 0").groupBy("p_brand", "s").agg(F.min("p_type").alias("label"))
-    return p.join(k, ["p_brand", "s"], "left").select("p_partkey", F.coalesce("label", F.lit("missing")).alias("label"))
+    """A label by a key of five columns; rows that the table doesn't have are reported."""
+    p = table(spark, d, "part").select("p_partkey", "p_type", "p_brand", (F.col("p_size") % 5).alias("s"), (F.col("p_partkey") % 2).alias("m"), F.split("p_type", " ")[0].alias("w"), (F.col("p_size") > 25).alias("c"))
+    k = p.where("p_partkey % 3 = 0").groupBy(*KEYS).agg(F.min("p_type").alias("label"))
+    return p.join(k, list(KEYS), "left").select("p_partkey", "label", F.col("label").isNull().alias("missing"))
 
 
 @query("placeholder_fill", "SELECT 'declared' kind, count(*) n FROM supplier UNION ALL SELECT 'implicit', count(*) FROM (SELECT DISTINCT l_suppkey+l_linenumber%3 k FROM lineitem) WHERE k NOT IN (SELECT s_suppkey FROM supplier)")
@@ -147,40 +218,53 @@ def ordered_render(spark, d):
     return g.select("o_custkey", F.array_join(F.transform("l", lambda x: x["x"]), "\n").alias("t"))
 
 
-HEADERS = ["class A extends B {", "class C implements D, E {", "class F {", "class G extends H implements I {", "interface J {"]
+HEAD = "CASE p_partkey%6 WHEN 0 THEN 'class A'||p_size||' extends B {' WHEN 1 THEN 'abstract class C'||p_size||' implements D, E {' WHEN 2 THEN 'class F {' WHEN 3 THEN 'class G'||p_size||' <<entity>> extends H implements I, J' WHEN 4 THEN 'interface K {' ELSE 'interface L extends M, N {' END"
+CLAUSES = r"^(abstract\s+class|class|interface|enum)\s+(\w+)(\s*<<\w+>>)?\s+((?:extends|implements)\b[^{]*?)\s*(\{.*)?$"
 
 
-@query("header_rewrite", f"""WITH h AS (SELECT id, regexp_extract(t,'^(?:class|interface) (\\w+)',1) c, regexp_extract(t,'extends (\\w+)',1) x, regexp_extract(t,'implements ([\\w, ]+\\w)',1) i FROM (VALUES {numbered(HEADERS)}) v(id,t))
- SELECT id, c, 'inheritance' typ, x target FROM h WHERE x<>'' UNION ALL SELECT id, c, 'realization', trim(unnest(string_split(i,','))) FROM h WHERE i<>''""")
+@query("header_rewrite", f"""WITH h AS (SELECT p_partkey, t, regexp_matches(t,'{CLAUSES}') ok, regexp_extract(t,'{CLAUSES}',2) c, regexp_extract(t,'{CLAUSES}',4) x FROM (SELECT p_partkey, {HEAD} t FROM part)),
+ y AS (SELECT p_partkey, c, regexp_extract(x,'\\bextends\\s+([\\w\\s,]+?)\\s*(?:\\bimplements\\b.*)?$',1) e, regexp_extract(x,'\\bimplements\\s+([\\w\\s,]+?)\\s*(?:\\bextends\\b.*)?$',1) i FROM h WHERE ok)
+ SELECT p_partkey, c||' '||arrow||' '||trim(p) line FROM (SELECT p_partkey, c, '--|>' arrow, unnest(string_split(e,',')) p FROM y WHERE e<>'' UNION ALL SELECT p_partkey, c, '..|>', unnest(string_split(i,',')) FROM y WHERE i<>'') WHERE trim(p)<>''""")
 def header_rewrite(spark, d):
-    t = F.col("t")
-    h = dimension(spark, list(enumerate(HEADERS)), "id int, t string").select("id", F.regexp_extract(t, r"^(?:class|interface) (\w+)", 1).alias("c"), F.regexp_extract(t, r"extends (\w+)", 1).alias("x"), F.regexp_extract(t, r"implements ([\w, ]+\w)", 1).alias("i"))
-    up = h.where("x <> ''").select("id", "c", F.lit("inheritance").alias("typ"), F.col("x").alias("target"))
-    return up.unionByName(h.where("i <> ''").select("id", "c", F.lit("realization").alias("typ"), F.explode(F.split("i", ",")).alias("target")).withColumn("target", F.trim("target")))
+    """Headers in the manner of Java: a relation for each class that one extends or implements."""
+    x = table(spark, d, "part").select("p_partkey", F.expr(HEAD).alias("t")).where(F.col("t").rlike(CLAUSES))
+    clause = F.regexp_extract("t", CLAUSES, 4)
+    names = lambda word, other: F.split(F.regexp_extract(clause, rf"\b{word}\s+([\w\s,]+?)\s*(?:\b{other}\b.*)?$", 1), ",")
+    made = F.concat(F.transform(names("extends", "implements"), lambda p: F.struct(F.lit("--|>").alias("arrow"), F.trim(p).alias("p"))), F.transform(names("implements", "extends"), lambda p: F.struct(F.lit("..|>").alias("arrow"), F.trim(p).alias("p"))))
+    y = x.select("p_partkey", F.regexp_extract("t", CLAUSES, 2).alias("c"), F.explode(made).alias("x")).where("x.p <> ''")
+    return y.select("p_partkey", F.concat_ws(" ", "c", "x.arrow", "x.p").alias("line"))
 
 
-ENDS = ["0..1", "owner", "*", "1..n", "3", "n", "2..", "many things", ""]
+ENDS = "CASE p_partkey%10 WHEN 0 THEN '0..1' WHEN 1 THEN p_brand WHEN 2 THEN '*' WHEN 3 THEN '1..n' WHEN 4 THEN ''||p_size WHEN 5 THEN 'n' WHEN 6 THEN p_size||'..' WHEN 7 THEN 'many '||p_brand WHEN 8 THEN '' ELSE p_size||'..N' END"
 
 
-@query("mult_shape", f"SELECT id, regexp_matches(t,'^([0-9]+|[*nN])(\\.\\.([0-9]+|[*nN]))?$') is_mult, CASE WHEN regexp_matches(t,'^([0-9]+|[*nN])(\\.\\.([0-9]+|[*nN]))?$') THEN '' ELSE t END AS role FROM (VALUES {numbered(ENDS)}) v(id,t)")
+@query("mult_shape", f"SELECT p_partkey, regexp_matches(t,'^([0-9]+|[*nN])(\\.\\.([0-9]+|[*nN]))?$') is_mult, CASE WHEN regexp_matches(t,'^([0-9]+|[*nN])(\\.\\.([0-9]+|[*nN]))?$') THEN '' ELSE t END AS role FROM (SELECT p_partkey, {ENDS} t FROM part)")
 def mult_shape(spark, d):
+    """Text in the place of a multiplicity that hasn't the shape of one is a role."""
     ok = F.col("t").rlike(r"^([0-9]+|[*nN])(\.\.([0-9]+|[*nN]))?$")
-    return dimension(spark, list(enumerate(ENDS)), "id int, t string").select("id", ok.alias("is_mult"), F.when(ok, "").otherwise(F.col("t")).alias("role"))
+    return table(spark, d, "part").select("p_partkey", F.expr(ENDS).alias("t")).select("p_partkey", ok.alias("is_mult"), F.when(ok, "").otherwise(F.col("t")).alias("role"))
 
 
-COMPACT = ['{"name":"A","kind":"class","n":2}', '{"name":"","kind":"class","n":1}', '{"name":"B","kind":"thing","n":0}', '{"kind":"enum"}', "broken", '{"name":"C","kind":"enum","n":-1}', '{"name":"D","kind":"enum","n":4}']
+COMPACT = """CASE p_partkey%9 WHEN 0 THEN '{"name":"'||p_brand||'","kind":"class","attributes":["a","b"]}' WHEN 1 THEN '{"name":" ","kind":"class"}' WHEN 2 THEN '{"name":"B","kind":"thing"}' WHEN 3 THEN '{"kind":"enum"}' WHEN 4 THEN 'broken'
+ WHEN 5 THEN '{"name":"C","kind":"enum","attributes":["x"]}' WHEN 6 THEN '{"name":"D","kind":"enum","values":["u","v"]}' WHEN 7 THEN '{"name":"E","values":["u"]}' ELSE '{"name":"F","kind":"interface","methods":["m()"," "]}' END"""
 
 
-@query("compact_quarantine", f"""WITH j AS (SELECT id, try_cast(t AS JSON) j FROM (VALUES {numbered(COMPACT)}) v(id,t)), x AS (SELECT id, j->>'name' AS name, j->>'kind' AS kind, (j->>'n')::INTEGER n, j IS NULL bad FROM j)
- SELECT id, name, kind, CASE WHEN bad THEN 'not json' WHEN coalesce(name,'')='' THEN 'no name' WHEN kind NOT IN ('class','enum') THEN 'unknown kind' WHEN coalesce(n,0)<0 THEN 'negative' ELSE '' END issue FROM x""")
+@query("compact_quarantine", f"""WITH j AS (SELECT p_partkey, try_cast(t AS JSON) j FROM (SELECT p_partkey, {COMPACT} t FROM part)), x AS (SELECT p_partkey, j->>'name' AS name, coalesce(j->>'kind','class') AS kind, j IS NULL bad, coalesce(len((j->'attributes')::JSON[]),0) na, coalesce(len((j->'values')::JSON[]),0) nv, coalesce(len(list_filter((j->'methods')::VARCHAR[], lambda m: trim(m)='')),0) nb FROM j)
+ SELECT p_partkey, name, CASE WHEN bad THEN 'not json' WHEN coalesce(trim(name),'')='' THEN 'class without a name (dropped)' WHEN kind NOT IN ('class','abstract class','enum','interface') THEN 'unknown kind (class dropped)' WHEN kind='enum' AND na>0 THEN 'enum with attributes (ignored)' WHEN kind<>'enum' AND nv>0 THEN 'values without an enum (ignored)' WHEN nb>0 THEN 'empty method (dropped)' ELSE '' END issue FROM x""")
 def compact_quarantine(spark, d):
     """A reader that keeps what it can, and says what is wrong with the rest."""
-    x = dimension(spark, list(enumerate(COMPACT)), "id int, t string").select("id", F.from_json("t", "name string, kind string, n int, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("j")).select("id", "j.*")
-    issue = F.when(F.col("_bad").isNotNull(), "not json").when(F.coalesce("name", F.lit("")) == "", "no name").when(~F.col("kind").isin("class", "enum"), "unknown kind").when(F.coalesce("n", F.lit(0)) < 0, "negative").otherwise("")
-    return x.select("id", "name", "kind", issue.alias("issue"))
-
-
-@query("compact_render")
+    schema = "name string, kind string, attributes array<string>, methods array<string>, values array<string>, _bad string"
+    x = table(spark, d, "part").select("p_partkey", F.from_json(F.expr(COMPACT), schema, {"columnNameOfCorruptRecord": "_bad"}).alias("j")).select("p_partkey", "j.*")
+    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    kind, blank = F.coalesce("kind", F.lit("class")), F.coalesce(F.exists("methods", lambda m: F.trim(m) == ""), F.lit(False))
+    issue = (
+        F.when(F.col("_bad").isNotNull(), "not json").when(F.coalesce(F.trim("name"), F.lit("")) == "", "class without a name (dropped)").when(~kind.isin("class", "abstract class", "enum", "interface"), "unknown kind (class dropped)")
+        .when((kind == "enum") & (n("attributes") > 0), "enum with attributes (ignored)").when((kind != "enum") & (n("values") > 0), "values without an enum (ignored)").when(blank, "empty method (dropped)").otherwise("")
+    )
+    return x.select("p_partkey", "name", issue.alias("issue"))
+
+
+@query("compact_render", """SELECT p_partkey, '{"id":'||p_partkey||CASE WHEN p_size>25 THEN ',"parent":"'||p_brand||'"' ELSE ',"role":"'||p_type||'"' END||'}' AS json FROM part""")
 def compact_render(spark, d):
     """JSON of a row; keys depend on the family, and nulls are left out."""
     p = table(spark, d, "part")
@@ -188,15 +272,15 @@ def compact_render(spark, d):
     return p.select("p_partkey", F.to_json(rel).alias("json"))
 
 
-PLANS = ["Plan: A, B\n---\nclass A", "no plan", "Plan: C\n---\nclass D\n---\nmore", "Plan:\n---\n"]
+PLAN = "CASE p_partkey%5 WHEN 0 THEN 'Plan: '||p_brand||', B'||chr(10)||'---'||chr(10)||'class A' WHEN 1 THEN 'no plan '||p_brand WHEN 2 THEN 'Plan: C'||chr(10)||'---'||chr(10)||'class D'||chr(10)||'---'||chr(10)||p_name WHEN 3 THEN 'Plan:'||chr(10)||'---'||chr(10) ELSE '' END"
 
 
-@query("marker_split", f"SELECT id, CASE WHEN contains(t,'---') THEN trim(regexp_replace(split_part(t,'---',1),'^Plan:',''),chr(10)||' ') ELSE '' END AS plan, CASE WHEN contains(t,'---') THEN trim(substr(t,strpos(t,'---')+3),chr(10)||' ') ELSE t END AS rest FROM (SELECT id, replace(t,'\\n',chr(10)) t FROM (VALUES {numbered([p.replace(chr(10), chr(92) + 'n') for p in PLANS])}) v(id,t))")
+@query("marker_split", f"SELECT p_partkey, CASE WHEN contains(t,'---') THEN trim(regexp_replace(split_part(t,'---',1),'^Plan:',''),chr(10)||' ') ELSE '' END AS plan, CASE WHEN contains(t,'---') THEN trim(substr(t,strpos(t,'---')+3),chr(10)||' ') ELSE t END AS rest FROM (SELECT p_partkey, {PLAN} t FROM part)")
 def marker_split(spark, d):
-    t = F.col("t")
-    has = t.contains("---")
-    plan = F.trim(F.regexp_replace(F.regexp_replace(F.split(t, "---")[0], "^Plan:", ""), r"^\s+|\s+$", ""))
-    return dimension(spark, list(enumerate(PLANS)), "id int, t string").select("id", F.when(has, F.regexp_replace(plan, r"\s+$", "")).otherwise("").alias("plan"), F.when(has, F.regexp_replace(F.expr("substr(t, instr(t, '---') + 3)"), r"^[\n ]+|[\n ]+$", "")).otherwise(t).alias("rest"))
+    """What stands before the first mark and after it."""
+    x = table(spark, d, "part").select("p_partkey", F.expr(PLAN).alias("t"))
+    has, bare = F.col("t").contains("---"), lambda c: F.regexp_replace(c, r"^[\n ]+|[\n ]+$", "")
+    return x.select("p_partkey", F.when(has, bare(F.regexp_replace(F.split("t", "---")[0], "^Plan:", ""))).otherwise("").alias("plan"), F.when(has, bare(F.expr("substr(t, instr(t, '---') + 3)"))).otherwise(F.col("t")).alias("rest"))
 
 
 @query("edit_script")
@@ -213,59 +297,97 @@ def edit_script(spark, d):
     return g.select("p_brand", run("names").alias("x")).select("p_brand", F.size("x.names").alias("n"), "x.error")
 
 
-@query("line_cycle", "WITH l AS (SELECT doc_id, unnest(string_split(text,chr(10))) s FROM documents), c AS (SELECT doc_id, s, count(*) n FROM l GROUP BY ALL) SELECT doc_id, sum(n)::BIGINT lines, count(*) distinct_lines, sum(n)>=5 AND count(*)/sum(n)<0.6 OR max(CASE WHEN length(s)>=20 THEN n ELSE 0 END)>=5 cycle FROM c GROUP BY 1")
+@query("line_cycle", r"""WITH l AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text,'\r\n|\n|\r'), lambda x: regexp_replace(x,'^\s+|\s+$','','g')), lambda x: x<>'')) s FROM documents), c AS (SELECT doc_id, s, count(*) n FROM l GROUP BY ALL), g AS (SELECT doc_id, sum(n)::BIGINT lines, count(*) distinct_lines, max(CASE WHEN length(s)>=20 THEN n ELSE 0 END) m FROM c GROUP BY 1)
+ SELECT d.doc_id, coalesce(lines,0)::BIGINT lines, coalesce(distinct_lines,0) distinct_lines, coalesce(m,0)::BIGINT most, coalesce(distinct_lines/lines<0.6 OR m>=5,false) cycle FROM documents d LEFT JOIN g USING(doc_id)""")
 def line_cycle(spark, d):
-    """Texts that go round: few different lines, or a long one five times."""
-    c = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("s")).groupBy("doc_id", "s").agg(F.count(F.lit(1)).alias("n"))
-    g = c.groupBy("doc_id").agg(F.sum("n").alias("lines"), F.count(F.lit(1)).alias("distinct_lines"), F.max(F.when(F.length("s") >= 20, F.col("n")).otherwise(0)).alias("m"))
-    return g.select("doc_id", "lines", "distinct_lines", (((F.col("lines") >= 5) & (F.col("distinct_lines") / F.col("lines") < 0.6)) | (F.col("m") >= 5)).alias("cycle"))
+    """Texts that go round: fewer than 0.6 different lines a line, or one of 20 characters or more five times; blank lines don't count."""
+    lines = F.filter(F.transform(F.split("text", "\\r\\n|\\n|\\r", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    docs = table(spark, d, "documents")
+    c = docs.select("doc_id", F.explode(lines).alias("s")).groupBy("doc_id", "s").agg(F.count(F.lit(1)).alias("n"))
+    g = c.groupBy("doc_id").agg(F.sum("n").alias("lines"), F.count(F.lit(1)).alias("distinct_lines"), F.max(F.when(F.length("s") >= 20, F.col("n")).otherwise(0)).alias("most"))
+    g = docs.select("doc_id").join(g, "doc_id", "left").na.fill(0, ["lines", "distinct_lines", "most"])
+    return g.select("doc_id", "lines", "distinct_lines", "most", ((F.try_divide(F.col("distinct_lines"), F.col("lines")) < 0.6) | (F.col("most") >= 5)).alias("c")).select("doc_id", "lines", "distinct_lines", "most", F.coalesce("c", F.lit(False)).alias("cycle"))
+
+
+#: The lines of a diagram for each brand: a block, its members and a relation for each part.
+BLOCK = [
+    "CASE p_size%4 WHEN 0 THEN 'enum E'||p_size||' {' WHEN 1 THEN 'class C'||(p_partkey%40)||' <<interface>> {' WHEN 2 THEN 'abstract class C'||(p_partkey%40)||' {' ELSE 'class C'||(p_partkey%40)||' {}' END",
+    "CASE p_size%4 WHEN 0 THEN 'RED' WHEN 3 THEN '' ELSE '- speed : int' END", "CASE p_size%4 WHEN 0 THEN 'GREEN (light)' WHEN 3 THEN '@skip' ELSE '+ drive()' END", "CASE p_size%4 WHEN 3 THEN '' ELSE '}' END",
+    f"CASE p_partkey%11 WHEN 0 THEN '<> N'||p_size WHEN 1 THEN 'note left' WHEN 2 THEN 'C1 .. (C2, C3)' ELSE {LINE} END",
+]
 
 
-DIAGRAM = ["class Car {", "- speed : int", "+ drive()", "}", "enum Color {", "RED", "GREEN", "}", "Car --> Color", "note left", "class Box {", "}"]
+def diagram_lines(spark, d):
+    """(doc, i, t): lines without white space around them; blank ones and those of an @ don't count."""
+    x = table(spark, d, "part").select(F.col("p_brand").alias("doc"), "p_partkey", F.posexplode(F.array(*[F.expr(b) for b in BLOCK])).alias("k", "t"))
+    return x.select("doc", (F.col("p_partkey") * 10 + F.col("k")).alias("i"), F.trim("t").alias("t")).where("t <> '' and not startswith(t, '@')")
 
 
-@query("line_islands", f"WITH l AS (SELECT id i, t FROM (VALUES {numbered(DIAGRAM)}) v(id,t)), h AS (SELECT i, t, last_value(CASE WHEN regexp_matches(t,'\\{{$') THEN regexp_extract(t,'^\\w+ (\\w+)',1) WHEN t='}}' THEN '' END IGNORE NULLS) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) owner FROM l) SELECT i, t, coalesce(owner,'') AS owner FROM h WHERE t<>'}}' AND NOT regexp_matches(t,'\\{{$')")
-def line_islands(spark, d):
-    """Which open block each line belongs to.  One document's lines are in order; many documents would partition by document."""
-    w = Window.partitionBy("doc").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+def blocks(lines):
+    """Adds kind and owner of each line.  A document's lines are one window in their order: the last header or end before a line says which block is open."""
+    w = Window.partitionBy("doc").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     t = F.col("t")
-    head = F.when(t.rlike(r"\{$"), F.regexp_extract(t, r"^\w+ (\w+)", 1)).when(t == "}", "")
-    l = dimension(spark, list(enumerate(DIAGRAM)), "i int, t string").withColumn("doc", F.lit(1))
-    return l.withColumn("owner", F.coalesce(F.last(head, ignorenulls=True).over(w), F.lit(""))).where((t != "}") & ~t.rlike(r"\{$")).select("i", "t", "owner")
+    word = F.regexp_extract(t, HEADER, 1)
+    opens = t.rlike(HEADER) & (F.regexp_extract(t, HEADER, 4) != "") & (F.regexp_extract(t, HEADER, 5) == "")
+    state = F.when(opens, F.struct(F.regexp_extract(t, HEADER, 2).alias("name"), word.alias("word"))).when(t == "}", F.struct(F.lit("").alias("name"), F.lit("").alias("word")))
+    x = lines.withColumn("block", F.last(state, ignorenulls=True).over(w))
+    inside = F.coalesce(F.col("block.name") != "", F.lit(False))
+    member = F.when(t == "}", "end").when(F.col("block.word") == "enum", "value").when(t.contains("("), "method").otherwise("attribute")
+    head = F.when(F.regexp_extract(t, HEADER, 3) == "interface", "interface").otherwise(F.regexp_replace(word, r"\s+", " "))
+    outer = F.when(t.rlike(HEADER), head).when(t.rlike(r"^<>\s+\w+\s*$"), "unsupported").when(t.rlike(ASSOCIATION), "association class").when(t.rlike(RELATION), "relation").otherwise("unknown")
+    return x.select("doc", "i", "t", F.when(inside, member).otherwise(outer).alias("kind"), F.when(inside, F.col("block.name")).otherwise("").alias("owner"))
 
 
-@query("plantuml_parse")
-def plantuml_parse(spark, d):
-    """Lines of diagrams to members and edges: the open block by a window, arrows by the table of operators."""
-    lines = dimension(spark, list(enumerate(DIAGRAM + LINES)), "i int, t string").withColumn("doc", F.lit(1))
-    t = F.col("t")
-    head = F.when(t.rlike(r"\{$"), F.regexp_extract(t, r"^\w+ (\w+)", 1)).when(t == "}", "")
-    w = Window.partitionBy("doc").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    p = F.split(t, " ")
-    ops = F.broadcast(dimension(spark, OPERATORS, "op string, typ string, swap int"))
-    x = lines.withColumn("owner", F.coalesce(F.last(head, ignorenulls=True).over(w), F.lit(""))).withColumn("op", F.get(p, F.lit(1))).join(ops, "op", "left")
-    kind = F.when(t.rlike(r"^(class|interface) "), "class").when(t.rlike("^enum "), "enum").when(t == "}", "end").when(F.col("owner") != "", F.when(t.contains("("), "method").otherwise("attribute")).when(F.col("typ").isNotNull(), "edge").otherwise("unknown")
-    return x.select("i", kind.alias("kind"), F.when(kind.isin("class", "enum"), F.regexp_extract(t, r"^\w+ (\w+)", 1)).otherwise(F.col("owner")).alias("owner"), F.col("typ").alias("edge_type"), "t")
+LINES = "(SELECT * FROM (" + " UNION ALL ".join(f"SELECT p_brand doc, p_partkey*10+{k} i, trim({b}) t FROM part" for k, b in enumerate(BLOCK)) + ") WHERE t<>'' AND NOT starts_with(t,'@'))"
+BLOCKS = f"""(SELECT doc, i, t, CASE WHEN coalesce(owner,'')<>'' THEN CASE WHEN t='}}' THEN 'end' WHEN word='enum' THEN 'value' WHEN contains(t,'(') THEN 'method' ELSE 'attribute' END
+ WHEN regexp_matches(t,'{HEADER}') THEN CASE WHEN regexp_extract(t,'{HEADER}',3)='interface' THEN 'interface' ELSE regexp_replace(regexp_extract(t,'{HEADER}',1),'\\s+',' ','g') END WHEN regexp_matches(t,'^<>\\s+\\w+\\s*$') THEN 'unsupported' WHEN regexp_matches(t,'{ASSOCIATION}') THEN 'association class' WHEN regexp_matches(t,'{_quoted(RELATION)}') THEN 'relation' ELSE 'unknown' END kind, coalesce(owner,'') AS owner
+ FROM (SELECT *, last_value(o IGNORE NULLS) OVER w owner, last_value(h IGNORE NULLS) OVER w word FROM (SELECT *, CASE WHEN t='}}' THEN '' WHEN regexp_extract(t,'{HEADER}',4)<>'' AND regexp_extract(t,'{HEADER}',5)='' THEN regexp_extract(t,'{HEADER}',2) END o, CASE WHEN t='}}' THEN '' WHEN regexp_extract(t,'{HEADER}',4)<>'' AND regexp_extract(t,'{HEADER}',5)='' THEN regexp_extract(t,'{HEADER}',1) END h FROM {LINES})
+ WINDOW w AS (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))"""
 
 
-WRAPPED = ["The system shall", "store data.", "1. Heading", "Each user has", "a name and", "an address.", "", "2. Other", "Done."]
+@query("line_islands", f"SELECT doc, i, owner, kind FROM {BLOCKS}")
+def line_islands(spark, d):
+    """Which open block each line of a diagram belongs to, and what it is there."""
+    return blocks(diagram_lines(spark, d)).select("doc", "i", "owner", "kind")
 
 
-@query("line_rejoin", f"WITH l AS (SELECT id i, t, lag(t) OVER (ORDER BY id) p FROM (VALUES {numbered(WRAPPED)}) v(id,t)), g AS (SELECT i, t, sum(CASE WHEN p IS NULL OR p='' OR regexp_matches(p,'[.!?]$') OR regexp_matches(t,'^[0-9]+\\.') OR regexp_matches(p,'^[0-9]+\\.') OR t='' THEN 1 ELSE 0 END) OVER (ORDER BY i) k FROM l) SELECT min(i)::INTEGER i, string_agg(t,' ' ORDER BY i) s FROM g GROUP BY k HAVING string_agg(t,' ' ORDER BY i)<>''")
+@query("plantuml_parse", f"""WITH b AS (SELECT * FROM {BLOCKS}), r AS (SELECT * FROM {relations_sql("(SELECT * FROM b WHERE kind='relation')", 'doc, i')}), c AS (SELECT DISTINCT doc, regexp_extract(t,'{HEADER}',2) n FROM b WHERE kind IN ('class','abstract class','enum','interface')),
+ e AS (SELECT DISTINCT doc, n FROM (SELECT doc, source n FROM r UNION ALL SELECT doc, target FROM r UNION ALL SELECT doc, unnest([regexp_extract(t,'{ASSOCIATION}',1), regexp_extract(t,'{ASSOCIATION}',2), regexp_extract(t,'{ASSOCIATION}',3)]) FROM b WHERE kind='association class'))
+ SELECT doc, kind, count(*) n FROM (SELECT doc, CASE kind WHEN 'relation' THEN 'line' ELSE kind END kind FROM b WHERE kind NOT IN ('end') UNION ALL SELECT doc, typ FROM r UNION ALL SELECT doc, 'implicit class' FROM e ANTI JOIN c USING(doc,n)) GROUP BY ALL""")
+def plantuml_parse(spark, d):
+    """Diagrams read line by line: members, headers, relations by type, classes that only relations name, and lines that aren't understood, counted."""
+    b = blocks(diagram_lines(spark, d))
+    r = relations(b.where("kind = 'relation'").select("doc", "i", "t"), operators(spark))
+    declared = b.where(F.col("kind").isin("class", "abstract class", "enum", "interface")).select("doc", F.regexp_extract("t", HEADER, 2).alias("n")).distinct()
+    three = F.explode(F.array(*[F.regexp_extract("t", ASSOCIATION, k) for k in (1, 2, 3)]))
+    ends = r.select("doc", F.explode(F.array("source", "target")).alias("n")).unionByName(b.where("kind = 'association class'").select("doc", three.alias("n"))).distinct()
+    every = b.where("kind <> 'end'").select("doc", F.when(F.col("kind") == "relation", "line").otherwise(F.col("kind")).alias("kind"))
+    every = every.unionByName(r.select("doc", F.col("typ").alias("kind"))).unionByName(ends.join(declared, ["doc", "n"], "left_anti").select("doc", F.lit("implicit class").alias("kind")))
+    return every.groupBy("doc", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("line_rejoin", r"""WITH l AS (SELECT doc_id, i, t, lag(t) OVER (PARTITION BY doc_id ORDER BY i) p FROM (SELECT doc_id, unnest(a) t, generate_subscripts(a,1) i FROM (SELECT doc_id, string_split(text,chr(10)) a FROM documents WHERE text IS NOT NULL))),
+ g AS (SELECT doc_id, i, t, sum(CASE WHEN p IS NULL OR p='' OR regexp_matches(p,'[.!?]$') OR regexp_matches(t,'^[0-9]+\.') OR regexp_matches(p,'^[0-9]+\.') OR t='' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) k FROM l) SELECT doc_id, min(i)::INTEGER i, length(string_agg(t,' ' ORDER BY i)) n FROM g GROUP BY doc_id, k HAVING string_agg(t,' ' ORDER BY i)<>''""")
 def line_rejoin(spark, d):
-    """Broken lines joined again: a line goes on unless the one before ended, was blank or a heading."""
-    w = Window.partitionBy("doc").orderBy("i")
-    l = dimension(spark, list(enumerate(WRAPPED)), "i int, t string").withColumn("doc", F.lit(1)).withColumn("p", F.lag("t").over(w))
-    p, t = F.col("p"), F.col("t")
-    new = p.isNull() | (p == "") | p.rlike("[.!?]$") | t.rlike(r"^[0-9]+\.") | p.rlike(r"^[0-9]+\.") | (t == "")
-    g = l.withColumn("k", F.sum(F.when(new, 1).otherwise(0)).over(w))
-    out = g.groupBy("doc", "k").agg(F.min("i").alias("i"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]), " ").alias("s"))
-    return out.where("s <> ''").select("i", "s")
+    """Broken lines joined again: a line goes on unless the one before ended, was blank or a heading.  Each text is folded on its own, in its row."""
+    start = F.struct(F.array().cast("array<struct<i:int,s:string>>").alias("done"), F.lit(None).cast("string").alias("p"))
+
+    def step(acc, line):
+        t, p = line["t"], acc["p"]
+        new = p.isNull() | (p == "") | p.rlike("[.!?]$") | t.rlike(r"^[0-9]+\.") | p.rlike(r"^[0-9]+\.") | (t == "")
+        last = F.element_at(acc["done"], -1)
+        opened = F.array_append(acc["done"], F.struct(line["i"].alias("i"), t.alias("s")))
+        going = F.array_append(F.slice(acc["done"], 1, F.size(acc["done"]) - 1), F.struct(last["i"].alias("i"), F.concat(last["s"], F.lit(" "), t).alias("s")))
+        return F.struct(F.when(new, opened).otherwise(going).alias("done"), t.alias("p"))
+
+    lines = F.transform(F.split("text", "\n", -1), lambda t, i: F.struct((i + 1).alias("i"), t.alias("t")))
+    out = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.aggregate(lines, start, step, lambda a: a["done"])).alias("x"))
+    return out.where("x.s <> ''").select("doc_id", "x.i", F.length("x.s").cast("long").alias("n"))
 
 
-@query("strip_members", "SELECT p_brand, CASE WHEN p_brand LIKE '%1' THEN count(*) ELSE 0 END kept, count(*) total FROM part GROUP BY 1")
+@query("strip_members", "SELECT p_partkey, CASE WHEN p_brand LIKE '%1' THEN p_name ELSE '' END members, p_brand LIKE '%1' listing FROM part")
 def strip_members(spark, d):
-    """Members taken from all but one kind of node; the missing list is an empty one."""
-    g = table(spark, d, "part").groupBy("p_brand").agg(F.collect_list("p_partkey").alias("m"))
-    kept = F.when(F.col("p_brand").like("%1"), F.col("m")).otherwise(F.array().cast("array<bigint>"))
-    return g.select("p_brand", F.size(F.coalesce(kept, F.array().cast("array<bigint>"))).cast("long").alias("kept"), F.size("m").cast("long").alias("total"))
+    """Members taken from all nodes but enumerations; the missing list becomes an empty one."""
+    listing = F.col("p_brand").like("%1")
+    kept = F.when(listing, F.split("p_name", " "))
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.coalesce(kept, F.array().cast("array<string>")), " ").alias("members"), listing.alias("listing"))
