@@ -371,7 +371,8 @@ def test_surrogates(spark):
     assert ip and ip[1].startswith("10.") and ip[1] != "10.1.2.3" and ip[2] != "170.106.47.218" and all(int(x) < 256 for x in ip[2].split("."))
     assert re.fullmatch(r'token = "[0-9a-f]{40}" api_key: [A-Z][a-z][A-Z]\d{3}[a-z]{3}[A-Z]{2}', out[5][0]) and "24be" not in out[5][0]
     a, b = out[6][0].split(" und ")
-    assert a == b and a.endswith(".example.com") and "foo" not in a
+    assert a.lower() == b and b.endswith(".example.com") and "foo" not in b
+    assert re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z][a-z]{2}@[A-Z][a-z]{3}\d\.Example\.com", a)
     assert re.fullmatch(r"DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d", out[7][0]) and "3704 0044" not in out[7][0]
     assert re.fullmatch(r"at \+1 \(\d{3}\) \d{3}-\d{4} \d{1,3}(\.\d{1,3}){3} x", out[13][0]) and "170.106" not in out[13][0]
     n = re.fullmatch(r"Herr (\S+) und Frau (\S+), г-жа ([А-я-]+) ([А-я-]+)", out[10][0])
@@ -381,6 +382,44 @@ def test_surrogates(spark):
     assert pii.replace_pii(frame(spark, [])).collect() == []
 
 
+def test_surrogates_keep_coreference_gender_script_and_hide_domains(spark):
+    rows = [
+        (1, "Dr. Anna Smith and Mrs Anna Smith"), (2, "Prof Anna Smith"), (3, "Mr McDonald, Mrs O'Brien and Dr Anna Maria Schmidt-Weber."), (4, "Herr Karl Groß kam. Karl Groß ging; Karl Großmann blieb."),
+        (5, "a@eng.smithfamily.org b@smithfamily.org c@smithfamily.co.uk"), (6, "иван.Петров@почта.рф ΑΒΓ@δοκιμή.gr"), (7, "+49 30 1234567 or fe80::1a2b:3c4d, 2001:DB8:0:0:8:800:200C:417A; std::vector 12:30:45"), (8, "Dr Kim Lee"),
+    ]
+    out = {r.doc_id: r.text for r in pii.replace_pii(frame(spark, rows)).collect()}
+    one, two = re.fullmatch(r"Dr\. (\S+) (\S+) and Mrs (\S+) (\S+)", out[1]), re.fullmatch(r"Prof (\S+) (\S+)", out[2])
+    assert one[1] == one[3] == two[1] != "Anna" and one[2] == one[4] == two[2] != "Smith"
+    assert any(one[1].startswith(x) for x in pii.GIVEN["latin"]["f"])
+    three = re.fullmatch(r"Mr (\S+), Mrs (\S+) and Dr (\S+) (\S+) ([^ -]+)-(\S+)\.", out[3])
+    assert three and three[3] == one[1] and not re.search("Donald|Brien|Anna|Maria|Schmidt|Weber", out[3])
+    four = re.fullmatch(r"Herr (\S+ \S+) kam\. (\S+ \S+) ging; Karl Großmann blieb\.", out[4])
+    assert four and four[1] == four[2] != "Karl Groß"
+    five = re.fullmatch(r"\w@(\w{3})\.(\w{11})\.org \w@(\w{11})\.org \w@(\w{11})\.co\.uk", out[5])
+    assert five and five[2] == five[3] and "smithfamily" not in out[5] and "eng" != five[1]
+    six = re.fullmatch(r"([а-я]{4})\.([А-Я][а-я]{5})@([а-я]{5})\.рф ([Α-Ω]{3})@([α-ω]{6})\.gr", out[6])
+    assert six and "иван" not in out[6] and "почта" not in out[6]
+    seven = re.fullmatch(r"\+49 (\d{2}) (\d{7}) or fe80::([0-9a-f]{4}:[0-9a-f]{4}), ([0-9A-F]{4}:[0-9A-F]{3}(?::[0-9A-F]+){6}); std::vector 12:30:45", out[7])
+    assert seven and (seven[1], seven[2]) != ("30", "1234567") and seven[3] != "1a2b:3c4d"
+    assert not re.search("Kim|Lee", out[8])
+    spark.conf.set(pii.KEY_SETTING, "secret")
+    try:
+        assert {r.doc_id: r.text for r in pii.replace_pii(frame(spark, rows)).collect()}[1] != out[1]
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_surrogates_when_a_format_has_too_few(spark, monkeypatch):
+    monkeypatch.setattr(pii, "CROWDED", 1)
+    monkeypatch.setattr(pii, "FULL", 16)
+    forms = [("ssn", str(k)) for k in range(1, 6)]
+    got = pii.surrogates(spark.createDataFrame(forms, "kind string, form string")).collect()
+    assert all(len(r.surrogate) == 1 and r.form != r.surrogate for r in got) and len({r.surrogate for r in got}) == 5
+    monkeypatch.setattr(pii, "FULL", 4)
+    with pytest.raises(RuntimeError):
+        pii.surrogates(spark.createDataFrame([("ssn", str(k)) for k in range(10)], "kind string, form string"))
+
+
 def test_surrogates_of_upper_case_secrets(spark):
     digits = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
     rows = [
