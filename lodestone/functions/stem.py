@@ -99,3 +99,14 @@ def stem_column(col: str) -> Column:
         return s.map(stem, na_action="ignore")
 
     return run(F.col(col))
+
+
+def stem_set(words: Column) -> Column:
+    """The different stems of an array of words, in order, as one string."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        known: dict[str, str] = {}
+        return s.map(lambda ws: " ".join(sorted({known.get(w) or known.setdefault(w, stem(w)) for w in ws})), na_action="ignore")
+
+    return run(words)

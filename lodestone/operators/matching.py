@@ -34,6 +34,46 @@ def key_counts(gold: DataFrame, found: DataFrame, group: list[str], key: list[st
     return n.groupBy(*group).agg(F.sum(tp).alias("tp"), F.sum(F.col("f") - tp).alias("fp"), F.sum(F.col("g") - tp).alias("fn"))
 
 
+STRUCTURAL = ("ClassBidirectional", "ClassUnidirectional", "ClassComposition", "ClassAggregation", "ClassDependency")
+GENERAL = ("ClassInheritance", "ClassRealization")
+
+
+def compare_elements(classes: tuple[DataFrame, DataFrame], attributes: tuple[DataFrame, DataFrame], edges: tuple[DataFrame, DataFrame], tokens) -> DataFrame:
+    """(ex, level, kind, tp, fp, fn) of gold and found diagrams, each argument a pair (gold, found).
+
+    ``classes``: (ex, id, name); ``attributes``: (ex, cid, id, name); ``edges``: (ex, id, src, tgt, typ).  Names match if equal in letters and digits, and on the level ``relaxed`` then
+    by equal sets of ``tokens`` (a column function).  Attributes match inside matched classes, relations by their unordered pair of matched classes (the same type first), and
+    generalisations by child and parent.  Names without a letter or digit never match."""
+    bare = F.regexp_replace(F.lower("name"), "[^0-9a-z]", "")
+    keyed = lambda df: df.withColumns({"norm": bare, "toks": tokens(F.col("name"))})
+    order, passes = ["norm", "name", "id"], {"exact": [["norm"]], "relaxed": [["norm"], ["toks"]]}
+    (gc, fc), (ga, fa) = map(keyed, classes), map(keyed, attributes)
+    out = None
+
+    def counted(level, kind, tp, gold, found):
+        n = lambda df, c: df.select("ex", *[F.lit(int(c == k)).alias(k) for k in ("tp", "g", "f")])
+        every = n(tp, "tp").unionByName(n(gold, "g")).unionByName(n(found, "f")).groupBy("ex").agg(F.sum("tp").alias("tp"), F.sum("g").alias("g"), F.sum("f").alias("f"))
+        return every.select("ex", F.lit(level).alias("level"), F.lit(kind).alias("kind"), "tp", (F.col("f") - F.col("tp")).alias("fp"), (F.col("g") - F.col("tp")).alias("fn"))
+
+    for level, keys in passes.items():
+        some = lambda df: df.where("norm <> ''")
+        mapped = match_passes(some(gc), some(fc), ["ex"], keys, order).select("ex", "gid", "fid")
+        owner = mapped.select("ex", F.col("gid").alias("cid"), F.col("fid").alias("own"))
+        mine = some(fa).withColumnRenamed("cid", "own").join(owner, ["ex", "own"]).drop("own")
+        pairs = match_passes(some(ga).join(owner.select("ex", "cid"), ["ex", "cid"]), mine, ["ex", "cid"], keys, order)
+        end = lambda e, c, n: e.join(mapped.select("ex", F.col("fid").alias(c), F.col("gid").alias(n)), ["ex", c], "left")  # noqa: E731, B023
+        found = end(end(edges[1], "src", "a"), "tgt", "b")
+        both = lambda df, a, b: df.withColumns({"x": F.least(a, b), "y": F.greatest(a, b)})
+        gold_r, found_r = both(edges[0].where(F.col("typ").isin(*STRUCTURAL)), F.col("src"), F.col("tgt")), found.where(F.col("typ").isin(*STRUCTURAL))
+        linked = match_passes(gold_r, both(found_r.where("a is not null and b is not null"), F.col("a"), F.col("b")), ["ex"], [["x", "y", "typ"], ["x", "y"]], ["id"])
+        gold_g, found_g = edges[0].where(F.col("typ").isin(*GENERAL)), found.where(F.col("typ").isin(*GENERAL))
+        up = match_passes(gold_g.select("ex", "id", F.col("src").alias("a"), F.col("tgt").alias("b")), found_g.where("a is not null and b is not null").select("ex", "id", "a", "b"), ["ex"], [["a", "b"]], ["id"])
+        for kind, tp, gold, made in (("classes", mapped, gc, fc), ("attributes", pairs, ga.where("norm <> ''"), fa.where("norm <> ''")), ("relations", linked, gold_r, found_r), ("generalizations", up, gold_g, found_g)):
+            part = counted(level, kind, tp, gold, made)
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def ratio(a: Column, b: Column) -> Column:
     """Null where the denominator is 0."""
     return F.when(b != 0, a / b)

@@ -27,10 +27,11 @@ def column_pairs(long: DataFrame, key: str, column: str, value: str) -> DataFram
 
 
 def signed_ranks(diffs: DataFrame) -> DataFrame:
-    """(a, b, n, up, down): numbers and rank sums of positive and negative differences, zeros dropped."""
+    """(a, b, n, up, down, ties): numbers and rank sums of positive and negative differences, zeros dropped; ties is the sum of t**3 - t over groups of t equal sizes."""
     r = diffs.where("d <> 0").withColumn("m", F.abs("d"))
-    r = r.withColumn("r", average_rank(F.col("m"), "a", "b"))
-    return r.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("down"))
+    same = F.count(F.lit(1)).over(Window.partitionBy("a", "b", "m"))
+    r = r.withColumns({"r": average_rank(F.col("m"), "a", "b"), "same": same})
+    return r.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("same") * F.col("same") - 1).alias("ties"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("down"))
 
 
 def holm(df: DataFrame, p: str, *by: str, tie: str) -> DataFrame:
@@ -75,20 +76,44 @@ def student_two_sided(t: float, df: float) -> float:
     return front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b
 
 
-def tournament(df: DataFrame, group: str) -> DataFrame:
-    """(group, name, place) of entrants (group, name, m1, m2): repeatedly the largest m1, entrants within 0.01 of it tie and the larger m2 then the
-    name decides.  Each removal changes who ties, so groups are worked off one by one, in Python; a group is a handful of rows."""
+def wilcoxon_two_sided(w: float, n: int, ties: float) -> float:
+    """P of a rank sum as small as ``w`` (the smaller one) or smaller, doubled: exact up to 50 differences without ties, else by the normal limit with the ties' variance taken off."""
+    from math import erfc, sqrt
+
+    if n == 0:
+        return 1.0
+    if n <= 50 and ties == 0:
+        ways = [1]
+        for k in range(1, n + 1):
+            longer = ways + [0] * k
+            for s, x in enumerate(ways):
+                longer[s + k] += x
+            ways = longer
+        return min(1.0, 2 * sum(ways[: int(w) + 1]) / 2**n)
+    z = (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
+    return min(1.0, erfc(abs(z) / sqrt(2)))
+
+
+def tournament(df: DataFrame, group: str, tolerance: float = 0.01, ties: tuple[tuple[str, int], ...] = (("m2", 1),)) -> DataFrame:
+    """(group, name, place, decided_by) of entrants (group, name, m1, and the columns of ``ties``): repeatedly the largest m1; entrants within the tolerance of it tie, and the criteria
+    of ``ties`` (column, 1 for the largest or -1 for the least; null loses) leave fewer and fewer, at last the name.  Each removal changes who ties, so groups are worked
+    off one by one, in Python; a group is a handful of rows."""
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, out = pdf.to_dict("records"), []
         while left:
             best = max(r["m1"] for r in left)
-            tied = [r for r in left if best - r["m1"] <= 0.01 + 1e-9]
-            pick = min(tied, key=lambda r: (-r["m2"], r["name"]))
-            out.append((pick[group], pick["name"], len(out) + 1))
+            tied, by = [r for r in left if best - r["m1"] <= tolerance + 1e-9], "m1"
+            for column, sign in ties:
+                if len(tied) == 1:
+                    break
+                worth = [float("-inf") if pd.isna(r[column]) else sign * r[column] for r in tied]
+                tied, by = [r for r, x in zip(tied, worth, strict=True) if x >= max(worth) - 1e-9], column
+            pick, by = min(tied, key=lambda r: r["name"]), by if len(tied) == 1 else "name"
+            out.append((pick[group], pick["name"], len(out) + 1, by))
             left.remove(pick)
-        return pd.DataFrame(out, columns=[group, "name", "place"])
+        return pd.DataFrame(out, columns=[group, "name", "place", "decided_by"])
 
     kind = dict(df.dtypes)[group]
-    return df.select(group, "name", "m1", "m2").groupBy(group).applyInPandas(run, f"{group} {kind}, name string, place int")
+    return df.select(group, "name", "m1", *[c for c, _ in ties]).groupBy(group).applyInPandas(run, f"{group} {kind}, name string, place int, decided_by string")

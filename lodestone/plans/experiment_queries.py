@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import dimension, frozen_rows, table
+from ..sources.tables import content_digest_of, dimension, frozen_rows, table, verified
 from .registry import query
 
 
@@ -34,9 +34,9 @@ def role_guard(spark, d):
 
 @query("split_leak_check", "SELECT doc_id FROM documents WHERE text IN (SELECT text FROM benchmark) OR regexp_matches(source,'^DB[0-9]{2}_')")
 def split_leak_check(spark, d):
-    """Rows of the corpus that belong to the test split: none expected, found by text or by the shape of an id."""
-    docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    same = docs.join(table(spark, d, "benchmark").select("text"), "text", "left_semi").select("doc_id")
+    """Rows of the corpus that belong to the test split: none expected, found by text or by the shape of an id.  Digests meet, not texts."""
+    docs, digest = table(spark, d, "documents"), F.sha2("text", 256).alias("h")
+    same = docs.select("doc_id", digest).join(table(spark, d, "benchmark").select(digest), "h", "left_semi").select("doc_id")
     return same.unionByName(docs.where(F.col("source").rlike("^DB[0-9]{2}_")).select("doc_id")).distinct()
 
 
@@ -57,12 +57,43 @@ def inconsistent_groups(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.countDistinct("o_orderpriority").alias("n")).where("n > 1")
 
 
-@query("spec_validity", "SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderstatus='O' AND o_totalprice<=0 THEN 'price' END, CASE WHEN o_orderstatus NOT IN ('O','F','P') THEN 'status' END, CASE WHEN o_orderpriority LIKE '1%' AND o_totalprice<2000 THEN 'cheap_urgent' END], lambda x: x IS NOT NULL),',') errors FROM orders")
+# Conditions of an experiment and the settings that go with them.
+CONDITIONS = ("zero_shot", "static", "random", "bm25", "oracle", "dense", "hybrid", "oracle_jt", "struct", "construct", "struct_construct", "oracle_self", "oracle_partial", "bm25_controllo")
+ORACLES, STRIPPED = ("oracle_self", "oracle_partial"), ("oracle_self", "bm25_controllo")
+
+
+def choice(of, *values):
+    """One of ``values`` by the remainder of an expression, in an SQL that both engines read."""
+    return f"CASE ({of})%{len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+def one_of(*values):
+    return "(" + ",".join(f"'{v}'" for v in values) + ")"
+
+
+#: Specifications made of orders.
+SPEC = {
+    "cond": choice("o_orderkey", *CONDITIONS, "unknown"), "fmt": choice("o_orderkey%29", "apollon", "plantuml", "compact", "xml"), "variant": choice("o_custkey", "base", "targeted", "other"),
+    "version": choice("o_custkey+o_orderkey", "v4", "v5", "v5b", "v5c", "v9"), "view_": choice("o_orderkey%11+o_custkey%3", "raw", "clean_v1", "none"), "block_": choice("o_orderkey%13", "standard", "libero", "standard", "wide"),
+    "extra": choice("o_orderkey%17", "nessuno", "bm25_2", "nessuno", "complemento", "more"), "serial": choice("o_custkey%19", "compact", "pretty", "compact", "binary"), "layout": choice("o_custkey%23", "user_only", "system_user", "none"),
+}
+KEEP, STRIP = "CASE o_orderkey%5 WHEN 0 THEN 0.5 WHEN 1 THEN 0.3 WHEN 2 THEN 0.0 ELSE 1.0 END", "o_orderkey%4=0"
+#: The cross-field rules: a name and when it is broken.
+SPEC_RULES = [
+    ("strip", f"strip AND cond NOT IN {one_of(*STRIPPED)}"), ("extra_unknown", f"extra NOT IN {one_of('nessuno', 'bm25_2', 'complemento')}"), ("extra_condition", "extra<>'nessuno' AND cond<>'oracle_partial'"), ("complement_keep", "extra='complemento' AND keep<>0.5"),
+    ("block_unknown", f"block_ NOT IN {one_of('standard', 'libero')}"), ("block_condition", f"block_<>'standard' AND cond NOT IN {one_of(*ORACLES)}"), ("partial_keep", "cond='oracle_partial' AND NOT (keep>0 AND keep<1)"), ("keep_condition", "cond<>'oracle_partial' AND keep<>1.0"),
+    ("condition_unknown", f"cond NOT IN {one_of(*CONDITIONS)}"), ("format_unknown", f"fmt NOT IN {one_of('apollon', 'plantuml', 'compact')}"), ("variant_unknown", f"variant NOT IN {one_of('base', 'targeted')}"), ("targeted_format", f"variant='targeted' AND fmt NOT IN {one_of('plantuml', 'compact')}"),
+    ("version_unknown", f"version NOT IN {one_of('v4', 'v5', 'v5b', 'v5c')}"), ("v5_format", f"version IN {one_of('v5', 'v5b', 'v5c')} AND fmt NOT IN {one_of('plantuml', 'compact')}"), ("v5b_format", "version='v5b' AND fmt<>'plantuml'"), ("v5c_format", "version='v5c' AND fmt<>'compact'"),
+    ("v5_variant", f"version IN {one_of('v5', 'v5b', 'v5c')} AND variant<>'base'"), ("view_unknown", f"view_ NOT IN {one_of('raw', 'clean_v1')}"), ("serialization", f"serial NOT IN {one_of('compact', 'pretty')} OR layout NOT IN {one_of('user_only', 'system_user')}"),
+]
+SPEC_SQL = ", ".join(f"{x} AS {n}" for n, x in SPEC.items()) + f", {KEEP} AS keep, {STRIP} AS strip"
+
+
+@query("spec_validity", f"SELECT o_orderkey, array_to_string(list_filter([{', '.join(f'CASE WHEN {c} THEN {chr(39)}{n}{chr(39)} END' for n, c in SPEC_RULES)}], lambda x: x IS NOT NULL),',') errors FROM (SELECT o_orderkey, {SPEC_SQL} FROM orders)")
 def spec_validity(spark, d):
-    """Rules across fields; the errors of each row."""
-    s, p, r = F.col("o_orderstatus"), F.col("o_totalprice"), F.col("o_orderpriority")
-    rules = [((s == "O") & (p <= 0), "price"), (~s.isin("O", "F", "P"), "status"), (r.like("1%") & (p < 2000), "cheap_urgent")]
-    return table(spark, d, "orders").select("o_orderkey", F.array_join(F.array_compact(F.array(*[F.when(c, n) for c, n in rules])), ",").alias("errors"))
+    """Rules across the fields of a specification; the names of those that each row breaks."""
+    spec = table(spark, d, "orders").select("o_orderkey", *[F.expr(x).alias(n) for n, x in SPEC.items()], F.expr(KEEP).alias("keep"), F.expr(STRIP).alias("strip"))
+    return spec.select("o_orderkey", F.array_join(F.array_compact(F.array(*[F.when(F.expr(c), n) for n, c in SPEC_RULES])), ",").alias("errors"))
 
 
 @query("run_load_join", "SELECT o_orderkey, l_linenumber, c_mktsegment FROM orders JOIN lineitem ON l_orderkey=o_orderkey JOIN customer ON c_custkey=o_custkey WHERE o_orderstatus IN ('O','F') AND c_mktsegment IN ('BUILDING','MACHINERY') AND l_returnflag='R'")
@@ -108,12 +139,15 @@ def resume_antijoin(spark, d):
     return o.join(l, o["o_orderkey"] == l["l_orderkey"], "left_anti")
 
 
-@query("frozen_explode", "WITH f AS (SELECT c_nationkey q, list(c_custkey ORDER BY c_acctbal DESC, c_custkey)[1:3] ids, list(c_acctbal ORDER BY c_acctbal DESC, c_custkey)[1:3] s FROM customer GROUP BY 1) SELECT q AS query, CAST(i AS INTEGER) AS rank, id, score FROM (SELECT q, unnest(ids) id, unnest(s) score, generate_subscripts(ids,1) i FROM f)")
+@query("frozen_explode", """WITH t AS (SELECT c_nationkey q, c_custkey id, c_acctbal s, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) r FROM customer QUALIFY r<=3), h AS (SELECT q, sha256(string_agg(id::VARCHAR, ',' ORDER BY r)) digest FROM t GROUP BY 1) SELECT q AS query, CAST(r AS INTEGER) AS rank, id, s score, digest, true ok FROM t JOIN h USING(q)""")
 def frozen_explode(spark, d):
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c_acctbal")).alias("s"), F.col("c_custkey").alias("id")))), 1, 3)
-    f = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("query")).agg(top.alias("x"))
-    f = f.select("query", F.lit("bm25").alias("retriever"), F.lit(3).alias("k"), F.transform("x", lambda v: v["id"]).alias("ids"), F.transform("x", lambda v: -v["s"]).alias("scores"), F.transform("x", lambda v: F.lit(1.0)).alias("score_norm"))
-    return frozen_rows(f).select("query", "rank", "id", "score")
+    """Frozen rankings as rows.  The three best of a query are found before they are gathered; a key that occurs twice, or content that isn't that of the recorded digest, isn't ok."""
+    r = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.col("c_acctbal").desc(), "c_custkey"))
+    top = table(spark, d, "customer").select(F.col("c_nationkey").alias("query"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("score"), r.alias("r")).where("r <= 3")
+    x = F.array_sort(F.collect_list(F.struct("r", "id", "score")))
+    f = top.groupBy("query").agg(x.alias("x")).select("query", F.lit("bm25").alias("retriever"), F.lit(3).alias("k"), F.transform("x", lambda v: v["id"]).alias("ids"), F.transform("x", lambda v: v["score"]).alias("scores"), F.transform("x", lambda v: F.lit(1.0)).alias("score_norm"))
+    f = f.withColumn("digest", content_digest_of(F.col("ids")))
+    return frozen_rows(verified(f)).select("query", "rank", "id", "score", "digest", "ok")
 
 
 @query("merge_overwrite_subset", "SELECT c_custkey, CASE WHEN c_mktsegment='BUILDING' THEN round(c_acctbal*2,4) ELSE c_acctbal END v, CASE WHEN c_mktsegment='BUILDING' THEN 'new' ELSE 'kept' END origin FROM customer")
@@ -139,17 +173,61 @@ def context_fit(spark, d):
     return x.groupBy("lang", "win").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("need") <= F.col("win")).alias("fits"))
 
 
-@query("condition_union", "SELECT cond, id, pos FROM (SELECT 'static' cond, s_suppkey id, CAST(row_number() OVER (ORDER BY s_suppkey) AS INTEGER) pos FROM supplier QUALIFY pos<=2 UNION ALL SELECT 'best', id, pos FROM (SELECT s_suppkey id, CAST(row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS INTEGER) pos FROM supplier) WHERE pos<=3 UNION ALL SELECT 'random', id, pos FROM (SELECT s_suppkey id, CAST(row_number() OVER (ORDER BY sha256('s'||s_suppkey), s_suppkey) AS INTEGER) pos FROM supplier) WHERE pos<=3)")
-def condition_union(spark, d):
-    """Examples of several conditions, each with its own order."""
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), "s_acctbal")
+# Orders of the pool for each kind of ranking, in an SQL that both engines read: stand-ins for the retrievers on the numbers of a supplier, the query's own (q_...) beside them.
+NEARNESS = {
+    "random": ("sha256(q||'|'||id)", "sha2(concat(q,'|',id),256)"), "bm25": ("-abs(bal-q_bal)",) * 2, "dense": ("-abs(id%97-q%97)",) * 2, "oracle": ("-abs(nat-q_nat)",) * 2, "oracle_jt": ("-abs(nat%5-q_nat%5)",) * 2,
+    "struct": ("-abs(id%13-q%13)",) * 2, "construct": ("-abs(id%7-q%7)",) * 2,
+}
+FUSED = {"hybrid": ("bm25", "dense"), "struct_construct": ("struct", "construct")}
+EXAMPLES = 3
+
+
+def _ranked(name):
+    direction = "ASC" if name == "random" else "DESC"
+    return f"r_{name} AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY {NEARNESS[name][0]} {direction}, id) r FROM pairs)"
+
 
-    def take(name, k, *order):
-        top = s.orderBy(*order).limit(k)
-        return top.select(F.lit(name).alias("cond"), "id", F.row_number().over(Window.orderBy(*order)).alias("pos"))
+def _fused(name):
+    a, b = FUSED[name]
+    return f"r_{name} AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY round(1.0::DOUBLE/(60+x.r)+1.0::DOUBLE/(60+y.r),9) DESC, id) r FROM r_{a} x JOIN r_{b} y USING(q,id))"
 
-    h = F.sha2(F.concat(F.lit("s"), F.col("id").cast("string")), 256)
-    return take("static", 2, F.col("id")).unionByName(take("best", 3, F.col("s_acctbal").desc(), F.col("id"))).unionByName(take("random", 3, h, F.col("id")))
+
+def _branches():
+    own = "SELECT q, '{0}' cond, q id, 1 pos, '{1}' view_ FROM qs"
+    last = lambda n, c, v="raw": f"SELECT q, '{c}', id, {EXAMPLES}+1-r, '{v}' FROM r_{n} WHERE r<={EXAMPLES}"
+    parts = [own.format("oracle_self", "raw"), own.format("oracle_partial", "half"), f"SELECT q, 'static', id, r, 'raw' FROM qs, (SELECT s_suppkey id, row_number() OVER (ORDER BY s_suppkey) r FROM supplier QUALIFY r<=2) WHERE id<>q", f"SELECT q, 'random', id, r, 'raw' FROM r_random WHERE r<={EXAMPLES}", last("bm25", "bm25_controllo", "stripped")]
+    return " UNION ALL ".join(parts + [last(n, n) for n in (*[k for k in NEARNESS if k != "random"], *FUSED)])
+
+
+@query("condition_union", f"WITH qs AS (SELECT s_suppkey q, s_acctbal q_bal, s_nationkey q_nat FROM supplier WHERE s_suppkey%100=0), pairs AS (SELECT q, q_bal, q_nat, s_suppkey id, s_acctbal bal, s_nationkey nat FROM qs JOIN supplier ON s_suppkey<>q), {', '.join([*map(_ranked, NEARNESS), *map(_fused, FUSED)])} SELECT q, cond, id, pos::INTEGER pos, view_ FROM ({_branches()})")
+def condition_union(spark, d):
+    """The examples of fourteen conditions for the query set (ids divisible by 100), each in the order of its prompt: rankings have the best last, draws as they come, zero_shot none."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("bal"), F.col("s_nationkey").alias("nat"))
+    qs = s.where("id % 100 = 0").select(F.col("id").alias("q"), F.col("bal").alias("q_bal"), F.col("nat").alias("q_nat"))
+    pairs = s.crossJoin(qs).where("id <> q")
+    w = Window.partitionBy("q")
+
+    def ranked(name):
+        key = F.expr(NEARNESS[name][1])
+        return pairs.select("q", "id", F.row_number().over(w.orderBy(key if name == "random" else key.desc(), "id")).alias("r"))
+
+    def fused(name):
+        a, b = (ranked(n) for n in FUSED[name])
+        score = F.round(1.0 / (60 + F.col("r")) + 1.0 / (60 + F.col("o")), 9)
+        return a.join(b.withColumnRenamed("r", "o"), ["q", "id"]).select("q", "id", F.row_number().over(w.orderBy(score.desc(), "id")).alias("r"))
+
+    def branch(df, cond, pos, view="raw"):
+        return df.select("q", F.lit(cond).alias("cond"), "id", pos.cast("int").alias("pos"), F.lit(view).alias("view_"))
+
+    last, own = EXAMPLES + 1 - F.col("r"), qs.select("q", F.col("q").alias("id"))
+    two = s.select("id").orderBy("id").limit(2)
+    static = qs.select("q").crossJoin(F.broadcast(two.withColumn("r", F.row_number().over(Window.orderBy("id"))))).where("id <> q")  # two rows
+    parts = [branch(own, "oracle_self", F.lit(1)), branch(own, "oracle_partial", F.lit(1), "half"), branch(static, "static", F.col("r")), branch(ranked("random").where(F.col("r") <= EXAMPLES), "random", F.col("r")), branch(ranked("bm25").where(F.col("r") <= EXAMPLES), "bm25_controllo", last, "stripped")]
+    parts += [branch(ranked(n).where(F.col("r") <= EXAMPLES), n, last) for n in NEARNESS if n != "random"] + [branch(fused(n).where(F.col("r") <= EXAMPLES), n, last) for n in FUSED]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @query("experiment_grid", "SELECT r_name cond, k::INTEGER k, rep::INTEGER rep, ('0x'||substr(sha256(r_name||'|'||k||'|'||rep),1,8))::BIGINT seed FROM region, (VALUES (0),(1),(3)) a(k), range(1,4) b(rep) WHERE NOT (r_name='ASIA' AND k=0)")

@@ -9,26 +9,26 @@ from ..operators import matching as M
 from ..sources.tables import dimension, table
 from .registry import query
 
-EDGES = """E AS (SELECT l_suppkey ex, l_partkey%20 a, l_orderkey%20 b, least(l_partkey%20,l_orderkey%20) x, greatest(l_partkey%20,l_orderkey%20) y, l_returnflag typ, l_linestatus mult, l_shipdate<TIMESTAMP '1998-01-01' gt,
+EDGES = """E AS (SELECT l_suppkey ex, l_partkey%20 a, l_orderkey%20 b, least(l_partkey%20,l_orderkey%20) x, greatest(l_partkey%20,l_orderkey%20) y, l_returnflag typ, l_linestatus mult, l_shipdate<TIMESTAMP '1998-01-01' gt, CASE l_linenumber%4 WHEN 0 THEN '' WHEN 1 THEN '1' WHEN 2 THEN '0..*' ELSE '*' END sm, CASE (l_linenumber+l_partkey)%3 WHEN 0 THEN '' WHEN 1 THEN '1' ELSE '*' END tm,
  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey,l_linenumber,l_partkey,l_returnflag,l_linestatus,l_shipdate) id FROM lineitem)"""
 PAIRS = EDGES + """, g1 AS (SELECT *, row_number() OVER (PARTITION BY ex,x,y,typ ORDER BY id) n FROM E WHERE gt), f1 AS (SELECT *, row_number() OVER (PARTITION BY ex,x,y,typ ORDER BY id) n FROM E WHERE NOT gt),
  p1 AS (SELECT g.ex, g.id gid, f.id fid, 1 pass FROM g1 g JOIN f1 f USING(ex,x,y,typ,n)),
  g2 AS (SELECT *, row_number() OVER (PARTITION BY ex,x,y ORDER BY id) n FROM E WHERE gt AND (ex,id) NOT IN (SELECT ex,gid FROM p1)), f2 AS (SELECT *, row_number() OVER (PARTITION BY ex,x,y ORDER BY id) n FROM E WHERE NOT gt AND (ex,id) NOT IN (SELECT ex,fid FROM p1)),
  P AS (SELECT * FROM p1 UNION ALL SELECT g.ex, g.id, f.id, 2 FROM g2 g JOIN f2 f USING(ex,x,y,n)),
- J AS (SELECT P.*, g.a ga, g.b gb, g.typ gtyp, g.mult gmult, f.a fa, f.b fb, f.typ ftyp, f.mult fmult FROM P JOIN E g ON g.ex=P.ex AND g.id=gid JOIN E f ON f.ex=P.ex AND f.id=fid)"""
+ J AS (SELECT P.*, g.a ga, g.b gb, g.typ gtyp, g.mult gmult, g.sm gsm, g.tm gtm, f.sm fsm, f.tm ftm, f.a fa, f.b fb, f.typ ftyp, f.mult fmult FROM P JOIN E g ON g.ex=P.ex AND g.id=gid JOIN E f ON f.ex=P.ex AND f.id=fid)"""
 
 
 def edges(spark, d):
     li = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate")
     a, b = F.col("l_partkey") % 20, F.col("l_orderkey") % 20
     place = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", "l_shipdate"))
-    return li.select(F.col("l_suppkey").alias("ex"), a.alias("a"), b.alias("b"), F.least(a, b).alias("x"), F.greatest(a, b).alias("y"), F.col("l_returnflag").alias("typ"), F.col("l_linestatus").alias("mult"), (F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")).alias("gt"), place.alias("id"))
+    return li.select(F.col("l_suppkey").alias("ex"), a.alias("a"), b.alias("b"), F.least(a, b).alias("x"), F.greatest(a, b).alias("y"), F.col("l_returnflag").alias("typ"), F.col("l_linestatus").alias("mult"), F.expr("CASE l_linenumber%4 WHEN 0 THEN '' WHEN 1 THEN '1' WHEN 2 THEN '0..*' ELSE '*' END").alias("sm"), F.expr("CASE (l_linenumber+l_partkey)%3 WHEN 0 THEN '' WHEN 1 THEN '1' ELSE '*' END").alias("tm"), (F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")).alias("gt"), place.alias("id"))
 
 
 def matched(spark, d):
     e = edges(spark, d)
     p = M.match_passes(e.where("gt"), e.where("not gt"), ["ex"], [["x", "y", "typ"], ["x", "y"]], ["id"])
-    side = lambda pre, key: e.select("ex", F.col("id").alias(key), *[F.col(c).alias(pre + c) for c in ("a", "b", "typ", "mult")])
+    side = lambda pre, key: e.select("ex", F.col("id").alias(key), *[F.col(c).alias(pre + c) for c in ("a", "b", "typ", "mult", "sm", "tm")])
     return e, p.join(side("g", "gid"), ["ex", "gid"]).join(side("f", "fid"), ["ex", "fid"])
 
 
@@ -45,21 +45,44 @@ def rel_compare(spark, d):
     return j.groupBy("ex").agg(F.count(F.lit(1)).alias("matched"), F.count_if(F.col("gtyp") == F.col("ftyp")).alias("same_type"), F.count_if((F.col("ga") == F.col("fa")) & (F.col("gb") == F.col("fb"))).alias("same_direction"), F.count_if(F.col("gmult") == F.col("fmult")).alias("same_multiplicity"), F.count_if((F.col("gtyp") == "R") == (F.col("ftyp") == "R")).alias("same_family"))
 
 
-@query("end_multiplicity", f"WITH {PAIRS}, ends AS (SELECT ex, 1 pos, gmult g, CASE WHEN ga=fa THEN fmult ELSE ftyp END f FROM J WHERE gtyp<>'R' UNION ALL SELECT ex, 2, gmult, fmult FROM J WHERE gtyp<>'R') SELECT ex, pos, count(*) n_ends, count(*) FILTER (g=f) correct, round(count(*) FILTER (g=f)/count(*),6) share FROM ends GROUP BY ALL")
-def end_multiplicity(spark, d):
-    """Multiplicity per end, by position; one type is left out, as inheritance has none."""
-    _, j = matched(spark, d)
-    ends = F.array(F.struct(F.lit(1).alias("pos"), F.col("gmult").alias("g"), F.when(F.col("ga") == F.col("fa"), F.col("fmult")).otherwise(F.col("ftyp")).alias("f")), F.struct(F.lit(2).alias("pos"), F.col("gmult").alias("g"), F.col("fmult").alias("f")))
-    e = j.where("gtyp <> 'R'").select("ex", F.explode(ends).alias("e")).select("ex", "e.*")
-    ok = F.count_if(F.col("g") == F.col("f"))
-    return e.groupBy("ex", "pos").agg(F.count(F.lit(1)).alias("n_ends"), ok.alias("correct"), F.round(ok / F.count(F.lit(1)), 6).alias("share"))
+NM = "CASE WHEN {0}='0..*' THEN '*' ELSE {0} END"
 
 
-@query("extra_elements", f"WITH {PAIRS} SELECT E.ex, count(*) extra, count(*) FILTER (typ='R') extra_r, count(*) FILTER (typ='N') extra_n FROM E LEFT JOIN P ON P.ex=E.ex AND P.fid=E.id WHERE NOT gt AND P.fid IS NULL GROUP BY 1")
+@query("end_multiplicity", f"""WITH {PAIRS}, g AS (SELECT E.ex, E.id, E.a, E.b, {NM.format('E.sm')} sm, {NM.format('E.tm')} tm, J.fa, J.fb, {NM.format('J.fsm')} fsm, {NM.format('J.ftm')} ftm, J.fid FROM E LEFT JOIN J ON J.ex=E.ex AND J.gid=E.id WHERE gt AND typ<>'R'),
+ ends AS (SELECT ex, sm g, fid IS NOT NULL AND sm=CASE WHEN a=b OR fa=a THEN fsm ELSE ftm END same FROM g UNION ALL SELECT ex, tm, fid IS NOT NULL AND tm=CASE WHEN a=b OR fa=a THEN ftm ELSE fsm END FROM g)
+ SELECT ex, count(*) n_ends, count(*) FILTER (same) same, count(*) FILTER (g<>'') explicit_ends, count(*) FILTER (g<>'' AND same) explicit_same, round(count(*) FILTER (same)/count(*),6) m2, CASE WHEN count(*) FILTER (g<>'')>0 THEN round(count(*) FILTER (g<>'' AND same)/count(*) FILTER (g<>''),6) END m1 FROM ends GROUP BY 1""")
+def end_multiplicity(spark, d):
+    """Multiplicities of the gold ends: all (m2) and explicit ones (m1).  Ends go by node, those of a loop by position; unmatched relations miss; inheritance has none."""
+    from ..functions.text import norm_mult
+
+    e, j = matched(spark, d)
+    gold = e.where("gt and typ <> 'R'").select("ex", F.col("id").alias("gid"), "a", "b", "sm", "tm")
+    x = gold.join(j.select("ex", "gid", "fid", "fa", "fsm", "ftm"), ["ex", "gid"], "left")
+    straight = F.coalesce((F.col("a") == F.col("b")) | (F.col("fa") == F.col("a")), F.lit(False))
+    end = lambda g, p, q: F.struct(norm_mult(F.col(g)).alias("g"), (F.col("fid").isNotNull() & (norm_mult(F.col(g)) == norm_mult(F.when(straight, F.col(p)).otherwise(F.col(q))))).alias("same"))
+    x = x.select("ex", F.explode(F.array(end("sm", "fsm", "ftm"), end("tm", "ftm", "fsm"))).alias("e")).select("ex", "e.*")
+    explicit = F.col("g") != ""
+    n = x.groupBy("ex").agg(F.count(F.lit(1)).alias("n_ends"), F.count_if("same").alias("same"), F.count_if(explicit).alias("explicit_ends"), F.count_if(explicit & F.col("same")).alias("explicit_same"))
+    return n.select("*", F.round(F.col("same") / F.col("n_ends"), 6).alias("m2"), F.round(M.ratio(F.col("explicit_same"), F.col("explicit_ends")), 6).alias("m1"))
+
+
+@query("extra_elements", f"""WITH {PAIRS}, m AS (SELECT ex, count(*) FILTER (gtyp=ftyp) same, count(*) FILTER (gtyp=ftyp OR (gtyp<>'R' AND ftyp<>'R')) fam, count(*) FILTER (gtyp='R' AND ftyp='R' AND (ga<>fa OR gb<>fb)) inv FROM J GROUP BY 1), n AS (SELECT ex, count(*) FILTER (gt) n FROM E GROUP BY 1),
+ x AS (SELECT E.ex, count(*) FILTER (P.fid IS NULL) extra FROM E LEFT JOIN P ON P.ex=E.ex AND P.fid=E.id WHERE NOT gt GROUP BY 1), u AS (SELECT ex, count(*) n FROM E WHERE NOT gt AND typ='R' AND (ex,a,b) NOT IN (SELECT ex,a,b FROM E WHERE gt AND typ='R') GROUP BY 1), c AS (SELECT ex, count(*) n FROM E WHERE NOT gt AND typ='N' AND (ex,x,y) NOT IN (SELECT ex,x,y FROM E WHERE gt AND typ='N') GROUP BY 1)
+ SELECT n.ex, n.n gold, CASE WHEN n.n>0 THEN round(coalesce(same,0)/n.n,6) END r, CASE WHEN n.n>0 THEN round(coalesce(fam,0)/n.n,6) END r_fam, coalesce(extra,0) extra, coalesce(u.n,0) extra_generalizations, coalesce(c.n,0) extra_compositions, coalesce(inv,0) inverted FROM n LEFT JOIN m ON m.ex=n.ex LEFT JOIN x ON x.ex=n.ex LEFT JOIN u ON u.ex=n.ex LEFT JOIN c ON c.ex=n.ex""")
 def extra_elements(spark, d):
+    """Relations found by type and by family, those too many, generalisations and compositions that the gold graph lacks, and generalisations the wrong way round."""
     e, j = matched(spark, d)
-    x = e.where("not gt").join(j.select("ex", F.col("fid").alias("id")), ["ex", "id"], "left_anti")
-    return x.groupBy("ex").agg(F.count(F.lit(1)).alias("extra"), F.count_if(F.col("typ") == "R").alias("extra_r"), F.count_if(F.col("typ") == "N").alias("extra_n"))
+    same, family = F.col("gtyp") == F.col("ftyp"), (F.col("gtyp") != "R") & (F.col("ftyp") != "R")
+    m = j.groupBy("ex").agg(F.count_if(same).alias("same"), F.count_if(same | family).alias("fam"), F.count_if(same & (F.col("gtyp") == "R") & ((F.col("ga") != F.col("fa")) | (F.col("gb") != F.col("fb")))).alias("inverted"), F.count(F.lit(1)).alias("linked"))
+    n = e.groupBy("ex").agg(F.count_if("gt").alias("gold"), F.count_if(~F.col("gt")).alias("found"))
+
+    def lacking(typ, *key):
+        mine = lambda side: e.where(side).where(F.col("typ") == typ).select("ex", *key)
+        return mine("not gt").join(mine("gt").distinct(), ["ex", *key], "left_anti").groupBy("ex").agg(F.count(F.lit(1)).alias(f"extra_{'generalizations' if typ == 'R' else 'compositions'}"))
+
+    x = n.join(m, "ex", "left").join(lacking("R", "a", "b"), "ex", "left").join(lacking("N", "x", "y"), "ex", "left").na.fill(0)
+    rate = lambda c: F.round(M.ratio(F.col(c), F.col("gold")), 6)
+    return x.select("ex", "gold", rate("same").alias("r"), rate("fam").alias("r_fam"), (F.col("found") - F.col("linked")).alias("extra"), "extra_generalizations", "extra_compositions", "inverted")
 
 
 @query("rel_error_class", f"""WITH {PAIRS}, c AS (SELECT ex, CASE WHEN gtyp<>ftyp THEN 'type' WHEN ga<>fa OR gb<>fb THEN 'direction' WHEN gmult<>fmult THEN 'multiplicity' ELSE 'correct' END k FROM J
@@ -135,13 +158,44 @@ def element_prf(spark, d):
     return counts(spark, d).select("ex", "tp", "fp", "fn", F.round(M.precision(), 6).alias("p"), F.round(M.recall(), 6).alias("r"), F.round(M.f1(), 6).alias("f1"))
 
 
-EDGE_CASES = [(0, 0, 0), (0, 2, 0), (0, 0, 3), (1, 0, 0), (2, 1, 3), (0, 1, 1)]
+THREE = "p_partkey%3 tp, p_size%4 fp, (p_partkey+p_size)%3 fn"
 
 
-@query("prf_edge_cases", f"SELECT tp::BIGINT tp, fp::BIGINT fp, fn::BIGINT fn, round(p,6) p, round(r,6) r, round(f,6) f1 FROM (SELECT *, {PRF} FROM (VALUES (0,0,0),(0,2,0),(0,0,3),(1,0,0),(2,1,3),(0,1,1)) t(tp,fp,fn))")
+@query("prf_edge_cases", f"SELECT p_partkey, tp, fp, fn, round(p,6) p, round(r,6) r, round(f,6) f1 FROM (SELECT *, {PRF} FROM (SELECT p_partkey, {THREE} FROM part))")
 def prf_edge_cases(spark, d):
-    x = dimension(spark, EDGE_CASES, "tp long, fp long, fn long")
-    return x.select("tp", "fp", "fn", F.round(M.precision(), 6).alias("p"), F.round(M.recall(), 6).alias("r"), F.round(M.f1(), 6).alias("f1"))
+    """Ratios of small counts, zeros among them: undefined where nothing could be right."""
+    x = table(spark, d, "part").selectExpr("p_partkey", *THREE.split(", "))
+    return x.select("p_partkey", "tp", "fp", "fn", F.round(M.precision(), 6).alias("p"), F.round(M.recall(), 6).alias("r"), F.round(M.f1(), 6).alias("f1"))
+
+
+def diagrams(spark, d):
+    """Gold (even keys) and found (odd keys) diagrams of each brand, made of part: classes, attributes and edges as ``compare_elements`` takes them."""
+    p = table(spark, d, "part").select(F.col("p_brand").alias("ex"), F.col("p_partkey").alias("id"), F.initcap("p_name").alias("name"), "p_type", "p_size", (F.col("p_partkey") % 2 == 0).alias("gold"))
+    name = F.when(F.col("p_size") % 5 == 0, F.concat("name", F.lit("s"))).when(F.col("p_size") % 7 == 0, F.lit("--")).otherwise(F.concat("name", (F.col("p_size") % 4).cast("string")))
+    classes = p.select("ex", "id", F.regexp_replace(name, " ", "").alias("name"), "gold")
+    attributes = p.select("ex", F.col("id").alias("cid"), "gold", F.posexplode(F.array(F.lower("p_type"), F.concat("p_type", F.lit("Codes")), F.concat(F.lit("size"), (F.col("p_size") % 3).cast("string")))).alias("k", "name"))
+    attributes = attributes.select("ex", "cid", (F.col("cid") * 10 + F.col("k")).alias("id"), "name", "gold")
+    w = Window.partitionBy("ex", "gold").orderBy("id")
+    kinds = F.array(*map(F.lit, [*M.STRUCTURAL, *M.GENERAL]))
+    edges = p.select("ex", "id", F.col("id").alias("src"), F.lag("id", 1).over(w).alias("tgt"), F.element_at(kinds, F.col("p_size") % 7 + 1).alias("typ"), "gold").where("tgt is not null")
+    return classes, attributes, edges
+
+
+def sides(df):
+    return df.where("gold").drop("gold"), df.where("not gold").drop("gold")
+
+
+@query("element_levels")
+def element_levels(spark, d):
+    """Classes, attributes, relations and generalisations, by exact names and by stemmed ones: counts, ratios, and the mean of the defined F1 of each diagram and level."""
+    from ..functions.stem import stem_set
+    from .retrieval_queries import camel
+
+    classes, attributes, edges = diagrams(spark, d)
+    c = M.compare_elements(sides(classes), sides(attributes), sides(edges), lambda n: stem_set(camel(n)))
+    x = c.withColumns({"p": M.precision(), "r": M.recall(), "f1": M.f1()})
+    mean = F.avg("f1").over(Window.partitionBy("ex", "level"))
+    return x.select("ex", "level", "kind", "tp", "fp", "fn", *[F.round(k, 6).alias(k) for k in ("p", "r", "f1")], F.round(mean, 6).alias("mean_f1"))
 
 
 @query("macro_micro_prf", f"""WITH {COUNTS}, s AS (SELECT c_mktsegment seg, c_nationkey nat, tp, fp, fn, {PRF} FROM C JOIN customer ON ex=c_custkey), m AS (SELECT seg, nat, avg(p) p, avg(r) r, avg(f) f FROM s GROUP BY ALL),
@@ -156,20 +210,27 @@ def macro_micro_prf(spark, d):
     return t.select("seg", "macro_p", "macro_r", "macro_f1", F.round(M.precision(), 6).alias("micro_p"), F.round(M.recall(), 6).alias("micro_r"), F.round(M.f1(), 6).alias("micro_f1"), "p_excluded")
 
 
-@query("f1_mean4", f"WITH {COUNTS}, x AS (SELECT ex, {PRF} FROM C) SELECT ex, round((coalesce(p,0)+coalesce(r,0)+coalesce(f,0))/((p IS NOT NULL)::INT+(r IS NOT NULL)::INT+(f IS NOT NULL)::INT),6) m FROM x")
+F4 = "K4 AS (SELECT o_custkey ex, o_orderkey%4 kind, o_orderpriority k, count(*) FILTER (o_orderstatus='O') g, count(*) FILTER (o_orderstatus='F') f FROM orders GROUP BY ALL), C4 AS (SELECT ex, kind, sum(least(g,f)) tp, sum(f-least(g,f)) fp, sum(g-least(g,f)) fn FROM K4 GROUP BY ALL HAVING sum(g)+sum(f)>0)"
+
+
+@query("f1_mean4", f"WITH {F4} SELECT ex, round(avg(CASE WHEN 2*tp+fp+fn>0 THEN 2*tp/(2*tp+fp+fn) END),6) m, count(*) kinds FROM C4 GROUP BY 1")
 def f1_mean4(spark, d):
-    """Mean of the defined ones among several measures of a response."""
-    x = counts(spark, d).select("ex", F.array_compact(F.array(M.precision(), M.recall(), M.f1())).alias("v"))
-    return x.select("ex", F.round(F.aggregate("v", F.lit(0.0), lambda s, y: s + y) / F.size("v"), 6).alias("m"))
+    """Mean of the F1 of four kinds of elements of a response; undefined ones are left out."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("ex"), (F.col("o_orderkey") % 4).alias("kind"), F.col("o_orderpriority").alias("k"), "o_orderstatus")
+    c = M.key_counts(o.where("o_orderstatus = 'O'"), o.where("o_orderstatus = 'F'"), ["ex", "kind"], ["k"])
+    return c.groupBy("ex").agg(F.round(F.avg(M.f1()), 6).alias("m"), F.count(F.lit(1)).alias("kinds"))
 
 
-@query("core_metrics", f"""WITH {COUNTS}, x AS (SELECT c_mktsegment seg, tp, fp, fn, tp+fp>=3 valid FROM C JOIN customer ON ex=c_custkey) SELECT seg, round(count(*) FILTER (valid)/count(*),6) v, round(sum(CASE WHEN valid THEN tp ELSE 0 END)/sum(tp+fn),6) r, round(avg(CASE WHEN valid THEN tp/nullif(tp+fp+fn,0) ELSE 0 END),6) j, median((tp+fp)::DOUBLE) med FROM x GROUP BY 1""")
+@query("core_metrics", f"""WITH {COUNTS}, x AS (SELECT c_mktsegment seg, tp, fp, fn, tp+fp>=3 valid FROM C JOIN customer ON ex=c_custkey) SELECT seg, count(*) n, count(*) FILTER (valid) v, count(*) FILTER (valid AND fp=0) vc, count(*) FILTER (tp+fp>8) truncated, round(sum(CASE WHEN valid THEN tp ELSE 0 END)/sum(tp+fn),6) r, round(avg(CASE WHEN valid THEN tp/nullif(tp+fp+fn,0) ELSE 0 END),6) j, median((tp+fp)::DOUBLE) med FROM x GROUP BY 1""")
 def core_metrics(spark, d):
-    """Pooled over all responses, an invalid one counting 0."""
+    """Valid and clean responses, truncated ones, and ratios pooled over all responses, an invalid one counting 0."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("ex"), F.col("c_mktsegment").alias("seg"))
     x = counts(spark, d).join(c, "ex").withColumn("valid", F.col("tp") + F.col("fp") >= 3)
     j = F.when(F.col("valid"), M.ratio(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn"))).otherwise(0.0)
-    return x.groupBy("seg").agg(F.round(F.count_if("valid") / F.count(F.lit(1)), 6).alias("v"), F.round(F.sum(F.when(F.col("valid"), F.col("tp")).otherwise(0)) / F.sum(F.col("tp") + F.col("fn")), 6).alias("r"), F.round(F.avg(j), 6).alias("j"), F.median((F.col("tp") + F.col("fp")).cast("double")).alias("med"))
+    return x.groupBy("seg").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("v"), F.count_if(F.col("valid") & (F.col("fp") == 0)).alias("vc"), F.count_if(F.col("tp") + F.col("fp") > 8).alias("truncated"),
+        F.round(F.sum(F.when(F.col("valid"), F.col("tp")).otherwise(0)) / F.sum(F.col("tp") + F.col("fn")), 6).alias("r"), F.round(F.avg(j), 6).alias("j"), F.median((F.col("tp") + F.col("fp")).cast("double")).alias("med"),
+    )
 
 
 @query("completeness", f"WITH {COUNTS}, x AS (SELECT ex, tp/nullif(tp+fn,0) c, tp/nullif(tp+fp,0) p FROM C) SELECT ex, round(c,6) complete, round(p,6) precise, coalesce(c>=0.9 AND p>=0.9,false) copy, CASE WHEN c>=0.8 THEN 'high' WHEN c>=0.6 THEN 'mid' WHEN c IS NULL THEN 'undefined' ELSE 'low' END band FROM x")
@@ -186,19 +247,22 @@ def set_coherence(spark, d):
     return s.select("ex", F.size(F.array_intersect("g", "f")).cast("long").alias("shared"), F.size("g").cast("long").alias("planned"), F.size("f").cast("long").alias("made"))
 
 
-@query("attr_recall", "WITH g AS (SELECT DISTINCT p_brand c, split_part(p_name,' ',1) a FROM part WHERE p_partkey%2=0), f AS (SELECT DISTINCT p_brand c, split_part(p_name,' ',1) a FROM part WHERE p_partkey%2=1) SELECT g.c, count(*) total, count(f.a) found, round(count(f.a)/count(*),6) recall FROM g LEFT JOIN f ON f.c=g.c AND f.a=g.a GROUP BY 1")
+@query("attr_recall", "WITH n AS (SELECT p_brand c, p_name a, bool_or(p_partkey%2=0) g, bool_or(p_partkey%2=1 AND p_size<45) f FROM part GROUP BY ALL) SELECT c, count(*) FILTER (g) total, count(*) FILTER (g AND f) found, round(count(*) FILTER (g AND f)/nullif(count(*) FILTER (g),0),6) recall, round(count(*) FILTER (g AND f)/nullif(count(*) FILTER (f),0),6) AS precision_, count(*) FILTER (f)=0 AND count(*) FILTER (g)>0 skeleton FROM n GROUP BY 1")
 def attr_recall(spark, d):
-    p = table(spark, d, "part").select(F.col("p_brand").alias("c"), F.split("p_name", " ")[0].alias("a"), (F.col("p_partkey") % 2).alias("side"))
-    n = p.groupBy("c", "a").agg(F.bool_or(F.col("side") == 0).alias("g"), F.bool_or(F.col("side") == 1).alias("f")).where("g")
-    return n.groupBy("c").agg(F.count(F.lit(1)).alias("total"), F.count_if("f").alias("found"), F.round(F.count_if("f") / F.count(F.lit(1)), 6).alias("recall"))
+    """Attributes found again and those of the answer that are right; a skeleton is an answer without any for a gold diagram that has some."""
+    p = table(spark, d, "part").select(F.col("p_brand").alias("c"), F.col("p_name").alias("a"), (F.col("p_partkey") % 2).alias("side"), "p_size")
+    n = p.groupBy("c", "a").agg(F.bool_or(F.col("side") == 0).alias("g"), F.bool_or((F.col("side") == 1) & (F.col("p_size") < 45)).alias("f"))
+    x = n.groupBy("c").agg(F.count_if("g").alias("total"), F.count_if(F.col("g") & F.col("f")).alias("found"), F.count_if("f").alias("made"))
+    return x.select("c", "total", "found", F.round(M.ratio(F.col("found"), F.col("total")), 6).alias("recall"), F.round(M.ratio(F.col("found"), F.col("made")), 6).alias("precision_"), ((F.col("made") == 0) & (F.col("total") > 0)).alias("skeleton"))
 
 
-@query("empty_share", "WITH n AS (SELECT c_mktsegment seg, c_custkey, count(o_orderkey) n FROM customer LEFT JOIN orders ON o_custkey=c_custkey AND o_orderstatus='F' GROUP BY ALL) SELECT seg, count(*) classes, count(*) FILTER (n=0) empty, round(count(*) FILTER (n=0)/count(*),6) share FROM n GROUP BY 1")
+@query("empty_share", "WITH n AS (SELECT c_mktsegment seg, c_custkey, count(o_orderkey) FILTER (o_orderstatus='F') n, count(o_orderkey) rel, count(o_orderkey) FILTER (o_orderstatus<>'P' AND NOT o_orderpriority LIKE '%NOT%') named FROM customer LEFT JOIN orders ON o_custkey=c_custkey GROUP BY ALL) SELECT seg, count(*) classes, count(*) FILTER (n=0) empty, round(count(*) FILTER (n=0)/count(*),6) share, sum(rel)::BIGINT relations, round(sum(named)/nullif(sum(rel),0),6) multiplicities FROM n GROUP BY 1")
 def empty_share(spark, d):
-    o = table(spark, d, "orders").where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    c = table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
-    e = F.count_if(F.col("n").isNull())
-    return c.groupBy(F.col("c_mktsegment").alias("seg")).agg(F.count(F.lit(1)).alias("classes"), e.alias("empty"), F.round(e / F.count(F.lit(1)), 6).alias("share"))
+    """Pooled shares: classes without members, and relations that name the multiplicities of both ends."""
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("n"), F.count(F.lit(1)).alias("rel"), F.count_if((F.col("o_orderstatus") != "P") & ~F.col("o_orderpriority").like("%NOT%")).alias("both"))
+    c = table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").na.fill(0, ["n", "rel", "both"])
+    e = F.count_if(F.col("n") == 0)
+    return c.groupBy(F.col("c_mktsegment").alias("seg")).agg(F.count(F.lit(1)).alias("classes"), e.alias("empty"), F.round(e / F.count(F.lit(1)), 6).alias("share"), F.sum("rel").alias("relations"), F.round(F.try_divide(F.sum("both"), F.sum("rel")), 6).alias("multiplicities"))
 
 
 @query("multiset_diff", "SELECT side, k, count(*) n FROM (SELECT 'only_open' side, k FROM (SELECT o_orderpriority||o_custkey%50 k FROM orders WHERE o_orderstatus='O' EXCEPT ALL SELECT o_orderpriority||o_custkey%50 FROM orders WHERE o_orderstatus='F') UNION ALL SELECT 'only_filled', k FROM (SELECT o_orderpriority||o_custkey%50 k FROM orders WHERE o_orderstatus='F' EXCEPT ALL SELECT o_orderpriority||o_custkey%50 FROM orders WHERE o_orderstatus='O')) GROUP BY ALL")
@@ -251,6 +315,13 @@ def box_overlaps(spark, d):
     return j.where(first).groupBy("g").agg(F.count(F.lit(1)).alias("n_overlaps"))
 
 
+@query("layout_issues", """WITH b AS (SELECT p_brand g, p_partkey%60*28 x, (p_partkey*7)%60*13 y, 30+p_size w, 20+p_size%30 h, 30+p_size mw, 20+p_size%31 mh FROM part) SELECT g, count(*) boxes, count(*) FILTER (x<0 OR y<0 OR x+w>1600 OR y+h>780) outside, count(*) FILTER (w<>mw OR h<>mh) mismatch FROM b GROUP BY 1""")
+def layout_issues(spark, d):
+    """Boxes outside the canvas of 1600 by 780, and boxes whose size isn't the measured one."""
+    b = table(spark, d, "part").selectExpr("p_brand g", "p_partkey % 60 * 28 x", "(p_partkey * 7) % 60 * 13 y", "30 + p_size w", "20 + p_size % 30 h", "30 + p_size mw", "20 + p_size % 31 mh")
+    return b.groupBy("g").agg(F.count(F.lit(1)).alias("boxes"), F.count_if(F.expr("x < 0 or y < 0 or x + w > 1600 or y + h > 780")).alias("outside"), F.count_if(F.expr("w <> mw or h <> mh")).alias("mismatch"))
+
+
 @query("ref_integrity", "SELECT count(*) edges, count(*) FILTER (c_custkey IS NULL) dangling, (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*)>1)) duplicate_ids FROM orders LEFT JOIN customer ON o_custkey=c_custkey AND c_acctbal>0")
 def ref_integrity(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
@@ -259,11 +330,24 @@ def ref_integrity(spark, d):
     return o.join(c, o["o_custkey"] == c["c_custkey"], "left").agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("c_custkey").isNull()).alias("dangling")).crossJoin(F.broadcast(twice))
 
 
-@query("style_violations", "SELECT rule, count(*) n FROM (SELECT unnest(list_filter([CASE WHEN NOT regexp_matches(p_name,'^[a-z ]+$') THEN 'case' END, CASE WHEN length(p_name)>30 THEN 'long' END, CASE WHEN p_type LIKE '% % %' THEN 'three_words' END, CASE WHEN p_size>40 THEN 'size' END], lambda x: x IS NOT NULL)) rule FROM part) GROUP BY 1")
+FORMS = {
+    "attr": "CASE p_partkey%6 WHEN 0 THEN '+ '||p_name||' : int' WHEN 1 THEN p_name||' : int' WHEN 2 THEN '+ x : Money' WHEN 3 THEN '+ y : '||p_type||'[] = 3' WHEN 4 THEN '+ bare' ELSE '+ z : double' END",
+    "method": "CASE p_size%4 WHEN 0 THEN '+ run() : int' WHEN 1 THEN 'run()' WHEN 2 THEN '+ run' ELSE '+ f(a, b)' END", "mult": "CASE p_size%5 WHEN 0 THEN 'n' WHEN 1 THEN '1..N' WHEN 2 THEN '*' WHEN 3 THEN '' ELSE '0..n' END", "declared": "p_type",
+}
+PRIMITIVES = "('int','string','boolean','double','float','date','time','datetime','long','void')"
+TYPE_OF = "regexp_replace(regexp_extract(attr,'^[+] .*? : ([^=]*?)( = .*)?$',1),'(\\[\\])$','')"
+STYLE = [
+    ("attribute form", "substr(attr,1,2)<>'+ '"), ("attribute type", f"substr(attr,1,2)='+ ' AND {TYPE_OF}<>'' AND {TYPE_OF} NOT IN {PRIMITIVES} AND {TYPE_OF}<>declared"), ("method form", "substr(method,1,2)<>'+ ' OR strpos(method,'(')=0 OR strpos(method,')')=0"),
+    ("multiplicity", "mult IN ('n','N') OR mult LIKE '%..n' OR mult LIKE '%..N'"),
+]
+
+
+@query("style_violations", f"SELECT rule, count(*) n FROM (SELECT unnest(list_filter([{', '.join(f'CASE WHEN {c} THEN {chr(39)}{n}{chr(39)} END' for n, c in STYLE)}], lambda x: x IS NOT NULL)) rule FROM (SELECT {', '.join(f'{x} AS {n}' for n, x in FORMS.items())} FROM part)) GROUP BY 1")
 def style_violations(spark, d):
-    rules = [(~F.col("p_name").rlike("^[a-z ]+$"), "case"), (F.length("p_name") > 30, "long"), (F.col("p_type").like("% % %"), "three_words"), (F.col("p_size") > 40, "size")]
-    x = table(spark, d, "part").select(F.explode(F.array_compact(F.array(*[F.when(c, n) for c, n in rules]))).alias("rule"))
-    return x.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    """The rules of style, over members and multiplicities: forms of attributes and methods, types that are simple or declared, no n left."""
+    x = table(spark, d, "part").select(*[F.expr(e).alias(n) for n, e in FORMS.items()])
+    rules = [(n, F.expr(c.replace("strpos(", "instr(").replace("\\", "\\\\"))) for n, c in STYLE]
+    return x.select(F.explode(F.array_compact(F.array(*[F.when(c, n) for n, c in rules]))).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("hash_subgraph", """WITH n AS (SELECT s_nationkey g, s_suppkey id, row_number() OVER (PARTITION BY s_nationkey ORDER BY sha256(s_nationkey||':'||s_suppkey), s_suppkey) r, count(*) OVER (PARTITION BY s_nationkey) c FROM supplier), k AS (SELECT g, id FROM n WHERE r<=greatest(1, round_even(0.5*c,0))),

@@ -105,12 +105,16 @@ def level_ladder(spark, d):
     return x.select("c_custkey", scan.levels("t", "cut").alias("x")).select("c_custkey", F.col("x.level").alias("lvl"), "x.failure", "x.extraction", "x.rewrites")
 
 
-@query("rewrite_counts", "SELECT count(*) FILTER (a<>text) marks, count(*) FILTER (b<>a) spaces, count(*) FILTER (c<>b) bangs FROM (SELECT text, a, b, regexp_replace(b,'!!+','!','g') c FROM (SELECT text, a, regexp_replace(a,' +',' ','g') b FROM (SELECT text, regexp_replace(text,'(%%%|&&&|###|\\$\\$\\$|\\*\\*\\*)','','g') a FROM documents)))")
+V4 = r"^([A-Za-z_]\w*)\s*\((.*)\)\s*(?::\s*(\S.*?))?\s*$"
+MEMBER = "CASE p_partkey%7 WHEN 0 THEN 'size(): '||p_type WHEN 1 THEN '+ get(a, b) : int' WHEN 2 THEN 'run_'||p_size||' ( x )' WHEN 3 THEN '- hide()' WHEN 4 THEN 'no brackets' WHEN 5 THEN '9lives()' ELSE '' END"
+MARK = "CASE p_size%6 WHEN 0 THEN '1..n' WHEN 1 THEN '0..n' WHEN 2 THEN 'n' WHEN 3 THEN 'N' WHEN 4 THEN '2..n' ELSE '1' END"
+
+
+@query("rewrite_counts", f"SELECT p_brand, count(*) FILTER (NOT starts_with(m,'+ ') AND regexp_matches(m,'{V4}')) methods, count(*) FILTER (u IN ('1..n','0..n','n')) multiplicities FROM (SELECT p_brand, {MEMBER} m, {MARK} u FROM part) GROUP BY 1")
 def rewrite_counts(spark, d):
-    """A closed list of rewrites in order, with how many texts each changes."""
-    x = table(spark, d, "documents").select("text", F.regexp_replace("text", r"(%%%|&&&|###|\$\$\$|\*\*\*)", "").alias("a"))
-    x = x.withColumn("b", F.regexp_replace("a", " +", " ")).withColumn("c", F.regexp_replace("b", "!!+", "!"))
-    return x.agg(F.count_if(F.col("a") != F.col("text")).alias("marks"), F.count_if(F.col("b") != F.col("a")).alias("spaces"), F.count_if(F.col("c") != F.col("b")).alias("bangs"))
+    """The closed list of rewritings made before the style is judged, and how often each is made."""
+    x = table(spark, d, "part").select("p_brand", F.expr(MEMBER).alias("m"), F.expr(MARK).alias("u"))
+    return x.groupBy("p_brand").agg(F.count_if(~F.col("m").startswith("+ ") & F.col("m").rlike(V4)).alias("methods"), F.count_if(F.col("u").isin(*scan.REWRITTEN)).alias("multiplicities"))
 
 
 # Arrows, the type of edge that they stand for, whether the ends change places, and whether multiplicities and labels are left out.
@@ -168,14 +172,31 @@ def edge_op_map(spark, d):
     return relations(table(spark, d, "part").select("p_partkey", F.expr(LINE).alias("t")), operators(spark)).drop("t")
 
 
-@query("reify_rows", "WITH e AS (SELECT c_custkey id, c_nationkey a, c_custkey%25 b, c_mktsegment cls FROM customer), f AS (SELECT least(a,b) x, greatest(a,b) y, min(id) id FROM e WHERE cls='BUILDING' GROUP BY ALL), r AS (SELECT e.* FROM e JOIN f USING(id)) SELECT id, a::BIGINT s, (1000+id)::BIGINT t, 'left' side FROM r UNION ALL SELECT id, 1000+id, b::BIGINT, 'right' FROM r UNION ALL SELECT id, a::BIGINT, b::BIGINT, 'plain' FROM e WHERE id NOT IN (SELECT id FROM r)")
+@query("reify_rows", """WITH e AS (SELECT c_custkey id, c_nationkey::BIGINT a, (c_custkey%25)::BIGINT b, c_mktsegment cls, CASE WHEN c_acctbal>5000 THEN '*' ELSE '1' END ma, CASE c_custkey%3 WHEN 0 THEN '' ELSE '0..1' END mb FROM customer), f AS (SELECT least(a,b) x, greatest(a,b) y, min(id) id FROM e WHERE cls='BUILDING' GROUP BY ALL), r AS (SELECT e.* FROM e JOIN f USING(id))
+ SELECT id, a s, 1000+id t, '1' sm, mb tm, 'left' side FROM r UNION ALL SELECT id, 1000+id, b, ma, '1', 'right' FROM r UNION ALL SELECT id, a, b, ma, mb, 'plain' FROM e WHERE id NOT IN (SELECT id FROM r)""")
 def reify_rows(spark, d):
-    """The first marked edge of each pair becomes two edges by way of a new node; all others stay."""
-    e = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("a"), (F.col("c_custkey") % 25).alias("b"), F.col("c_mktsegment").alias("cls"))
+    """The first marked edge of each pair becomes two edges by way of a new node, which takes the multiplicities crosswise; all others stay."""
+    e = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("a"), (F.col("c_custkey") % 25).alias("b"), F.col("c_mktsegment").alias("cls"), F.when(F.col("c_acctbal") > 5000, "*").otherwise("1").alias("ma"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise("0..1").alias("mb"))
     first = e.where("cls = 'BUILDING'").groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("id").alias("id")).select("id")
     r, new = e.join(first, "id", "left_semi"), 1000 + F.col("id")
-    two = r.select("id", F.explode(F.array(F.struct(F.col("a").alias("s"), new.alias("t"), F.lit("left").alias("side")), F.struct(new.alias("s"), F.col("b").alias("t"), F.lit("right").alias("side")))).alias("x")).select("id", "x.s", "x.t", "x.side")
-    return two.unionByName(e.join(first, "id", "left_anti").select("id", F.col("a").alias("s"), F.col("b").alias("t"), F.lit("plain").alias("side")))
+    row = lambda s, t, sm, tm, side: F.struct(s.alias("s"), t.alias("t"), sm.alias("sm"), tm.alias("tm"), F.lit(side).alias("side"))
+    two = F.array(row(F.col("a"), new, F.lit("1"), F.col("mb"), "left"), row(new, F.col("b"), F.col("ma"), F.lit("1"), "right"))
+    plain = e.join(first, "id", "left_anti").select("id", F.col("a").alias("s"), F.col("b").alias("t"), F.col("ma").alias("sm"), F.col("mb").alias("tm"), F.lit("plain").alias("side"))
+    return r.select("id", F.explode(two).alias("x")).select("id", "x.*").unionByName(plain)
+
+
+@query("round_trip", f"SELECT count(*) relations, 0::BIGINT lost, 0::BIGINT added FROM (SELECT p_partkey, {LINE} t FROM part) WHERE regexp_matches(t,'{_quoted(RELATION)}')")
+def round_trip(spark, d):
+    """Relations written as lines and read again: what is lost or added, as multisets per key; nothing should be."""
+    ops = operators(spark)
+    read = relations(table(spark, d, "part").select("p_partkey", F.expr(LINE).alias("t")), ops).where("typ is not null").drop("t")
+    arrow = dimension(spark, [("ClassInheritance", "--|>"), ("ClassRealization", "..|>"), ("ClassBidirectional", "--"), ("ClassComposition", "--*"), ("ClassAggregation", "--o"), ("ClassUnidirectional", "-->"), ("ClassDependency", "..>")], "typ string, arrow string")
+    quoted = lambda m, r: F.when((F.col(m) == "") & (F.col(r) == ""), "").otherwise(F.concat(F.lit(' "'), F.concat_ws(" ", m, F.when(F.col(r) != "", F.col(r))), F.lit('" ')))
+    line = F.concat(F.col("source"), quoted("source_mult", "source_role"), F.lit(" "), F.col("arrow"), F.lit(" "), quoted("target_mult", "target_role"), F.col("target"), F.when(F.col("label") != "", F.concat(F.lit(" : "), F.col("label"))).otherwise(""))
+    again = relations(read.join(F.broadcast(arrow), "typ").select("p_partkey", line.alias("t")), ops).drop("t")
+    key = [c for c in read.columns]
+    n = read.withColumn("k", F.lit(1)).unionByName(again.withColumn("k", F.lit(-1))).groupBy(*key).agg(F.sum("k").alias("k"), F.count_if(F.col("k") == 1).alias("n"))
+    return n.agg(F.sum("n").alias("relations"), F.coalesce(F.sum(F.greatest("k", F.lit(0))), F.lit(0)).alias("lost"), F.coalesce(F.sum(F.greatest(-F.col("k"), F.lit(0))), F.lit(0)).alias("added"))
 
 
 LABELS = "CASE p_partkey%6 WHEN 0 THEN '{disjoint, complete}' WHEN 1 THEN p_brand WHEN 2 THEN '{ '||p_brand||' }' WHEN 3 THEN 'has {x}' WHEN 4 THEN '' ELSE '{}' END"
@@ -283,18 +304,19 @@ def marker_split(spark, d):
     return x.select("p_partkey", F.when(has, bare(F.regexp_replace(F.split("t", "---")[0], "^Plan:", ""))).otherwise("").alias("plan"), F.when(has, bare(F.expr("substr(t, instr(t, '---') + 3)"))).otherwise(F.col("t")).alias("rest"))
 
 
-@query("edit_script")
+SCRIPT = [("require", "red", ""), ("rename", "red", "first"), ("upper", "first", ""), ("suffix", "FIRST", "_x"), ("add", "extra", ""), ("move_first", "extra", ""), ("remove", "FIRST_x", "")]
+
+
+@query("edit_script", "SELECT p_partkey, CASE WHEN list_contains(w,'red') THEN array_to_string(list_prepend('extra',list_filter(list_transform(range(1,len(w)+1), lambda i: CASE WHEN i=list_position(w,'red') THEN NULL ELSE w[i] END), lambda x: x IS NOT NULL)),' ') ELSE p_name END AS names, CASE WHEN list_contains(w,'red') THEN '' ELSE 'require: red not found' END AS error FROM (SELECT p_partkey, p_name, string_split(p_name,' ') w FROM part)")
 def edit_script(spark, d):
-    """An ordered script of edits on each group's names; each edit sees what the ones before have left."""
-    script = [("require", "p1", ""), ("rename", "p1", "first"), ("upper", "p2", ""), ("suffix", "p3", "_x"), ("add", "extra", ""), ("move_first", "extra", ""), ("remove", "first", "")]
+    """An ordered script of edits on the words of each name; each edit sees what the ones before have left, and the first missing target ends it."""
 
-    @F.pandas_udf("struct<names:array<string>,error:string>")
+    @F.pandas_udf("struct<names:string,error:string>")
     def run(s: pd.Series) -> pd.DataFrame:
-        out = [scan.apply_script(list(x), script) for x in s]
-        return pd.DataFrame({"names": [o[0] for o in out], "error": [o[1] for o in out]})
+        out = [scan.apply_script(x.split(" "), SCRIPT) for x in s]
+        return pd.DataFrame({"names": [" ".join(o[0]) for o in out], "error": [o[1] for o in out]})
 
-    g = table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.concat(F.lit("p"), F.col("p_size").cast("string")))).alias("names"))
-    return g.select("p_brand", run("names").alias("x")).select("p_brand", F.size("x.names").alias("n"), "x.error")
+    return table(spark, d, "part").select("p_partkey", run("p_name").alias("x")).select("p_partkey", "x.names", "x.error")
 
 
 @query("line_cycle", r"""WITH l AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text,'\r\n|\n|\r'), lambda x: regexp_replace(x,'^\s+|\s+$','','g')), lambda x: x<>'')) s FROM documents), c AS (SELECT doc_id, s, count(*) n FROM l GROUP BY ALL), g AS (SELECT doc_id, sum(n)::BIGINT lines, count(*) distinct_lines, max(CASE WHEN length(s)>=20 THEN n ELSE 0 END) m FROM c GROUP BY 1)

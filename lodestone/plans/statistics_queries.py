@@ -109,13 +109,35 @@ def holm_adjust(spark, d):
     return S.holm(t, "p", "a", tie="b").select("a", "b", "p", F.round("holm", 6).alias("holm"))
 
 
-@query("bootstrap_ci", f"""WITH {T}, n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY u)-1 i, count(*) OVER (PARTITION BY c) n FROM T), b AS (SELECT k, c, ('0x'||substr(sha256('0/'||k||'/'||c||'/'||i),1,8))::BIGINT % n j FROM n, range(0,200) r(k)),
+@query("paired_tests")
+def paired_tests(spark, d):
+    """Both paired tests of all pairs of conditions with their p-values, Holm's adjustment of each over all pairs, and whether there is an effect (0.1 at least, adjusted p under 0.05)."""
+
+    @F.pandas_udf("double")
+    def p_signed(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series([S.wilcoxon_two_sided(*x) for x in zip(w, n, ties, strict=True)])
+
+    @F.pandas_udf("double")
+    def p_student(x: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([S.student_two_sided(a, b - 1) if b > 1 and a == a else 1.0 for a, b in zip(x, n, strict=True)])
+
+    every = diffs(spark, d)
+    m = every.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"), F.try_divide(F.avg("d"), F.stddev_samp("d") / F.sqrt(F.count("d"))).alias("t"))
+    j = m.join(S.signed_ranks(every).select("a", "b", F.col("n").alias("m"), F.least("up", "down").alias("w"), "ties"), ["a", "b"], "left").na.fill(0, ["m", "w", "ties"])
+    j = j.select("a", "b", "n", "mean", "w", "t", p_signed("w", "m", "ties").alias("p_w"), p_student(F.coalesce("t", F.lit(float("nan"))), "n").alias("p_t"), F.lit(1).alias("family"), F.concat_ws("/", "a", "b").alias("pair"))
+    for k in ("w", "t"):
+        j = S.holm(j, f"p_{k}", "family", tie="pair").withColumnRenamed("holm", f"holm_{k}")
+    effect = F.when((F.abs("mean") >= 0.1) & (F.col("holm_w") < 0.05), "effect").when(F.abs("mean") >= 0.1, "unclear").otherwise("none")
+    return j.select("a", "b", "n", F.round("mean", 6).alias("mean"), "w", F.round("p_w", 8).alias("p_w"), F.round("holm_w", 8).alias("holm_w"), F.round("t", 5).alias("t"), F.round("p_t", 8).alias("p_t"), F.round("holm_t", 8).alias("holm_t"), effect.alias("verdict"))
+
+
+@query("bootstrap_ci", f"""WITH {T}, n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY u)-1 i, count(*) OVER (PARTITION BY c) n FROM T), b AS (SELECT k, c, ('0x'||substr(sha256('0/'||k||'/'||c||'/'||i),1,8))::BIGINT % n j FROM n, range(0,1000) r(k)),
  m AS (SELECT b.c, k, round(avg(s),9) m FROM b JOIN n ON n.c=b.c AND n.i=b.j GROUP BY ALL) SELECT c, round(quantile_cont(m,0.025),5) low, round(quantile_cont(m,0.975),5) high FROM m GROUP BY 1""")
 def bootstrap_ci(spark, d):
-    """Percentile interval of the mean; draws come from a hash of seed, replicate and place."""
+    """Percentile interval of the mean over 1000 replicates; draws come from a hash of seed, replicate and place."""
     w = Window.partitionBy("c")
     n = scores(spark, d).select("c", "s", (F.row_number().over(w.orderBy("u")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    draws = n.select("c", "i", "n", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("k"))
+    draws = n.select("c", "i", "n", F.explode(F.sequence(F.lit(0), F.lit(999))).alias("k"))
     h = F.conv(F.substring(F.sha2(F.concat_ws("/", F.lit("0"), F.col("k").cast("string"), "c", F.col("i").cast("string")), 256), 1, 8), 16, 10).cast("long")
     m = draws.select("c", "k", (h % F.col("n")).cast("int").alias("i")).join(n.select("c", "i", "s"), ["c", "i"]).groupBy("c", "k").agg(F.round(F.avg("s"), 9).alias("m"))
     return m.groupBy("c").agg(F.round(F.percentile("m", F.lit(0.025)), 5).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 5).alias("high"))
@@ -126,14 +148,15 @@ def within_demean(spark, d):
     return scores(spark, d).select("u", "c", F.round(F.col("s") - F.avg("s").over(Window.partitionBy("u")), 8).alias("x"))
 
 
-@query("half_split_rank", f"WITH {T}, h AS (SELECT u, row_number() OVER (ORDER BY round(avg(s),6), u) r, count(*) OVER () n FROM T GROUP BY 1) SELECT c, round(avg(s) FILTER (r<=n/2),5) hard, round(avg(s) FILTER (r>n/2),5) easy FROM T JOIN h USING(u) GROUP BY 1")
+@query("half_split_rank", f"WITH {T}, h AS (SELECT u, row_number() OVER (ORDER BY round(avg(s),6), u) r, count(*) OVER () n FROM T GROUP BY 1) SELECT c, round(avg(s) FILTER (r<=n//2),5) hard, round(avg(s) FILTER (r>n//2),5) easy FROM T JOIN h USING(u) GROUP BY 1")
 def half_split_rank(spark, d):
-    """Means over the harder and the easier half of the exercises.  One row for each exercise is ranked, not each score."""
+    """Means over the harder and the easier half of the exercises.  A sort finds the last of the harder half; all others are compared with that one row."""
     t = scores(spark, d)
-    h = t.groupBy("u").agg(F.round(F.avg("s"), 6).alias("m"))
-    h = h.select("u", F.row_number().over(Window.orderBy("m", "u")).alias("r"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
-    hard = F.col("r") <= F.col("n") / 2
-    return t.join(h, "u").groupBy("c").agg(F.round(F.avg(F.when(hard, F.col("s"))), 5).alias("hard"), F.round(F.avg(F.when(~hard, F.col("s"))), 5).alias("easy"))
+    h = t.groupBy("u").agg(F.round(F.avg("s"), 6).alias("m")).select("u", F.struct("m", "u").alias("at"))
+    n = h.count()
+    edge = h.orderBy("at").offset(max(n // 2 - 1, 0)).limit(1).select(F.col("at").alias("edge"))
+    hard = (F.col("at") <= F.col("edge")) & F.lit(n > 1)
+    return t.join(h, "u").crossJoin(F.broadcast(edge)).groupBy("c").agg(F.round(F.avg(F.when(hard, F.col("s"))), 5).alias("hard"), F.round(F.avg(F.when(~hard, F.col("s"))), 5).alias("easy"))
 
 
 @query("choose_with_tie", f"WITH {MEANS}, b AS (SELECT *, max(m) OVER () best FROM G) SELECT c choice, m FROM b WHERE best-m<=1.0+1e-9 ORDER BY length(c), c LIMIT 1")
@@ -157,8 +180,8 @@ def lexi_decide(spark, d):
 
 @query("tie_tournament")
 def tie_tournament(spark, d):
-    g = table(spark, d, "events").groupBy((F.col("user_id") % 10).alias("g"), F.col("event_type").alias("name")).agg(F.round(F.avg("value") / 100, 4).alias("m1"), F.round(F.stddev_samp("value"), 4).alias("m2"))
-    return S.tournament(g, "g")
+    g = table(spark, d, "events").groupBy((F.col("user_id") % 10).alias("g"), F.col("event_type").alias("name")).agg(F.round(F.avg("value") / 100, 4).alias("m1"), F.round(F.stddev_samp("value"), 1).alias("m2"), F.count(F.lit(1)).alias("m3"), F.round(F.min("value"), 0).alias("m4"))
+    return S.tournament(g, "g", 0.02, (("m2", -1), ("m3", 1), ("m4", 1)))
 
 
 @query("choose_k", "WITH g AS (SELECT event_id%7 k, avg(value) m FROM events GROUP BY 1) SELECT min(k) k FROM g WHERE (SELECT max(m) FROM g)-m<=1.0+1e-9")
@@ -215,6 +238,18 @@ def gain_vs_base(spark, d):
     return j.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.round(g, 5).alias("gain"), F.when(g >= 0.5, "adds").when(g <= -0.5, "dilutes").otherwise("neutral").alias("verdict"))
 
 
+@query("dilution_verdict", f"""WITH {T}, g AS (SELECT x.c, round(avg(x.s-y.s),6) g FROM T x JOIN T y ON x.u=y.u AND y.c='view' AND x.c<>'view' GROUP BY 1), p AS (SELECT max(g) FILTER (c='click') g50, max(g) FILTER (c='purchase') g100, max(g) FILTER (c='error') gd, max(g) FILTER (c='signup') gc FROM g)
+ SELECT g50, g100, gd, gc, CASE WHEN gd-g50>=-0.05-1e-9 THEN 'no dilution' ELSE 'dilution' END dilution, CASE WHEN gc>=g100-0.05-1e-9 THEN 'adds up' WHEN gc-g50>=0.1-1e-9 THEN 'adds up in part' ELSE 'does not add up' END additivity FROM p""")
+def dilution_verdict(spark, d):
+    """Gains over the baseline of a half, the whole, a diluted half and both halves: whether dilution costs more than 0.05, and whether the halves add up."""
+    t = scores(spark, d)
+    g = t.where("c <> 'view'").join(t.where("c = 'view'").select("u", F.col("s").alias("base")), "u").groupBy("c").agg(F.round(F.avg(F.col("s") - F.col("base")), 6).alias("g"))
+    p = g.agg(*[F.max(F.when(F.col("c") == c, F.col("g"))).alias(n) for c, n in (("click", "g50"), ("purchase", "g100"), ("error", "gd"), ("signup", "gc"))])
+    dilution = F.when(F.col("gd") - F.col("g50") >= -0.05 - 1e-9, "no dilution").otherwise("dilution")
+    added = F.when(F.col("gc") >= F.col("g100") - 0.05 - 1e-9, "adds up").when(F.col("gc") - F.col("g50") >= 0.1 - 1e-9, "adds up in part").otherwise("does not add up")
+    return p.select("*", dilution.alias("dilution"), added.alias("additivity"))
+
+
 @query("effect_verdict", f"WITH {D} SELECT a, b, CASE WHEN abs(avg(d))>=0.1 AND abs(avg(d)/(stddev_samp(d)/sqrt(count(*))))>1.96 THEN 'effect' WHEN abs(avg(d))>=0.1 THEN 'unclear' ELSE 'none' END verdict FROM D GROUP BY ALL")
 def effect_verdict(spark, d):
     m, t = F.abs(F.avg("d")), F.abs(F.avg("d") / (F.stddev_samp("d") / F.sqrt(F.count("d"))))
@@ -234,10 +269,16 @@ def progress_eta(spark, d):
     return e.crossJoin(F.broadcast(g)).select("run", "done", "expected", F.round((F.col("expected") - F.col("done")) * F.coalesce("m", "all_m") / 3600, 5).alias("hours_left"))
 
 
-@query("copy_loop", "WITH w AS (SELECT p_brand g, len(list_distinct(list(split_part(p_name,' ',1)))) d, count(*) n FROM part GROUP BY 1) SELECT g, n, d, round(d/n,6) share, d/n<0.6 looping FROM w")
+@query("copy_loop", """WITH w AS (SELECT p_brand g, p_partkey%2=1 made, split_part(p_name,' ',1) a, split_part(p_name,' ',2) b FROM part), s AS (SELECT g, count(*) FILTER (made) edges, count(DISTINCT (a,b)) FILTER (made) pairs, coalesce(list_distinct(list(a) FILTER (made)),[]) names, coalesce(list_distinct(list(a) FILTER (NOT made)),[]) gold, coalesce(list_distinct(list(a) FILTER (NOT made AND b='bolt') || list(a) FILTER (made AND b='ring')),[]) examples FROM w GROUP BY 1)
+ SELECT g, edges, pairs, CASE WHEN edges>0 THEN round(pairs/edges,6) END share, coalesce(pairs/nullif(edges,0)<0.6,false) looping, len(list_filter(names, lambda x: list_contains(examples,x) AND NOT list_contains(gold,x))) copied FROM s""")
 def copy_loop(spark, d):
-    w = table(spark, d, "part").groupBy(F.col("p_brand").alias("g")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.split("p_name", " ")[0]).alias("d"))
-    return w.select("g", "n", "d", F.round(F.col("d") / F.col("n"), 6).alias("share"), (F.col("d") / F.col("n") < 0.6).alias("looping"))
+    """Signs of a response that goes round: few different pairs, and names taken from the examples that the gold answer doesn't have."""
+    w = table(spark, d, "part").select(F.col("p_brand").alias("g"), (F.col("p_partkey") % 2 == 1).alias("made"), F.split("p_name", " ")[0].alias("a"), F.coalesce(F.get(F.split("p_name", " "), F.lit(1)), F.lit("")).alias("b"))
+    example = (~F.col("made") & (F.col("b") == "bolt")) | (F.col("made") & (F.col("b") == "ring"))
+    n = w.groupBy("g", "a").agg(F.count_if("made").alias("edges"), F.count_if(~F.col("made")).alias("gold"), F.count_if(example).alias("examples"), F.count_distinct(F.when(F.col("made"), F.col("b"))).alias("pairs"))
+    s = n.groupBy("g").agg(F.sum("edges").alias("edges"), F.sum("pairs").alias("pairs"), F.count_if((F.col("edges") > 0) & (F.col("examples") > 0) & (F.col("gold") == 0)).alias("copied"))
+    share = F.try_divide(F.col("pairs"), F.col("edges"))
+    return s.select("g", "edges", "pairs", F.round(share, 6).alias("share"), F.coalesce(share < 0.6, F.lit(False)).alias("looping"), "copied")
 
 
 @query("id_scheme", "SELECT CASE WHEN regexp_matches(k,'^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$') THEN 'uuid4' WHEN regexp_matches(k,'^[0-9a-f-]{36}$') THEN 'uuid-like' WHEN regexp_matches(k,'^[0-9]+$') THEN 'number' ELSE 'other' END scheme, count(*) n FROM (SELECT CASE c_custkey%3 WHEN 0 THEN c_custkey::VARCHAR WHEN 1 THEN c_name ELSE substr(sha256(c_name),1,8)||'-'||substr(sha256(c_name),9,4)||'-4'||substr(sha256(c_name),14,3)||'-a'||substr(sha256(c_name),18,3)||'-'||substr(sha256(c_name),21,12) END k FROM customer) GROUP BY 1")
@@ -272,14 +313,17 @@ def band_extremes(spark, d):
     return c.groupBy(F.col("c_mktsegment").alias("seg")).agg(F.lit(True).alias("ok"), F.min_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("low_id"), F.max_by("c_custkey", F.struct(F.col("c_acctbal"), -F.col("c_custkey"))).alias("high_id"))
 
 
-@query("grid_layout", "WITH n AS (SELECT p_brand g, p_partkey id, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)-1)//4 r, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)-1)%4 c, 20+p_size h FROM part), y AS (SELECT g, r, max(h) hm FROM n GROUP BY ALL), t AS (SELECT g, r, coalesce(sum(hm+10) OVER (PARTITION BY g ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)::BIGINT y FROM y) SELECT n.g, id, c*120 x, y FROM n JOIN t ON t.g=n.g AND t.r=n.r")
+@query("grid_layout", """WITH n AS (SELECT p_brand g, p_partkey id, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)-1)//4 r, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)-1)%4 c, 20+p_size h FROM part), y AS (SELECT g, r, max(h) hm FROM n GROUP BY ALL), t AS (SELECT g, r, coalesce(sum(hm+10) OVER (PARTITION BY g ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)::BIGINT y FROM y),
+ b AS (SELECT n.g, id, c*120 x, y, h FROM n JOIN t ON t.g=n.g AND t.r=n.r), m AS (SELECT g, least(1600.0::DOUBLE/max(x+100),780.0::DOUBLE/max(y+h),1.0) k FROM b GROUP BY 1) SELECT b.g, id, round(x*k,4) x, round(y*k,4) y, round(100*k,4) w, round(h*k,4) h FROM b JOIN m ON m.g=b.g""")
 def grid_layout(spark, d):
-    """Boxes in rows of four; a row's height is its tallest box, and tops are running sums."""
+    """Boxes in rows of four; a row's height is its tallest box, and tops are running sums.  A drawing beyond the canvas is scaled to it, never up."""
     i = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
     n = table(spark, d, "part").select(F.col("p_brand").alias("g"), F.col("p_partkey").alias("id"), i.alias("i"), (20 + F.col("p_size")).alias("h")).select("g", "id", F.floor(F.col("i") / 4).alias("r"), (F.col("i") % 4).alias("c"), "h")
     y = n.groupBy("g", "r").agg(F.max("h").alias("hm"))
     y = y.select("g", "r", F.coalesce(F.sum(F.col("hm") + 10).over(Window.partitionBy("g").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("y"))
-    return n.join(y, ["g", "r"]).select("g", "id", (F.col("c").cast("long") * 120).alias("x"), "y")
+    b = n.join(y, ["g", "r"]).select("g", "id", (F.col("c").cast("long") * 120).alias("x"), "y", "h")
+    m = b.groupBy("g").agg(F.least(F.lit(1600.0) / F.max(F.col("x") + 100), F.lit(780.0) / F.max(F.col("y") + F.col("h")), F.lit(1.0)).alias("k"))
+    return b.join(m, "g").select("g", "id", *[F.round(c * F.col("k"), 4).alias(a) for a, c in (("x", F.col("x")), ("y", F.col("y")), ("w", F.lit(100)), ("h", F.col("h")))])
 
 
 @query("ordered_composite", "SELECT * FROM (SELECT seg, nat, n, CAST(row_number() OVER (ORDER BY n DESC, seg, nat) AS INTEGER) pos FROM (SELECT c_mktsegment seg, c_nationkey nat, count(*) n FROM customer GROUP BY ALL)) WHERE pos<=20")
@@ -290,10 +334,15 @@ def ordered_composite(spark, d):
     return top.withColumn("pos", F.row_number().over(Window.orderBy(F.col("n").desc(), "seg", "nat")))
 
 
-@query("metrics_wide_pivot", f"WITH {T} SELECT u, max(s) FILTER (c='click') click, max(s) FILTER (c='purchase') purchase, max(s) FILTER (c='view') AS \"view\" FROM T GROUP BY 1")
+EVENTS, LEVELS = ("view", "signup", "click", "error", "purchase"), (("low", "value < 50"), ("high", "value >= 50"))
+WIDE = {"n": "count(CASE WHEN {c} THEN 1 END)", "mean": "round(avg(CASE WHEN {c} THEN value END),6)", "least": "min(CASE WHEN {c} THEN value END)", "most": "max(CASE WHEN {c} THEN value END)", "sum": "round(sum(CASE WHEN {c} THEN value END),6)"}
+COLUMNS = {f"{level}_{event}_{name}": made.format(c=f"event_type = '{event}' AND {cond}") for level, cond in LEVELS for event in EVENTS for name, made in WIDE.items()}
+
+
+@query("metrics_wide_pivot", f"SELECT user_id, {', '.join(f'{made} AS {name}' for name, made in COLUMNS.items())} FROM events GROUP BY 1")
 def metrics_wide_pivot(spark, d):
-    t = scores(spark, d)
-    return t.groupBy("u").agg(*[F.max(F.when(F.col("c") == k, F.col("s"))).alias(k) for k in ("click", "purchase", "view")])
+    """Level by type by measure as 50 columns, in one pass."""
+    return table(spark, d, "events").groupBy("user_id").agg(*[F.expr(made).alias(name) for name, made in COLUMNS.items()])
 
 
 @query("round4_export", "SELECT c_custkey, coalesce(round(c_acctbal/7,4)::VARCHAR,'') v, coalesce(nullif(c_mktsegment,'BUILDING'),'') seg FROM customer WHERE c_acctbal/7=round(c_acctbal/7,4) OR true")
