@@ -166,13 +166,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     Links join vectors of equal labels with cosine >= threshold in double precision.  A vector that is null, empty, zero or holds a null or a
     non-finite component, or whose label is null, links with nothing: 0 links, its own component, kept.  Repeated rows are answered each, and count
-    once where they are linked; a row with a null id takes part, and its component's number is the smallest id that is not null."""
+    once where they are linked; a row with a null id takes part, and its component's number is the smallest id that is not null.  Vectors are the same class by 128 bits of their label and
+    numbers, and classes are named after a row of theirs.  Ties of sort keys are broken by the class.  A very long vector is one row; columns but these three play no part."""
     rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].alias("v"), vectors["label"].cast("long").alias("label"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     plain = F.transform("v", lambda x: x + F.lit(0).cast("float"))  # -0.0 becomes 0.0
-    rows = rows.withColumn("c", F.when(valid, F.xxhash64("label", plain)))
-    held = cut(rows, "vectors")
+    digest = F.md5(F.to_json(F.struct("label", plain.alias("v"))).cast("binary"))
+    once = cut(rows.withColumns({"d": F.when(valid, digest), "row": F.monotonically_increasing_id()}), "vectors-rows")
+    held = cut(once.join(once.where("d is not null").groupBy("d").agg(F.min("row").alias("c")), "d", "left").select("vec_id", "v", "label", "c"), "vectors")
+    drop_cut(once)
     ok = held.where("c is not null")
     classes = ok.groupBy("c").agg(F.first("label").alias("label"), F.first("v").alias("v"))
     keyed = classes.select("c", "label", "v").mapInArrow(_keys, "pass int, label long, dim int, key long, c long, v array<float>")
@@ -197,7 +200,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     of = named.join(least, "m").join(far, "c", "left").select("c", "component_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     out = held.select("vec_id", "c").join(of, "c", "left")
     component = F.when(F.col("c").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.greatest(F.coalesce("n_links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    out = out.select("vec_id", F.greatest(F.coalesce("n_links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    out = cut(out, "vectors-out")
+    for x in (held, links, joined):
+        drop_cut(x)
+    return out
 
 
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -432,7 +432,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den
 
     tokens = reps.select(F.explode("prefix").alias("t"), "c", "n", "weight")
     first = verified(counted(tokens, _stars(num, den)), "stars")
-    joined = cut(connected_components(first, "a", "b"), "jaccard-first")
+    joined = connected_components(first, "a", "b")
     label = reps.join(joined, reps["c"] == joined["id"], "left").select("c", "n", "l", "prefix", F.coalesce("component_id", "c").alias("m"))
     tokens = label.select(F.posexplode("prefix").alias("place", "t"), "c", "n", "m", "l").select("t", "c", "n", "m", "place", "l")
     second = verified(counted(tokens, _cross(num, den)), "cross")
@@ -445,7 +445,11 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den
     out = rows.select("doc_id", "h", "n", *[F.when(F.col("n") > 0, F.col(x)).alias(x) for x in ("ca", "cb")]).join(of, ["ca", "cb"], "left")
     some = F.col("n") > 0
     keeper = F.when(some, F.col("doc_id").eqNullSafe(F.col("first.id")) & F.col("h").eqNullSafe(F.col("first.h"))).otherwise(F.lit(True))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("first.id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("h").alias("text_hash"), keeper.alias("keeper"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("first.id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("h").alias("text_hash"), keeper.alias("keeper"))
+    out = cut(out, "jaccard")
+    for x in (rows, reps, first, joined, second, linked):
+        drop_cut(x)
+    return out
 
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import held_out, table, utf8
@@ -192,22 +192,36 @@ def pooled(net: Net, column: pa.Array) -> np.ndarray:
 
 
 def sample(docs: DataFrame, train_on: F.Column | None = None, per_language: int = PER_LANGUAGE) -> tuple[list[bytes], np.ndarray, list[str]]:
-    """At most ``per_language`` snippets of different texts of each language: those of the smallest hash of their text.  Ids and sources play no part."""
+    """At most ``per_language`` snippets of different texts of each language: those of the smallest hash of their text.  Ids and sources play no part.
+
+    Only hashes under a limit are looked at, set for each language by an estimate of its number of different texts so that about four times as many as wanted lie under it; should fewer
+    than wanted do so, the limit is raised.  So copies and languages of any size meet in no one task, and the driver gets a few thousand rows of each language."""
     rows = docs.where("lang is not null and text is not null")
     rows = rows.where(train_on) if train_on is not None else rows
     key = F.xxhash64("text")
     at = F.pmod(F.shiftright(key, 7), F.greatest(F.length("text") - SNIPPET, F.lit(1))).cast("int") + 1
     rows = rows.select("lang", key.alias("k"), F.substring(F.col("text"), at, F.lit(SNIPPET)).alias("t")).where(F.col("t").rlike("\\p{L}"))
-    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("k"))
-    got = rows.withColumn("n", rank).where(F.col("n") <= per_language).groupBy("lang", "k").agg(F.first("t").alias("t")).toPandas().sort_values(["lang", "k"])
-    langs = sorted(set(got["lang"]))
-    return [t.encode() for t in got["t"]], np.array([langs.index(x) for x in got["lang"]], np.int64), langs
+    share = {r["lang"]: min(1.0, 4 * per_language / r["d"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("k").alias("d")).collect()}
+    found: dict[str, list[tuple[int, str]]] = {}
+    while left := {x: s for x, s in share.items() if x not in found}:
+        limits = docs.sparkSession.createDataFrame([(x, int(s * (1 << 64)) - (1 << 63) - 1) for x, s in left.items()], "l string, most long")
+        under = rows.join(F.broadcast(limits), F.col("lang") == F.col("l")).where(F.col("k") <= F.col("most"))  # a row for each language
+        got = under.groupBy("lang", "k").agg(F.first("t").alias("t")).toPandas().sort_values(["lang", "k"])
+        for x, s in left.items():
+            own = got[got["lang"] == x]
+            if len(own) >= per_language or s >= 1:
+                found[x] = list(zip(own["k"], own["t"], strict=True))[:per_language]
+            else:
+                share[x] = min(1.0, 2 * s)
+    langs = sorted(x for x, own in found.items() if own)
+    return [t.encode() for x in langs for _, t in found[x]], np.array([k for k, x in enumerate(langs) for _ in found[x]], np.int64), langs
 
 
 def predict(docs: DataFrame, net: Net) -> DataFrame:
     """doc_id, held_out, lang_pred and score (the pooled probability of lang_pred) of each row.
 
-    A null text and one without a letter get ``und`` and 0, and so does every row where no language was learned."""
+    A null text and one without a letter get ``und`` and 0, and so does every row where no language was learned.  Of languages with equal probability the first by name is taken.  A very
+    long text is read window by window; a window begins with blank states, so letters that a cut divides are read without what comes before.  Repeated rows are answered each."""
 
     def run(batches):
         for b in batches:

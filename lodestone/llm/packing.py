@@ -132,7 +132,8 @@ SCHEMA = "piece int, start long, length long, ids_crc32 long, sequence_id long,
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, tokenizers: str | None = None) -> DataFrame:
     """One row per piece of each row of ``docs``: the id column, then SCHEMA.
 
-    Null texts count as empty; an empty text is the one id 2.  Repeated rows are packed each.  Sequences never span tasks: a
+    Null texts count as empty; an empty text is the one id 2.  Repeated rows are packed each, a null id like any other; columns but these two play no part.  Of bins with equal free space the one
+    that came to it last is taken.  A very long text is encoded whole, in memory of some ten times its length, and cut into pieces.  Sequences never span tasks: a
     sequence's number is the task's partition number times 2**33 plus its number there, so a task that runs again gives the same numbers."""
     src = docs.select(docs[id_col].alias(id_col), docs[text_col].alias(text_col))
 

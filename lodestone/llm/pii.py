@@ -28,6 +28,8 @@ KEY_SETTING = "spark.lodestone.pii.key"
 DEVELOPMENT_KEY = "development"
 #: Attempts before draws may equal other entities of the corpus (never surrogates given), and before the space of a format counts as used up.
 CROWDED, FULL = 32, 64
+#: Mentions and entities are small rows with much to do, so tasks are made by their number and not by their bytes.
+ROWS_A_TASK = 4000
 
 # Titles by the gender that they show, and letters, given names and syllables of surrogate names by script.
 TITLES_M = ["Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Signor", "г-н", "господин", "Господин", "Κύριος", "κ"]
@@ -233,23 +235,25 @@ def surrogates(entities: DataFrame, key: str = DEVELOPMENT_KEY) -> DataFrame:
 
     Where a format is so crowded that CROWDED attempts found no such form, a surrogate may be another entity's form, but not its own and not another's surrogate.  Beyond FULL
     attempts the format has too few forms, which is an error: no entity ever loses its format or stays as it is."""
+    entities = cut(entities, "pii-entities")
+    tasks = -(-entities.count() // ROWS_A_TASK) or 1
     left, done, attempt = entities, None, 0
     while True:
-        drawn = left.withColumn("h", _hash(key, F.col("kind"), F.col("form"), F.lit(str(attempt))))
+        drawn = left.repartition(tasks, "kind", "form").withColumn("h", _hash(key, F.col("kind"), F.col("form"), F.lit(str(attempt))))
         drawn = drawn.select("kind", "form", _draw(F.col("kind"), F.col("form"), attempt, F.col("h"), key).alias("surrogate")).where("form <> surrogate")
         real = entities.select("kind", F.col("form").alias("surrogate"))
         free = drawn.join(real, ["kind", "surrogate"], "left_anti") if attempt < CROWDED else drawn
         if done is not None:
             free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
         won = free.groupBy("kind", "surrogate").agg(F.min("form").alias("form")).select("kind", "form", "surrogate")
-        before = done, left
+        before = [x for x in (done, left) if x is not None and x is not entities]
         done = cut(won if done is None else done.unionByName(won), "pii-surrogates")
         left = cut(entities.join(done, ["kind", "form"], "left_anti"), "pii-left")
         for x in before:
-            if x is not None and attempt:
-                drop_cut(x)
+            drop_cut(x)
         if not left.take(1):
             drop_cut(left)
+            drop_cut(entities)
             return done
         attempt += 1
         if attempt >= FULL:
@@ -276,15 +280,17 @@ def replace_pii(docs: DataFrame, key: str | None = None) -> DataFrame:
         tag, added, named = f"{tag}_", f"{added}_", f"{named}_"
     hits = _hits(F.col(f"`{text}`"))
     mentions = cut(docs.select(F.col(f"`{text}`").alias("t")).where(F.col("t").isNotNull()).select(F.sha2("t", 256).alias("h"), _hits(F.col("t")).alias("hits")).where(F.size("hits") > 0).dropDuplicates(["h"]), "pii-mentions")
-    hit = mentions.select(F.explode("hits").alias("hit")).distinct().withColumn("kind", _kind(F.col("hit")))
+    tasks = -(-mentions.count() // ROWS_A_TASK) or 1
+    hit = mentions.select(F.explode("hits").alias("hit")).distinct().repartition(tasks, "hit").withColumn("kind", _kind(F.col("hit")))
     unit = cut(hit.select("hit", F.col("kind").alias("whole"), F.posexplode(_units(F.col("kind"), F.col("hit"))).alias("pos", "u")).select("hit", "whole", "pos", F.col("u.kind").alias("kind"), F.col("u.form").alias("form")), "pii-units")
     open_ = (F.col("kind") == "given") & F.col("form").startswith("?:")
     word = F.substring_index("form", ":", -1)
     drawn = F.when(F.pmod(F.xxhash64("word"), F.lit(2)) == 0, "m").otherwise("f")
     decided = unit.where(open_).withColumn("word", word).join(genders(unit), "word", "left").withColumn("form", F.concat(F.coalesce("shown", drawn), F.lit(":"), F.col("word")))
-    unit = cut(unit.where(~open_).unionByName(decided.select(*unit.columns)), "pii-decided")
+    open_units, unit = unit, cut(unit.where(~open_).unionByName(decided.select(*unit.columns)), "pii-decided")
+    drop_cut(open_units)
     given = surrogates(unit.select("kind", "form").distinct(), key)
-    forms = unit.join(given, ["kind", "form"]).groupBy("hit", "whole").agg(F.array_sort(F.collect_list(F.struct("pos", "surrogate"))).alias("s"))
+    forms = unit.join(given, ["kind", "form"]).groupBy("hit", "whole").agg(F.array_sort(F.collect_list(F.struct("pos", "surrogate"))).alias("s")).repartition(tasks, "hit")
     written = forms.select("hit", F.when((F.col("whole") == "name") & (F.size("s") > 1), _body(F.col("hit"))).alias("name"), _written(F.col("whole"), F.col("hit"), F.transform("s", lambda x: x["surrogate"])).alias("new"))
     found = mentions.select("h", F.posexplode("hits").alias("pos", "hit")).join(written, "hit")
     bare = F.array_sort(F.collect_set(F.when(F.col("name").isNotNull(), F.struct((-F.length("name")).alias("order"), F.col("name"), _body(F.col("new")).alias("new")))))

@@ -271,4 +271,6 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         drop_cut(e)
         e = nxt
     roots = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component_id"))
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(roots)
+    out = cut(e.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(roots), "components")
+    drop_cut(e)
+    return out
