@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import decontaminate, jaccard, packing, pii, quality
-from lodestone.llm.shared import cut, table
+from lodestone.llm.shared import cut, drop_cut, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over ``documents``, each written as Parquet and read again by the next."""
+    """All stages in order over ``documents``, each written as Parquet and read again by the next.
+
+    What a stage wrote goes once the next has been written; the documents that are packed stay in the shared folder (``lodestone-pipeline-pii-...``), for their texts and the ids of their tokens."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        after = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_cut(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)

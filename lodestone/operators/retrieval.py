@@ -153,7 +153,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int | None = None, measur
                         continue
                     x = np.array(lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, d)
                     with np.errstate(all="ignore"):
-                        s = np.round(MEASURES[measure](x, y), digits + 3)
+                        s = MEASURES[measure](x, y)
                     if not own:
                         s[ids[rows][:, None] == qs[None, :]] = np.nan
                     s = np.where(np.isfinite(s), s, -np.inf)

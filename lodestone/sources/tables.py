@@ -18,7 +18,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 def read_folder(spark: SparkSession, pattern: str) -> DataFrame:
     """(path, folder, name, content) of whole text files below folders that don't begin with an underscore, in the order of their paths."""
-    rows = spark.read.option("wholetext", True).text(pattern).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
+    rows = spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
     parts = F.split("path", "/")
     rows = rows.select("path", F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("name"), "content")
     return rows.where(~F.col("folder").startswith("_")).orderBy("path")
@@ -53,7 +53,7 @@ def read_ops(spark: SparkSession, pattern: str) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.map_(pa.string(), pa.string())), strict=True)], ["path", "pos", "op"])
 
-    files = spark.read.option("wholetext", True).text(pattern).select(F.input_file_name().alias("path"), "value")
+    files = spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("path"), "value")
     return files.mapInArrow(run, "path string, pos int, op map<string,string>")
 
 
