@@ -235,10 +235,57 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
     return pool.where("pick is not null").select("q", "id", "pick")
 
 
-def mmr_whole(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
+def span(scores: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(q, lo, hi, n): the least and the largest score of each query over all documents (id), of which those without a row in ``scores`` have 0, and how many documents there are."""
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    s = queries.select("q").distinct().join(scores.groupBy("q").agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count(F.lit(1)).alias("k")), "q", "left").crossJoin(F.broadcast(n))
+    zero, at = F.coalesce("k", F.lit(0)) < F.col("n"), lambda c: F.coalesce(c, F.lit(0.0))
+    return s.select("q", F.when(zero, F.least(at("lo"), F.lit(0.0))).otherwise(F.col("lo")).alias("lo"), F.when(zero, F.greatest(at("hi"), F.lit(0.0))).otherwise(F.col("hi")).alias("hi"), "n")
+
+
+def _greedy(k: int, weight: float):
+    """The first places of one query -> its picks among them, each with its value."""
+
+    def run(t):
+        import pyarrow as pa
+
+        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("rank", "id", "rel")), (set(x or ()) for x in t.column("toks").to_pylist()), strict=True), key=lambda r: r[0])
+        most, out, free = [0.0] * len(rows), [], set(range(len(rows)))
+        while free and len(out) < k:
+            i = min(free, key=lambda j: (-round(weight * rows[j][2] - (1 - weight) * most[j], 9), rows[j][0]))
+            out.append((rows[i][1], len(out) + 1, round(weight * rows[i][2] - (1 - weight) * most[i], 9)))
+            free.remove(i)
+            for j in free:
+                if union := len(rows[j][3] | rows[i][3]):
+                    most[j] = max(most[j], len(rows[j][3] & rows[i][3]) / union)
+        q = t.column("q")[: len(out)]
+        last = [rows[-1][2]] * len(out)
+        ids, picks, values = zip(*out, strict=True)
+        return pa.table({"q": q, "id": pa.array(ids, t.column("id").type), "pick": pa.array(picks, pa.int32()), "value": pa.array(values), "last": pa.array(last, pa.float64())})
+
+    return run
+
+
+def mmr_whole(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int, weight: float = 0.7, first: int = 200) -> DataFrame:
     """(q, id, pick) as ``mmr``, chosen among all ``docs`` (id, toks) for each of ``queries`` (q); documents without a row in ``scores`` (q, id, score) score 0.
 
-    Relevance is the score on [0, 1] within the whole ranking.  One of the first k is always free and worth weight * its relevance - (1 - weight) at least, so
+    Relevance is the score on [0, 1] within the whole ranking.  The picks among the ``first`` places are those of the whole ranking if weight * the relevance at the last of these places
+    is under the value of every pick, for no later document can be worth more.  Queries for which it isn't go through all documents."""
+    scores = scores.withColumn("score", F.round("score", 6))
+    top = rank(with_zeros(scores, queries, docs, first), first).join(span(scores, queries, docs), "q")
+    rel = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    kinds = dict(top.dtypes)
+    picked = top.select("q", "id", "rank", rel.alias("rel"), "n").join(docs, "id").select("q", "id", "rank", "rel", "toks")
+    picked = picked.groupBy("q").applyInArrow(_greedy(k, weight), f"q {kinds['q']}, id {kinds['id']}, pick int, value double, last double")
+    sure = picked.groupBy("q").agg((F.min("value") - weight * F.max("last") > 2e-9).alias("sure"), F.count(F.lit(1)).alias("k")).crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n"))))
+    sure = sure.where(F.col("sure") | (F.col("n") <= first)).select("q")
+    rest = queries.select("q").distinct().join(sure, "q", "left_anti")
+    whole = _mmr_all(scores.join(rest, "q", "left_semi"), rest, docs, k, weight)
+    return picked.join(sure, "q", "left_semi").select("q", "id", "pick").unionByName(whole)
+
+
+def _mmr_all(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int, weight: float) -> DataFrame:
+    """``mmr_whole`` by way of all documents.  One of the first k is always free and worth weight * its relevance - (1 - weight) at least, so
     documents under that bound are left out.  Token lists aren't shuffled by query: a row for each query carries what is chosen."""
     every = queries.select("q").distinct().crossJoin(docs.select("id")).join(scores.select("q", "id", "score"), ["q", "id"], "left")
     w = Window.partitionBy("q")

@@ -239,12 +239,8 @@ def rrf_fusion(spark, d):
 def minmax_norm(spark, d):
     """The first ten, scaled by the least and the largest score of the whole ranking, documents of score 0 included."""
     s = bm25_scores(spark, d).withColumn("score", F.round("score", 6))
-    nd = ids(spark, d).agg(F.count(F.lit(1)).alias("nd"))
-    span = items(spark, d).distinct().join(s.groupBy("q").agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count(F.lit(1)).alias("n")), "q", "left").crossJoin(F.broadcast(nd))
-    zero = F.coalesce("n", F.lit(0)) < F.col("nd")
-    span = span.select("q", F.when(zero, F.least(F.coalesce("lo", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("lo")).alias("lo"), F.when(zero, F.greatest(F.coalesce("hi", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("hi")).alias("hi"))
     norm = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")))
-    return best(spark, d, s, 10).join(span, "q").select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.round(norm, 6).alias("norm"))
+    return best(spark, d, s, 10).join(R.span(s, items(spark, d), ids(spark, d)), "q").select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.round(norm, 6).alias("norm"))
 
 
 @query("random_topk", "SELECT q item_id, id doc_id, 0.0::DOUBLE score, rank FROM (SELECT item_id q, doc_id id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY sha256(concat_ws('|','7',sha256(coalesce(b.text,'')),doc_id::VARCHAR)), doc_id) AS INTEGER) rank FROM benchmark b, documents) WHERE rank<=5")

@@ -164,11 +164,20 @@ def token_proxy(spark, d):
     return table(spark, d, "documents").select("doc_id", F.ceil(F.length("text") / 4.0).alias("tokens"), (F.length("text") > 8000).alias("truncated"))
 
 
-@query("content_digest", "SELECT source, count(*) n, sha256(string_agg(h,',' ORDER BY h)) digest FROM (SELECT source, sha256(text) h FROM documents) GROUP BY 1")
+@query("bpe_tokens")
+def bpe_tokens(spark, d):
+    """Tokens of each text by a public byte-pair vocabulary, its file's path a setting (``spark.lodestone.tokenizer``); texts of no tokens have 0."""
+    from ..functions.tokens import token_count
+
+    return table(spark, d, "documents").select("doc_id", token_count("text", spark.conf.get("spark.lodestone.tokenizer", None)).alias("tokens"))
+
+
+@query("content_digest", "SELECT source, count(*) n, sha256(count(*)||'/'||coalesce(sum(('0x'||substr(sha256(text),1,15))::HUGEINT),0)||'/'||coalesce(sum(('0x'||substr(sha256(text),16,15))::HUGEINT),0)) digest FROM documents GROUP BY 1")
 def content_digest(spark, d):
-    """A digest of each source: the hash of its rows' hashes in order."""
-    h = table(spark, d, "documents").select("source", F.sha2("text", 256).alias("h"))
-    return h.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("digest"))
+    """A digest of each source that doesn't depend on the order of its rows: the number of rows and two sums over parts of their hashes, so tasks add up and no source is gathered."""
+    part = lambda a: F.coalesce(F.sum(F.conv(F.substring(F.sha2("text", 256), a, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    g = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), part(1).alias("x"), part(16).alias("y"))
+    return g.select("source", "n", F.sha2(F.concat_ws("/", F.col("n").cast("string"), "x", "y"), 256).alias("digest"))
 
 
 @query("stable_id", "SELECT c_custkey, substr(sha256('customer/'||c_custkey||'/'||c_name),1,16) sid FROM customer")

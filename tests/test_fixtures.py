@@ -131,7 +131,7 @@ def test_mmr_whole_equals_the_loop(spark, seed):
     rng = random.Random(seed)
     toks = {i: sorted({rng.choice("abcdefghij") for _ in range(rng.randint(0, 4))}) for i in range(40)}
     scores = [(q, i, rng.choice([5.0, 4.0, 1.0, 0.5, 0.1])) for q in (1, 2) for i in range(40) if rng.random() < 0.7] + [(3, 7, 2.0)]
-    got = R.mmr_whole(spark.createDataFrame(scores, "q long, id long, score double"), spark.createDataFrame([(q,) for q in (1, 2, 3, 4)], "q long"), spark.createDataFrame(list(toks.items()), "id long, toks array<string>"), 3)
+    got = R.mmr_whole(spark.createDataFrame(scores, "q long, id long, score double"), spark.createDataFrame([(q,) for q in (1, 2, 3, 4)], "q long"), spark.createDataFrame(list(toks.items()), "id long, toks array<string>"), 3, first=[4, 12, 200][seed - 1])
     want = set()
     for q in (1, 2, 3, 4):
         s = {i: 0.0 for i in toks} | {i: x for p, i, x in scores if p == q}
@@ -328,6 +328,19 @@ def test_grid_without_stems_is_part_of_the_whole(spark, tmp_path):
     assert len(whole) == 48 and len(part) == 24 and {(r.stop, r.k1, r.b, r.at1, r.at3) for r in whole if not r.stem} == part
 
 
+def test_token_counts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lodestone.functions.tokens import VOCABULARY, token_count
+
+    path = str(public_tokenizers.path(VOCABULARY))
+    texts = ["a plain sentence, with Größe", "", None, "x" * 5000, "\n\t  spaces"]
+    plain = Tokenizer.from_file(path)
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", token_count("s").alias("n"), token_count("s", path).alias("m")).orderBy("i").collect()
+    assert [r.n for r in got] == [r.m for r in got] == [len(plain.encode(x or "", add_special_tokens=False)) for x in texts]
+
+
 def test_stopword_file(spark, tmp_path):
     from lodestone.plans import retrieval_queries as Q
 
