@@ -14,8 +14,6 @@ matches that run on are joined.  Ties don't arise: every occurrence counts.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -244,10 +242,6 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
     return df
 
 
-def _digest(ids):
-    return hashlib.sha256(",".join(ids).encode()).hexdigest()
-
-
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 10 words of each benchmark item in every whole text of documents; see the module for the method."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

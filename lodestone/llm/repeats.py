@@ -3,7 +3,8 @@
 Which suffixes belong together.  A window of LENGTH bytes holds a least K-byte string (by a hash, leftmost of equals), which depends on the window's bytes alone.  So
 equal windows have equal least strings at equal offsets, and the windows of a document fall into runs with one least string each, about two for every
 LENGTH - K bytes.  A run travels as four numbers; a suffix bucket is all runs of one least string.  A bucket of one run has no repeat; of runs with equal
-bytes all but the earliest are repeats.  What is left, earliest runs of different bytes, is sorted.
+bytes (the same least string at the same place in runs of the same length, and 64 bits of hash of all their bytes) all but the earliest are repeats.  What is left, earliest runs of different
+bytes, is sorted.
 
 How a bucket is sorted (Karkkainen's blockwise construction).  A block of buckets, BLOCK bytes of text at most unless one bucket is larger, is laid out as one text.  The
 positions whose remainder modulo 13 is in the difference cover {0, 1, 3, 9} are ranked by their first 78 bytes, by doubling.  The suffixes of a bucket are sorted by
@@ -346,7 +347,9 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept_sha256, kept) of each row of ``docs`` (doc_id, text).
 
     A byte goes if a LENGTH-byte string over it also starts at a smaller (doc_id, byte); a null doc_id is the smallest.  Rows with
-    equal doc_id and text are one document and get the same answer; texts of one doc_id start nowhere before each other.  Null texts count as empty.  ``kept`` holds
+    equal doc_id and text are one document and get the same answer; texts of one doc_id start nowhere before each other (they are told apart by 18 bits of their hash, so two different
+    texts of one id can be taken for one, once in 262,144).  Null texts count as empty.  A very long text is searched in pieces that share LENGTH - 1 bytes; when its repeats are taken out it is held
+    once.  Of equal strings the first by (doc_id, byte) stays, so there are no ties.  ``kept`` holds
     the remaining bytes (null with ``texts`` off), which need not be valid UTF-8 where a repeat begins inside a character."""
     docs = docs.select(docs["doc_id"], docs["text"])
     windows = find_repeats(docs)
