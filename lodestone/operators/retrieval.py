@@ -276,10 +276,12 @@ def mmr_whole(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int, we
     rel = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")))
     kinds = dict(top.dtypes)
     picked = top.select("q", "id", "rank", rel.alias("rel"), "n").join(docs, "id").select("q", "id", "rank", "rel", "toks")
-    picked = picked.groupBy("q").applyInArrow(_greedy(k, weight), f"q {kinds['q']}, id {kinds['id']}, pick int, value double, last double")
-    sure = picked.groupBy("q").agg((F.min("value") - weight * F.max("last") > 2e-9).alias("sure"), F.count(F.lit(1)).alias("k")).crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n"))))
+    picked = picked.groupBy("q").applyInArrow(_greedy(k, weight), f"q {kinds['q']}, id {kinds['id']}, pick int, value double, last double").persist()  # k rows for each query
+    sure = picked.groupBy("q").agg((F.min("value") - weight * F.max("last") > 2e-9).alias("sure"), F.count(F.lit(1)).alias("k")).crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n"))))  # one row
     sure = sure.where(F.col("sure") | (F.col("n") <= first)).select("q")
     rest = queries.select("q").distinct().join(sure, "q", "left_anti")
+    if rest.isEmpty():
+        return picked.select("q", "id", "pick")
     whole = _mmr_all(scores.join(rest, "q", "left_semi"), rest, docs, k, weight)
     return picked.join(sure, "q", "left_semi").select("q", "id", "pick").unionByName(whole)
 

@@ -6,15 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def average_rank(value: Column, *by: str) -> Column:
-    """Rank from 1, ties sharing the mean of their places."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2.0
+def with_average_rank(df: DataFrame, value: str, *by: str, name: str = "r", parts: int = 64) -> DataFrame:
+    """Adds the rank of ``value`` from 1 within each group, ties sharing the mean of their places, and ``same``, the size of the tie.
+
+    A group may hold a large part of all rows, so it isn't ranked in one window: different values are counted first, approximate quantiles cut each group into ``parts``
+    ranges, a range is numbered in a window of its own, and the sizes of the ranges before it are added.  Any cuts give the same ranks."""
+    n = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("same"))
+    cuts = n.groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(1000)).alias("cuts"))
+    x = n.join(cuts, list(by)).select(*by, value, "same", F.size(F.filter("cuts", lambda c: c < F.col(value))).alias("part"))
+    size = x.groupBy(*by, "part").agg(F.sum("same").alias("size"))
+    size = size.select(*by, "part", F.coalesce(F.sum("size").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.sum("same").over(Window.partitionBy(*by, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    ranks = x.withColumn("inside", F.coalesce(inside, F.lit(0))).join(size, [*by, "part"])
+    ranks = ranks.select(*by, value, "same", (F.col("before") + F.col("inside") + (F.col("same") + 1) / 2.0).alias(name))
+    return df.join(ranks, [*by, value])
 
 
 def spearman(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     """(by..., n, rho): Pearson's correlation of average ranks over rows where both are there; null where one is constant."""
-    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, average_rank(F.col(x), *by).alias("rx"), average_rank(F.col(y), *by).alias("ry"))
+    r = with_average_rank(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y), x, *by, name="rx").drop("same")
+    r = with_average_rank(r, y, *by, name="ry").drop("same")
     spread = F.stddev_pop("rx") * F.stddev_pop("ry")  # corr() itself fails on a constant column in ANSI mode
     return r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("rx", "ry"), spread).alias("rho"))
 
@@ -29,8 +40,7 @@ def column_pairs(long: DataFrame, key: str, column: str, value: str) -> DataFram
 def signed_ranks(diffs: DataFrame) -> DataFrame:
     """(a, b, n, up, down, ties): numbers and rank sums of positive and negative differences, zeros dropped; ties is the sum of t**3 - t over groups of t equal sizes."""
     r = diffs.where("d <> 0").withColumn("m", F.abs("d"))
-    same = F.count(F.lit(1)).over(Window.partitionBy("a", "b", "m"))
-    r = r.withColumns({"r": average_rank(F.col("m"), "a", "b"), "same": same})
+    r = with_average_rank(r, "m", "a", "b")
     return r.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("same") * F.col("same") - 1).alias("ties"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("down"))
 
 

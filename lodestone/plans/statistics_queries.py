@@ -57,7 +57,7 @@ def score_band(spark, d):
 @query("avg_rank", f"WITH {T} SELECT u, c, rank() OVER (PARTITION BY c ORDER BY round(s,0)) + (count(*) OVER (PARTITION BY c,round(s,0))-1)/2.0::DOUBLE r FROM T")
 def avg_rank(spark, d):
     t = scores(spark, d).withColumn("k", F.round("s", 0))
-    return t.select("u", "c", S.average_rank(F.col("k"), "c").alias("r"))
+    return S.with_average_rank(t.select("u", "c", "k"), "k", "c").select("u", "c", "r")
 
 
 @query("spearman_rho", f"WITH {T}, P AS (SELECT x.c a, y.c b, x.s x, y.s y FROM T x JOIN T y ON x.u=y.u AND x.c<y.c), R AS (SELECT a, b, rank() OVER (PARTITION BY a,b ORDER BY x)+(count(*) OVER (PARTITION BY a,b,x)-1)/2.0::DOUBLE rx, rank() OVER (PARTITION BY a,b ORDER BY y)+(count(*) OVER (PARTITION BY a,b,y)-1)/2.0::DOUBLE ry FROM P) SELECT a, b, count(*) n, round(corr(rx,ry),6) rho FROM R GROUP BY ALL")
