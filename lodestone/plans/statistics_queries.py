@@ -269,7 +269,7 @@ def progress_eta(spark, d):
     return e.crossJoin(F.broadcast(g)).select("run", "done", "expected", F.round((F.col("expected") - F.col("done")) * F.coalesce("m", "all_m") / 3600, 5).alias("hours_left"))
 
 
-@query("copy_loop", """WITH w AS (SELECT p_brand g, p_partkey%2=1 made, split_part(p_name,' ',1) a, split_part(p_name,' ',2) b FROM part), s AS (SELECT g, count(*) FILTER (made) edges, count(DISTINCT (a,b)) FILTER (made) pairs, coalesce(list_distinct(list(a) FILTER (made)),[]) names, coalesce(list_distinct(list(a) FILTER (NOT made)),[]) gold, coalesce(list_distinct(list(a) FILTER (NOT made AND b='bolt') || list(a) FILTER (made AND b='ring')),[]) examples FROM w GROUP BY 1)
+@query("copy_loop", """WITH w AS (SELECT p_brand g, p_partkey%2=1 made, split_part(p_name,' ',1) a, split_part(p_name,' ',2) b FROM part), s AS (SELECT g, count(*) FILTER (made) edges, count(DISTINCT (a,b)) FILTER (made) pairs, coalesce(list_distinct(list(a) FILTER (made)),[]) names, coalesce(list_distinct(list(a) FILTER (NOT made)),[]) gold, coalesce(list_distinct(list(a) FILTER ((NOT made AND b='bolt') OR (made AND b='ring'))),[]) examples FROM w GROUP BY 1)
  SELECT g, edges, pairs, CASE WHEN edges>0 THEN round(pairs/edges,6) END share, coalesce(pairs/nullif(edges,0)<0.6,false) looping, len(list_filter(names, lambda x: list_contains(examples,x) AND NOT list_contains(gold,x))) copied FROM s""")
 def copy_loop(spark, d):
     """Signs of a response that goes round: few different pairs, and names taken from the examples that the gold answer doesn't have."""
