@@ -5,6 +5,16 @@ _BASE32 = "||".join(f"substr('{_ALPHABET}', 1+((('0x'||substr(h,{10 * (k // 8) +
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(text,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
+_CRC32 = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR,''), lambda ch: ascii(ch)::BIGINT)), lambda s, ch: list_reduce(list_prepend(xor(s,ch), [0::BIGINT,0,0,0,0,0,0,0]), lambda u, k: CASE WHEN u&1=1 THEN xor(u>>1,3988292384::BIGINT) ELSE u>>1 END))"
+
+
+def _assign(n: int, book: str) -> str:
+    return f"""a{n} AS MATERIALIZED (SELECT vec_id, label, p, x, (m%64)::INTEGER j, (m//64)::BIGINT d FROM (SELECT p.vec_id, any_value(label) label, p.p, any_value(p.x) x, min((list_sum(list_transform(list_zip(p.x,c.x), lambda z: (z[1]-z[2])*(z[1]-z[2])))*64+c.j)::BIGINT) m FROM p JOIN {book} c ON p.p=c.p GROUP BY p.vec_id, p.p))"""
+
+
+def _update(n: int, book: str) -> str:
+    return f"""c{n} AS MATERIALIZED (SELECT c.p, c.j, coalesce(u.x, c.x) x FROM {book} c LEFT JOIN (SELECT p, j, list(f ORDER BY i) x FROM (SELECT p, j, i, floor(sum(v)::DOUBLE/count(*))::BIGINT f FROM (SELECT p, j, unnest(x) v, generate_subscripts(x,1) i FROM a{n}) GROUP BY ALL) GROUP BY ALL) u USING(p,j))"""
+
 
 SQL: dict[str, str] = {
     "op6_warc": f"""WITH p AS (SELECT page_id, coalesce(html,'') html, sha1(coalesce(html,'')) h FROM pages), t AS (SELECT h, max(page_id) top FROM p GROUP BY 1)
@@ -32,4 +42,16 @@ SQL: dict[str, str] = {
  dw AS (SELECT doc_id, i, k, array_to_string(a[i:i+k-1],' ') s FROM (SELECT doc_id, a, k, unnest(range(1, 2+len(a)-k)) i FROM d, ks WHERE len(a)>=k)), h AS (SELECT doc_id, i, k, item_id FROM dw JOIN bw USING(k,s)),
  w AS (SELECT doc_id, count(DISTINCT p) n FROM (SELECT doc_id, unnest(range(i,i+k)) p FROM (SELECT DISTINCT doc_id, i, k FROM h)) GROUP BY 1), it AS (SELECT doc_id, count(*) n, string_agg(x, ',' ORDER BY x) l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR x FROM h) GROUP BY 1)
  SELECT d.doc_id, len(a)::BIGINT n_words, coalesce(w.n,0)::BIGINT n_hit, coalesce(it.n,0)::BIGINT n_items, sha256(coalesce(l,'')) items_sha256, coalesce(w.n,0)>0 contaminated FROM d LEFT JOIN w ON w.doc_id=d.doc_id LEFT JOIN it ON it.doc_id=d.doc_id""",
+    "op12_tree": f"""WITH o AS (SELECT conv_id, list({{'r':coalesce(role,''),'t':coalesce(text,'')}} ORDER BY turn NULLS FIRST, coalesce(role,''), coalesce(text,'')) a FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+ h AS (SELECT conv_id, a, (xor({_CRC32},4294967295)%4)::BIGINT h FROM o), b AS (SELECT h.conv_id, coalesce(o.a[1:h.h],[]) || h.a[h.h+1:] a FROM h LEFT JOIN o ON o.conv_id=h.conv_id-h.conv_id%20),
+ p AS (SELECT conv_id, d, sha256(to_json(a[1:d])::VARCHAR) k, CASE WHEN d>0 THEN sha256(to_json(a[1:d-1])::VARCHAR) END u, d=len(a) fin, CASE WHEN d>0 THEN len(regexp_extract_all(a[d].t,'[^\\x20\\x09-\\x0D]+')) ELSE 0 END w FROM (SELECT conv_id, a, unnest(range(0,len(a)+1)) d FROM b)),
+ n AS (SELECT d, k, any_value(u) u, min(conv_id) conv_id, count(*) c, any_value(w) w, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (fin),'')) sha FROM p GROUP BY ALL),
+ ch AS (SELECT d-1 d, u k, count(*) c FROM n WHERE d>0 GROUP BY ALL), m AS (SELECT n.*, coalesce(ch.c,0) nc FROM n LEFT JOIN ch USING(d,k)),
+ an AS (SELECT DISTINCT x.d, x.k, y.d yd, y.k yk FROM p x JOIN p y ON x.conv_id=y.conv_id AND y.d>=x.d), t AS (SELECT an.d, an.k, count(*) FILTER (m.nc=0) nl, sum((m.c-1)*m.w)::BIGINT saved FROM an JOIN m ON m.d=an.yd AND m.k=an.yk GROUP BY ALL)
+ SELECT m.conv_id, m.d depth, q.conv_id parent_conv_id, m.c n_convs, m.nc n_children, t.nl n_leaves, t.saved saved_tokens, m.sha ends_sha256 FROM m JOIN t USING(d,k) LEFT JOIN m q ON q.d=m.d-1 AND q.k=m.u""",
+    "op13_codes": f"""WITH r AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256*x::DOUBLE)::BIGINT) v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)))=0),
+ p AS MATERIALIZED (SELECT vec_id, label, p, v[p*(len(v)//16)+1:(p+1)*(len(v)//16)] x FROM r, range(16) t(p)), c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id)-1 j, x FROM p QUALIFY j<64),
+ {_assign(1, "c0")}, {_update(1, "c0")}, {_assign(2, "c1")}, {_update(2, "c1")}, {_assign(3, "c2")},
+ e AS (SELECT vec_id, any_value(label) label, string_agg(printf('%02x', j), '' ORDER BY p) code, sum(d)::BIGINT error FROM a3 GROUP BY 1), h AS (SELECT sha256(string_agg(v, ',' ORDER BY p, j, i)) codebooks_sha256 FROM (SELECT p, j, unnest(x)::VARCHAR v, generate_subscripts(x,1) i FROM c2))
+ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT label_error, codebooks_sha256 FROM e, h""",
 }
