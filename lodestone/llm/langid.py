@@ -1,8 +1,9 @@
 """Language identification: a bidirectional gated recurrent network over bytes.
 
-The network reads windows of at most WINDOW bytes in both directions, labels every position with probabilities of the learned languages, and a
-document's probabilities are the mean over the positions of its letters.  It is trained here, in numpy, by backpropagation through time, on a
-bounded sample of labelled rows (``per_language`` different texts of each language, those of the smallest text hashes, one snippet of SNIPPET characters of each).
+The network reads windows of WINDOW bytes in both directions, labels every position with probabilities of the learned languages, and a
+document's probabilities are the mean over the positions of its letters.  Windows overlap: a label is taken from a window that goes on for AROUND bytes on either side of it, as far as the text does.
+It is trained here, in numpy, by backpropagation through time, on a bounded sample of labelled rows (``per_language`` different texts of each language, those of the smallest text
+hashes); what is read of each sampled text are windows drawn over the whole of it, PLACES of SNIPPET characters, from which the training steps take theirs.
 Prediction covers every byte of every text in fixed memory, without a shuffle.
 """
 
@@ -18,10 +19,11 @@ from pyspark.sql import functions as F
 from .shared import held_out, table, utf8
 
 HIDDEN = 8
-WINDOW = 128
-STEP = 16
+WINDOW = 160
+AROUND = 16
 PER_LANGUAGE = 1500
-SNIPPET = 240
+PLACES = 8
+SNIPPET = 120
 GROUP = 2048
 
 LETTER = np.zeros(256, bool)
@@ -169,21 +171,22 @@ def pooled(net: Net, column: pa.Array) -> np.ndarray:
     bounds, raw = utf8(column)
     size = np.diff(bounds)
     total, weight = np.zeros((len(size), len(net.langs))), np.zeros(len(size))
-    full, rest = size // WINDOW, size % WINDOW
-    doc = np.repeat(np.arange(len(size)), full)
-    at = bounds[doc] + WINDOW * (np.arange(len(doc)) - np.repeat(np.cumsum(full) - full, full))
-    groups = [(WINDOW, doc, at, np.zeros(len(doc), np.int64))]
-    tail = np.flatnonzero(rest)
-    wide = -(-rest[tail] // STEP) * STEP  # rounded up, so that few lengths occur; what the window before has labelled is left out
-    wide = np.where(wide <= size[tail], wide, rest[tail])
-    for w in np.unique(wide):
-        own = tail[wide == w]
-        groups.append((int(w), own, bounds[own + 1] - w, w - rest[own]))
-    for w, doc, at, skip in groups:
+    step = WINDOW - 2 * AROUND
+    n = np.where(size > WINDOW, -(-size // step), 0)
+    doc = np.repeat(np.arange(len(size)), n)
+    own = step * (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n))  # each window labels the ``step`` bytes from here
+    at = np.clip(own - AROUND, 0, size[doc] - WINDOW)
+    groups = [(WINDOW, doc, bounds[doc] + at, own - at, np.minimum(own + step, size[doc]) - at)]
+    short = np.flatnonzero((size > 0) & (size <= WINDOW))
+    for w in np.unique(size[short]):
+        rows = short[size[short] == w]
+        groups.append((int(w), rows, bounds[rows], np.zeros(len(rows), np.int64), np.full(len(rows), w)))
+    for w, doc, at, skip, stop in groups:
         for k in range(0, len(doc), GROUP):
-            d, a, s = doc[k : k + GROUP], at[k : k + GROUP], skip[k : k + GROUP]
+            d, a, s, e = doc[k : k + GROUP], at[k : k + GROUP], skip[k : k + GROUP], stop[k : k + GROUP]
             data = raw[a[:, None] + np.arange(w)[None, :]]
-            use = (LETTER[data] & (np.arange(w)[None, :] >= s[:, None])).astype(np.float32)
+            place = np.arange(w)[None, :]
+            use = (LETTER[data] & (place >= s[:, None]) & (place < e[:, None])).astype(np.float32)
             p = (net.positions(data) * use.T[:, None, :]).sum(0).T.astype(float)
             for j in range(p.shape[1]):
                 total[:, j] += np.bincount(d, p[:, j], len(size))
@@ -192,21 +195,22 @@ def pooled(net: Net, column: pa.Array) -> np.ndarray:
 
 
 def sample(docs: DataFrame, train_on: F.Column | None = None, per_language: int = PER_LANGUAGE) -> tuple[list[bytes], np.ndarray, list[str]]:
-    """At most ``per_language`` snippets of different texts of each language: those of the smallest hash of their text.  Ids and sources play no part.
+    """Windows of at most ``per_language`` different texts of each language, those of the smallest hash of their text: PLACES windows of each, at places that a hash draws from the whole text.  Ids and sources play no part.
 
     Only hashes under a limit are looked at, set for each language by an estimate of its number of different texts so that about four times as many as wanted lie under it; should fewer
     than wanted do so, the limit is raised.  So copies and languages of any size meet in no one task, and the driver gets a few thousand rows of each language."""
     rows = docs.where("lang is not null and text is not null")
     rows = rows.where(train_on) if train_on is not None else rows
     key = F.xxhash64("text")
-    at = F.pmod(F.shiftright(key, 7), F.greatest(F.length("text") - SNIPPET, F.lit(1))).cast("int") + 1
-    rows = rows.select("lang", key.alias("k"), F.substring(F.col("text"), at, F.lit(SNIPPET)).alias("t")).where(F.col("t").rlike("\\p{L}"))
+    at = lambda i: F.pmod(F.xxhash64("text", i), F.greatest(F.length("text") - SNIPPET + 1, F.lit(1))).cast("int") + 1
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(PLACES)), lambda i: F.substring(F.col("text"), at(i), F.lit(SNIPPET)))
+    rows = rows.where(F.col("text").rlike("\\p{L}")).select("lang", key.alias("k"), "text")
     share = {r["lang"]: min(1.0, 4 * per_language / r["d"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("k").alias("d")).collect()}
     found: dict[str, list[tuple[int, str]]] = {}
     while left := {x: s for x, s in share.items() if x not in found}:
         limits = docs.sparkSession.createDataFrame([(x, int(s * (1 << 64)) - (1 << 63) - 1) for x, s in left.items()], "l string, most long")
         under = rows.join(F.broadcast(limits), F.col("lang") == F.col("l")).where(F.col("k") <= F.col("most"))  # a row for each language
-        got = under.groupBy("lang", "k").agg(F.first("t").alias("t")).toPandas().sort_values(["lang", "k"])
+        got = under.select("lang", "k", F.filter(drawn, lambda t: t.rlike("\\p{L}")).alias("t")).groupBy("lang", "k").agg(F.first("t").alias("t")).toPandas().sort_values(["lang", "k"])
         for x, s in left.items():
             own = got[got["lang"] == x]
             if len(own) >= per_language or s >= 1:
@@ -214,14 +218,15 @@ def sample(docs: DataFrame, train_on: F.Column | None = None, per_language: int
             else:
                 share[x] = min(1.0, 2 * s)
     langs = sorted(x for x, own in found.items() if own)
-    return [t.encode() for x in langs for _, t in found[x]], np.array([k for k, x in enumerate(langs) for _ in found[x]], np.int64), langs
+    windows = [(k, t.encode()) for k, x in enumerate(langs) for _, texts in found[x] for t in texts]
+    return [t for _, t in windows], np.array([k for k, _ in windows], np.int64), langs
 
 
 def predict(docs: DataFrame, net: Net) -> DataFrame:
     """doc_id, held_out, lang_pred and score (the pooled probability of lang_pred) of each row.
 
     A null text and one without a letter get ``und`` and 0, and so does every row where no language was learned.  Of languages with equal probability the first by name is taken.  A very
-    long text is read window by window; a window begins with blank states, so letters that a cut divides are read without what comes before.  Repeated rows are answered each."""
+    long text is read window by window, each with AROUND bytes on either side.  Repeated rows are answered each; other columns, whatever their names, play no part."""
 
     def run(batches):
         for b in batches:

@@ -2,7 +2,10 @@
 
 Each task packs the documents of its own input split, in their order, with a fixed number of open bins.  A bitset holds for which amounts of
 free space a bin is open; the best fit for a piece is the lowest set bit at or above its length, found with shifts.  If no open bin fits and all places are
-taken, the fullest bin (the lowest set bit of all) closes to make room.  No shuffle, and memory for ``open_bins`` bins and one batch of texts.
+taken, the fullest bin (the lowest set bit of all) closes to make room.  Memory is that of ``open_bins`` bins and one batch of texts.
+
+Each task leaves bins open at its end, the more of the whole the more tasks there are.  So the pieces of sequences that are not FULL are packed once more, in the same way, in tasks of
+REPACKED pieces by falling length; these are rows of a few numbers, no texts.
 """
 
 from __future__ import annotations
@@ -17,14 +20,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import cut, drop_cut, table
 
 CAPACITY = 1024
 OPEN_BINS = 1024
 END = 2
 TOKENIZER = "byte_bpe_50k"
 CACHE = 600_000
+#: Share of a sequence from which it stays as it is, and pieces that a task packs once more.
+FULL = 0.995
+REPACKED = 1 << 18
+#: Sequences of the second packing have numbers from here.
+SECOND = 1 << 62
 
 
 class Ids:
@@ -133,8 +142,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     """One row per piece of each row of ``docs``: the id column, then SCHEMA.
 
     Null texts count as empty; an empty text is the one id 2.  Repeated rows are packed each, a null id like any other; columns but these two play no part.  Of bins with equal free space the one
-    that came to it last is taken.  A very long text is encoded whole, in memory of some ten times its length, and cut into pieces.  Sequences never span tasks: a
-    sequence's number is the task's partition number times 2**33 plus its number there, so a task that runs again gives the same numbers."""
+    that came to it last is taken.  A very long text is encoded whole, in memory of some ten times its length, and cut into pieces.  A
+    sequence's number is the task's partition number times 2**33 plus its number there, and SECOND more where it was packed once more.  What the first packing gives is written, so the second sees the same rows whatever runs again."""
     src = docs.select(docs[id_col].alias(id_col), docs[text_col].alias(text_col))
 
     def run(batches):
@@ -154,7 +163,33 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
                 yield pa.RecordBatch.from_arrays(cols, [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     kind = src.schema[id_col].dataType.simpleString()
-    return src.mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")
+    first = cut(src.mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}"), "packing-first")
+    out = cut(_once_more(first, id_col, capacity, open_bins), "packing")
+    drop_cut(first)
+    return out
+
+
+def _once_more(packed: DataFrame, id_col: str, capacity: int, open_bins: int) -> DataFrame:
+    """``packed`` with the pieces of sequences that aren't FULL packed again."""
+    fill = packed.groupBy("sequence_id").agg(F.sum("length").alias("fill"), F.count(F.lit(1)).alias("n")).where(F.col("fill") < FULL * capacity)
+    again = fill.agg(F.sum("n")).first()[0] or 0
+    if not again:
+        return packed
+    few = fill.select("sequence_id")
+    kept = packed.join(few, "sequence_id", "left_anti").select(*packed.columns)
+    tasks = -(-again // REPACKED)
+    dealt = packed.join(few, "sequence_id", "left_semi").select(*packed.columns).repartition(tasks, F.xxhash64("sequence_id", "offset"))
+
+    def run(batches):
+        bins, base = Bins(capacity, open_bins), SECOND + (TaskContext.get().partitionId() << 33)
+        for b in batches:
+            new = [bins.put(n) for n in b.column(3).to_pylist()]
+            numbers, offsets = ([x[k] for x in new] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array([base + k for k in numbers], pa.int64()), pa.array(offsets, pa.int64())], b.schema.names)
+
+    kind = packed.schema[id_col].dataType.simpleString()
+    order = dealt.sortWithinPartitions(F.col("length").desc(), "sequence_id", "offset")
+    return kept.unionByName(order.mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}"))
 
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

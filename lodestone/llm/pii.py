@@ -28,6 +28,8 @@ KEY_SETTING = "spark.lodestone.pii.key"
 DEVELOPMENT_KEY = "development"
 #: Attempts before draws may equal other entities of the corpus (never surrogates given), and before the space of a format counts as used up.
 CROWDED, FULL = 32, 64
+#: Labels of a mail domain before its last one (a domain name has 127 at most), and hyphenated parts of a name after its first.  Java's patterns recurse once for each repeat of a group, so every group has a bound.
+LABELS, HYPHENS = 126, 7
 #: Mentions and entities are small rows with much to do, so tasks are made by their number and not by their bytes.
 ROWS_A_TASK = 4000
 
@@ -63,7 +65,7 @@ _SECRET = "(?i:token|secret|password|passwd|api_key|apikey|api-key|access_key)[\
 #: Each begins with a set of first characters, so that most places of a text are left at once.
 PATTERNS = [
     ("secret", rf"(?=[tspaTSPA]){_BEFORE}{_SECRET}[A-Za-z0-9_\-+/.]{{8,}}+"),
-    ("email", rf"(?=[{_L}{_N}._%+\-])(?<![{_L}{_N}._%+\-])[{_L}{_N}._%+\-]++@[{_L}{_N}\-]++(?:\.[{_L}{_N}\-]++)*\.\p{{L}}{{2,}}"),
+    ("email", rf"(?=[{_L}{_N}._%+\-])(?<![{_L}{_N}._%+\-])[{_L}{_N}._%+\-]++@[{_L}{_N}\-]++(?:\.[{_L}{_N}\-]++){{0,{LABELS}}}\.\p{{L}}{{2,}}"),
     ("ip", rf"(?=[0-9])(?<![{_L}{_N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1\d\d|\d?\d)(?![{_N}]|\.[{_N}])"),
     ("ipv6", rf"(?=[0-9A-Fa-f])(?<![{_L}{_N}:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[0-9A-Fa-f]*[0-9])(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![{_L}{_N}:])"),
     ("phone", rf"(?=[0-9+(])(?:(?<![{_L}{_N}+])\+(?=(?:[ .\-()]{{0,2}}\d){{8,15}}(?![ .\-]?\d))\d{{1,3}}[ .\-]?(?:\(\d{{1,4}}\)[ .\-]?)?\d{{1,5}}(?:[ .\-]\d{{2,8}}){{1,4}}(?![{_N}]|[.\-][0-9])|(?<![{_L}{_N}+])\+\d{{1,3}}[ .\-]?(?:\(\d{{1,4}}\)[ .\-]?)?\d{{2,4}}(?<sep>[ .\-])\d{{2,4}}(?:\k<sep>\d{{2,4}}){{0,3}}(?![{_N}]|[.\-][0-9])|(?<![{_L}{_N}+])\+\d{{8,15}}(?![{_N}])|{_BEFORE}\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?![{_N}])|(?<![{_L}{_N}\-.])\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}}(?![{_N}]))"),
@@ -71,7 +73,7 @@ PATTERNS = [
     ("iban", rf"(?=[A-Z]){_BEFORE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_L}{_N}])"),
     ("card", rf"(?=[0-9]){_BEFORE}\d(?:[ \-]?\d){{12,18}}(?![{_L}{_N}])"),
     ("secret", rf"(?=[0-9a-gA-GsS]){_BEFORE}(?i:[0-9a-f]{{32,128}}|AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20,64}})(?![{_L}{_N}])"),
-    ("name", rf"(?=[{_FIRST}]){_BEFORE}(?:{_TITLE})\.? {_NAME}(?:-{_NAME})*(?: {_NAME}(?:-{_NAME})*){{0,2}}(?![{_L}{_N}])"),
+    ("name", rf"(?=[{_FIRST}]){_BEFORE}(?:{_TITLE})\.? {_NAME}(?:-{_NAME}){{0,{HYPHENS}}}(?: {_NAME}(?:-{_NAME}){{0,{HYPHENS}}}){{0,2}}(?![{_L}{_N}])"),
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: Every entity holds a digit or an @, or follows a title, or a secret's name.
@@ -110,8 +112,13 @@ def _byte(h: Column, i: Column) -> Column:
     return F.conv(F.substring(h, F.pmod(i, F.lit(128)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
+def _letters(x: Column) -> Column:
+    """The characters of a string, in one pass; a substring for each place would take time in the square of the length."""
+    return F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0))
+
+
 def _chars(x: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.struct(i.alias("i"), F.substring(x, i, F.lit(1)).alias("c")))
+    return F.transform(_letters(x), lambda c, i: F.struct((i + 1).alias("i"), c.alias("c")))
 
 
 def _pick(letters: str, n: Column) -> Column:
@@ -130,14 +137,18 @@ def _same_shape(x: Column, h: Column) -> Column:
     upper = x.rlike("^[0-9A-F]{16,}$") & x.rlike("[A-F]")
     mixed = x.rlike("^[0-9a-fA-F]{16,}$")
 
-    def one(c: Column) -> Column:
-        n = _byte(h, c["i"])
+    def plain(c: Column, n: Column) -> Column:
         return (
-            F.when(hexes, _pick("0123456789abcdef", n)).when(upper, _pick("0123456789ABCDEF", n)).when(mixed & c["c"].rlike("[A-F]"), _pick("ABCDEF", n)).when(mixed & c["c"].rlike("[a-f]"), _pick("abcdef", n)).when(c["c"].rlike(r"\p{N}"), _pick("0123456789", n))
-            .when(c["c"].rlike("[A-Z]"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n)).when(c["c"].rlike("[a-z]"), _pick("abcdefghijklmnopqrstuvwxyz", n)).when(c["c"].rlike(r"\p{L}"), _letter(c["c"], n)).otherwise(c["c"])
+            F.when(c.rlike(r"\p{N}"), _pick("0123456789", n)).when(c.rlike("[A-Z]"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n)).when(c.rlike("[a-z]"), _pick("abcdefghijklmnopqrstuvwxyz", n))
+            .when(c.rlike(r"\p{L}"), _letter(c, n)).otherwise(c)
         )
 
-    return F.array_join(F.transform(_chars(x), one), "")
+    def both(c: Column, n: Column) -> Column:
+        return F.when(c.rlike("[A-F]"), _pick("ABCDEF", n)).when(c.rlike("[a-f]"), _pick("abcdef", n)).otherwise(_pick("0123456789", n))
+
+    each = lambda one: F.array_join(F.transform(_letters(x), lambda c, i: one(c, _byte(h, i + 1))), "")
+    # the string is judged once and not for each of its characters
+    return F.when(hexes, each(lambda c, n: _pick("0123456789abcdef", n))).when(upper, each(lambda c, n: _pick("0123456789ABCDEF", n))).when(mixed, each(both)).otherwise(each(plain))
 
 
 def _luhn(d: Column) -> Column:
@@ -223,7 +234,7 @@ def _written(kind: Column, hit: Column, forms: Column) -> Column:
     words = F.transform(forms, lambda f: F.substring_index(f, ":", -1))
     joints = F.regexp_extract_all(_body(hit), F.lit("[ -]"), F.lit(0))
     name = F.concat(F.regexp_extract(hit, r"^(\S+ )", 1), F.array_join(F.transform(words, lambda w, i: F.concat(w, F.coalesce(F.get(joints, i), F.lit("")))), ""))
-    cased = F.when(F.length(only) == F.length(hit), F.array_join(F.transform(_chars(hit), lambda c: F.when(c["c"].rlike(r"\p{Lu}"), F.upper(F.substring(only, c["i"], F.lit(1)))).otherwise(F.substring(only, c["i"], F.lit(1)))), "")).otherwise(only)
+    cased = F.when(F.length(only) == F.length(hit), F.array_join(F.zip_with(_letters(hit), _letters(only), lambda a, b: F.when(a.rlike(r"\p{Lu}"), F.upper(b)).otherwise(b)), "")).otherwise(only)
     return (
         F.when(kind == "name", name).when(kind.isin("card", "ssn", "phone", "iban"), filled).when(kind == "email", cased).when((kind == "ipv6") & hit.rlike("[A-F]"), F.upper(only))
         .when(kind == "secret", F.concat(F.regexp_extract(hit, f"^({_SECRET})?", 0), only)).otherwise(only)
@@ -239,14 +250,15 @@ def surrogates(entities: DataFrame, key: str = DEVELOPMENT_KEY) -> DataFrame:
     tasks = -(-entities.count() // ROWS_A_TASK) or 1
     left, done, attempt = entities, None, 0
     while True:
-        drawn = left.repartition(tasks, "kind", "form").withColumn("h", _hash(key, F.col("kind"), F.col("form"), F.lit(str(attempt))))
-        drawn = drawn.select("kind", "form", _draw(F.col("kind"), F.col("form"), attempt, F.col("h"), key).alias("surrogate")).where("form <> surrogate")
+        # the hash is written: as an expression it would stand in the filter below, and be made again for each character of a form
+        keyed = cut(left.withColumn("h", _hash(key, F.col("kind"), F.col("form"), F.lit(str(attempt)))), "pii-keyed")
+        drawn = keyed.repartition(tasks, "kind", "form").select("kind", "form", _draw(F.col("kind"), F.col("form"), attempt, F.col("h"), key).alias("surrogate")).where("form <> surrogate")
         real = entities.select("kind", F.col("form").alias("surrogate"))
         free = drawn.join(real, ["kind", "surrogate"], "left_anti") if attempt < CROWDED else drawn
         if done is not None:
             free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
         won = free.groupBy("kind", "surrogate").agg(F.min("form").alias("form")).select("kind", "form", "surrogate")
-        before = [x for x in (done, left) if x is not None and x is not entities]
+        before = [x for x in (done, left, keyed) if x is not None and x is not entities]
         done = cut(won if done is None else done.unionByName(won), "pii-surrogates")
         left = cut(entities.join(done, ["kind", "form"], "left_anti"), "pii-left")
         for x in before:

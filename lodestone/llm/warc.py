@@ -21,6 +21,7 @@ import json
 import re
 import uuid
 import zlib
+from datetime import UTC, datetime
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -64,11 +65,21 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: str, url: str, payload: bytes, sha1: str, refers_to: str | None) -> bytes:
-    """One WARC/1.1 record: a response with its payload, or a revisit with the digest and the length of it."""
-    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Target-URI", re.sub(r"[\r\n]", "", url)), ("WARC-Payload-Digest", f"sha1:{sha1}")]
+def record_id(page_id: str, url: str, sha1: str, n: int = 0) -> str:
+    """The name of the n-th record of one page id, URL and payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, json.dumps([page_id, url, sha1, n]))}>"
+
+
+def record(page_id: str, url: str, payload: bytes, sha1: str, refers_to: tuple[str, str] | None, date: str, n: int = 0) -> bytes:
+    """One WARC/1.1 record: a response with its payload, or a revisit with the digest and the length of it.  ``refers_to``: page id and URL of the response; ``n``: how many
+    records of the same page id, URL and payload came before.  Page ids stand in fields of our own, as the standard allows."""
+    clean = lambda x: re.sub(r"[\r\n]", "", x)
+    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id, url, sha1, n)), ("WARC-Date", date), ("WARC-Target-URI", clean(url)), ("WARC-Payload-Digest", f"sha1:{sha1}"), ("Page-ID", page_id)]
     if refers_to is not None:
-        fields += [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        fields += [
+            ("WARC-Refers-To", record_id(*refers_to, sha1)), ("WARC-Refers-To-Target-URI", clean(refers_to[1])), ("WARC-Refers-To-Date", date), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+            ("Refers-To-Page-ID", refers_to[0]),
+        ]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     body = http + payload if refers_to is None else http
     fields += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(body)))]
@@ -81,8 +92,7 @@ def parse(raw: bytes) -> dict:
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
     body = rest[: int(fields["Content-Length"])]
     http, _, payload = body.partition(b"\r\n\r\n")
-    urn = lambda x: x[len("<urn:page:") : -1] if x else None
-    return {"fields": fields, "page_id": urn(fields["WARC-Record-ID"]), "refers_to": urn(fields.get("WARC-Refers-To")), "type": fields["WARC-Type"], "digest": fields["WARC-Payload-Digest"][5:], "length": int(re.search(rb"Content-Length: (\d+)", http)[1]), "payload": payload}
+    return {"fields": fields, "page_id": fields["Page-ID"], "refers_to": fields.get("Refers-To-Page-ID"), "type": fields["WARC-Type"], "digest": fields["WARC-Payload-Digest"][5:], "length": int(re.search(rb"Content-Length: (\d+)", http)[1]), "payload": payload}
 
 
 class Archive:
@@ -188,44 +198,47 @@ HOT = 1000  # payloads with more than one in HOT of all rows: fewer than HOT of
 
 
 def _references(small: DataFrame) -> DataFrame:
-    """(page_id, url, sha, refers_to), each once, for pages (page_id, url, sha) whose payload a page of a larger id has.
+    """(page_id, url, sha, refers_to, refers_url), each once, for pages (page_id, url, sha) whose payload a page of a larger id has, with the URL of that page.
 
     Only payloads that occur more than once are joined; frequent ones, whose rows would meet in one task, by a broadcast of bounded size."""
-    counts = small.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = small.groupBy("sha").agg(F.max(F.struct("page_id", "url")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "n", F.col("top.page_id").alias("refers_to"), F.col("top.url").alias("refers_url"))
     total = small.count()
-    hot = counts.where(F.col("n") * HOT > total).select("sha", "refers_to")
-    rest = counts.where(F.col("n") * HOT <= total).select("sha", "refers_to")
+    hot = counts.where(F.col("n") * HOT > total).select("sha", "refers_to", "refers_url")
+    rest = counts.where(F.col("n") * HOT <= total).select("sha", "refers_to", "refers_url")
     seen = small.join(F.broadcast(hot), "sha", "left")
     both = seen.where("refers_to is not null").unionByName(small.join(F.broadcast(hot), "sha", "left_anti").join(rest, "sha"))
-    return both.where("page_id is null or page_id < refers_to").select("page_id", "url", "sha", "refers_to").distinct()
+    return both.where("page_id is null or page_id < refers_to").select("page_id", "url", "sha", "refers_to", "refers_url").distinct()
 
 
-def write_archives(pages: DataFrame, root: str) -> list[tuple[str, str, str]]:
+def write_archives(pages: DataFrame, root: str, date: str | None = None) -> list[tuple[str, str, str]]:
     """Write ``pages`` (page_id, url, html) below ``root``; the list of (first key, first id, name) of the archives, in order of keys.
 
     One record for each row.  Of rows with equal payloads those with the largest page_id (one, unless the id is repeated) are responses and the others revisit it; a row without
     an id revisits any that has one.  A null html is an empty payload, a null url an empty one.  Payloads are dealt out once, by key and id: which page a record refers to comes as a row of its
-    own, sorted just before it.  A payload is held whole, one at a time.  Columns but these three play no part."""
+    own, sorted just before it.  A payload is held whole, one at a time.  Columns but these three play no part.  ``date`` (UTC, as 2020-01-31T12:00:00Z) is that of all records; the time of the call
+    unless given."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     sha = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), pages["html"].alias("html")).withColumn("sha", sha)
-    refers = _references(rows.select("page_id", "url", "sha")).select("page_id", "url", F.lit(None).cast("string").alias("html"), "sha", "refers_to", F.lit(0).alias("kind"))
+    refers = _references(rows.select("page_id", "url", "sha")).select("page_id", "url", F.col("refers_url").alias("html"), "sha", "refers_to", F.lit(0).alias("kind"))  # such a row has the URL it refers to in the place of a payload
     every = rows.select("page_id", "url", "html", "sha", F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind")).unionByName(refers)
     keyed = every.withColumn("key", key_of("url")).repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "sha", "url", "kind")
 
     def write(batches):
-        out, first, last, refers_to = None, None, None, None
+        out, first, last, refers_to, n = None, None, None, None, 0
         for b in batches:
             for page_id, url, html, own, top, kind, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (page_id, own, url) != last:
-                    last, refers_to = (page_id, own, url), None
+                    last, refers_to, n = (page_id, own, url), None, 0
                 if kind == 0:
-                    refers_to = top
+                    refers_to = str(top), html or ""
                     continue
                 name = "" if page_id is None else str(page_id)
                 if out is None:
                     out, first = Archive(root, TaskContext.get().partitionId()), (key, name)
                 payload = (html or "").encode()
-                out.add(key, name, record(name, url or "", payload, digest(payload), None if refers_to is None else str(refers_to)))
+                out.add(key, name, record(name, url or "", payload, digest(payload), refers_to, date, n))
+                n += 1
         if out is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (*first, out.close())], ["key", "page_id", "name"])
 
