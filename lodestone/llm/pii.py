@@ -73,7 +73,7 @@ PATTERNS = [
     ("iban", rf"(?=[A-Z]){_BEFORE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_L}{_N}])"),
     ("card", rf"(?=[0-9]){_BEFORE}\d(?:[ \-]?\d){{12,18}}(?![{_L}{_N}])"),
     ("secret", rf"(?=[0-9a-gA-GsS]){_BEFORE}(?i:[0-9a-f]{{32,128}}|AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20,64}})(?![{_L}{_N}])"),
-    ("name", rf"(?=[{_FIRST}]){_BEFORE}(?:{_TITLE})\.? {_NAME}(?:-{_NAME}){{0,{HYPHENS}}}(?: {_NAME}(?:-{_NAME}){{0,{HYPHENS}}}){{0,2}}(?![{_L}{_N}])"),
+    ("name", rf"(?=[{_FIRST}]){_BEFORE}(?:{_TITLE})\.? {_NAME}(?:-{_NAME}){{0,{HYPHENS}}}(?: (?!(?:{_TITLE})\.? ){_NAME}(?:-{_NAME}){{0,{HYPHENS}}}){{0,2}}(?![{_L}{_N}])"),
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: Every entity holds a digit or an @, or follows a title, or a secret's name.
