@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blockmax
+
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -28,14 +32,20 @@ def _idf_raw(n: Column, d: Column) -> Column:
 
 
 def index(docs: DataFrame, id_col: str, text: str, stop: list[str] | None = None, toks: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Postings with document length, idf of each term (negative ones at floor times the mean of all), and corpus figures as one row."""
-    tf = postings(tokens(docs, id_col, text, stop) if toks is None else toks)
-    length = tf.groupBy("id").agg(F.sum("f").alias("dl"))
-    nd = docs.agg(F.count(F.lit(1)).alias("nd"))
-    total = length.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
-    figures = nd.crossJoin(F.broadcast(total)).select("nd", "total", (F.col("total") / F.col("nd")).alias("avgdl"))  # one row each
-    df = tf.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    return {"tf": tf, "length": length, "figures": figures, "df": df}
+    """Documents as token lists (id, toks), document frequencies of terms (t, df) and corpus figures as one row; postings (tf) and lengths for those who need them.
+
+    Ids are unique.  Only different terms of a document are shuffled for the frequencies, added up in the tasks first.  ``toks`` (id, t): tokens made elsewhere."""
+    if toks is None:
+        lists = docs.select(F.col(id_col).alias("id"), token_array(F.col(text)).alias("toks"))
+        lists = lists.withColumn("toks", F.filter("toks", lambda t: ~t.isin(stop))) if stop else lists
+    else:
+        lists = docs.select(F.col(id_col).alias("id")).join(toks.groupBy("id").agg(F.collect_list("t").alias("toks")), "id", "left")  # a document's own tokens
+    tf = postings(lists.select("id", F.explode("toks").alias("t")))
+    length = lists.where(F.size("toks") > 0).select("id", F.size("toks").cast("long").alias("dl"))
+    size = F.coalesce(F.sum(F.greatest(F.size("toks"), F.lit(0))), F.lit(0))
+    figures = lists.agg(F.count(F.lit(1)).alias("nd"), size.cast("long").alias("total")).select("nd", "total", (F.col("total") / F.col("nd")).alias("avgdl"))
+    df = lists.select(F.explode(F.array_distinct("toks")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    return {"docs": lists, "tf": tf, "length": length, "figures": figures, "df": df}
 
 
 def idf(ix: dict[str, DataFrame], floor: float = 0.25) -> DataFrame:
@@ -65,12 +75,13 @@ def bm25_self(ix: dict[str, DataFrame], queries: DataFrame, k1: float = 1.5, b:
 
 
 def bm25_leave_one_out(ix: dict[str, DataFrame], members: DataFrame, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
-    """(q, id, score) for queries that are documents of the index (``members``: q), each left out of the statistics it is scored by.
+    """Queries for ``blockmax.top`` of documents of the index (``members``: q), each left out of the statistics it is scored by.
 
     The index is built once.  What changes without q is algebra: one document and its tokens less, document frequencies of its terms less one, and the mean
     of raw idfs over the vocabulary, which depends on frequencies only through how many terms have each frequency."""
     one = F.broadcast(ix["figures"])
-    own = ix["tf"].join(members.select(F.col("q").alias("id")).distinct(), "id").select(F.col("id").alias("q"), "t", F.col("f").alias("c"))
+    mine = ix["docs"].join(members.select(F.col("q").alias("id")).distinct(), "id", "left_semi")
+    own = postings(mine.select("id", F.explode("toks").alias("t"))).select(F.col("id").alias("q"), "t", F.col("f").alias("c"))
     own = own.join(ix["df"], "t")
     spectrum = ix["df"].groupBy("df").agg(F.count(F.lit(1)).alias("h"))
     vocabulary = spectrum.crossJoin(one).agg(F.sum(F.col("h") * _idf_raw(F.col("nd") - 1, F.col("df"))).alias("all"), F.sum("h").alias("v"))
@@ -84,8 +95,17 @@ def bm25_leave_one_out(ix: dict[str, DataFrame], members: DataFrame, k1: float =
     terms = own.where("df > 1").join(change, "q")
     raw = _idf_raw(F.col("n1"), F.col("df") - 1)
     terms = terms.select("q", "t", "c", "avgdl", F.when(raw < 0, F.lit(floor) * F.col("mean")).otherwise(raw).alias("w"))
-    hits = ix["tf"].join(terms, "t").where("id <> q").join(ix["length"], "id")
-    return hits.groupBy("q", "id").agg(F.sum(F.col("c") * bm25_weight(F.col("w"), F.col("f"), F.col("dl"), F.col("avgdl"), k1, b)).alias("score"))
+    given = terms.groupBy("q").agg(F.first("avgdl").alias("avgdl"), F.collect_list(F.struct("t", (F.col("c") * F.col("w")).alias("w"))).alias("terms"))
+    out = members.select("q").distinct().join(given, "q", "left")
+    return out.select("q", F.lit(0).alias("s"), F.lit(k1).alias("k1"), F.lit(b).alias("b"), "avgdl", "terms")
+
+
+def bm25_queries(ix: dict[str, DataFrame], queries: DataFrame, items: DataFrame, settings: list[tuple[float, float]] = ((1.5, 0.75),), floor: float = 0.25) -> DataFrame:
+    """Queries for ``blockmax.top``: ``items`` (q) with terms ``queries`` (q, t, c), once for each of ``settings`` (k1, b), numbered from 0; items without terms have none."""
+    terms = queries.join(idf(ix, floor), "t").groupBy("q").agg(F.collect_list(F.struct("t", (F.col("c") * F.col("w")).alias("w"))).alias("terms"))  # a query's own terms
+    out = items.select("q").distinct().join(terms, "q", "left").crossJoin(F.broadcast(ix["figures"].select("avgdl")))  # one row
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b")) for i, (k1, b) in enumerate(settings)]))
+    return out.select("q", "avgdl", "terms", each.alias("x")).select("q", "x.s", "x.k1", "x.b", "avgdl", "terms")
 
 
 def rank(scores: DataFrame, k: int | None = None, digits: int = 6, by: tuple[str, ...] = ("q",)) -> DataFrame:
@@ -196,12 +216,6 @@ def with_zeros(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int, o
     return scores.select("q", "id", "score").unionByName(fill.select("q", "id", F.lit(0.0).alias("score")))
 
 
-def rank_all(scores: DataFrame, queries: DataFrame, docs: DataFrame, digits: int = 6) -> DataFrame:
-    """(q, id, score, rank) of every document for every query; those without a score have 0.  For fusions, which need ranks over whole lists."""
-    every = docs.select("id").crossJoin(queries.select("q").distinct()).join(scores.select("q", "id", "score"), ["q", "id"], "left")
-    return rank(every.withColumn("score", F.coalesce("score", F.lit(0.0))), digits=digits)
-
-
 def reciprocal_rank_fusion(runs: list[DataFrame], c: int = 60) -> DataFrame:
     """(q, id, score) of runs (q, id, rank): the sum of 1 / (c + rank); a side without the id adds nothing."""
     every = [r.select("q", "id", (F.lit(1.0) / (F.lit(c) + F.col("rank"))).alias("s")) for r in runs]
@@ -211,6 +225,38 @@ def reciprocal_rank_fusion(runs: list[DataFrame], c: int = 60) -> DataFrame:
     return out.groupBy("q", "id").agg(F.sum("s").alias("score"))
 
 
+def fusion_depth(k: int, runs: int = 2, c: int = 60) -> int:
+    """From how many places of each of ``runs`` full rankings the first ``k`` of their fusion come.
+
+    The first k of one ranking have 1 / (c + k) at least, so k documents do; one beyond the depth in all rankings has runs / (c + depth + 1) at most, which is less."""
+    return runs * (c + k) - c
+
+
+def fused(docs: list[DataFrame], queries: list[DataFrame], k: int, c: int = 60) -> DataFrame:
+    """(q, id, score) of all documents that can be among the first ``k`` of the fusion of full rankings, by scorers (documents, queries) as ``blockmax.top`` takes them.
+
+    A threshold algorithm whose stop is known beforehand: the first ``fusion_depth`` places of each ranking are the candidates, and what they are worth elsewhere are their places there, counted
+    without a ranking."""
+    depth = fusion_depth(k, len(docs), c)
+    firsts = [blockmax.top(d, q, depth).select("q", "id", "rank") for d, q in zip(docs, queries, strict=True)]
+    candidates = firsts[0].select("q", "id")
+    for f in firsts[1:]:
+        candidates = candidates.unionByName(f.select("q", "id"))
+    candidates = held(candidates.distinct())
+    return reciprocal_rank_fusion([blockmax.ranks(d, q, candidates) for d, q in zip(docs, queries, strict=True)], c)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """``df`` made once, in the folder of ``spark.checkpoint.dir``; a local session that names none gets a temporary one."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestone-"))
+    return df.checkpoint()
+
+
 def min_max(scores: DataFrame) -> DataFrame:
     """Adds norm: the score on [0, 1] within its query, 1 where all are equal."""
     w = Window.partitionBy("q")
@@ -235,55 +281,56 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
     return pool.where("pick is not null").select("q", "id", "pick")
 
 
-def span(scores: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(q, lo, hi, n): the least and the largest score of each query over all documents (id), of which those without a row in ``scores`` have 0, and how many documents there are."""
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    s = queries.select("q").distinct().join(scores.groupBy("q").agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count(F.lit(1)).alias("k")), "q", "left").crossJoin(F.broadcast(n))
-    zero, at = F.coalesce("k", F.lit(0)) < F.col("n"), lambda c: F.coalesce(c, F.lit(0.0))
-    return s.select("q", F.when(zero, F.least(at("lo"), F.lit(0.0))).otherwise(F.col("lo")).alias("lo"), F.when(zero, F.greatest(at("hi"), F.lit(0.0))).otherwise(F.col("hi")).alias("hi"), "n")
-
-
 def _greedy(k: int, weight: float):
-    """The first places of one query -> its picks among them, each with its value."""
+    """The first places of one query -> its picks among them, each with its value.  Word sets are sorted 64-bit hashes; the likeness of all with a pick comes from one merge."""
 
     def run(t):
+        import numpy as np
         import pyarrow as pa
 
-        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("rank", "id", "rel")), (set(x or ()) for x in t.column("toks").to_pylist()), strict=True), key=lambda r: r[0])
-        most, out, free = [0.0] * len(rows), [], set(range(len(rows)))
-        while free and len(out) < k:
-            i = min(free, key=lambda j: (-round(weight * rows[j][2] - (1 - weight) * most[j], 9), rows[j][0]))
-            out.append((rows[i][1], len(out) + 1, round(weight * rows[i][2] - (1 - weight) * most[i], 9)))
-            free.remove(i)
-            for j in free:
-                if union := len(rows[j][3] | rows[i][3]):
-                    most[j] = max(most[j], len(rows[j][3] & rows[i][3]) / union)
-        q = t.column("q")[: len(out)]
-        last = [rows[-1][2]] * len(out)
-        ids, picks, values = zip(*out, strict=True)
-        return pa.table({"q": q, "id": pa.array(ids, t.column("id").type), "pick": pa.array(picks, pa.int32()), "value": pa.array(values), "last": pa.array(last, pa.float64())})
+        t = t.combine_chunks().sort_by("rank")
+        rel, words = t.column("rel").to_numpy(), t.column("words").combine_chunks()
+        words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
+        size = np.diff(words.offsets.to_numpy())
+        flat, row = words.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+        at = np.append(0, np.cumsum(size))
+        most, free, picks, values = np.zeros(len(rel)), np.ones(len(rel), bool), [], []
+        for _ in range(min(k, len(rel))):
+            value = np.where(free, np.round(weight * rel - (1 - weight) * most, 9), -np.inf)
+            i = int(value.argmax())
+            picks.append(i)
+            values.append(value[i])
+            free[i] = False
+            own = flat[at[i] : at[i + 1]]
+            place = np.minimum(np.searchsorted(own, flat), max(len(own) - 1, 0))
+            both = np.bincount(row, (own[place] == flat) if len(own) else np.zeros(len(flat)), len(size))
+            union = size + size[i] - both
+            most = np.maximum(most, np.divide(both, union, out=np.zeros(len(size)), where=union > 0))
+        n = len(picks)
+        return pa.table({"q": t.column("q")[:n], "id": t.column("id").take(pa.array(picks)), "pick": pa.array(range(1, n + 1), pa.int32()), "value": pa.array(values), "last": pa.array([float(rel[-1])] * n), "n": pa.array([len(rel)] * n, pa.int64())})
 
     return run
 
 
-def mmr_whole(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int, weight: float = 0.7, first: int = 200) -> DataFrame:
-    """(q, id, pick) as ``mmr``, chosen among all ``docs`` (id, toks) for each of ``queries`` (q); documents without a row in ``scores`` (q, id, score) score 0.
+def mmr_whole(docs: DataFrame, queries: DataFrame, k: int, weight: float = 0.7, firsts: tuple[int, ...] = (48, 480)) -> DataFrame:
+    """(q, id, pick) as ``mmr``, chosen among all ``docs`` (id, toks) for each of ``queries``, both as ``blockmax.top`` takes them.
 
-    Relevance is the score on [0, 1] within the whole ranking.  The picks among the ``first`` places are those of the whole ranking if weight * the relevance at the last of these places
-    is under the value of every pick, for no later document can be worth more.  Queries for which it isn't go through all documents."""
-    scores = scores.withColumn("score", F.round("score", 6))
-    top = rank(with_zeros(scores, queries, docs, first), first).join(span(scores, queries, docs), "q")
+    Relevance is the score on [0, 1] within the whole ranking.  The picks among the first places are those of the whole ranking if weight * the relevance at the last of these places
+    is under the value of every pick, for no later document can be worth more.  Queries for which it isn't look at more places (``firsts``), and at last go through all documents."""
+    words = docs.select("id", F.array_sort(F.array_distinct(F.transform(F.coalesce("toks", F.array().cast("array<string>")), lambda t: F.xxhash64(t)))).alias("words"))
     rel = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")))
-    kinds = dict(top.dtypes)
-    picked = top.select("q", "id", "rank", rel.alias("rel"), "n").join(docs, "id").select("q", "id", "rank", "rel", "toks")
-    picked = picked.groupBy("q").applyInArrow(_greedy(k, weight), f"q {kinds['q']}, id {kinds['id']}, pick int, value double, last double").persist()  # k rows for each query
-    sure = picked.groupBy("q").agg((F.min("value") - weight * F.max("last") > 2e-9).alias("sure"), F.count(F.lit(1)).alias("k")).crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n"))))  # one row
-    sure = sure.where(F.col("sure") | (F.col("n") <= first)).select("q")
-    rest = queries.select("q").distinct().join(sure, "q", "left_anti")
-    if rest.isEmpty():
-        return picked.select("q", "id", "pick")
-    whole = _mmr_all(scores.join(rest, "q", "left_semi"), rest, docs, k, weight)
-    return picked.join(sure, "q", "left_semi").select("q", "id", "pick").unionByName(whole)
+    out, left = None, queries
+    for first in firsts:
+        top = blockmax.top(docs, left, first, spans=True).select("q", "id", "rank", rel.alias("rel")).join(words, "id")
+        kinds = dict(top.dtypes)
+        picked = held(top.groupBy("q").applyInArrow(_greedy(k, weight), f"q {kinds['q']}, id {kinds['id']}, pick int, value double, last double, n long"))  # k rows for each query
+        sure = picked.groupBy("q").agg(((F.min("value") - weight * F.max("last") > 2e-9) | (F.max("n") < first)).alias("sure")).where("sure").select("q")
+        done = picked.join(sure, "q", "left_semi").select("q", "id", "pick")
+        out = done if out is None else out.unionByName(done)
+        left = held(left.join(sure, "q", "left_anti"))
+        if left.isEmpty():
+            return out
+    return out.unionByName(_mmr_all(blockmax.scores(docs, left), left.select("q"), docs, k, weight))
 
 
 def _mmr_all(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int, weight: float) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import blockmax
 from ..operators import retrieval as R
 from ..sources.tables import dimension, table
 from .registry import query
@@ -58,13 +59,15 @@ def items(spark, d):
     return bench(spark, d).select(F.col("item_id").alias("q"))
 
 
-def best(spark, d, s, k):
-    """The first k of all documents, also of those that share no term with the query."""
-    return R.rank(R.with_zeros(s, items(spark, d), ids(spark, d), k), k)
+def bm25(spark, d):
+    """The documents and the items as queries, for ``blockmax``."""
+    index = ix(spark, d)
+    return index["docs"], R.bm25_queries(index, R.query_terms(bench(spark, d), "item_id", "text"), items(spark, d))
 
 
-def bm25_scores(spark, d):
-    return R.bm25(ix(spark, d), R.query_terms(bench(spark, d), "item_id", "text"))
+def best(spark, d, k, spans=False):
+    """The first k of all documents, also of those that share no term with the query."""
+    return blockmax.top(*bm25(spark, d), k, spans=spans).drop("s")
 
 
 @query("tokenize_counts", f"SELECT doc_id, coalesce(len({TOKENS}),0) n_tokens, coalesce(len(list_distinct({TOKENS})),0) n_distinct FROM documents")
@@ -87,7 +90,7 @@ def tokenize_stop(spark, d):
 
 @query("bm25_topk", f"{BM25} SELECT q item_id, id doc_id, score, rank FROM rk WHERE rank<=3")
 def bm25_topk(spark, d):
-    return best(spark, d, bm25_scores(spark, d), 3).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+    return best(spark, d, 3).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
 @query("bm25_score_norm", f"""{BM25}, qd AS (SELECT q, sum(c) dl FROM qt GROUP BY 1),
@@ -95,7 +98,7 @@ def bm25_topk(spark, d):
  SELECT q item_id, id doc_id, rank, CASE WHEN coalesce(self,0)=0 THEN 0.0 ELSE round(score/self,5) END score_norm FROM rk LEFT JOIN self USING(q) WHERE rank<=5""")
 def bm25_score_norm(spark, d):
     index, q = ix(spark, d), R.query_terms(bench(spark, d), "item_id", "text")
-    top = best(spark, d, R.bm25(index, q), 5).join(R.bm25_self(index, q), "q", "left")
+    top = blockmax.top(index["docs"], R.bm25_queries(index, q, items(spark, d)), 5).join(R.bm25_self(index, q), "q", "left")
     return top.select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.when(F.coalesce("self", F.lit(0.0)) == 0, 0.0).otherwise(F.round(F.col("score") / F.col("self"), 5)).alias("score_norm"))
 
 
@@ -108,16 +111,11 @@ LOO = f"""WITH {INDEX}, m AS (SELECT doc_id q FROM documents WHERE doc_id % 100
   FROM own JOIN rawq USING(q,t) JOIN mean USING(q) JOIN len USING(q) JOIN tf ON tf.t=own.t AND tf.id<>own.q JOIN dl ON dl.id=tf.id GROUP BY own.q, tf.id), {all_sql('SELECT q FROM m', extra='WHERE q<>id')}, {RANKED}"""
 
 
-def loo_scores(spark, d):
-    members = docs(spark, d).where("doc_id % 100 = 0").select(F.col("doc_id").alias("q"))
-    return R.bm25_leave_one_out(ix(spark, d), members)
-
-
 @query("loo_bm25", f"{LOO} SELECT q, id doc_id, score, rank FROM rk WHERE rank<=10")
 def loo_bm25(spark, d):
     """Leave-one-out ranking of the query set (ids divisible by 100) against all documents."""
-    members = ids(spark, d).where("id % 100 = 0").select(F.col("id").alias("q"))
-    return R.rank(R.with_zeros(loo_scores(spark, d), members, ids(spark, d), 10, own=False), 10).select("q", F.col("id").alias("doc_id"), "score", "rank")
+    index, members = ix(spark, d), ids(spark, d).where("id % 100 = 0").select(F.col("id").alias("q"))
+    return blockmax.top(index["docs"], R.bm25_leave_one_out(index, members), 10, own=False).select("q", F.col("id").alias("doc_id"), "score", "rank")
 
 
 GRID = [(k, b) for k in (0.9, 1.2, 1.5, 2.0) for b in (0.5, 0.75, 0.9)]
@@ -155,18 +153,13 @@ def _grid(spark, d, variants):
         known = t.select("t").distinct().withColumn("s", stem_column("t"))  # each different word is stemmed once
         return t.join(known, "t").select("id", F.col("s").alias("t"))
 
-    settings = dimension(spark, GRID, "k1 double, b double")  # twelve rows
-    every, good = ids(spark, d), table(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("g"))
+    settings = F.broadcast(dimension(spark, [(i, *x) for i, x in enumerate(GRID)], "s int, k1 double, b double"))  # twelve rows
+    good = table(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("g"))
     tops = None
     for stop, stem in variants:
         index = R.index(docs(spark, d), "doc_id", "text", toks=tokens(docs(spark, d), "doc_id", stop, stem))
         q = tokens(bench(spark, d), "item_id", stop, stem).groupBy(F.col("id").alias("q"), "t").agg(F.count(F.lit(1)).alias("c"))
-        hits = index["tf"].join(q.join(R.idf(index), "t"), "t").join(index["length"], "id").crossJoin(F.broadcast(index["figures"])).crossJoin(F.broadcast(settings))
-        s = hits.groupBy("k1", "b", "q", "id").agg(F.sum(F.col("c") * R.bm25_weight(F.col("w"), F.col("f"), F.col("dl"), F.col("avgdl"), F.col("k1"), F.col("b"))).alias("score"))
-        cell = F.struct("k1", "b", "q")
-        s = s.select(cell.alias("q"), "id", "score")
-        cells = items(spark, d).distinct().crossJoin(F.broadcast(settings)).select(cell.alias("q"))
-        top = R.rank(R.with_zeros(s, cells, every, 3), 3).select(F.lit(stop).alias("stop"), F.lit(stem).alias("stem"), "q.k1", "q.b", "q.q", "id", "rank")
+        top = blockmax.top(index["docs"], R.bm25_queries(index, q, items(spark, d), GRID), 3).join(settings, "s").select(F.lit(stop).alias("stop"), F.lit(stem).alias("stem"), "k1", "b", "q", "id", "rank")
         tops = top if tops is None else tops.unionByName(top)
     g = F.coalesce("g", F.lit(0)).cast("double")
     m = tops.join(good, "id", "left").groupBy("stop", "stem", "k1", "b", "q").agg(F.avg(F.when(F.col("rank") == 1, g)).alias("m1"), F.avg(g).alias("m3"))
@@ -205,8 +198,8 @@ def topk_tiebreak(spark, d):
 def exclude_ids(spark, d):
     """Exclusion before the cut."""
     bad = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
-    s, left = bm25_scores(spark, d).join(bad, "id", "left_anti"), ids(spark, d).join(bad, "id", "left_anti")
-    return R.rank(R.with_zeros(s, items(spark, d), left, 3), 3).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+    every, queries = bm25(spark, d)
+    return blockmax.top(every.join(bad, "id", "left_anti"), queries, 3).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
 def encode_sql(name, toks, by="id"):
@@ -220,27 +213,26 @@ RUN_B = f"""{QTOK}, {encode_sql('ev', 'tok')}, {encode_sql('eq', 'qtok')}, dot A
  rb AS (SELECT q, id, CAST(row_number() OVER (PARTITION BY q ORDER BY coalesce(dot.score,0.0) DESC, id) AS INTEGER) rank FROM (SELECT q, id FROM s) x LEFT JOIN dot USING(q,id))"""
 
 
-def dense_run(spark, d):
-    """(q, id, score): cosines of the encoded texts of items and documents."""
-    v = R.encode(R.tokens(docs(spark, d), "doc_id", "text"), "id")
-    return R.nearest(R.encode(R.tokens(bench(spark, d), "item_id", "text"), "id").select(F.col("id").alias("q"), "v"), v, own=True)
+def dense(spark, d):
+    """The encoded texts of documents and items, for ``blockmax``; those without words have no vector, and score 0."""
+    v = ids(spark, d).join(R.encode(R.tokens(docs(spark, d), "doc_id", "text"), "id"), "id", "left")
+    q = items(spark, d).distinct().join(R.encode(R.tokens(bench(spark, d), "item_id", "text"), "id").withColumnRenamed("id", "q"), "q", "left")
+    return v, q.select("q", F.lit(0).alias("s"), "v")
 
 
 @query("rrf_fusion", f"{BM25}, {RUN_B}, f AS (SELECT q, id, sum(1.0::DOUBLE/(60+rank)) score FROM (SELECT q,id,rank FROM rk UNION ALL SELECT q,id,rank FROM rb) GROUP BY ALL) SELECT q item_id, id doc_id, round(score,8) score, CAST(row_number() OVER (PARTITION BY q ORDER BY round(score,8) DESC, id) AS INTEGER) rank, round(score/(2.0::DOUBLE/61),8) score_norm FROM f QUALIFY rank<=10")
 def rrf_fusion(spark, d):
     """The hybrid of BM25 and vectors, by ranks over the full lists of both."""
-    q, every = items(spark, d), ids(spark, d)
-    fused = R.reciprocal_rank_fusion([R.rank_all(bm25_scores(spark, d), q, every), R.rank_all(dense_run(spark, d), q, every)])
-    norm = fused.withColumn("score_norm", F.round(F.col("score") / (2.0 / 61), 8))
+    (texts, asked), (vectors, meant) = bm25(spark, d), dense(spark, d)
+    norm = R.fused([texts, vectors], [asked, meant], 10).withColumn("score_norm", F.round(F.col("score") / (2.0 / 61), 8))
     return R.rank(norm, 10, 8).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank", "score_norm")
 
 
 @query("minmax_norm", f"{BM25} SELECT q item_id, id doc_id, rank, round(CASE WHEN max(score) OVER w=min(score) OVER w THEN 1.0 ELSE (score-min(score) OVER w)/(max(score) OVER w-min(score) OVER w) END,6) norm FROM rk WINDOW w AS (PARTITION BY q) QUALIFY rank<=10")
 def minmax_norm(spark, d):
     """The first ten, scaled by the least and the largest score of the whole ranking, documents of score 0 included."""
-    s = bm25_scores(spark, d).withColumn("score", F.round("score", 6))
     norm = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")))
-    return best(spark, d, s, 10).join(R.span(s, items(spark, d), ids(spark, d)), "q").select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.round(norm, 6).alias("norm"))
+    return best(spark, d, 10, spans=True).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.round(norm, 6).alias("norm"))
 
 
 @query("random_topk", "SELECT q item_id, id doc_id, 0.0::DOUBLE score, rank FROM (SELECT item_id q, doc_id id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY sha256(concat_ws('|','7',sha256(coalesce(b.text,'')),doc_id::VARCHAR)), doc_id) AS INTEGER) rank FROM benchmark b, documents) WHERE rank<=5")
@@ -286,8 +278,8 @@ def struct_bm25(spark, d):
     p = table(spark, d, "part")
     base = p.select("p_partkey", F.array_join(camel(F.concat("p_brand", F.regexp_replace("p_type", " ", ""))), " ").alias("text"))
     q = p.groupBy("p_size").agg(F.min("p_type").alias("text"))
-    s = R.bm25(R.index(base, "p_partkey", "text"), R.query_terms(q, "p_size", "text"))
-    s = R.rank(R.with_zeros(s, q.select(F.col("p_size").alias("q")), base.select(F.col("p_partkey").alias("id")), 3), 3)
+    index = R.index(base, "p_partkey", "text")
+    s = blockmax.top(index["docs"], R.bm25_queries(index, R.query_terms(q, "p_size", "text"), q.select(F.col("p_size").alias("q"))), 3)
     return s.select(F.col("q").alias("p_size"), F.col("id").alias("p_partkey"), "score", "rank")
 
 
@@ -301,8 +293,7 @@ def struct_bm25(spark, d):
  SELECT q item_id, id doc_id, 1 pick FROM p1 UNION ALL SELECT q, id, 2 FROM p2 UNION ALL SELECT q, id, 3 FROM p3""")
 def mmr_top3(spark, d):
     """Relevance is scaled over, and chosen among, the whole ranking."""
-    toks = docs(spark, d).select(F.col("doc_id").alias("id"), F.array_distinct(R.token_array(F.col("text"))).alias("toks"))
-    picks = R.mmr_whole(bm25_scores(spark, d), bench(spark, d).select(F.col("item_id").alias("q")), toks, 3)
+    picks = R.mmr_whole(*bm25(spark, d), 3)
     return picks.select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "pick")
 
 
@@ -315,19 +306,20 @@ CUES = [("license", "license|licence"), ("caps", "[A-Z]{4,}!!"), ("table", r"\|"
  SELECT q item_id, id doc_id, round(score,8) score, CAST(row_number() OVER (PARTITION BY q ORDER BY round(score,8) DESC, id) AS INTEGER) rank FROM f QUALIFY rank<=3""")
 def cue_boost(spark, d):
     """Fusion with a ranking by constructs, for queries that cue them; others keep the base ranking."""
-    base = R.rank_all(bm25_scores(spark, d), items(spark, d), ids(spark, d))
-    n = sum((F.col("text").rlike(p).cast("int") for _, p in CUES), F.lit(0))
-    cues = docs(spark, d).select(F.col("doc_id").alias("id"), n.alias("n"))
-    cued = bench(spark, d).where(F.octet_length("text") > 150).select(F.col("item_id").alias("q"))
-    second = R.rank(cued.distinct().crossJoin(cues).select("q", "id", F.coalesce(F.col("n").cast("double"), F.lit(0.0)).alias("score")))
-    return R.rank(R.reciprocal_rank_fusion([base, second]), 3, 8).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+    every, queries = bm25(spark, d)
+    n = F.coalesce(sum((F.col("text").rlike(p).cast("double") for _, p in CUES), F.lit(0.0)), F.lit(0.0))
+    # the cosine of (n, 1) with (1, 0) grows with n
+    cues = docs(spark, d).select(F.col("doc_id").alias("id"), F.array(n, F.lit(1.0)).alias("v"))
+    cued = bench(spark, d).where(F.octet_length("text") > 150).select(F.col("item_id").alias("q")).distinct().select("q", F.lit(0).alias("s"), F.array(F.lit(1.0), F.lit(0.0)).alias("v"))
+    return R.rank(R.fused([every, cues], [queries, cued], 3), 3, 8).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
 @query("quality_weighted", f"{BM25}, w AS (SELECT q, id, round(score*(CASE WHEN quality IS NULL THEN 0.5 ELSE quality END),6) score FROM s LEFT JOIN labels ON doc_id=id) SELECT q item_id, id doc_id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS INTEGER) rank FROM w QUALIFY rank<=3")
 def quality_weighted(spark, d):
     lab = table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality")
-    s = bm25_scores(spark, d).withColumn("score", F.round("score", 6)).join(lab, "id", "left")
-    return best(spark, d, s.select("q", "id", (F.col("score") * F.coalesce(F.col("quality").cast("double"), F.lit(0.5))).alias("score")), 3).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+    every, queries = bm25(spark, d)
+    weighted = every.join(lab, "id", "left").select("id", "toks", F.coalesce(F.col("quality").cast("double"), F.lit(0.5)).alias("factor"))
+    return blockmax.top(weighted, queries, 3).select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
 PROFILE = """WITH e AS (SELECT l_suppkey id, l_returnflag k, count(*) n FROM lineitem GROUP BY ALL), z AS (SELECT id, sum(n) tot FROM e GROUP BY 1),
@@ -389,7 +381,7 @@ def oracle_at_k(spark, d):
 
 @query("hubness", f"{BM25}, f AS (SELECT id, count(*) FILTER (rank=1) n1, count(*) FILTER (rank<=3) n3 FROM rk GROUP BY 1), a AS (SELECT doc_id, coalesce(n1,0) n1, coalesce(n3,0) n3 FROM documents LEFT JOIN f ON id=doc_id) SELECT count(*) FILTER (n1>0) distinct_top1, count(*) FILTER (n3>0) distinct_top3, count(*) FILTER (n3=0) never, arg_min(doc_id,(-n3,doc_id)) hub, max(n3) hub_n, arg_min(doc_id,(-n1,doc_id)) hub1, max(n1) hub1_n FROM a")
 def hubness(spark, d):
-    n = best(spark, d, bm25_scores(spark, d), 3).groupBy(F.col("id").alias("doc_id")).agg(F.count_if(F.col("rank") == 1).alias("n1"), F.count(F.lit(1)).alias("n3"))
+    n = best(spark, d, 3).groupBy(F.col("id").alias("doc_id")).agg(F.count_if(F.col("rank") == 1).alias("n1"), F.count(F.lit(1)).alias("n3"))
     a = docs(spark, d).select("doc_id").join(n, "doc_id", "left").na.fill(0)
     hub = lambda c: F.min_by("doc_id", F.struct(-F.col(c), "doc_id"))
     return a.agg(F.count_if(F.col("n1") > 0).alias("distinct_top1"), F.count_if(F.col("n3") > 0).alias("distinct_top3"), F.count_if(F.col("n3") == 0).alias("never"), hub("n3").alias("hub"), F.max("n3").alias("hub_n"), hub("n1").alias("hub1"), F.max("n1").alias("hub1_n"))
@@ -398,8 +390,8 @@ def hubness(spark, d):
 @query("topk_overlap", f"{BM25}, {RUN_B}, o AS (SELECT a.q, count(b.id) n, bool_or(a.rank=1 AND b.rank=1) same1 FROM (SELECT * FROM rk WHERE rank<=3) a LEFT JOIN (SELECT * FROM rb WHERE rank<=3) b ON a.q=b.q AND a.id=b.id GROUP BY 1) SELECT q item_id, n overlap, round(n/3.0,6) share, coalesce(same1,false) same_top1 FROM o")
 def topk_overlap(spark, d):
     """What the first three of BM25 and of the vectors have in common."""
-    a = best(spark, d, bm25_scores(spark, d), 3)
-    b = best(spark, d, dense_run(spark, d), 3).select("q", "id", F.col("rank").alias("rank_b"))
+    a = best(spark, d, 3)
+    b = blockmax.top(*dense(spark, d), 3).select("q", "id", F.col("rank").alias("rank_b"))
     j = a.join(b, ["q", "id"], "left").groupBy("q").agg(F.count("rank_b").alias("overlap"), F.coalesce(F.bool_or((F.col("rank") == 1) & (F.col("rank_b") == 1)), F.lit(False)).alias("same_top1"))
     return j.select(F.col("q").alias("item_id"), "overlap", F.round(F.col("overlap") / 3.0, 6).alias("share"), "same_top1")
 
@@ -407,8 +399,8 @@ def topk_overlap(spark, d):
 @query("tie_report", f"{BM25}, l AS (SELECT *, lead(score) OVER (PARTITION BY q ORDER BY rank) nxt FROM rk) SELECT q item_id, count(*) FILTER (rank<3 AND score=nxt) inside, coalesce(bool_or(rank=3 AND score=nxt),false) boundary, count(DISTINCT score) distinct_scores FROM l GROUP BY 1")
 def tie_report(spark, d):
     """Ties inside the first three and at their edge, and how many scores the whole ranking has."""
-    s = bm25_scores(spark, d).withColumn("score", F.round("score", 6))
-    r = best(spark, d, s, 4).withColumn("nxt", F.lead("score").over(Window.partitionBy("q").orderBy("rank")))
+    s = blockmax.scores(*bm25(spark, d))
+    r = best(spark, d, 4).withColumn("nxt", F.lead("score").over(Window.partitionBy("q").orderBy("rank")))
     tie = F.col("score") == F.col("nxt")
     top = r.groupBy("q").agg(F.count_if((F.col("rank") < 3) & tie).alias("inside"), F.coalesce(F.bool_or((F.col("rank") == 3) & tie), F.lit(False)).alias("boundary"))
     nd = ids(spark, d).agg(F.count(F.lit(1)).alias("nd"))
