@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
 import re
-from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,35 +33,6 @@ def balanced(text: str) -> list[str]:
     return out
 
 
-def _decodes(x: str) -> bool:
-    try:
-        json.loads(x)
-    except ValueError:
-        return False
-    return True
-
-
-FENCE = re.compile(r"```[ \t]*(?:json|JSON)?[ \t]*\n(.*?)```", re.S)
-
-
-def extract(text: str | None) -> tuple[str | None, str, bool]:
-    """(JSON, how it was found, whether other text stands beside it): the whole text; else the first fenced block that decodes, or the first one; else the longest {...} that decodes, or the longest."""
-    text = text or ""
-    whole = text.strip()
-    if whole.startswith("{") and whole.endswith("}") and _decodes(whole):
-        return whole, "raw", False
-    blocks = [x.strip() for x in FENCE.findall(text)]
-    if blocks:
-        return next((x for x in blocks if _decodes(x)), blocks[0]), "fence", True
-    parts = balanced(text)
-    if not parts:
-        return None, "", bool(whole)
-    best = next((x for x in sorted(parts, key=len, reverse=True) if _decodes(x)), None)
-    if best is None and (longest := max(parts, key=len)) == whole:
-        return longest, "raw", False
-    return best or max(parts, key=len), "braces", True
-
-
 KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
@@ -111,121 +80,12 @@ def schema_errors(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
-_PART = {"type": "object", "required": ["id", "name"], "properties": {"id": {"type": "string"}, "name": {"type": "string"}}}
-DIAGRAM_SCHEMA = {
-    "type": "object", "required": ["version", "type", "nodes", "edges"],
-    "properties": {
-        "version": {"type": "string"}, "type": {"type": "string"}, "nodes": {"type": "array", "items": {"$ref": "#/$defs/node"}}, "edges": {"type": "array", "items": {"$ref": "#/$defs/edge"}},
-    },
-    "$defs": {
-        "part": _PART, "parts": {"type": "array", "items": {"$ref": "#/$defs/part"}},
-        "node": {"type": "object", "required": ["id", "data"], "properties": {"id": {"type": "string"}, "data": {"type": "object", "required": ["name"], "properties": {"name": {"type": "string"}, "attributes": {"$ref": "#/$defs/parts"}, "methods": {"$ref": "#/$defs/parts"}}}}},
-        "edge": {"type": "object", "required": ["id", "source", "target", "data"], "properties": {"id": {"type": "string"}, "source": {"type": "string"}, "target": {"type": "string"}, "data": {"type": "object"}}},
-    },
-}
-# Multiplicities that may be written anew before the style is judged.
-REWRITTEN = {"1..n": "1..*", "0..n": "0..*", "n": "*"}
-METHOD = re.compile(r"^([A-Za-z_]\w*)\s*\((.*)\)\s*(?::\s*(\S.*?))?\s*$")
-
-
-def integrity_errors(diagram: dict) -> list[str]:
-    """Ids that occur twice, and ends of edges that no node has."""
-    nodes = [n["id"] for n in diagram["nodes"]]
-    parts = [m["id"] for n in diagram["nodes"] for k in ("attributes", "methods") for m in n["data"].get(k, [])]
-    every = Counter([*nodes, *parts, *(e["id"] for e in diagram["edges"])])
-    out = [f"{i}: twice" for i, k in sorted(every.items()) if k > 1]
-    return out + [f"{e['id']}: {end} {e[end]} unknown" for e in diagram["edges"] for end in ("source", "target") if e[end] not in set(nodes)]
-
-
-def rewrite(diagram: dict) -> tuple[dict, dict[str, int]]:
-    """A copy with the two allowed rewritings made, and how often: methods without "+ ", and n in multiplicities."""
-    out, n = json.loads(json.dumps(diagram)), Counter()
-    for m in (m for x in out["nodes"] for m in x["data"].get("methods", [])):
-        if not m["name"].startswith("+ ") and (hit := METHOD.match(m["name"])):
-            m["name"] = f"+ {hit[1]}({hit[2]})" + (f" : {hit[3]}" if hit[3] else "")
-            n["method"] += 1
-    for e in out["edges"]:
-        for k in ("sourceMultiplicity", "targetMultiplicity"):
-            if (v := e["data"].get(k)) in REWRITTEN:
-                e["data"][k] = REWRITTEN[v]
-                n["multiplicity"] += 1
-    return out, dict(n)
-
-
-PRIMITIVE = {"int", "string", "boolean", "double", "float", "date", "time", "datetime", "long", "void"}
-
-
-def style_errors(diagram: dict) -> list[str]:
-    """Attributes as "+ name : type" with a simple or declared type, values of enumerations bare, methods as "+ name(...)", no n in multiplicities."""
-    names, out = {n["data"]["name"] for n in diagram["nodes"]}, []
-    for n in diagram["nodes"]:
-        listing = n["data"].get("stereotype") == "enumeration"
-        for a in (a["name"] for a in n["data"].get("attributes", [])):
-            if listing:
-                out += ["enum value"] * (a.startswith("+ ") or " : " in a)
-            elif not a.startswith("+ "):
-                out.append("attribute form")
-            else:
-                typ = a[2:].split(" = ", 1)[0].partition(" : ")[2]
-                out += ["attribute type"] * (typ != "" and typ.removesuffix("[]") not in PRIMITIVE | names)
-        out += ["method form" for m in n["data"].get("methods", []) if not (m["name"].startswith("+ ") and "(" in m["name"] and ")" in m["name"])]
-    bad = re.compile(r"^(.*\.\.)?[nN]$")
-    return out + ["multiplicity" for e in diagram["edges"] for k in ("sourceMultiplicity", "targetMultiplicity") if bad.match(e["data"].get(k, ""))]
-
-
-def layout(diagram: dict, width: int = 1600, height: int = 780) -> dict[str, int]:
-    """Boxes outside the canvas, and boxes whose size isn't the measured one."""
-    boxes = [n for n in diagram["nodes"] if {"position", "width", "height"} <= n.keys()]
-    outside = sum(n["position"]["x"] < 0 or n["position"]["y"] < 0 or n["position"]["x"] + n["width"] > width or n["position"]["y"] + n["height"] > height for n in boxes)
-    return {"outside": outside, "mismatch": sum((n["width"], n["height"]) != (n.get("measured", {}).get("width"), n.get("measured", {}).get("height")) for n in boxes)}
-
-
-SCHEMA = inline(DIAGRAM_SCHEMA)
-
-
-def validate(text: str | None, cut_off: bool) -> dict:
-    """Level reached by a response without reasoning (-1 none, 0 found, 1 an object, 2 schema, 3 integrity, 4 style), the failure that stops it, and diagnostics beside the levels."""
-    found, how, extra = extract(text)
-    out = {"level": -1, "failure": "", "extraction": how, "extra_text": extra, "rewrites": 0, "outside": 0}
-    if found is None:
-        return out | {"failure": "truncated" if cut_off else "incomplete_json" if "{" in (text or "") else "no_json"}
-    try:
-        diagram = json.loads(found)
-    except ValueError:
-        return out | {"level": 0, "failure": "truncated" if cut_off else "invalid_json"}
-    if not isinstance(diagram, dict):
-        return out | {"level": 0, "failure": "not_object"}
-    if schema_errors(diagram, SCHEMA):
-        return out | {"level": 1, "failure": "schema"}
-    out["outside"] = layout(diagram)["outside"]
-    if integrity_errors(diagram):
-        return out | {"level": 2, "failure": "integrity"}
-    made, n = rewrite(diagram)
-    return out | {"rewrites": sum(n.values())} | ({"level": 3, "failure": "style"} if style_errors(made) else {"level": 4})
-
-
-def levels(text: str, cut_off: str) -> Column:
-    @F.pandas_udf("struct<level:int,failure:string,extraction:string,extra_text:boolean,rewrites:int,outside:int>")
-    def run(t: pd.Series, c: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([validate(x, bool(y)) for x, y in zip(t, c, strict=True)], columns=["level", "failure", "extraction", "extra_text", "rewrites", "outside"])
-
-    return run(F.col(text), F.col(cut_off))
-
-
-def braces(col: str) -> Column:
+def braces(text: Column) -> Column:
     @F.pandas_udf("array<string>")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: balanced(t or ""))
 
-    return run(F.col(col))
-
-
-def json_of(col: str) -> Column:
-    @F.pandas_udf("struct<json:string,method:string,extra:boolean>")
-    def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([extract(x) for x in s], columns=["json", "method", "extra"])
-
-    return run(F.col(col))
+    return run(text)
 
 
 def apply_script(names: list[str], script: list[tuple[str, str, str]]) -> tuple[list[str], str]:

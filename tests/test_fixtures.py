@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import responses as A
 from lodestone.functions import scan
 from lodestone.functions import text as X
 from lodestone.functions.stem import stem
@@ -286,15 +287,25 @@ def test_notations(spark):
 
 def test_scanners():
     assert scan.balanced('x {"p":"{"} y {"q":[{"r":0}]} {"s"') == ['{"p":"{"}', '{"q":[{"r":0}]}']
-    assert scan.extract(' {"p":1}\n') == ('{"p":1}', "raw", False) and scan.extract("") == (None, "", False) and scan.extract("words") == (None, "", True)
-    assert scan.extract('say ```\nnope\n``` and ```JSON\n[2]\n``` {"longer":"object"}') == ("[2]", "fence", True)
-    assert scan.extract("say ```\nnope\n```") == ("nope", "fence", True) and scan.extract('{bad} {"ok":1} {worse here}') == ('{"ok":1}', "braces", True) and scan.extract("{bad one}") == ("{bad one}", "raw", False)
     assert scan.apply_script(["m", "n"], [("rename", "n", "o"), ("add", "p", ""), ("move_first", "p", ""), ("suffix", "z", "_")]) == (["p", "m", "o"], "suffix: z not found")
     schema = scan.inline({"type": "object", "required": ["k"], "properties": {"k": {"$ref": "#/$defs/n"}}, "additionalProperties": False, "$defs": {"n": {"type": "array", "items": {"type": "integer", "minimum": 2}}}})
     assert scan.schema_errors({"k": [2, 3.0]}, schema) == [] and scan.schema_errors({"k": [1, "x"], "l": 0}, schema) == ["$.k[0]: too small", "$.k[1]: not integer", "$.l: unknown"] and scan.schema_errors({}, schema) == ["$.k: missing"]
     assert scan.schema_errors(True, {"type": ["integer", "string"]}) == ["$: not integer or string"] and scan.schema_errors("ab", {"enum": ["a"], "pattern": "^b"}) == ["$: value not allowed", "$: pattern"]
 
 
+def test_json_of_responses(spark):
+    cases = {
+        ' {"p":1}\n': ('{"p":1}', "raw", False), "": (None, "", False), "words": (None, "", True), 'say ```\nnope\n``` and ```JSON\n[2]\n``` {"longer":"object"}': ("[2]", "fence", True), "say ```\nnope\n```": ("nope", "fence", True),
+        '{bad} {"ok":1} {worse here}': ('{"ok":1}', "braces", True), "{bad one}": ("{bad one}", "raw", False), '{"a":1} {"b":22}': ('{"b":22}', "braces", True), "```json\n[1] tail\n```": ("[1] tail", "fence", True), None: (None, "", False),
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string")
+    got = {r.i: (r.x.json, r.x.method, r.x.extra) for r in df.select("i", A.json_of(F.col("t")).alias("x")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    values = {"1": True, "[1]": True, "[1] x": False, "1, 2": False, "": False, "1] , [2": False, '1}, {"k":2': False, '"a"': True, "nope": False, '{"a":[]}': True}
+    df = spark.createDataFrame([(x,) for x in values], "x string")
+    assert {r.x: r.ok for r in df.select("x", A.decodes(F.col("x")).alias("ok")).collect()} == values
+
+
 def test_files(spark, tmp_path):
     from lodestone.sources import tables as T
 
