@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import selection
 from ..operators import stats as S
 from ..sources.tables import dimension, table
 from .registry import query
@@ -30,20 +31,22 @@ def means(spark, d):
 
 @query("latency_stats", "SELECT event_type, round(avg(value),4) mean, round(median(value),4) median, min(value) low, max(value) high, round(stddev_samp(value),4) sd FROM events GROUP BY 1")
 def latency_stats(spark, d):
-    v = F.col("value")
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg(v), 4).alias("mean"), F.round(F.median(v), 4).alias("median"), F.min(v).alias("low"), F.max(v).alias("high"), F.round(F.stddev_samp(v), 4).alias("sd"))
+    v, e = F.col("value"), table(spark, d, "events")
+    half = selection.quantiles(e, ["event_type"], "value", [0.5]).select("event_type", F.round(F.col("q")[0], 4).alias("median"))
+    rest = e.groupBy("event_type").agg(F.round(F.avg(v), 4).alias("mean"), F.min(v).alias("low"), F.max(v).alias("high"), F.round(F.stddev_samp(v), 4).alias("sd"))
+    return rest.join(half, "event_type", "left").select("event_type", "mean", "median", "low", "high", "sd")
 
 
 @query("describe5", "SELECT event_type, round(min(value),4) q0, round(quantile_cont(value,0.25),4) q1, round(quantile_cont(value,0.5),4) q2, round(quantile_cont(value,0.75),4) q3, round(max(value),4) q4 FROM events GROUP BY 1")
 def describe5(spark, d):
-    q = table(spark, d, "events").groupBy("event_type").agg(F.percentile("value", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("q"))
+    q = selection.quantiles(table(spark, d, "events"), ["event_type"], "value", [0, 0.25, 0.5, 0.75, 1])
     return q.select("event_type", *[F.round(F.col("q")[k], 4).alias(f"q{k}") for k in range(5)])
 
 
 @query("tertile_bands", f"WITH {T}, q AS (SELECT c, quantile_cont(s,1.0/3) t1, quantile_cont(s,2.0/3) t2 FROM T GROUP BY 1) SELECT T.c, CASE WHEN s<round(t1,6) THEN 'low' WHEN s<round(t2,6) THEN 'mid' ELSE 'high' END band, count(*) n FROM T JOIN q ON q.c=T.c GROUP BY ALL")
 def tertile_bands(spark, d):
     t = scores(spark, d)
-    q = t.groupBy("c").agg(F.percentile("s", F.lit(1.0 / 3)).alias("t1"), F.percentile("s", F.lit(2.0 / 3)).alias("t2"))
+    q = selection.quantiles(t, ["c"], "s", [1 / 3, 2 / 3]).select("c", F.col("q")[0].alias("t1"), F.col("q")[1].alias("t2"))
     band = F.when(F.col("s") < F.round("t1", 6), "low").when(F.col("s") < F.round("t2", 6), "mid").otherwise("high")
     return t.join(q, "c").groupBy("c", band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -131,16 +134,15 @@ def paired_tests(spark, d):
     return j.select("a", "b", "n", F.round("mean", 6).alias("mean"), "w", F.round("p_w", 8).alias("p_w"), F.round("holm_w", 8).alias("holm_w"), F.round("t", 5).alias("t"), F.round("p_t", 8).alias("p_t"), F.round("holm_t", 8).alias("holm_t"), effect.alias("verdict"))
 
 
-@query("bootstrap_ci", f"""WITH {T}, n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY u)-1 i, count(*) OVER (PARTITION BY c) n FROM T), b AS (SELECT k, c, ('0x'||substr(sha256('0/'||k||'/'||c||'/'||i),1,8))::BIGINT % n j FROM n, range(0,1000) r(k)),
- m AS (SELECT b.c, k, round(avg(s),9) m FROM b JOIN n ON n.c=b.c AND n.i=b.j GROUP BY ALL) SELECT c, round(quantile_cont(m,0.025),5) low, round(quantile_cont(m,0.975),5) high FROM m GROUP BY 1""")
+_DRAW = "+".join(f"(x>={x})::INT" for x in selection.LIMITS)
+
+
+@query("bootstrap_ci", f"""WITH {T}, b AS (SELECT c, s, i, sha256('0/'||c||'/'||u||'/'||i) h FROM T, range(63) t(i)), w AS (SELECT c, k, s, {_DRAW} w FROM (SELECT c, s, i*16+j k, ('0x'||substr(h,4*j::INT+1,4))::INT x FROM b, range(16) r(j)) WHERE k<1000),
+ m AS (SELECT c, k, round(sum(w*s)/sum(w),9) m FROM w GROUP BY ALL) SELECT c, round(quantile_cont(m,0.025),5) low, round(quantile_cont(m,0.975),5) high FROM m GROUP BY 1""")
 def bootstrap_ci(spark, d):
-    """Percentile interval of the mean over 1000 replicates; draws come from a hash of seed, replicate and place."""
-    w = Window.partitionBy("c")
-    n = scores(spark, d).select("c", "s", (F.row_number().over(w.orderBy("u")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    draws = n.select("c", "i", "n", F.explode(F.sequence(F.lit(0), F.lit(999))).alias("k"))
-    h = F.conv(F.substring(F.sha2(F.concat_ws("/", F.lit("0"), F.col("k").cast("string"), "c", F.col("i").cast("string")), 256), 1, 8), 16, 10).cast("long")
-    m = draws.select("c", "k", (h % F.col("n")).cast("int").alias("i")).join(n.select("c", "i", "s"), ["c", "i"]).groupBy("c", "k").agg(F.round(F.avg("s"), 9).alias("m"))
-    return m.groupBy("c").agg(F.round(F.percentile("m", F.lit(0.025)), 5).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 5).alias("high"))
+    """Percentile interval of the mean over 1000 replicates, by weights that a hash draws."""
+    m = selection.bootstrap_means(scores(spark, d), "c", "u", "s").withColumn("m", F.round("m", 9))
+    return selection.quantiles(m, ["c"], "m", [0.025, 0.975]).select("c", F.round(F.col("q")[0], 5).alias("low"), F.round(F.col("q")[1], 5).alias("high"))
 
 
 @query("within_demean", f"WITH {T} SELECT u, c, round(s-avg(s) OVER (PARTITION BY u),8) x FROM T")
@@ -264,9 +266,11 @@ def eta_hours(spark, d):
 @query("progress_eta", "WITH e AS (SELECT user_id%10 run, count(*) FILTER (event_type<>'error') done, count(*)+7 expected, median(value) FILTER (event_type='purchase') m FROM events GROUP BY 1), g AS (SELECT median(value) m FROM events) SELECT run, done, expected, round((expected-done)*coalesce(e.m,g.m)/3600,5) hours_left FROM e, g")
 def progress_eta(spark, d):
     ev = table(spark, d, "events")
-    e = ev.groupBy((F.col("user_id") % 10).alias("run")).agg(F.count_if(F.col("event_type") != "error").alias("done"), (F.count(F.lit(1)) + 7).alias("expected"), F.median(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("m"))
-    g = ev.agg(F.median("value").alias("all_m"))
-    return e.crossJoin(F.broadcast(g)).select("run", "done", "expected", F.round((F.col("expected") - F.col("done")) * F.coalesce("m", "all_m") / 3600, 5).alias("hours_left"))
+    e = ev.groupBy((F.col("user_id") % 10).alias("run")).agg(F.count_if(F.col("event_type") != "error").alias("done"), (F.count(F.lit(1)) + 7).alias("expected"))
+    bought = ev.where("event_type = 'purchase'").select((F.col("user_id") % 10).alias("run"), "value")
+    m = selection.quantiles(bought, ["run"], "value", [0.5]).select("run", F.col("q")[0].alias("m"))
+    g = selection.quantiles(ev.select(F.lit(1).alias("one"), "value"), ["one"], "value", [0.5]).select(F.col("q")[0].alias("all_m"))  # one row
+    return e.join(m, "run", "left").crossJoin(F.broadcast(g)).select("run", "done", "expected", F.round((F.col("expected") - F.col("done")) * F.coalesce("m", "all_m") / 3600, 5).alias("hours_left"))
 
 
 @query("copy_loop", """WITH w AS (SELECT p_brand g, p_partkey%2=1 made, split_part(p_name,' ',1) a, split_part(p_name,' ',2) b FROM part), s AS (SELECT g, count(*) FILTER (made) edges, count(DISTINCT (a,b)) FILTER (made) pairs, coalesce(list_distinct(list(a) FILTER (made)),[]) names, coalesce(list_distinct(list(a) FILTER (NOT made)),[]) gold, coalesce(list_distinct(list(a) FILTER ((NOT made AND b='bolt') OR (made AND b='ring'))),[]) examples FROM w GROUP BY 1)
