@@ -214,6 +214,64 @@ def top(docs: DataFrame, queries: DataFrame, k: int, own: bool = True, digits: i
     return out.withColumns({c: F.col(c).cast(kinds[c]) for c in ("q", "id")})
 
 
+def next_picks(docs: DataFrame, queries: DataFrame, weight: float, digits: int = 6) -> DataFrame:
+    """(q, id, words): the next pick of each query by marginal relevance, among ``docs`` (id, toks, words: sorted hashes of the different words).
+
+    ``queries`` has besides its terms what is chosen (ids, sets) and the span lo, hi of its scores.  A document is worth weight * relevance - (1 - weight) * its largest Jaccard similarity with what is chosen; ties go
+    by (score descending, id).  Queries without a document left give no row."""
+    spark = queries.sparkSession
+    rows = docs.select(F.col("id").cast("long").alias("id"), "toks", "words")
+
+    def task(sent, extra):
+        def run(batches):
+            block, more = sent.value, extra.value
+            n = len(block.q)
+            best = [None] * n  # (-value, -score, id, words)
+            for b in batches:
+                if not b.num_rows or not n:
+                    continue
+                lists = b.column(2)
+                size = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat, edge = lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(size))
+                for ids, places, score, _ in term_blocks(block, b.select([0, 1]), False):
+                    got = half_up(score(np.arange(n)), digits)
+                    for i in range(n):
+                        chosen, sets, lo, hi = more[i]
+                        rel = np.ones(len(ids)) if hi == lo else (got[i] - lo) / (hi - lo)
+                        most = np.round(weight * rel, 9)
+                        able = np.flatnonzero((most >= (-np.inf if best[i] is None else -best[i][0])) & ~np.isin(ids, chosen))
+                        if not len(able):
+                            continue
+                        at = places[able]
+                        own = size[at]
+                        words = flat[np.repeat(edge[at] - np.cumsum(own) + own, own) + np.arange(own.sum())]
+                        row, sim = np.repeat(np.arange(len(able)), own), np.zeros(len(able))
+                        for s in sets:
+                            both = np.bincount(row, s[np.minimum(np.searchsorted(s, words), len(s) - 1)] == words, len(able)) if len(s) else np.zeros(len(able))
+                            union = own + len(s) - both
+                            sim = np.maximum(sim, np.divide(both, union, out=np.zeros(len(able)), where=union > 0))
+                        value = np.round(weight * rel[able] - (1 - weight) * sim, 9)
+                        j = np.lexsort((ids[able], -got[i][able], -value))[0]
+                        key = (-value[j], -got[i][able[j]], int(ids[able[j]]))
+                        if best[i] is None or key < best[i][:3]:
+                            best[i] = (*key, flat[edge[at[j]] : edge[at[j] + 1]].copy())
+            found = [(int(block.q[i]), float(x[0]), float(x[1]), x[2], x[3]) for i, x in enumerate(best) if x is not None]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["q", "v", "s", "id", "words"])
+
+        return run
+
+    out = None
+    for blocks, k, part in _sendings(queries, "terms"):
+        mine = queries.where(F.pmod(F.xxhash64("q", "s"), F.lit(blocks)) == k).select("q", "ids", "sets", "lo", "hi").collect()  # one block, some documents a query
+        of = {r["q"]: (np.array(r["ids"], np.int64), [np.array(s, np.int64) for s in r["sets"]], r["lo"], r["hi"]) for r in mine}
+        extra = spark.sparkContext.broadcast([of[q] for q in part.q.tolist()])
+        got = rows.mapInArrow(task(spark.sparkContext.broadcast(part), extra), "q long, v double, s double, id long, words array<long>")
+        out = got if out is None else out.unionByName(got)
+    best = out.groupBy("q").agg(F.min(F.struct("v", "s", "id", "words")).alias("b"))
+    return best.select(F.col("q").cast(dict(queries.dtypes)["q"]).alias("q"), F.col("b.id").cast(dict(docs.dtypes)["id"]).alias("id"), F.col("b.words").alias("words"))
+
+
 def scores(docs: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame:
     """(q, id, score) of all pairs whose score isn't 0: for what needs whole rankings."""
     kind = "terms" if "terms" in queries.columns else "v"

@@ -31,15 +31,21 @@ def _idf_raw(n: Column, d: Column) -> Column:
     return F.log(n - d + 0.5) - F.log(d + 0.5)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, if it comes in fewer (a small file of one row group); as it is otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def index(docs: DataFrame, id_col: str, text: str, stop: list[str] | None = None, toks: DataFrame | None = None) -> dict[str, DataFrame]:
     """Documents as token lists (id, toks), document frequencies of terms (t, df) and corpus figures as one row; postings (tf) and lengths for those who need them.
 
     Ids are unique.  Only different terms of a document are shuffled for the frequencies, added up in the tasks first.  ``toks`` (id, t): tokens made elsewhere."""
     if toks is None:
-        lists = docs.select(F.col(id_col).alias("id"), token_array(F.col(text)).alias("toks"))
+        lists = spread(docs.select(F.col(id_col).alias("id"), F.col(text).alias("toks"))).withColumn("toks", token_array(F.col("toks")))
         lists = lists.withColumn("toks", F.filter("toks", lambda t: ~t.isin(stop))) if stop else lists
     else:
-        lists = docs.select(F.col(id_col).alias("id")).join(toks.groupBy("id").agg(F.collect_list("t").alias("toks")), "id", "left")  # a document's own tokens
+        lists = spread(docs.select(F.col(id_col).alias("id")).join(toks.groupBy("id").agg(F.collect_list("t").alias("toks")), "id", "left"))  # a document's own tokens
     tf = postings(lists.select("id", F.explode("toks").alias("t")))
     length = lists.where(F.size("toks") > 0).select("id", F.size("toks").cast("long").alias("dl"))
     size = F.coalesce(F.sum(F.greatest(F.size("toks"), F.lit(0))), F.lit(0))
@@ -281,76 +287,23 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
     return pool.where("pick is not null").select("q", "id", "pick")
 
 
-def _greedy(k: int, weight: float):
-    """The first places of one query -> its picks among them, each with its value.  Word sets are sorted 64-bit hashes; the likeness of all with a pick comes from one merge."""
+def word_hashes(toks: Column) -> Column:
+    """The different words of a list as sorted 64-bit hashes."""
+    return F.array_sort(F.array_distinct(F.transform(F.coalesce(toks, F.array().cast("array<string>")), lambda t: F.xxhash64(t))))
 
-    def run(t):
-        import numpy as np
-        import pyarrow as pa
-
-        t = t.combine_chunks().sort_by("rank")
-        rel, words = t.column("rel").to_numpy(), t.column("words").combine_chunks()
-        words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
-        size = np.diff(words.offsets.to_numpy())
-        flat, row = words.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
-        at = np.append(0, np.cumsum(size))
-        most, free, picks, values = np.zeros(len(rel)), np.ones(len(rel), bool), [], []
-        for _ in range(min(k, len(rel))):
-            value = np.where(free, np.round(weight * rel - (1 - weight) * most, 9), -np.inf)
-            i = int(value.argmax())
-            picks.append(i)
-            values.append(value[i])
-            free[i] = False
-            own = flat[at[i] : at[i + 1]]
-            place = np.minimum(np.searchsorted(own, flat), max(len(own) - 1, 0))
-            both = np.bincount(row, (own[place] == flat) if len(own) else np.zeros(len(flat)), len(size))
-            union = size + size[i] - both
-            most = np.maximum(most, np.divide(both, union, out=np.zeros(len(size)), where=union > 0))
-        n = len(picks)
-        return pa.table({"q": t.column("q")[:n], "id": t.column("id").take(pa.array(picks)), "pick": pa.array(range(1, n + 1), pa.int32()), "value": pa.array(values), "last": pa.array([float(rel[-1])] * n), "n": pa.array([len(rel)] * n, pa.int64())})
-
-    return run
-
-
-def mmr_whole(docs: DataFrame, queries: DataFrame, k: int, weight: float = 0.7, firsts: tuple[int, ...] = (48, 480)) -> DataFrame:
+
+def mmr_whole(docs: DataFrame, queries: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
     """(q, id, pick) as ``mmr``, chosen among all ``docs`` (id, toks) for each of ``queries``, both as ``blockmax.top`` takes them.
 
-    Relevance is the score on [0, 1] within the whole ranking.  The picks among the first places are those of the whole ranking if weight * the relevance at the last of these places
-    is under the value of every pick, for no later document can be worth more.  Queries for which it isn't look at more places (``firsts``), and at last go through all documents."""
-    words = docs.select("id", F.array_sort(F.array_distinct(F.transform(F.coalesce("toks", F.array().cast("array<string>")), lambda t: F.xxhash64(t)))).alias("words"))
-    rel = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")))
-    out, left = None, queries
-    for first in firsts:
-        top = blockmax.top(docs, left, first, spans=True).select("q", "id", "rank", rel.alias("rel")).join(words, "id")
-        kinds = dict(top.dtypes)
-        picked = held(top.groupBy("q").applyInArrow(_greedy(k, weight), f"q {kinds['q']}, id {kinds['id']}, pick int, value double, last double, n long"))  # k rows for each query
-        sure = picked.groupBy("q").agg(((F.min("value") - weight * F.max("last") > 2e-9) | (F.max("n") < first)).alias("sure")).where("sure").select("q")
-        done = picked.join(sure, "q", "left_semi").select("q", "id", "pick")
-        out = done if out is None else out.unionByName(done)
-        left = held(left.join(sure, "q", "left_anti"))
-        if left.isEmpty():
-            return out
-    return out.unionByName(_mmr_all(blockmax.scores(docs, left), left.select("q"), docs, k, weight))
-
-
-def _mmr_all(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int, weight: float) -> DataFrame:
-    """``mmr_whole`` by way of all documents.  One of the first k is always free and worth weight * its relevance - (1 - weight) at least, so
-    documents under that bound are left out.  Token lists aren't shuffled by query: a row for each query carries what is chosen."""
-    every = queries.select("q").distinct().crossJoin(docs.select("id")).join(scores.select("q", "id", "score"), ["q", "id"], "left")
-    w = Window.partitionBy("q")
-    pool = min_max(rank(every.withColumn("score", F.coalesce("score", F.lit(0.0))))).withColumn("kth", F.max(F.when(F.col("rank") == k, F.col("norm"))).over(w))
-    pool = pool.where(F.col("kth").isNull() | (F.col("norm") >= F.col("kth") - (1 - weight) / weight - 1e-8)).select("q", "id", "rank", F.col("norm").alias("rel"))
-    state = pool.where("rank = 1").select("q", F.array("id").alias("ids"))
+    Relevance is the score on [0, 1] within the whole ranking.  Each pick is a pass over the documents: queries travel with the word sets of what they have chosen, a task looks only at documents whose
+    relevance alone could beat its best so far, and one row for each query and task leaves it.  What is chosen, ``k`` documents a query, is written between the passes."""
+    rows = held(docs.select("id", "toks", word_hashes(F.col("toks")).alias("words")))
+    first = blockmax.top(rows.select("id", "toks"), queries, 1, spans=True).select("q", "id", "lo", "hi")
+    state = held(first.join(rows.select("id", "words"), "id").select("q", F.array("id").alias("ids"), F.array("words").alias("sets"), "lo", "hi"))
     for _ in range(1, k):
-        taken = state.select("q", F.posexplode("ids").alias("pos", "id")).join(docs, "id").groupBy("q").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "toks"))).alias("taken"))
-        x = pool.join(docs, "id").join(taken, "q")
-        union = lambda t: F.size(F.array_union(F.col("toks"), t["toks"]))
-        most = F.array_max(F.transform("taken", lambda t: F.coalesce(F.try_divide(F.size(F.array_intersect(F.col("toks"), t["toks"])), union(t)), F.lit(0.0))))
-        ids = F.col("taken")["id"]
-        value = F.round(F.lit(weight) * F.col("rel") - F.lit(1 - weight) * most, 9)
-        x = x.select("q", "id", "rank", ids.alias("ids"), F.array_contains(ids, F.col("id")).alias("old"), value.alias("value"))
-        best = x.groupBy("q").agg(F.min("ids").alias("ids"), F.min_by(F.when(~F.col("old"), F.col("id")), F.struct("old", -F.col("value"), "rank")).alias("best"))
-        state = best.select("q", F.when(F.col("best").isNull(), F.col("ids")).otherwise(F.array_append("ids", F.col("best"))).alias("ids"))
+        got = blockmax.next_picks(rows, queries.join(state, "q"), weight)
+        grown = state.join(got, "q", "left").select("q", F.when(F.col("id").isNull(), F.col("ids")).otherwise(F.array_append("ids", F.col("id"))).alias("ids"), F.when(F.col("id").isNull(), F.col("sets")).otherwise(F.array_append("sets", F.col("words"))).alias("sets"), "lo", "hi")
+        state = held(grown)
     return state.select("q", F.posexplode("ids").alias("pos", "id")).select("q", "id", (F.col("pos") + 1).alias("pick"))
 
 

@@ -215,7 +215,7 @@ RUN_B = f"""{QTOK}, {encode_sql('ev', 'tok')}, {encode_sql('eq', 'qtok')}, dot A
 
 def dense(spark, d):
     """The encoded texts of documents and items, for ``blockmax``; those without words have no vector, and score 0."""
-    v = ids(spark, d).join(R.encode(R.tokens(docs(spark, d), "doc_id", "text"), "id"), "id", "left")
+    v = R.spread(ids(spark, d)).join(R.encode(R.tokens(docs(spark, d), "doc_id", "text"), "id"), "id", "left")
     q = items(spark, d).distinct().join(R.encode(R.tokens(bench(spark, d), "item_id", "text"), "id").withColumnRenamed("id", "q"), "q", "left")
     return v, q.select("q", F.lit(0).alias("s"), "v")
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from lodestone.operators import blockmax
 from lodestone.operators import retrieval as R
@@ -105,8 +106,18 @@ def test_fusion_equals_fusion_of_whole_lists(spark):
         assert [(-round(r.score, 8), r.id) for r in sorted(got, key=lambda r: r["rank"]) if r.q == q] == want
 
 
-def test_reranking_whatever_the_first_places(spark):
-    docs = corpus(80)
-    scorer = asked(spark, docs, QUERIES)
-    picks = lambda firsts: sorted(map(tuple, R.mmr_whole(*scorer, 4, firsts=firsts).collect()))
-    assert picks((len(docs) + 1,)) == picks((4,)) == picks((5, 20))
+@pytest.mark.parametrize("seed", [1, 2])
+def test_reranking_equals_the_loop(spark, seed):
+    docs = [(i, t) for i, t in corpus(60, seed) if t is not None] + [(500 + i, "w0 w1 w2 rare1") for i in range(3)]
+    want, toks = plain_scores(docs, QUERIES), {i: set(t.split()) for i, t in docs}
+    got = {}
+    for r in R.mmr_whole(*asked(spark, docs, QUERIES), 4).collect():
+        got.setdefault(r.q, {})[r.pick] = r.id
+    for q, _ in QUERIES:
+        mine = {i: s for (k, i), s in want.items() if k == q}
+        lo, hi, chosen = min(mine.values()), max(mine.values()), []
+        jac = lambda a, b: len(toks[a] & toks[b]) / len(toks[a] | toks[b]) if toks[a] | toks[b] else 0.0
+        for _ in range(4):
+            rel = lambda i: 1.0 if hi == lo else (mine[i] - lo) / (hi - lo)
+            chosen.append(min((i for i in mine if i not in chosen), key=lambda i: (-round(0.7 * rel(i) - 0.3 * max((jac(i, c) for c in chosen), default=0.0), 9), -mine[i], i)))
+        assert [got[q][k] for k in (1, 2, 3, 4)] == chosen, q
