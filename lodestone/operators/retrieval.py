@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import blockmax
@@ -252,14 +253,25 @@ def fused(docs: list[DataFrame], queries: list[DataFrame], k: int, c: int = 60)
     return reciprocal_rank_fusion([blockmax.ranks(d, q, candidates) for d, q in zip(docs, queries, strict=True)], c)
 
 
-def held(df: DataFrame) -> DataFrame:
-    """``df`` made once, in the folder of ``spark.checkpoint.dir``; a local session that names none gets a temporary one."""
-    context = df.sparkSession.sparkContext
+def shared_root(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a local session that names none gets a temporary one."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestone-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder there."""
+    return f"{shared_root(spark).rstrip('/')}/lodestone-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def held(df: DataFrame) -> DataFrame:
+    """``df`` made once, in the shared folder."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
 
 

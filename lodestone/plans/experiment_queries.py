@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.retrieval import shared_folder
+from ..sources.published import Cache, Published, freeze
 from ..sources.tables import content_digest_of, dimension, frozen_rows, table, verified
 from .registry import query
 
@@ -120,6 +122,31 @@ def embed_cache_miss(spark, d):
     return docs.select(F.sha2("text", 256).alias("h")).distinct().join(have, "h", "left").agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("cached"))
 
 
+@query("vector_cache", "SELECT lang, count(DISTINCT text) texts, round(sum(n),4) total FROM (SELECT DISTINCT lang, text, length(text)::DOUBLE n FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL) GROUP BY 1")
+def vector_cache(spark, d):
+    """Values that a cache on disk makes once for each text: half of the texts are put first, then all are asked for, and what is read back is counted."""
+    docs = table(spark, d, "documents").where("text is not null and lang is not null").select(F.sha2("text", 256).alias("key"), "text", "lang")
+    cache = Cache(spark, shared_folder(spark, "cache"))
+    make = lambda rows: rows.select("key", F.array(F.length("text").cast("double")).alias("value"))
+    cache.get(docs.where(F.col("key") < "8"), make)
+    values = cache.get(docs, make)
+    each = docs.select("key", "lang").distinct().join(values, "key")
+    return each.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.round(F.sum(F.col("value")[0]), 4).alias("total"))
+
+
+@query("frozen_merge", """WITH t AS (SELECT c_nationkey q, c_custkey id, c_acctbal s, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) r, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) x FROM customer)
+ SELECT 'best' retriever, q AS query, id, CAST(r AS INTEGER) AS rank FROM t WHERE r<=3 UNION ALL SELECT 'random', q, id, CAST(x AS INTEGER) FROM t WHERE x<=2""")
+def frozen_merge(spark, d):
+    """Rankings of two retrievers frozen, one of them frozen anew beside the other, and all read back."""
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("query"), F.col("c_custkey").alias("id"), "c_acctbal")
+    w = Window.partitionBy("query")
+    one = lambda name, order, k: c.select(F.lit(name).alias("retriever"), "query", "id", F.row_number().over(w.orderBy(*order)).alias("rank")).where(F.col("rank") <= k)
+    frozen = Published(spark, shared_folder(spark, "frozen"))
+    freeze(frozen, one("best", [F.col("c_acctbal").desc(), F.col("id")], 3).unionByName(one("random", [F.col("id").desc()], 2)))
+    freeze(frozen, one("random", [F.col("id")], 2))
+    return frozen.read()
+
+
 @query("cache_key_dedup", "SELECT sha256(concat_ws('|',c_mktsegment,c_nationkey::VARCHAR)) k, count(*) n, min(c_custkey) first_id FROM customer GROUP BY 1")
 def cache_key_dedup(spark, d):
     k = F.sha2(F.concat_ws("|", "c_mktsegment", F.col("c_nationkey").cast("string")), 256)

@@ -425,20 +425,14 @@ def plantuml_parse(spark, d):
 @query("line_rejoin", r"""WITH l AS (SELECT doc_id, i, t, lag(t) OVER (PARTITION BY doc_id ORDER BY i) p FROM (SELECT doc_id, unnest(a) t, generate_subscripts(a,1) i FROM (SELECT doc_id, string_split(text,chr(10)) a FROM documents WHERE text IS NOT NULL))),
  g AS (SELECT doc_id, i, t, sum(CASE WHEN p IS NULL OR p='' OR regexp_matches(p,'[.!?]$') OR regexp_matches(t,'^[0-9]+\.') OR regexp_matches(p,'^[0-9]+\.') OR t='' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) k FROM l) SELECT doc_id, min(i)::INTEGER i, length(string_agg(t,' ' ORDER BY i)) n FROM g GROUP BY doc_id, k HAVING string_agg(t,' ' ORDER BY i)<>''""")
 def line_rejoin(spark, d):
-    """Broken lines joined again: a line goes on unless the one before ended, was blank or a heading.  Each text is folded on its own, in its row."""
-    start = F.struct(F.array().cast("array<struct<i:int,s:string>>").alias("done"), F.lit(None).cast("string").alias("p"))
-
-    def step(acc, line):
-        t, p = line["t"], acc["p"]
-        new = p.isNull() | (p == "") | p.rlike("[.!?]$") | t.rlike(r"^[0-9]+\.") | p.rlike(r"^[0-9]+\.") | (t == "")
-        last = F.element_at(acc["done"], -1)
-        opened = F.array_append(acc["done"], F.struct(line["i"].alias("i"), t.alias("s")))
-        going = F.array_append(F.slice(acc["done"], 1, F.size(acc["done"]) - 1), F.struct(last["i"].alias("i"), F.concat(last["s"], F.lit(" "), t).alias("s")))
-        return F.struct(F.when(new, opened).otherwise(going).alias("done"), t.alias("p"))
-
-    lines = F.transform(F.split("text", "\n", -1), lambda t, i: F.struct((i + 1).alias("i"), t.alias("t")))
-    out = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.aggregate(lines, start, step, lambda a: a["done"])).alias("x"))
-    return out.where("x.s <> ''").select("doc_id", "x.i", F.length("x.s").cast("long").alias("n"))
+    """Broken lines joined again: a line goes on unless the one before ended, was blank or a heading.  Lines are rows; a text's lines are one window in their order, and of a joined line only its length is kept."""
+    lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "t"))
+    w = Window.partitionBy("doc_id").orderBy("i")
+    t, p = F.col("t"), F.lag("t").over(w)
+    new = p.isNull() | (p == "") | p.rlike("[.!?]$") | t.rlike(r"^[0-9]+\.") | p.rlike(r"^[0-9]+\.") | (t == "")
+    marked = lines.select("doc_id", "i", F.length("t").alias("n"), new.cast("int").alias("new")).withColumn("k", F.sum("new").over(w))
+    joined = marked.groupBy("doc_id", "k").agg((F.min("i") + 1).alias("i"), (F.sum("n") + F.count(F.lit(1)) - 1).alias("n"))
+    return joined.where("n > 0").select("doc_id", "i", "n")
 
 
 @query("strip_members", "SELECT p_partkey, CASE WHEN p_brand LIKE '%1' THEN p_name ELSE '' END members, p_brand LIKE '%1' listing FROM part")

@@ -194,6 +194,16 @@ def topk_tiebreak(spark, d):
     return R.rank(s, 5, digits=0)
 
 
+@query("retrieve_sql", """SELECT q, id, score, seg, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS INTEGER) rank FROM (SELECT c_nationkey q, c_custkey id, round(c_acctbal/1000,0) score, c_mktsegment seg FROM customer) WHERE true QUALIFY rank<=4""")
+def retrieve_sql(spark, d):
+    """The first four of each query by SQL text alone, with the table function ``retrieve``."""
+    from ..operators import udtf
+
+    udtf.register(spark)
+    rows = table(spark, d, "customer")
+    return spark.sql("SELECT q, id, score, seg, rank FROM retrieve(TABLE(SELECT c_nationkey q, c_custkey id, round(c_acctbal/1000,0) score, c_mktsegment seg FROM {rows}), 4)", rows=rows)
+
+
 @query("exclude_ids", f"{BM25}, ok AS (SELECT * FROM s WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic=1)) SELECT q item_id, id doc_id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS INTEGER) rank FROM ok QUALIFY rank<=3")
 def exclude_ids(spark, d):
     """Exclusion before the cut."""

@@ -21,3 +21,21 @@ def progress(stream: DataFrame, lateness: str = "1 hour", every: str = "10 minut
     """Calls, valid calls and latency per condition and window."""
     w = F.window("timestamp", every)
     return done_calls(stream, lateness).groupBy(w, "condition").agg(F.count(F.lit(1)).alias("done"), F.count_if(F.col("level") >= 3).alias("valid"), F.avg("latency_s").alias("latency_s"))
+
+
+def append_once(stream: DataFrame, log: str, checkpoint: str, before_commit=None):
+    """Appends a stream to a log of JSON lines so that a restart writes nothing twice: a batch has a folder of its own by its number, and a batch that is tried again replaces what the first try left there.
+
+    ``before_commit`` is called with the number of a batch that is written and not yet committed."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").json(f"{log}/batch={number:012d}")
+        if before_commit:
+            before_commit(number)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def logged(spark: SparkSession, log: str, schema: str) -> DataFrame:
+    """What ``append_once`` has written."""
+    return spark.read.schema(schema).json(log)
