@@ -17,7 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 512
+#: Documents of a block at most (fewer where many queries share the memory for scores), and numbers of a block's score matrix.
+BLOCK, CELLS = 4096, 4_000_000
 #: Bytes and number of queries that are sent at once.
 QUERY_BYTES, QUERIES = 32 << 20, 16_384
 
@@ -30,6 +31,7 @@ class Sent:
         self.s = np.array([r["s"] for r in rows], np.int64)
         self.k1, self.b, self.mean = (np.array([float(r[c] or 0) for r in rows]) for c in ("k1", "b", "avgdl"))
         self.mean[self.mean <= 0] = 1.0
+        self.kinds, self.kind = np.unique(np.stack([self.k1, self.b, self.mean]), axis=1, return_inverse=True) if len(rows) else (np.zeros((3, 0)), np.zeros(0, np.int64))
         pairs = [(t["t"], i, t["w"]) for i, r in enumerate(rows) for t in r["terms"] or ()]
         self.vocabulary = sorted({t for t, _, _ in pairs})
         place = {t: k for k, t in enumerate(self.vocabulary)}
@@ -44,6 +46,17 @@ class Sent:
         k1, b = self.k1[of], self.b[of]
         return w * f * (k1 + 1) / (f + k1 * (1 - b + b * length / self.mean[of]))
 
+    def weights(self, of: np.ndarray, w: np.ndarray, f: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The same for each of ``of`` and each of some documents; what depends on k1, b and mean alone is made once where few of them differ."""
+        if self.kinds.shape[1] > 16:
+            return self.weight(of[:, None], w[:, None], f[None, :], length[None, :])
+        k1, b, mean = (x[:, None] for x in self.kinds)
+        each = f * (k1 + 1) / (f + k1 * (1 - b + b * length / mean))
+        return w[:, None] * (each if len(each) == 1 else each[self.kind[of]])
+
+    def block(self) -> int:
+        return min(BLOCK, max(256, CELLS // max(len(self.q), 1)))
+
 
 class Best:
     """The k best documents of each query so far."""
@@ -79,9 +92,9 @@ def term_blocks(sent: Sent, batch: pa.RecordBatch, skip: bool):
     lists = batch.column(1)
     ids = batch.column(0).to_numpy()
     order, length, key, f = block_postings(ids, lists, pa.array(sent.vocabulary, lists.type.value_type))
-    ids = ids[order]
-    for lo in range(0, len(ids), BLOCK):
-        hi = min(lo + BLOCK, len(ids))
+    ids, step = ids[order], sent.block()
+    for lo in range(0, len(ids), step):
+        hi = min(lo + step, len(ids))
         a, b = np.searchsorted(key, (lo * size, hi * size))
         doc, term, freq = key[a:b] // size - lo, key[a:b] % size, f[a:b].astype(float)
         by = np.argsort(term, kind="stable")
@@ -102,7 +115,7 @@ def term_blocks(sent: Sent, batch: pa.RecordBatch, skip: bool):
                 if len(active) < n:
                     of, w = of[at[of] >= 0], w[at[of] >= 0]
                 d, g = doc[edges[k] : edges[k + 1]], freq[edges[k] : edges[k + 1]]
-                out[at[of][:, None], d[None, :]] += sent.weight(of[:, None], w[:, None], g[None, :], own[d][None, :])
+                out[at[of][:, None], d[None, :]] += sent.weights(of, w, g, own[d])
             return out
 
         yield ids[lo:hi], order[lo:hi], score, bound
@@ -136,8 +149,9 @@ def vector_blocks(sent: SentVectors, batch: pa.RecordBatch, skip: bool):
     x[there] = batch.column(1).take(pa.array(there)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
     order = np.argsort(ids, kind="stable")
     x = unit_rows(x)[order]
-    for lo in range(0, len(ids), BLOCK):
-        yield ids[order[lo : lo + BLOCK]], order[lo : lo + BLOCK], (lambda active, y=x[lo : lo + BLOCK]: sent.v[active] @ y.T), np.full(len(sent.q), np.inf)
+    step = min(BLOCK, max(256, CELLS // max(len(sent.q), 1)))
+    for lo in range(0, len(ids), step):
+        yield ids[order[lo : lo + step]], order[lo : lo + step], (lambda active, y=x[lo : lo + step]: sent.v[active] @ y.T), np.full(len(sent.q), np.inf)
 
 
 KINDS = {"terms": (Sent, term_blocks), "v": (SentVectors, vector_blocks)}
