@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .retrieval import held
+
 
 def match_passes(gold: DataFrame, found: DataFrame, group: list[str], passes: list[list[str]], order: list[str]) -> DataFrame:
     """(group..., gid, fid, pass): pairs of a gold and a found element, each used once.
@@ -92,8 +94,25 @@ def f1(tp="tp", fp="fp", fn="fn") -> Column:
     return ratio(2 * F.col(tp), 2 * F.col(tp) + F.col(fp) + F.col(fn))
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(x, c): for each vertex of ``edges`` (u, v) the smallest vertex that it reaches.  Every vertex takes the smallest label around it, then its label's label, until nothing changes; each round is written."""
+    both = held(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels, seen = held(both.groupBy(F.col("u").alias("x")).agg(F.least(F.min("v"), F.min("u")).alias("c"))), None
+    while True:
+        state = labels.agg(F.sum(F.xxhash64("x", "c").cast("decimal(20,0)"))).first()[0]
+        if state == seen:
+            return labels
+        seen = state
+        around = both.join(labels.select(F.col("x").alias("v"), "c"), "v").groupBy(F.col("u").alias("x")).agg(F.min("c").alias("near"))
+        closer = held(labels.join(around, "x").select("x", F.least("c", "near").alias("c")))
+        jump = closer.select(F.col("x").alias("c"), F.col("c").alias("far"))
+        labels = held(closer.join(jump, "c").select("x", F.least("c", "far").alias("c")))
+
+
 def assign(pairs: DataFrame, group: str, threshold: float) -> DataFrame:
-    """(group, a, b, w): the assignment of largest total weight among pairs of at least ``threshold``, in each group (group, a, b, w)."""
+    """(group, a, b, w): the assignment of largest total weight among pairs of at least ``threshold``, in each group (group, a, b, w).
+
+    Pairs under the threshold join nothing, so a group falls into connected components of those above it, and the best assignment is that of each component.  A component is solved in one task."""
     import numpy as np
     import pandas as pd
 
@@ -135,5 +154,9 @@ def assign(pairs: DataFrame, group: str, threshold: float) -> DataFrame:
         made = [(pdf[group].iloc[0], a, b, weight[a, b]) for a, b in made if (a, b) in weight]
         return pd.DataFrame(made, columns=[group, "a", "b", "w"])
 
+    kept = held(pairs.where(F.col("w") >= threshold).select(group, "a", "b", "w"))
+    name = lambda side: F.to_json(F.struct(F.lit(side).alias("s"), F.col(group).alias("g"), F.col(side).alias("i")))
+    of = components(kept.select(name("a").alias("u"), name("b").alias("v")))
     kinds = dict(pairs.dtypes)
-    return pairs.select(group, "a", "b", "w").groupBy(group).applyInPandas(solve, f"{group} {kinds[group]}, a {kinds['a']}, b {kinds['b']}, w double")
+    parted = kept.withColumn("x", name("a")).join(of, "x").drop("x")
+    return parted.groupBy("c").applyInPandas(solve, f"{group} {kinds[group]}, a {kinds['a']}, b {kinds['b']}, w double")

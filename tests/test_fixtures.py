@@ -169,6 +169,23 @@ def test_assignment_is_optimal(spark):
     assert sum(r.w for r in got) == pytest.approx(max(sum(w[a, p[a]] for a in range(5)) for p in permutations(range(5))))
 
 
+def test_assignment_by_components(spark):
+    """Pairs fall into components above the threshold; the sum is that of the best assignment of the whole group."""
+    from itertools import permutations
+
+    rng = random.Random(8)
+    w = {(g, a, b): rng.choice([0.2, 0.5, 0.9, rng.random()]) for g in "xy" for a in range(6) for b in range(5) if rng.random() < 0.35}
+    got = M.assign(spark.createDataFrame([(*k, x) for k, x in w.items()], "g string, a int, b int, w double").repartition(3), "g", 0.4).collect()
+    assert all(r.w == w[r.g, r.a, r.b] >= 0.4 for r in got) and len({(r.g, r.a) for r in got}) == len({(r.g, r.b) for r in got}) == len(got)
+    for g in "xy":
+        best = max(sum(x for b, a in enumerate(p) if (x := w.get((g, a, b), 0.0)) >= 0.4) for p in permutations(range(6), 5))
+        assert sum(r.w for r in got if r.g == g) == pytest.approx(best)
+    chain = [(f"n{k:03d}", f"n{k + 1:03d}") for k in range(60)] + [("z1", "z2"), ("z9", "z9")]
+    label = {r.x: r.c for r in M.components(spark.createDataFrame(chain, "u string, v string")).collect()}
+    assert {label[f"n{k:03d}"] for k in range(61)} == {"n000"} and label["z2"] == "z1" and label["z9"] == "z9"
+    assert M.assign(spark.createDataFrame([], "g string, a int, b int, w double"), "g", 0.4).collect() == []
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([(1, 1.0, 2.0), (1, 2.0, 1.0), (1, 2.0, 4.0), (1, 4.0, 3.0), (2, 1.0, 1.0), (2, 1.0, 2.0)], "g int, x double, y double")
     got = {r.g: r for r in S.spearman(df, "x", "y", "g").collect()}
