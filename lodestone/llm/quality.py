@@ -227,12 +227,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column | None = None) -> Mo
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The id and fold of each row of ``docs`` with score (0 to 1) and predicted (1 from ``threshold`` on).  Repeated rows are answered each; equal texts score alike."""
+    """The id and fold of each row of ``docs`` with score (0 to 1) and predicted (1 from ``threshold`` on).  Repeated rows are answered each; equal texts score alike.  Null texts are judged
+    as empty ones, very long ones in pieces; columns but doc_id and text, whatever their names, play no part."""
     return score_features(features(docs), model, threshold)
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text scores ``threshold`` or more, with the columns of ``docs``."""
+    """The rows of ``docs`` whose text scores ``threshold`` or more, with the columns of ``docs``, whatever they are called.
+
+    Null texts are judged as empty ones, repeated rows alike, texts beyond two shards in pieces; no rows give none."""
     k = [f.name.lower() for f in docs.schema.fields].index("text")
 
     def run(batches):
