@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import responses as A
 from ..functions import scan
 from ..functions import text as X
+from ..operators.diagrams import ASSOCIATION, HEADER, ID, KIND, OPERATORS, RELATION, blocks, operators, relations
 from ..sources.tables import dimension, table
 from .registry import query
 
@@ -144,47 +143,10 @@ def rewrite_counts(spark, d):
     return x.groupBy("p_brand").agg(F.count_if(~F.col("m").startswith("+ ") & F.col("m").rlike(A.METHOD)).alias("methods"), F.count_if(F.col("u").isin(*A.REWRITTEN)).alias("multiplicities"))
 
 
-# Arrows, the type of edge that they stand for, whether the ends change places, and whether multiplicities and labels are left out.
-OPERATORS = [
-    ("<|--", "ClassInheritance", 1, 1), ("--|>", "ClassInheritance", 0, 1), ("<|-", "ClassInheritance", 1, 1), ("-|>", "ClassInheritance", 0, 1), ("..|>", "ClassRealization", 0, 1), ("<|..", "ClassRealization", 1, 1),
-    ("<-->", "ClassBidirectional", 0, 0), ("*-->", "ClassComposition", 1, 0), ("*->", "ClassComposition", 1, 0), ("-->", "ClassUnidirectional", 0, 0), ("<--", "ClassUnidirectional", 1, 0),
-    ("..>", "ClassDependency", 0, 0), ("<..", "ClassDependency", 1, 0), ("*--", "ClassComposition", 1, 0), ("--*", "ClassComposition", 0, 0), ("o--", "ClassAggregation", 1, 0), ("--o", "ClassAggregation", 0, 0),
-    ("*-", "ClassComposition", 1, 0), ("-*", "ClassComposition", 0, 0), ("--", "ClassBidirectional", 0, 0), ("..", "ClassBidirectional", 0, 0), ("-o", "ClassAggregation", 0, 0), ("o-", "ClassAggregation", 1, 0),
-    ("-", "ClassBidirectional", 0, 0), (".", "ClassBidirectional", 0, 0),
-]
-_ARROW = "|".join(re.escape(o[0]) for o in sorted(OPERATORS, key=lambda o: -len(o[0])))
-# The grammar of class diagrams, part by part.
-_ID, _GAP, _END = r"(\w+)", r"\s*", r"\s*$"
-_QUOTED, _LABEL = r'(?:"([^"]*)")?', r"(?::\s*(.*))?"
-_KIND, _STEREO, _BRACES = r"(abstract\s+class|class|enum|interface)", r"(?:\s*<<(\w+)>>)?", r"(\{)?\s*(\})?"
-RELATION = _GAP.join(["^", _ID, _QUOTED, f"({_ARROW})", _QUOTED, _ID, _LABEL, "$"])
-HEADER = rf"^{_KIND}\s+{_ID}{_STEREO}\s*{_BRACES}{_END}"
-_PAIR = rf"\({_GAP}{_ID}{_GAP},{_GAP}{_ID}{_GAP}\)"
-_DOTS = r"\.{1,2}"
-ASSOCIATION = _GAP.join(["^", _ID, _DOTS, _PAIR, "$"])
 ARROW = "CASE p_partkey%27 " + " ".join(f"WHEN {i} THEN '{o[0]}'" for i, o in enumerate(OPERATORS)) + " ELSE '??' END"
 LINE = f"""'C'||(p_partkey%40)||CASE p_size%4 WHEN 0 THEN ' "0..n owner" ' WHEN 1 THEN ' "1 {{ordered}}"' ELSE ' ' END||{ARROW}||CASE p_size%3 WHEN 0 THEN ' "*" ' WHEN 1 THEN '"1..1  the part"' ELSE ' ' END||'D'||(p_size%30)||CASE p_size%5 WHEN 0 THEN '' WHEN 1 THEN ' : has >' WHEN 2 THEN ':<owns' WHEN 3 THEN ' : {{disjoint}}' ELSE ' : uses' END"""
 
 
-def relations(lines, ops):
-    """Lines (..., t) that are relations: type, ends, their multiplicities and roles, and label, turned as the arrow says; lines that aren't keep a null type."""
-    part = lambda k: F.regexp_extract("t", RELATION, k)
-    x = lines.withColumns({"op": part(3), "a": part(1), "b": part(5), "l": X.reading_direction(part(6))})
-    for side, k in (("a", 2), ("b", 4)):
-        mult, role = X.mult_role(part(k))
-        x = x.withColumns({f"{side}m": mult, f"{side}r": role})
-    x = x.join(F.broadcast(ops), "op", "left")
-    turned, bare = F.coalesce(F.col("swap") == 1, F.lit(False)), F.coalesce(F.col("bare") == 1, F.lit(False))
-    end = lambda p, q: F.when(turned, F.col(q)).otherwise(F.col(p))
-    kept = lambda c: F.when(bare, "").otherwise(c)
-    made = {"source": end("a", "b"), "target": end("b", "a"), "source_mult": kept(end("am", "bm")), "target_mult": kept(end("bm", "am")), "source_role": kept(end("ar", "br")), "target_role": kept(end("br", "ar")), "label": kept(F.col("l"))}
-    return x.select(*lines.columns, "typ", *[c.alias(n) for n, c in made.items()])
-
-
-def operators(spark):
-    return dimension(spark, OPERATORS, "op string, typ string, swap int, bare int")
-
-
 def _quoted(x):
     return x.replace("'", "''")
 
@@ -274,7 +236,7 @@ def ordered_render(spark, d):
 
 HEAD = "CASE p_partkey%6 WHEN 0 THEN 'class A'||p_size||' extends B {' WHEN 1 THEN 'abstract class C'||p_size||' implements D, E {' WHEN 2 THEN 'class F {' WHEN 3 THEN 'class G'||p_size||' <<entity>> extends H implements I, J' WHEN 4 THEN 'interface K {' ELSE 'interface L extends M, N {' END"
 _CLAUSE = r"(?:extends|implements)\b"
-CLAUSES = rf"^{_KIND}\s+{_ID}(\s*<<\w+>>)?\s+({_CLAUSE}[^{{]*?)\s*(\{{.*)?$"
+CLAUSES = rf"^{KIND}\s+{ID}(\s*<<\w+>>)?\s+({_CLAUSE}[^{{]*?)\s*(\{{.*)?$"
 
 
 @query("header_rewrite", f"""WITH h AS (SELECT p_partkey, t, regexp_matches(t,'{CLAUSES}') ok, regexp_extract(t,'{CLAUSES}',2) c, regexp_extract(t,'{CLAUSES}',4) x FROM (SELECT p_partkey, {HEAD} t FROM part)),
@@ -379,21 +341,6 @@ def diagram_lines(spark, d):
     return x.select("doc", (F.col("p_partkey") * 10 + F.col("k")).alias("i"), F.trim("t").alias("t")).where("t <> '' and not startswith(t, '@')")
 
 
-def blocks(lines):
-    """Adds kind and owner of each line.  A document's lines are one window in their order: the last header or end before a line says which block is open."""
-    w = Window.partitionBy("doc").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    t = F.col("t")
-    word = F.regexp_extract(t, HEADER, 1)
-    opens = t.rlike(HEADER) & (F.regexp_extract(t, HEADER, 4) != "") & (F.regexp_extract(t, HEADER, 5) == "")
-    state = F.when(opens, F.struct(F.regexp_extract(t, HEADER, 2).alias("name"), word.alias("word"))).when(t == "}", F.struct(F.lit("").alias("name"), F.lit("").alias("word")))
-    x = lines.withColumn("block", F.last(state, ignorenulls=True).over(w))
-    inside = F.coalesce(F.col("block.name") != "", F.lit(False))
-    member = F.when(t == "}", "end").when(F.col("block.word") == "enum", "value").when(t.contains("("), "method").otherwise("attribute")
-    head = F.when(F.regexp_extract(t, HEADER, 3) == "interface", "interface").otherwise(F.regexp_replace(word, r"\s+", " "))
-    outer = F.when(t.rlike(HEADER), head).when(t.rlike(r"^<>\s+\w+\s*$"), "unsupported").when(t.rlike(ASSOCIATION), "association class").when(t.rlike(RELATION), "relation").otherwise("unknown")
-    return x.select("doc", "i", "t", F.when(inside, member).otherwise(outer).alias("kind"), F.when(inside, F.col("block.name")).otherwise("").alias("owner"))
-
-
 LINES = "(SELECT * FROM (" + " UNION ALL ".join(f"SELECT p_brand doc, p_partkey*10+{k} i, trim({b}) t FROM part" for k, b in enumerate(BLOCK)) + ") WHERE t<>'' AND NOT starts_with(t,'@'))"
 BLOCKS = f"""(SELECT doc, i, t, CASE WHEN coalesce(owner,'')<>'' THEN CASE WHEN t='}}' THEN 'end' WHEN word='enum' THEN 'value' WHEN contains(t,'(') THEN 'method' ELSE 'attribute' END
  WHEN regexp_matches(t,'{HEADER}') THEN CASE WHEN regexp_extract(t,'{HEADER}',3)='interface' THEN 'interface' ELSE regexp_replace(regexp_extract(t,'{HEADER}',1),'\\s+',' ','g') END WHEN regexp_matches(t,'^<>\\s+\\w+\\s*$') THEN 'unsupported' WHEN regexp_matches(t,'{ASSOCIATION}') THEN 'association class' WHEN regexp_matches(t,'{_quoted(RELATION)}') THEN 'relation' ELSE 'unknown' END kind, coalesce(owner,'') AS owner

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ("retrieval_queries", "matching_queries", "text_queries", "parsing_queries", "statistics_queries", "experiment_queries", "compact_queries")
+MODULES = ("retrieval_queries", "matching_queries", "text_queries", "parsing_queries", "statistics_queries", "experiment_queries", "compact_queries", "diagram_queries")
 
 
 def query(name: str, sql: str | None = None):
