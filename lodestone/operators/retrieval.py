@@ -149,8 +149,18 @@ MEASURES = {"cosine": _cosines, "profile": _profiles}
 QUERY_BYTES = 32 << 20
 
 
+def first_of(q, ids, score, k: int, digits: int = 6):
+    """Places of the first ``k`` of each query by (score rounded, descending, id), so that many equal vectors don't all go on."""
+    import numpy as np
+
+    order = np.lexsort((ids, -blockmax.half_up(score, digits), q))
+    start = np.flatnonzero(np.append(True, q[order][1:] != q[order][:-1])) if len(order) else np.zeros(0, int)
+    place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    return order[place < k]
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int | None = None, measure: str = "cosine", own: bool = False, digits: int = 6) -> DataFrame:
-    """(q, id, score): of each query (q, v) the ``k`` best of all vectors (id, v), with ``own`` off but its own id, ties at the k-th place included; all of them without ``k``.
+    """(q, id, score): of each query (q, v) at least the ``k`` best of all vectors (id, v) by (score rounded to ``digits``, smaller id), with ``own`` off but its own id; all of them without ``k``.
 
     Queries are sent in blocks of QUERY_BYTES at most, one pass over the vectors for each block, so what is broadcast is bounded.  A batch of vectors meets a block in one product
     and lets only its own k best go on.  Vectors that are null, of other length than the query's, or (for cosines) zero or not finite have no score."""
@@ -186,7 +196,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int | None = None, measur
                     s = np.where(np.isfinite(s), s, -np.inf)
                     low = -np.inf if k is None or len(rows) <= k else np.partition(s, len(rows) - k, axis=0)[len(rows) - k] - 10.0**-digits
                     i, j = np.nonzero((s >= low) & (s > -np.inf))
-                    yield pa.RecordBatch.from_arrays([pa.array(qs[j], pa.int64()), pa.array(ids[rows[i]], pa.int64()), pa.array(s[i, j])], ["q", "id", "score"])
+                    q, x, score = qs[j], ids[rows[i]], s[i, j]
+                    if k is not None:
+                        keep = first_of(q, x, score, k, digits)
+                        q, x, score = q[keep], x[keep], score[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(x, pa.int64()), pa.array(score)], ["q", "id", "score"])
 
         return run
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import blockmax
+from ..operators import blockmax, pivots
 from ..operators import retrieval as R
 from ..sources.tables import dimension, table
 from .registry import query
@@ -187,6 +187,14 @@ def dense_topk(spark, d):
     return R.rank(dense_scores(spark, d), 5).select("q", F.col("id").alias("vec_id"), "score", "rank")
 
 
+@query("dense_pivots", f"{DENSE} SELECT q, id vec_id, score, rank FROM rk WHERE rank<=5")
+def dense_pivots(spark, d):
+    """The same neighbours by an index of pivots, which pays off where vectors lie in clusters."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    q = v.where("id % 100 = 0").select(F.col("id").alias("q"), "v")
+    return R.rank(pivots.nearest(q, pivots.index(v), 5), 5).select("q", F.col("id").alias("vec_id"), "score", "rank")
+
+
 @query("topk_tiebreak", """SELECT q, id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS INTEGER) rank FROM
  (SELECT c_nationkey q, c_custkey id, round(c_acctbal/1000,0) score FROM customer) WHERE true QUALIFY rank<=5""")
 def topk_tiebreak(spark, d):
@@ -379,7 +387,7 @@ def oracle_topk(spark, d):
 
 def _oracle(spark, d):
     p = _profiles(spark, d).select("id", F.col("p").alias("v"))
-    return R.rank(R.nearest(p.where("id % 100 = 0").select(F.col("id").alias("q"), "v"), p, 3, "profile"), 3)
+    return R.rank(pivots.nearest(p.where("id % 100 = 0").select(F.col("id").alias("q"), "v"), pivots.index(p, "profile"), 3), 3)
 
 
 @query("oracle_at_k", f"{PROFILE}, {L1}, r AS (SELECT a, sim, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) rank FROM l1), m AS (SELECT k::INTEGER k, a, avg(sim) m FROM r, (VALUES (1),(3)) t(k) WHERE rank<=k GROUP BY ALL) SELECT k, round(avg(m),6) best FROM m GROUP BY 1")
