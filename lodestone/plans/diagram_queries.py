@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.edits import CONTAINERS, PLAIN_ARROWS, run_script
 from ..operators import diagrams as D
 from ..operators.retrieval import shared_folder
 from ..sources import diagrams
@@ -74,3 +75,53 @@ def diagram_folder(spark, d):
     two = F.concat_ws("|", "source_mult", "target_mult", "source_role", "target_role")
     out = row(got["classes"], F.lit("class"), "kind", "name").unionByName(row(got["members"], F.col("kind"), "owner", "name", F.col("typ")))
     return out.unionByName(row(got["relations"], F.col("typ"), "source", "target", F.col("label"), two)).unionByName(row(got["issues"], F.lit("issue"), "issue", "subject"))
+
+
+#: Five parts make a diagram here, every second one with an end mark; each even part adds an edit to its script.
+EDITED = [*TEXT[:4], LINE]
+OPS = {
+    "type": "CASE (p_partkey//2)%9 WHEN 0 THEN 'rename_token' WHEN 1 THEN 'remove_line' WHEN 2 THEN 'replace_line' WHEN 4 THEN 'remove_label' WHEN 5 THEN 'set_role' WHEN 6 THEN 'add_line' WHEN 7 THEN 'add_block' WHEN 8 THEN CASE WHEN p_size%9=0 THEN 'turn' ELSE 'change_edge_type' END ELSE 'change_edge_type' END",
+    "from_": "'D'||(p_size%30)", "to_": "'Part'||p_size", "match": LINE, "replacement": "'X'||p_size||' -- Y'", "class_a": "'D'||(p_size%30)", "class_b": "'C'||(p_partkey%40)",
+    "lab": "CASE p_size%5 WHEN 0 THEN '' WHEN 1 THEN 'has' WHEN 2 THEN 'owns' WHEN 3 THEN '{disjoint}' ELSE 'uses' END", "new_type": "CASE p_size%7 WHEN 0 THEN 'odd' WHEN 1 THEN 'association' WHEN 2 THEN 'aggregation' WHEN 3 THEN 'composition' WHEN 4 THEN 'unidirectional' ELSE 'dependency' END",
+    "container": "CASE p_size%4 WHEN 0 THEN 'Z' WHEN 1 THEN 'C'||(p_partkey%40) ELSE 'D'||(p_size%30) END", "endpoint_mult": "CASE p_size%3 WHEN 0 THEN '*' ELSE '1..1' END", "role_": "'r'||p_size", "line_": "CASE WHEN p_size%10=0 THEN '}' ELSE 'A'||p_size||' -- B' END",
+    "block_": "'enum E'||(p_size%50)||' {'||chr(10)||'ONE'||chr(10)||CASE WHEN p_size%11=0 THEN '' ELSE '}' END",
+}
+_NAMES = {"from_": "from", "to_": "to", "lab": "label", "role_": "role", "line_": "line", "block_": "block"}
+_PART = lambda k, x: f"regexp_extract({x},'{_quoted(D.RELATION)}',{k})"
+_SQUEEZED = lambda k, x: f"trim(regexp_replace(regexp_replace({_PART(k, x)},'\\{{[^}}]*\\}}',' ','g'),'\\s+',' ','g'))"
+_MULT = lambda k, x: f"regexp_extract({_SQUEEZED(k, x)},'^(\\S*)',1)"
+_ROLE = lambda k, x: f"regexp_extract({_SQUEEZED(k, x)},'^\\S+ (.*)$',1)"
+_READ = lambda t: f"(CASE WHEN regexp_matches({t},' [<>]$') THEN rtrim(({t})[:-3]) WHEN regexp_matches({t},'^[<>] ') THEN ltrim(({t})[3:]) WHEN length({t})>1 AND regexp_matches({t},'[^<>-][<>]$') THEN rtrim(({t})[:-2]) WHEN length({t})>1 AND regexp_matches({t},'^[<>][^<>]') THEN ltrim(({t})[2:]) ELSE {t} END)"
+_MADE = lambda arrow, label, left, right: f"""{_PART(1, 'hit')}||' "'||trim({_MULT(2, 'hit')}||' '||{left})||'" '||{arrow}||' "'||trim({_MULT(4, 'hit')}||' '||{right})||'" '||{_PART(5, 'hit')}||CASE WHEN {label}='' THEN '' ELSE ' : '||{label} END"""
+_ARROW = "CASE " + " ".join(f"WHEN new_type='{n}' THEN '{a}'" for n, a in PLAIN_ARROWS.items()) + " " + " ".join(f"WHEN new_type='{n}' AND container={_PART(1, 'hit')} THEN '{a}' WHEN new_type='{n}' AND container={_PART(5, 'hit')} THEN '{b}'" for n, (a, b) in CONTAINERS.items()) + " END"
+_PUT = lambda line: f"list_transform(ls, lambda x: CASE WHEN trim(x)=trim(hit) THEN {line} ELSE x END)"
+_INSERT = lambda new: f"CASE WHEN list_contains(ls,'@enduml') THEN ls[:list_position(ls,'@enduml')-1]||{new}||ls[list_position(ls,'@enduml'):] ELSE ls||{new} END"
+_ON = "CASE WHEN len(hits)<>1 THEN type||': '||class_a||' '||class_b||' found '||len(hits)||' times' "
+EDIT_SQL = f"""WITH RECURSIVE dg AS (SELECT p_partkey//5 doc, flatten(list([{','.join(EDITED)}] ORDER BY p_partkey)) || CASE WHEN p_partkey//5%2=0 THEN ['@enduml'] ELSE []::VARCHAR[] END ls FROM part GROUP BY 1),
+ op AS (SELECT p_partkey//5 doc, row_number() OVER (PARTITION BY p_partkey//5 ORDER BY p_partkey) pos, {', '.join(f'{x} AS {n}' for n, x in OPS.items())} FROM part WHERE p_partkey%2=0),
+ st AS (SELECT doc, 0::BIGINT pos, ls, 0::BIGINT applied, '' err FROM dg UNION ALL SELECT doc, pos, CASE WHEN e='' THEN nl ELSE ls END, applied+CASE WHEN e='' THEN 1 ELSE 0 END, e FROM (SELECT *, CASE type
+   WHEN 'rename_token' THEN list_transform(ls, lambda x: regexp_replace(x,'\\b'||from_||'\\b',to_,'g')) WHEN 'remove_line' THEN list_filter(ls, lambda x: trim(x)<>trim(match)) WHEN 'replace_line' THEN list_transform(ls, lambda x: CASE WHEN trim(x)=trim(match) THEN replacement ELSE x END)
+   WHEN 'change_edge_type' THEN {_PUT(_MADE(_ARROW, 'lab', _ROLE(2, 'hit'), _ROLE(4, 'hit')))} WHEN 'remove_label' THEN {_PUT(_MADE(_PART(3, 'hit'), "''", _ROLE(2, 'hit'), _ROLE(4, 'hit')))}
+   WHEN 'set_role' THEN {_PUT(_MADE(_PART(3, 'hit'), 'lab', f"CASE WHEN {_MULT(2, 'hit')}=endpoint_mult THEN role_ ELSE {_ROLE(2, 'hit')} END", f"CASE WHEN {_MULT(4, 'hit')}=endpoint_mult THEN role_ ELSE {_ROLE(4, 'hit')} END"))}
+   WHEN 'add_line' THEN {_INSERT('[line_]')} WHEN 'add_block' THEN {_INSERT("(string_split(trim(block_,' '||chr(10)),chr(10))||[''])")} END nl,
+  CASE type WHEN 'rename_token' THEN CASE WHEN len(list_filter(ls, lambda x: regexp_matches(x,'\\b'||from_||'\\b')))>0 THEN '' ELSE type||': '||from_||' not found' END WHEN 'remove_line' THEN CASE WHEN th THEN '' ELSE type||': '||trim(match)||' not found' END WHEN 'replace_line' THEN CASE WHEN th THEN '' ELSE type||': '||trim(match)||' not found' END
+   WHEN 'change_edge_type' THEN {_ON} WHEN ({_ARROW}) IS NULL THEN type||': no arrow for '||new_type ELSE '' END WHEN 'remove_label' THEN {_ON} ELSE '' END WHEN 'set_role' THEN {_ON} WHEN ({_MULT(2, 'hit')}=endpoint_mult)=({_MULT(4, 'hit')}=endpoint_mult) THEN type||': '||endpoint_mult||' isn''t at one end' ELSE '' END
+   WHEN 'add_line' THEN CASE WHEN list_contains(list_transform(ls, lambda x: trim(x)), line_) THEN type||': '||line_||' is there already' ELSE '' END
+   WHEN 'add_block' THEN CASE WHEN block_ NOT LIKE '%}}' THEN type||': not one declaration' WHEN list_contains(list_transform(ls, lambda x: regexp_extract(trim(x),'{D.HEADER}',2)), split_part(block_,' ',2)) THEN type||': '||split_part(block_,' ',2)||' is there already' ELSE '' END ELSE type||': unknown type' END e
+  FROM (SELECT *, hits[1] hit, list_contains(list_transform(ls, lambda x: trim(x)), trim(match)) th FROM (SELECT s.doc, o.* EXCLUDE (doc), s.ls, s.applied, list_filter(s.ls, lambda x: regexp_matches(trim(x),'{_quoted(D.RELATION)}') AND (({_PART(1, 'trim(x)')}=class_a AND {_PART(5, 'trim(x)')}=class_b) OR ({_PART(1, 'trim(x)')}=class_b AND {_PART(5, 'trim(x)')}=class_a)) AND {_READ(f"trim({_PART(6, 'trim(x)')})")}=lab) hits
+   FROM st s JOIN op o ON o.doc=s.doc AND o.pos=s.pos+1 WHERE s.err='')))
+ ) SELECT doc, applied::INTEGER applied, err AS error, sha256(array_to_string(ls,chr(10))) digest FROM st WHERE true QUALIFY row_number() OVER (PARTITION BY doc ORDER BY pos DESC)=1"""
+
+
+@query("edit_lines", EDIT_SQL)
+def edit_lines(spark, d):
+    """Each diagram after its own script of corrections: how many edits were made, what ended the script, and a digest of the lines."""
+    of = lambda s: F.expr(s.replace("//5%2", " div 5 % 2").replace("//", " div "))
+    p = table(spark, d, "part")
+    lines = p.select(of("p_partkey//5").alias("doc"), "p_partkey", F.array(*[of(x) for x in EDITED]).alias("l")).groupBy("doc").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "l"))), lambda x: x["l"])).alias("l"))  # five
+    lines = lines.select("doc", F.when(F.col("doc") % 2 == 0, F.array_append("l", "@enduml")).otherwise(F.col("l")).alias("l"))
+    fields = F.create_map(*[x for n, e in OPS.items() for x in (F.lit(_NAMES.get(n, n)), of(e))])
+    ops = p.where("p_partkey % 2 = 0").select(of("p_partkey//5").alias("doc"), F.struct("p_partkey", F.map_entries(fields).alias("op")).alias("o"))
+    script = ops.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list("o")), lambda x: F.map_from_entries(x["op"])).alias("ops"))  # three at most
+    x = lines.join(script, "doc", "left").select("doc", run_script(F.col("l"), F.col("ops")).alias("x"))
+    return x.select("doc", "x.applied", "x.error", F.sha2(F.array_join("x.lines", "\n"), 256).alias("digest"))
