@@ -100,13 +100,13 @@ def read(lines: DataFrame) -> dict[str, DataFrame]:
     ``issues`` (doc, i, issue, subject): stereotypes that are left out, constraints of ends, notes on a class or a pair (subject: the note; they make no relation where it stands above), lines that aren't understood,
     implicit classes, and diamonds.  A diagram with a diamond is ``unsupported``: it keeps what was read, but gets no implicit classes.
 
-    Null texts and empty tables give nothing; repeated lines count each.  The marked lines are written once, to the shared folder."""
+    Null texts and empty tables give nothing; repeated lines count each.  The marked lines, declarations, relations and implicit classes are written once each, to the shared folder."""
     spark = lines.sparkSession
     x = held(marked(lines))  # read by all four
     part = lambda k: F.regexp_extract("t", HEADER, k)
     head = F.when(part(3) == "interface", "interface").otherwise(F.regexp_replace(part(1), r"\s+", " "))
     heads = x.where("kind = 'header'").select("doc", "i", part(2).alias("name"), head.alias("kind"), part(1).alias("word"), part(3).alias("stereotype"))
-    declared = heads.groupBy("doc", "name").agg(F.max("i").alias("i"), F.max_by("kind", "i").alias("kind"))
+    declared = held(heads.groupBy("doc", "name").agg(F.max("i").alias("i"), F.max_by("kind", "i").alias("kind")))
 
     inner = x.where(F.col("kind").isin("attribute", "method", "value"))
     parsed = [c.alias(n) for c, n in zip(X.parse_attribute(F.col("t")), ("a_name", "a_typ", "a_default", "a_marks"), strict=True)][:2]
@@ -116,27 +116,27 @@ def read(lines: DataFrame) -> dict[str, DataFrame]:
 
     notes = x.where("kind = 'note'").groupBy("doc", F.regexp_extract("t", NOTE, 1).alias("note")).agg(F.min("i").alias("above"))
     forms = {n: F.when(F.col("t").rlike(ASSOCIATION), F.regexp_extract("t", ASSOCIATION, p)).otherwise(F.regexp_extract("t", PAIR_FIRST, q)) for n, p, q in (("label", 1, 3), ("source", 2, 1), ("target", 3, 2))}
-    pairs = x.where("kind = 'association'").select("doc", "i", "t", *[c.alias(n) for n, c in forms.items()]).join(notes.withColumnRenamed("note", "label"), ["doc", "label"], "left")
-    on_pair = F.coalesce(F.col("above") < F.col("i"), F.lit(False))
-    binary = relations(x.where("kind = 'relation'").select("doc", "i", "t"), operators(spark))
-    for side, k in (("s", 1), ("t", 5)):
-        binary = binary.withColumn("note", F.regexp_extract("t", RELATION, k)).join(notes, ["doc", "note"], "left").withColumn(f"on_{side}", F.coalesce(F.col("above") < F.col("i"), F.lit(False))).drop("note", "above")
-    on_class = F.col("on_s") | F.col("on_t")
+    named = F.when(F.col("kind") == "relation", F.array(F.regexp_extract("t", RELATION, 1), F.regexp_extract("t", RELATION, 5))).otherwise(F.array(forms["label"]))
+    noted = x.where(F.col("kind").isin("relation", "association")).select("doc", "i", F.posexplode(named).alias("pos", "note")).join(notes, ["doc", "note"]).where("above < i").groupBy("doc", "i").agg(F.min_by("note", "pos").alias("note"))
     columns = ["doc", "i", "typ", "source", "target", "source_mult", "target_mult", "source_role", "target_role", "label"]
     none = [F.lit("").alias(c) for c in columns[5:9]]
-    links = binary.where(~on_class).select(*columns).unionByName(pairs.where(~on_pair).select("doc", "i", F.lit("association class").alias("typ"), "source", "target", *none, "label"))
+    binary = relations(x.where("kind = 'relation'").select("doc", "i", "t"), operators(spark)).select("t", *columns)
+    pairs = x.where("kind = 'association'").select("t", "doc", "i", F.lit("association class").alias("typ"), forms["source"].alias("source"), forms["target"].alias("target"), *none, forms["label"].alias("label"))
+    ties = held(binary.unionByName(pairs).join(noted, ["doc", "i"], "left"))
+    on_pair = F.col("typ") == "association class"
+    links = ties.where("note is null").select(*columns)
 
     diamonds = x.where("kind = 'diamond'")
     names = links.select("doc", F.explode(F.when(F.col("typ") == "association class", F.array("source", "target", "label")).otherwise(F.array("source", "target"))).alias("name")).distinct()
-    implicit = names.join(declared, ["doc", "name"], "left_anti").join(diamonds.select("doc").distinct(), "doc", "left_anti")
+    implicit = held(names.join(declared, ["doc", "name"], "left_anti").join(diamonds.select("doc").distinct(), "doc", "left_anti"))
 
     issue = lambda df, name, subject: df.select("doc", "i", F.lit(name).alias("issue"), subject.alias("subject"))
     odd = (F.col("stereotype") != "") & (F.col("stereotype") != "interface") & ~((F.col("word") == "enum") & (F.col("stereotype") == "enum"))
     ends = F.explode(F.concat(*[F.regexp_extract_all(F.regexp_extract("t", RELATION, k), F.lit(CONSTRAINT), F.lit(0)) for k in (2, 4)]))
     issues = [
-        issue(heads.where(odd), "stereotype", F.col("stereotype")), issue(diamonds, "unsupported", F.regexp_extract("t", DIAMOND, 1)), issue(pairs.where(on_pair), "note on pair", F.col("label")),
-        issue(binary.where(on_class), "note on class", F.when(F.col("on_s"), F.regexp_extract("t", RELATION, 1)).otherwise(F.regexp_extract("t", RELATION, 5))),
-        issue(binary.where(~on_class).select("doc", "i", ends.alias("end")), "end constraint", F.col("end")), issue(x.where("kind = 'unknown'"), "unknown line", F.col("t")),
+        issue(heads.where(odd), "stereotype", F.col("stereotype")), issue(diamonds, "unsupported", F.regexp_extract("t", DIAMOND, 1)),
+        ties.where("note is not null").select("doc", "i", F.when(on_pair, "note on pair").otherwise("note on class").alias("issue"), F.col("note").alias("subject")),
+        issue(ties.where(F.col("note").isNull() & ~on_pair).select("doc", "i", ends.alias("end")), "end constraint", F.col("end")), issue(x.where("kind = 'unknown'"), "unknown line", F.col("t")),
         issue(implicit.withColumn("i", F.lit(None).cast("int")), "implicit class", F.col("name")),
     ]
     every = issues[0]
