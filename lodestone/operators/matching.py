@@ -109,54 +109,94 @@ def components(edges: DataFrame) -> DataFrame:
         labels = held(closer.join(jump, "c").select("x", F.least("c", "far").alias("c")))
 
 
-def assign(pairs: DataFrame, group: str, threshold: float) -> DataFrame:
-    """(group, a, b, w): the assignment of largest total weight among pairs of at least ``threshold``, in each group (group, a, b, w).
+def transport(cost, supply, demand):
+    """Flow (rows by columns, whole numbers) of least total cost that sends at most ``supply`` of each row and ``demand`` to each column; pairs of infinite cost take none.
 
-    Pairs under the threshold join nothing, so a group falls into connected components of those above it, and the best assignment is that of each component.  A component is solved in one task."""
+    Shortest augmenting paths with potentials, as much as fits along each.  What isn't worth sending goes to a column of no cost and no limit that isn't returned."""
     import numpy as np
-    import pandas as pd
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = sorted(pdf["a"].unique()), sorted(pdf["b"].unique())
-        n = max(len(rows), len(cols))
-        cost = np.zeros((n + 1, n + 1))
-        at_a, at_b = {x: i + 1 for i, x in enumerate(rows)}, {x: j + 1 for j, x in enumerate(cols)}
-        weight = {}
-        for a, b, w in zip(pdf["a"], pdf["b"], pdf["w"], strict=True):
-            if w >= threshold:
-                cost[at_a[a], at_b[b]] = -w
-                weight[a, b] = w
-        # shortest augmenting paths with potentials, one row at a time
-        u, v, of = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, int)
-        for i in range(1, n + 1):
-            of[0], j0 = i, 0
-            least, way, used = np.full(n + 1, np.inf), np.zeros(n + 1, int), np.zeros(n + 1, bool)
+    rows, cols = cost.shape
+    cost = np.concatenate([cost, np.zeros((rows, 1))], axis=1)
+    room = np.append(np.asarray(demand, np.int64), np.iinfo(np.int64).max)
+    flow, u, v = np.zeros((rows, cols + 1), np.int64), np.zeros(rows), np.zeros(cols + 1)
+    for i in range(rows):
+        left = int(supply[i])
+        u[i] = (cost[i] - v).min()
+        while left:
+            dist, origin, done = cost[i] - u[i] - v, np.full(cols + 1, i), np.zeros(cols + 1, bool)
+            at, came, j = {i: 0.0}, {}, -1
+            while j < 0 or not room[j]:
+                j = int(np.where(done, np.inf, dist).argmin())
+                done[j] = True
+                if not room[j]:
+                    for r in np.flatnonzero(flow[:, j]).tolist():
+                        if r not in at:
+                            at[r], came[r] = dist[j], j
+                            step = dist[j] + np.maximum(cost[r] - u[r] - v, 0)
+                            better = ~done & (step < dist)
+                            dist[better], origin[better] = step[better], r
+            v[done] -= dist[j] - dist[done]
+            for r, x in at.items():
+                u[r] += dist[j] - x
+            path, c = [], j
             while True:
-                used[j0] = True
-                i0 = of[j0]
-                free = ~used
-                free[0] = False
-                step = cost[i0] - u[i0] - v
-                better = free & (step < least)
-                least[better], way[better] = step[better], j0
-                j1 = int(np.where(free, least, np.inf).argmin())
-                delta = least[j1]
-                u[of[used]] += delta
-                v[used] -= delta
-                least[free] -= delta
-                j0 = j1
-                if of[j0] == 0:
+                r = int(origin[c])
+                path.append((r, c))
+                if r == i:
                     break
-            while j0:
-                of[j0] = of[way[j0]]
-                j0 = way[j0]
-        made = [(rows[of[j] - 1], cols[j - 1]) for j in range(1, n + 1) if j <= len(cols) and of[j] <= len(rows)]
-        made = [(pdf[group].iloc[0], a, b, weight[a, b]) for a, b in made if (a, b) in weight]
-        return pd.DataFrame(made, columns=[group, "a", "b", "w"])
+                c = came[r]
+            much = min(left, int(room[j]), *[int(flow[r, came[r]]) for r, _ in path[:-1]])
+            for r, c in path:
+                flow[r, c] += much
+                if r != i:
+                    flow[r, came[r]] -= much
+            room[j] -= much
+            left -= much
+    return flow[:, :cols]
+
+
+def assign_kinds(left: DataFrame, right: DataFrame, pairs: DataFrame, group: str, threshold: float) -> DataFrame:
+    """(group, a, b, w): the assignment of largest total weight among pairs of at least ``threshold`` of elements ``left`` (group, a, ka) and ``right`` (group, b, kb), whose weights are those of their kinds, ``pairs`` (group, ka, kb, w).
+
+    Elements of a kind are alike, so only how many of one kind go to each other is to be solved: pairs of kinds under the threshold join nothing, and each connected component of the others is a transport
+    problem, solved in one task over its kinds.  Elements are then numbered within their kinds and meet by their places, so no pair is made that isn't returned."""
+    import numpy as np
+    import pandas as pd
 
-    kept = held(pairs.where(F.col("w") >= threshold).select(group, "a", "b", "w"))
-    name = lambda side: F.to_json(F.struct(F.lit(side).alias("s"), F.col(group).alias("g"), F.col(side).alias("i")))
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        (i, ka), (j, kb) = (pd.factorize(pdf[c], sort=True) for c in ("ka", "kb"))
+        cost, supply, demand = np.full((len(ka), len(kb)), np.inf), np.zeros(len(ka), np.int64), np.zeros(len(kb), np.int64)
+        cost[i, j], supply[i], demand[j] = -pdf["w"], pdf["na"], pdf["nb"]
+        pdf["n"] = transport(cost, supply, demand)[i, j]
+        return pdf.loc[pdf["n"] > 0, [group, "ka", "kb", "w", "n"]]
+
+    def numbered(df: DataFrame, x: str) -> tuple[DataFrame, DataFrame]:
+        """(elements with their places from 0 in their kind, sizes of kinds).  A kind is numbered in 64 parts."""
+        kind = [group, f"k{x}"]
+        df = df.withColumn("part", F.pmod(F.xxhash64(x), F.lit(64)))
+        size = df.groupBy(*kind, "part").agg(F.count(F.lit(1)).alias("n"))
+        before = size.withColumn("before", F.sum("n").over(Window.partitionBy(*kind).orderBy("part")) - F.col("n")).drop("n")
+        place = F.row_number().over(Window.partitionBy(*kind, "part").orderBy(x)) - 1
+        return df.withColumn("place", place).join(before, [*kind, "part"]).withColumn("place", F.col("place") + F.col("before")).drop("part", "before"), size.groupBy(*kind).agg(F.sum("n").alias(f"n{x}"))
+
+    (a, na), (b, nb) = numbered(left, "a"), numbered(right, "b")
+    kept = held(pairs.where(F.col("w") >= threshold).join(na, [group, "ka"]).join(nb, [group, "kb"]).select(group, "ka", "kb", F.col("w").cast("double").alias("w"), "na", "nb"))
+    name = lambda side: F.to_json(F.struct(F.lit(side).alias("s"), F.col(group).alias("g"), F.col(f"k{side}").alias("i")))
     of = components(kept.select(name("a").alias("u"), name("b").alias("v")))
-    kinds = dict(pairs.dtypes)
-    parted = kept.withColumn("x", name("a")).join(of, "x").drop("x")
-    return parted.groupBy("c").applyInPandas(solve, f"{group} {kinds[group]}, a {kinds['a']}, b {kinds['b']}, w double")
+    kinds = dict(kept.dtypes)
+    flow = kept.withColumn("x", name("a")).join(of, "x").drop("x").groupBy("c").applyInPandas(solve, f"{group} {kinds[group]}, ka {kinds['ka']}, kb {kinds['kb']}, w double, n long")
+    start = lambda x, o: F.sum("n").over(Window.partitionBy(group, f"k{x}").orderBy(f"k{o}")) - F.col("n")
+    flow = held(flow.withColumns({"start_a": start("a", "b"), "start_b": start("b", "a")}))
+
+    def placed(df: DataFrame, x: str) -> DataFrame:
+        mine = df.join(flow.select(group, "ka", "kb", "w", "n", F.col(f"start_{x}").alias("start")), [group, f"k{x}"]).where("place >= start and place < start + n")
+        return mine.select(group, "ka", "kb", (F.col("place") - F.col("start")).alias("at"), x, *["w"] * (x == "a"))
+
+    return placed(a, "a").join(placed(b, "b"), [group, "ka", "kb", "at"]).select(group, "a", "b", "w")
+
+
+def assign(pairs: DataFrame, group: str, threshold: float) -> DataFrame:
+    """``assign_kinds`` of elements that are a kind each, from their pairs (group, a, b, w) alone."""
+    kept = held(pairs.where(F.col("w") >= threshold).select(group, "a", "b", "w"))
+    side = lambda x: kept.select(group, x, F.col(x).alias(f"k{x}")).distinct()
+    return assign_kinds(side("a"), side("b"), kept.select(group, F.col("a").alias("ka"), F.col("b").alias("kb"), "w"), group, threshold)
