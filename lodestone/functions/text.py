@@ -17,6 +17,18 @@ DOMAIN_TYPES = {"Guid": "string", "Address": "string", "Phone": "string", "Suppl
 VISIBILITY = r"^[\s+\-#~]+"
 
 
+def rounded_text(x: Column, digits: int) -> Column:
+    """A double rounded on its binary value, halves away from zero, as text in plain digits: the shortest that reads back as it, the sign of zero kept, an exponent below 1e-4 and from 1e16 on."""
+    y = F.abs(x) * 10.0**digits
+    whole = F.when(y < 2.0**52, F.floor(y) + F.when(y - F.floor(y) >= 0.5, 1.0).otherwise(0.0)).otherwise(y)
+    r = F.when(F.isnan(whole) | (whole == float("inf")), F.abs(x)).otherwise(whole / 10.0**digits)
+    tail = lambda s: F.regexp_replace(s, r"(\.\d+?)0+$", "$1")
+    plain = F.when((r < 1e16) & ((r >= 1e-4) | (r == 0)), tail(r.cast("string").try_cast("decimal(38,20)").cast("string")))
+    raised = F.regexp_replace(F.regexp_replace(F.regexp_replace(r.cast("string"), r"\.0E", "E"), r"E(\d)", "e+$1"), r"E-(\d)$", "e-0$1")
+    text = F.when(F.isnan(r), "nan").when(r == float("inf"), "inf").when(plain.isNotNull(), plain).otherwise(F.replace(raised, F.lit("E-"), F.lit("e-")))
+    return F.concat(F.when(x.cast("string").startswith("-"), "-").otherwise(""), text)
+
+
 def norm(x: Column) -> Column:
     """Lower case, digits and letters a-z only."""
     return F.regexp_replace(F.lower(x), "[^0-9a-z]", "")

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import selection
 from ..operators import stats as S
 from ..sources.tables import dimension, table
@@ -351,8 +352,8 @@ def metrics_wide_pivot(spark, d):
 
 @query("round4_export", "SELECT c_custkey, coalesce(round(c_acctbal/7,4)::VARCHAR,'') v, coalesce(nullif(c_mktsegment,'BUILDING'),'') seg FROM customer WHERE c_acctbal/7=round(c_acctbal/7,4) OR true")
 def round4_export(spark, d):
-    """As the CSV sink writes it: four digits, nothing for null."""
-    return table(spark, d, "customer").select("c_custkey", F.coalesce(F.round(F.col("c_acctbal") / 7, 4).cast("string"), F.lit("")).alias("v"), F.coalesce(F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")), F.lit("")).alias("seg"))
+    """Four digits at most, nothing for null.  What rounds to zero from below keeps its sign."""
+    return table(spark, d, "customer").select("c_custkey", F.coalesce(X.rounded_text(F.col("c_acctbal") / 7, 4), F.lit("")).alias("v"), F.coalesce(F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")), F.lit("")).alias("seg"))
 
 
 @query("partial_cells", "WITH c AS (SELECT user_id u, event_type t, count(*) FILTER (value>=50) valid FROM events GROUP BY ALL) SELECT t, count(*) cells, count(*) FILTER (valid<3) partial FROM c GROUP BY 1")

@@ -22,6 +22,12 @@ def against_sql(spark, folder, name, **tables):
     return key(tuple(r) for r in registry.QUERIES[name](spark, str(folder)).select(*cols).collect()), key(c.execute(registry.SQL[name]).fetchall())
 
 
+def test_export_keeps_the_sign_of_zero(spark, tmp_path):
+    x = [0.0, -0.0, -0.0001, 0.0004, -0.005, 0.003, 7e-4, -7e-4, 1.5, 7.0, 1e13, 7e15, 1.25e17, 7e300, None, float("inf"), float("-inf"), float("nan"), *np.round(np.random.default_rng(1).uniform(-999, 9999, 2000), 2)]
+    got, want = against_sql(spark, tmp_path, "round4_export", customer={"c_custkey": list(range(len(x))), "c_acctbal": pa.array([None if v is None else float(v) for v in x], pa.float64()), "c_mktsegment": ["BUILDING" if k % 3 else "AUTO" for k in range(len(x))]})
+    assert got == want
+
+
 def test_boxes_of_many_copies(spark, tmp_path):
     """Ids that repeat, equal boxes, negative sizes and nulls; copies are counted, not paired."""
     r = np.random.default_rng(2)
