@@ -17,6 +17,11 @@ DOMAIN_TYPES = {"Guid": "string", "Address": "string", "Phone": "string", "Suppl
 VISIBILITY = r"^[\s+\-#~]+"
 
 
+def trim_spaces(x: Column) -> Column:
+    """Without Unicode spaces at both ends; tabs and line ends stay."""
+    return F.regexp_replace(x, r"^\p{Zs}+|\p{Zs}+\z", "")
+
+
 def rounded_text(x: Column, digits: int) -> Column:
     """A double rounded on its binary value, halves away from zero, as text in plain digits: the shortest that reads back as it, the sign of zero kept, an exponent below 1e-4 and from 1e16 on."""
     y = F.abs(x) * 10.0**digits

@@ -28,6 +28,12 @@ def test_export_keeps_the_sign_of_zero(spark, tmp_path):
     assert got == want
 
 
+def test_sentences_lose_no_digit_at_their_ends(spark, tmp_path):
+    texts = ["0997523947200283 is a number of twenty. 1 second sentence with a digit 11", "Short.   A sentence between wide spaces here　. \tTab stays at this end of it \t\n", "", None, "one\x01two, which are split apart at this mark! And a last sentence, long enough \n"]
+    got, want = against_sql(spark, tmp_path, "sentence_topk", documents={"doc_id": list(range(len(texts))), "text": texts})
+    assert got == want and ("0997523947200283 is a number of twenty." in [r[2] for r in got])
+
+
 def test_boxes_of_many_copies(spark, tmp_path):
     """Ids that repeat, equal boxes, negative sizes and nulls; copies are counted, not paired."""
     r = np.random.default_rng(2)
