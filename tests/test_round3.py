@@ -34,6 +34,12 @@ def test_sentences_lose_no_digit_at_their_ends(spark, tmp_path):
     assert got == want and ("0997523947200283 is a number of twenty." in [r[2] for r in got])
 
 
+def test_scores_below_a_half_round_down():
+    x = np.array([0.12345649997, 0.1234565, -0.12345649997, -0.1234567, 0.0, np.inf, -np.inf])
+    want = [duckdb.execute("select round(?::double, 6)", [v]).fetchall()[0][0] for v in x.tolist()]
+    assert blockmax.half_up(x, 6).tolist() == want and want[0] == 0.123456
+
+
 def test_boxes_of_many_copies(spark, tmp_path):
     """Ids that repeat, equal boxes, negative sizes and nulls; copies are counted, not paired."""
     r = np.random.default_rng(2)
