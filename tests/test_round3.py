@@ -83,3 +83,13 @@ def test_assignment_of_many_equal_names(spark, tmp_path):
     pq.write_table(pa.table({"p_partkey": np.arange(n), "p_brand": ["B"] * n, "p_name": ["old ring" if k < 30_000 else "new ring" for k in range(n)]}), f"{tmp_path}/part.parquet")
     got = registry.QUERIES["assignment_match"](spark, str(tmp_path))
     assert got.selectExpr("count(*)", "count(distinct a)", "count(distinct b)", "sum(w)").collect()[0][:] == (n // 2, n // 2, n // 2, n / 2)
+
+
+def test_grid_moves_no_tokens(spark, tmp_path):
+    """The documents of the grid are stemmed and scored where they lie: no token is joined or grouped by its document."""
+    from lodestone.functions.stem import stem_lists
+
+    rows = spark.createDataFrame([(1, ["running", "dogs", None]), (2, None), (3, []), (4, ["dogs"])], "id int, w array<string>").coalesce(1)
+    assert [r.s for r in rows.orderBy("id").select(stem_lists(rows["w"]).alias("s")).collect()] == [["run", "dog", None], None, [], ["dog"]]
+    plan = registry.QUERIES["bm25_grid48"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(t#" not in plan
