@@ -93,3 +93,35 @@ def test_grid_moves_no_tokens(spark, tmp_path):
     assert [r.s for r in rows.orderBy("id").select(stem_lists(rows["w"]).alias("s")).collect()] == [["run", "dog", None], None, [], ["dog"]]
     plan = registry.QUERIES["bm25_grid48"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(t#" not in plan
+
+
+def test_a_task_keeps_k_of_a_block_of_vectors():
+    """Blocks in any order, with ties: the first k by (score rounded, smaller id), with their exact scores."""
+    r = np.random.default_rng(6)
+    exact, ids, best = np.round(r.uniform(-1, 1, (7, 500)), 2) + r.uniform(-4e-7, 4e-7, (7, 500)), r.permutation(500), blockmax.Best(7, 6)
+    exact[:, ::9] = -np.inf
+    for lo in range(0, 500, 33):
+        at = np.arange(lo, min(lo + 33, 500))
+        at = at[np.argsort(ids[at])]
+        best.merge_first(exact[:, at], ids[at], 6)
+    for i in range(7):
+        want = np.lexsort((ids, -blockmax.half_up(exact[i], 6)))[:6]
+        assert best.id[i].tolist() == ids[want].tolist() and best.exact[i].tolist() == exact[i][want].tolist()
+
+
+def test_postings_are_made_in_slices(monkeypatch):
+    """Documents of a batch in slices of few tokens score as in one."""
+    r = np.random.default_rng(7)
+    lists = [None if k % 17 == 0 else [f"t{x}" for x in r.integers(0, 30, r.integers(0, 40))] for k in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(r.permutation(200)), pa.array(lists, pa.list_(pa.string()))], ["id", "toks"])
+    sent = blockmax.Sent([{"q": q, "s": 0, "k1": 1.5, "b": 0.75, "avgdl": 20.0, "terms": [{"t": f"t{x}", "w": 1.0 + x} for x in r.integers(0, 30, 5)]} for q in range(6)])
+
+    def first(tokens):
+        monkeypatch.setattr(blockmax, "TOKENS", tokens)
+        best, rows = blockmax.Best(6, 8), [x for _, x, _, _ in blockmax.term_blocks(sent, batch, True)]
+        assert sorted(np.concatenate(rows).tolist()) == list(range(200))
+        blockmax.score_blocks(sent, best, batch)
+        return len(rows), best.id.tolist(), best.score.tolist()
+
+    one, some = first(1 << 20), first(100)
+    assert one[0] == 1 and some[0] > 30 and one[1:] == some[1:]
