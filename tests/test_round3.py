@@ -95,6 +95,21 @@ def test_grid_moves_no_tokens(spark, tmp_path):
     assert "collect_list(t#" not in plan
 
 
+def test_nearest_in_bounded_products(spark, monkeypatch):
+    """Products of a few scores give what one product gives: ties by id, the own id left out, other lengths and bad vectors without a score."""
+    from lodestone.operators import retrieval as R
+
+    r = np.random.default_rng(5)
+    v = [[float(x) for x in r.integers(-2, 3, 4)] for _ in range(300)] + [None, [1.0, 2.0], [0.0] * 4, [float("nan")] * 4]
+    df = spark.createDataFrame(list(enumerate(v)), "id long, v array<double>").repartition(3)
+    q = df.where("id % 10 = 0").withColumnRenamed("id", "q")
+    want = sorted((tuple(x) for x in R.rank(R.nearest(q, df, 5), 5).select("q", "id", "rank", "score").collect()), key=repr)
+    every = sorted((tuple(x) for x in R.rank(R.nearest(q, df), 5).select("q", "id", "rank", "score").collect()), key=repr)
+    assert want == every and len(want) > 100
+    monkeypatch.setattr(blockmax, "CELLS", 64)
+    assert R.nearest(q, df, 5).count() <= 3 * 5 * 31
+
+
 def test_a_task_keeps_k_of_a_block_of_vectors():
     """Blocks in any order, with ties: the first k by (score rounded, smaller id), with their exact scores."""
     r = np.random.default_rng(6)
