@@ -140,3 +140,26 @@ def test_postings_are_made_in_slices(monkeypatch):
 
     one, some = first(1 << 20), first(100)
     assert one[0] == 1 and some[0] > 30 and one[1:] == some[1:]
+
+
+def test_similar_pairs_by_heads(spark):
+    """Vectors with near copies against all pairs, at several thresholds, on one side and between two; a candidate whose heads can't reach the threshold isn't multiplied out."""
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import retrieval as R
+
+    r, docs = np.random.default_rng(8), []
+    for _ in range(60):
+        base = {f"t{int(x)}": float(r.uniform(0.2, 2)) for x in r.integers(0, 120, 25)}
+        docs += [base, {t: w for t, w in base.items() if r.uniform() < 0.8} or base, {**base, f"t{int(r.integers(0, 120))}": 1.0}]
+    docs += [{"t1": 1.0}, {"t1": 2.0}, {"t2": 1.0, "t3": 1.0}]
+    df = {t: sum(t in d for d in docs) for d in docs for t in d}
+    unit = [{t: w / np.sqrt(sum(v * v for v in d.values())) for t, w in d.items()} for d in docs]
+    rows = spark.createDataFrame([(i, t, df[t], float(w)) for i, d in enumerate(unit) for t, w in d.items()], "id long, t string, df long, w double")
+    sims = {(i, j): sum(w * unit[j].get(t, 0) for t, w in d.items()) for i, d in enumerate(unit) for j in range(len(docs)) if i != j}
+    for least, left in ((0.5, None), (0.8, None), (0.95, None), (0.4, F.col("id") < 20)):
+        made = R.similar_pairs(rows, least, left)
+        want = {k for k, x in sims.items() if round(x, 6) >= least and (k[0] < k[1] if left is None else k[0] < 20 <= k[1])}
+        got = {(x.a, x.b) for x in made.collect()}
+        assert got - want == set() and want - got == set() and len(want) > 5
+        assert "sum(both" in made._jdf.queryExecution().optimizedPlan().toString()
