@@ -163,3 +163,10 @@ def test_similar_pairs_by_heads(spark):
         got = {(x.a, x.b) for x in made.collect()}
         assert got - want == set() and want - got == set() and len(want) > 5
         assert "sum(both" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_draws_of_few_and_many_documents(spark, tmp_path):
+    """The first five draws, with fewer documents than a bound is made for, with many, and with a query id that repeats."""
+    for n in (3, 40, 3000):
+        got, want = against_sql(spark, tmp_path, "random_topk", documents={"doc_id": list(range(n)), "text": ["x"] * n}, benchmark={"item_id": [1, 2, 2, 3], "text": ["a", "b", "c", None]})
+        assert got == want and len(got) == 3 * min(n, 5) + (min(2 * n, 5) - min(n, 5))
