@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import retrieval as R
 from ..operators.retrieval import shared_folder
 from ..sources.published import Cache, Published, freeze
 from ..sources.tables import content_digest_of, dimension, frozen_rows, table, verified
@@ -231,17 +232,22 @@ def condition_union(spark, d):
     """The examples of fourteen conditions for the query set (ids divisible by 100), each in the order of its prompt: rankings have the best last, draws as they come, zero_shot none."""
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("bal"), F.col("s_nationkey").alias("nat"))
     qs = s.where("id % 100 = 0").select(F.col("id").alias("q"), F.col("bal").alias("q_bal"), F.col("nat").alias("q_nat"))
-    pairs = s.crossJoin(qs).where("id <> q")
-    w = Window.partitionBy("q")
+    # every ranking but the draws is by the distance of a number of the pool from the query's
+    x = {"bm25": "bal", "dense": "id%97", "oracle": "nat", "oracle_jt": "nat%5", "struct": "id%13", "construct": "id%7"}
+    pool = {n: s.select("id", F.expr(e).cast("double").alias("x")) for n, e in x.items()}
+    asked = {n: qs.select("q", F.lit(0).alias("s"), "q_bal", "q_nat").select("q", "s", F.expr(e.replace("id", "q").replace("nat", "q_nat").replace("bal", "q_bal")).cast("double").alias("x")) for n, e in x.items()}
+    firsts = lambda df, order: df.select("q", "id", F.row_number().over(Window.partitionBy("q").orderBy(order, "id")).alias("r")).where(F.col("r") <= EXAMPLES)  # noqa: E731  # of some rows a query
 
     def ranked(name):
-        key = F.expr(NEARNESS[name][1])
-        return pairs.select("q", "id", F.row_number().over(w.orderBy(key if name == "random" else key.desc(), "id")).alias("r"))
+        if name == "random":
+            drawn = R.draws(s, qs, F.sha2(F.concat("q", F.lit("|"), "id"), 256), EXAMPLES)
+            return firsts(drawn, F.col("h"))
+        return R.blockmax.top(R.spread(pool[name]), asked[name], EXAMPLES, own=False, digits=None).select("q", "id", F.col("rank").alias("r"))
 
     def fused(name):
-        a, b = (ranked(n) for n in FUSED[name])
-        score = F.round(1.0 / (60 + F.col("r")) + 1.0 / (60 + F.col("o")), 9)
-        return a.join(b.withColumnRenamed("r", "o"), ["q", "id"]).select("q", "id", F.row_number().over(w.orderBy(score.desc(), "id")).alias("r"))
+        a, b = FUSED[name]
+        score = R.fused([R.spread(pool[a]), R.spread(pool[b])], [asked[a], asked[b]], EXAMPLES, own=False, digits=None)
+        return firsts(score, F.round("score", 9).desc())
 
     def branch(df, cond, pos, view="raw"):
         return df.select("q", F.lit(cond).alias("cond"), "id", pos.cast("int").alias("pos"), F.lit(view).alias("view_"))
