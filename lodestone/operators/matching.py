@@ -28,6 +28,26 @@ def match_passes(gold: DataFrame, found: DataFrame, group: list[str], passes: li
     return out
 
 
+def mates(rows: DataFrame, gold: str, group: list[str], passes: list[list[str]], order: list[str]) -> DataFrame:
+    """``rows`` of both sides (``gold`` tells them apart) with pass and mate, the row that each is paired with as ``match_passes`` pairs them, or null.
+
+    All windows lie within ``group``, so rows are shuffled once by it and nothing is joined back.  Rows with a null key have no mate in that pass."""
+    own = F.struct(*rows.columns)
+    out = rows.withColumns({"pass": F.lit(None).cast("int"), "mate": F.when(F.lit(False), own)})
+    kept = out.columns
+    for number, keys in enumerate(passes, 1):
+        by = [*group, *keys]
+        some = F.lit(True)
+        for k in by:
+            some = some & F.col(k).isNotNull()
+        out = out.withColumn("free", F.col("pass").isNull() & some)
+        out = out.withColumn("n", F.row_number().over(Window.partitionBy(*by, gold, "free").orderBy(*order)))
+        side = lambda wanted: F.max(F.when(F.col(gold) if wanted else ~F.col(gold), own)).over(Window.partitionBy(*by, "n", "free"))  # noqa: E731, B023  # one row of each side
+        out = out.withColumns({"one": side(True), "two": side(False)}).withColumn("met", F.col("free") & F.col("one").isNotNull() & F.col("two").isNotNull())
+        out = out.withColumns({"pass": F.when(F.col("met"), number).otherwise(F.col("pass")), "mate": F.when(F.col("met"), F.when(F.col(gold), F.col("two")).otherwise(F.col("one"))).otherwise(F.col("mate"))}).select(*kept)
+    return out
+
+
 def key_counts(gold: DataFrame, found: DataFrame, group: list[str], key: list[str]) -> DataFrame:
     """(group..., tp, fp, fn) of two multisets of keys."""
     side = lambda df, g, f: df.select(*group, *key, F.lit(g).alias("g"), F.lit(f).alias("f"))
