@@ -10,7 +10,7 @@ from ..functions import responses as A
 from ..functions import scan
 from ..functions import text as X
 from ..operators.diagrams import ASSOCIATION, HEADER, ID, KIND, OPERATORS, RELATION, blocks, operators, relations
-from ..sources.tables import dimension, table
+from ..sources.tables import dealt, dimension, table
 from .registry import query
 
 #: Responses made of the turns of conversations, in an SQL that both engines read; a turn's own signs of structure are taken out, so that what must be found is known.
@@ -127,9 +127,10 @@ _STYLE = f"""{_NONE('nodes', 'n', f"NOT ({_NONE('list_transform(' + _LIST('n', '
   how AS extraction, CASE WHEN lvl>=3 THEN n ELSE 0 END::INTEGER rewrites FROM lv""")
 def level_ladder(spark, d):
     """Levels build on each other: found, an object, schema, integrity, style; the failure names what stops a response."""
-    x = table(spark, d, "customer").select("c_custkey", F.expr(ANSWER).alias("t"), F.expr(CUT_OFF).alias("c")).withColumn("t", strip(F.col("t")))
-    x = x.withColumn("x", A.json_of(F.col("t"))).select("c_custkey", F.col("x.method").alias("extraction"), A.level(F.col("t"), F.col("x.json"), F.col("c")).alias("l"))
-    return x.select("c_custkey", "l.lvl", "l.failure", "extraction", "l.rewrites")
+    rows = dealt(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+    x = rows.select("c_custkey", strip(F.expr(ANSWER)).alias("t"), F.expr(CUT_OFF).alias("cut_off"))
+    x = x.withColumn("x", A.json_of(F.col("t"))).select("c_custkey", "t", "cut_off", "x.json", F.col("x.method").alias("extraction"))
+    return A.levels(x).select("c_custkey", "lvl", "failure", "extraction", "rewrites")
 
 
 MEMBER = "CASE p_partkey%7 WHEN 0 THEN 'size(): '||p_type WHEN 1 THEN '+ get(a, b) : int' WHEN 2 THEN 'run_'||p_size||' ( x )' WHEN 3 THEN '- hide()' WHEN 4 THEN 'no brackets' WHEN 5 THEN '9lives()' ELSE '' END"
