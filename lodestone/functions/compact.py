@@ -4,11 +4,11 @@ Records are VARIANT; classes and relations become rows, what is wrong with one i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.retrieval import held
-from .responses import decodes, items, kind, text
+from .responses import decoded, once
 
 # Kinds of classes, the keys of a class, the edge type and family of each relation type, and each family's keys by the field that they fill (ends first).
 KINDS = ["class", "abstract class", "enum", "interface"]
@@ -26,10 +26,6 @@ FAMILIES = {
 KNOWN = sorted({k for keys in FAMILIES.values() for k in keys})
 
 
-def _keys(x: Column) -> Column:
-    return F.coalesce(F.json_object_keys(F.to_json(x)), F.array().cast("array<string>"))
-
-
 def _type(x: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.schema_of_variant(x), r"^\w+", 0), F.lit(""))
 
@@ -43,13 +39,117 @@ def _times(names: Column, category: str) -> Column:
     return F.transform(names, lambda n: F.lit(category))
 
 
-def _good(x: Column) -> Column:
-    return (kind(x, "$") == "STRING") & (F.trim(text(x, "$")) != "")
+def _map(x: Column) -> Column:
+    """An object's values by key; null for anything else."""
+    return F.try_variant_get(x, "$", "map<string,variant>")
+
+
+def _list(x: Column) -> Column:
+    return F.try_variant_get(x, "$", "array<variant>")
+
+
+def _word(x: Column) -> Column:
+    """Type and text of a value, its type empty where there is none."""
+    return F.struct(_type(x).alias("kind"), F.try_variant_get(x, "$", "string").alias("text"))
 
 
-def _empty(x: Column, path: str) -> Column:
+def _empty(w: Column) -> Column:
     """Missing, null, or an empty text."""
-    return kind(x, path).isin("", "VOID") | ((kind(x, path) == "STRING") & (text(x, path) == ""))
+    return w["kind"].isin("", "VOID") | ((w["kind"] == "STRING") & (w["text"] == ""))
+
+
+def _texts(x: Column) -> Column:
+    """The elements of a list that are texts with something in them, null for the others; whether there is a list, and whether something else stands in its place."""
+    good = lambda e: once(_word(e), lambda w: F.when((w["kind"] == "STRING") & (F.trim(w["text"]) != ""), w["text"]))
+    made = lambda l: F.struct(F.coalesce(F.transform(l, good), F.array().cast("array<string>")).alias("texts"), F.when(l.isNull(), ~_empty(_word(x))).otherwise(F.lit(False)).alias("other"))
+    return once(once(_list(x), made), lambda t: F.struct(F.array_compact(t["texts"]).alias("good"), F.filter(t["texts"], lambda e: e.isNull()).alias("bad"), t["other"].alias("other")))
+
+
+def _class(c: Column) -> Column:
+    """(named, valid, name, kind, members, methods, keys, inner) of a class: keys and inner are its issues."""
+    lists = ("attributes", "methods", "values")
+
+    def parts(m):
+        at = lambda k: F.try_element_at(m, F.lit(k))
+        keys = F.filter(F.coalesce(F.map_keys(m), F.array().cast("array<string>")), lambda k: ~k.isin(CLASS_KEYS))
+        return F.struct(_word(at("name")).alias("name"), _word(at("kind")).alias("kind"), _times(keys, "class key").alias("keys"), *[_texts(at(k)).alias(k) for k in lists])
+
+    def judged(x):
+        name, typ = x["name"], F.when(_empty(x["kind"]), "class").when(x["kind"]["kind"] == "STRING", x["kind"]["text"]).otherwise("?")
+        return F.struct(F.coalesce((name["kind"] == "STRING") & (F.trim(name["text"]) != ""), F.lit(False)).alias("named"), name["text"].alias("name"), typ.alias("kind"), x.alias("x"))
+
+    def whole(y):
+        x, listing = y["x"], y["kind"] == "enum"
+        inner = [i for k in lists for i in (_issue(x[k]["other"], f"{k} not a list"), _times(x[k]["bad"], f"element of {k}"))]
+        inner += [_issue(listing & (F.size(x[k]["good"]) > 0), f"enum with {k}") for k in ("attributes", "methods")] + [_issue(~listing & (F.size(x["values"]["good"]) > 0), "values without an enum")]
+        members = F.when(listing, x["values"]["good"]).otherwise(x["attributes"]["good"])
+        methods = F.when(listing, F.array().cast("array<string>")).otherwise(x["methods"]["good"])
+        return F.struct(y["named"], (y["named"] & y["kind"].isin(KINDS)).alias("valid"), y["name"], y["kind"], members.alias("members"), methods.alias("methods"), x["keys"].alias("keys"), F.concat(*inner).alias("inner"))
+
+    return once(once(once(_map(c), parts), judged), whole)
+
+
+def _relation(r: Column, pos: Column, names: Column) -> Column:
+    """(pos, typ, FIELDS, kept, issues) of a relation; ``names`` are those of its record's classes."""
+    table = lambda rows: F.create_map(*[F.lit(x) if isinstance(x, str) else x for p in rows for x in p])
+
+    def begun(m):
+        rel = once(_word(F.try_element_at(m, F.lit("type"))), lambda w: F.when(w["kind"] == "STRING", w["text"]))
+        return once(rel, lambda t: F.struct(m.alias("m"), t.alias("rel"), F.try_element_at(table([(k, f) for k, (_, f) in TYPES.items()]), t).alias("family")))
+
+    def read(x):
+        own = F.try_element_at(table([(k, F.array(*map(F.lit, v))) for k, v in FAMILIES.items()]), x["family"])
+        part = lambda k: _word(F.try_element_at(x["m"], k))
+        others = F.filter(F.map_keys(x["m"]), lambda k: (k != "type") & ~F.array_contains(own, k) & ~(k.isin(KNOWN) & _empty(part(k))))
+        return F.struct(x["rel"], x["family"], F.transform(own, part).alias("f"), others.alias("others"))
+
+    def ended(x):
+        at = lambda i: F.get(x["f"], F.lit(i))
+        end = lambda i: F.when(at(i)["kind"] == "STRING", F.nullif(at(i)["text"], F.lit("")))
+        values = [F.coalesce(F.when(at(i)["kind"] == "STRING", at(i)["text"]), F.lit("")).alias(n) for i, n in enumerate(FIELDS) if i > 1]
+        odd = _times(F.filter(F.slice(x["f"], 3, len(FIELDS)), lambda p: ~p["kind"].isin("", "VOID", "STRING")), "value not text")
+        return F.struct(x["rel"], x["family"], x["others"], end(0).alias("source"), end(1).alias("target"), *values, odd.alias("odd"))
+
+    def judged(x):
+        declared = F.array_contains(names, x["source"]) & F.array_contains(names, x["target"])
+        return F.struct(x.alias("x"), (x["source"].isNotNull() & x["target"].isNotNull()).alias("ends"), F.coalesce(declared, F.lit(False)).alias("declared"))
+
+    def whole(y):
+        x = y["x"]
+        keys = _times(x["others"], "relation key")
+        issues = (
+            F.when(x["family"].isNull(), F.array(F.lit("relation type"))).when(~y["ends"], F.array(F.when(F.exists(x["others"], lambda k: k.isin(KNOWN)), "ends of another family").otherwise("end missing")))
+            .when(~y["declared"], F.concat(keys, F.array(F.lit("undeclared class")))).otherwise(F.concat(keys, x["odd"]))
+        )
+        edge = F.try_element_at(table([(k, t) for k, (t, _) in TYPES.items()]), x["rel"])
+        return F.struct(pos.alias("pos"), edge.alias("typ"), *[x[n] for n in FIELDS], (x["family"].isNotNull() & y["ends"] & y["declared"]).alias("kept"), issues.alias("issues"))
+
+    return once(once(once(once(once(_map(r), begun), read), ended), judged), whole)
+
+
+def judged_records(records: DataFrame) -> DataFrame:
+    """(id, issues, classes, relations) of ``records`` (id, t), a row each: issues of the record itself; classes (pos, name, kind, members, methods, kept, issues) and relations (pos, typ, FIELDS, kept, issues) as arrays.
+
+    Each step is a column of its own, made once; nothing is shuffled, as all that a class or relation is judged by is in its record.  A record's row, and a name's first place, are found within it."""
+    m, c, names = F.col("m"), F.col("c"), F.col("names")
+    x = records.select("id", decoded(F.coalesce("t", F.lit(""))).alias("v")).withColumn("m", _map(F.col("v")))
+    x = x.withColumns({"cs": _list(F.try_element_at(m, F.lit("classes"))), "rs": F.try_element_at(m, F.lit("relations"))})
+    loose = _list(F.col("rs")).isNull() & ~_empty(_word(F.col("rs")))
+    extra = _times(F.filter(F.map_keys(m), lambda k: ~k.isin("classes", "relations")), "top-level key")
+    top = F.when(F.col("cs").isNull(), F.array(F.lit("no class list"))).otherwise(_issue(loose, "relations not a list"))
+    x = x.withColumn("issues", F.when(F.col("v").isNull(), F.array(F.lit("not json"))).when(m.isNull(), F.array(F.lit("not an object"))).otherwise(F.concat(extra, top)))
+    x = x.select("id", "issues", F.transform("cs", _class).alias("c"), F.when(F.col("cs").isNotNull(), _list(F.col("rs"))).alias("rs"))
+    x = x.withColumn("names", F.transform(c, lambda k: F.when(k["valid"], k["name"])))
+
+    def judged(k, i):
+        kept = k["valid"] & (F.array_position(names, k["name"]) == i + 1)
+        issues = (
+            F.when(~k["named"], F.array(F.lit("class without a name"))).when(~k["valid"], F.concat(k["keys"], F.array(F.lit("class kind"))))
+            .when(~kept, F.concat(k["keys"], F.array(F.lit("class repeated")))).otherwise(F.concat(k["keys"], k["inner"]))
+        )
+        return F.struct(i.alias("pos"), k["name"], k["kind"], k["members"], k["methods"], F.coalesce(kept, F.lit(False)).alias("kept"), issues.alias("issues"))
+
+    return x.select("id", "issues", F.transform(c, judged).alias("classes"), F.transform("rs", lambda r, i: _relation(r, i, names)).alias("relations"))
 
 
 def read_compact(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -57,66 +157,18 @@ def read_compact(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     classes: id, pos, name, kind, members, methods.  relations: id, pos, typ and FIELDS, directed as the edge types are.  issues: id, part (record, class or relation), pos, issue.  Places count from 0 within their list.  A record that is
     no JSON object or has no list of classes gives an issue alone; keys that are there but empty are no issue."""
-    v = records.select("id", F.when(decodes(F.coalesce("t", F.lit(""))), F.try_parse_json("t")).alias("v"))
-    v = v.withColumn("top", F.when(F.col("v").isNull(), "not json").when(kind(F.col("v"), "$") != "OBJECT", "not an object").when(kind(F.col("v"), "$.classes") != "ARRAY", "no class list"))
-    fine = v.where("top is null")
-    loose = (kind(F.col("v"), "$.relations") != "ARRAY") & ~_empty(F.col("v"), "$.relations")
-    extra = F.filter(_keys(F.col("v")), lambda k: ~k.isin("classes", "relations"))
-    whole = v.select("id", F.when(F.col("top") == "not json", F.array("top")).when(F.col("top") == "not an object", F.array("top")).otherwise(F.concat(_times(extra, "top-level key"), _issue(F.col("top").isNotNull(), F.col("top")), _issue(F.col("top").isNull() & loose, "relations not a list"))).alias("issues"))
-
-    c = F.col("c")
-    x = fine.select("id", F.posexplode(items(F.col("v"), "$.classes")).alias("pos", "c"))
-    named = (kind(c, "$") == "OBJECT") & (kind(c, "$.name") == "STRING") & (F.trim(text(c, "$.name")) != "")
-    typ = F.when(_empty(c, "$.kind"), "class").when(kind(c, "$.kind") == "STRING", text(c, "$.kind")).otherwise("?")
-    x = x.withColumns({"named": F.coalesce(named, F.lit(False)), "name": text(c, "$.name"), "kind": typ})
-    x = x.withColumn("valid", F.col("named") & F.col("kind").isin(KINDS))
-    x = x.withColumn("n", F.sum(F.col("valid").cast("int")).over(Window.partitionBy("id", "name").orderBy("pos")))
-    x = x.withColumn("kept", F.col("valid") & (F.col("n") == 1))
-    lists = {k: F.when(kind(c, f"$.{k}") == "ARRAY", items(c, f"$.{k}")).otherwise(F.array().cast("array<variant>")) for k in ("attributes", "methods", "values")}
-    good = {k: F.transform(F.filter(a, _good), lambda e: text(e, "$")) for k, a in lists.items()}
-    inner = [F.array().cast("array<string>")]
-    for k, a in lists.items():
-        inner += [_issue((kind(c, f"$.{k}") != "ARRAY") & ~_empty(c, f"$.{k}"), f"{k} not a list"), _times(F.filter(a, lambda e: ~_good(e)), f"element of {k}")]
-    listing = F.col("kind") == "enum"
-    inner += [_issue(listing & (F.size(good[k]) > 0), f"enum with {k}") for k in ("attributes", "methods")] + [_issue(~listing & (F.size(good["values"]) > 0), "values without an enum")]
-    keys = _times(F.filter(_keys(c), lambda k: ~k.isin(CLASS_KEYS)), "class key")
-    of_class = (
-        F.when(~F.col("named"), F.array(F.lit("class without a name"))).when(~F.col("kind").isin(KINDS), F.concat(keys, F.array(F.lit("class kind"))))
-        .when(~F.col("kept"), F.concat(keys, F.array(F.lit("class repeated")))).otherwise(F.concat(keys, *inner))
-    )
-    x = x.withColumn("issues", of_class)
-    classes = x.where("kept").select("id", "pos", "name", "kind", F.when(listing, good["values"]).otherwise(good["attributes"]).alias("members"), F.when(listing, F.array().cast("array<string>")).otherwise(good["methods"]).alias("methods"))
-
-    r = F.col("r")
-    y = fine.select("id", F.posexplode(items(F.col("v"), "$.relations")).alias("pos", "r"))
-    y = y.join(x.where("kept").groupBy("id").agg(F.collect_list("name").alias("names")), "id", "left")  # a record's own names
-    y = y.withColumn("m", F.when(kind(r, "$") == "OBJECT", F.try_variant_get(r, "$", "map<string,variant>")))
-    part = lambda k: F.struct(_type(F.try_element_at("m", k)).alias("kind"), F.try_variant_get(F.try_element_at("m", k), "$", "string").alias("text"))
-    y = y.withColumn("rel", part(F.lit("type"))).withColumn("rel", F.when(F.col("rel.kind") == "STRING", F.col("rel.text")))
-    table = lambda rows: F.create_map(*[x for k, v in rows for x in (F.lit(k), v)])
-    y = y.withColumn("family", F.try_element_at(table([(k, F.lit(f)) for k, (_, f) in TYPES.items()]), F.col("rel")))
-    y = y.withColumn("own", F.try_element_at(table([(k, F.array(*map(F.lit, v))) for k, v in FAMILIES.items()]), F.col("family")))
-    y = y.withColumn("f", F.transform("own", part))
-    empty = lambda p: p["kind"].isin("", "VOID") | ((p["kind"] == "STRING") & (p["text"] == ""))
-    y = y.withColumn("others", F.filter(F.map_keys("m"), lambda k: (k != "type") & ~F.array_contains("own", k) & ~(k.isin(KNOWN) & empty(part(k)))))
-    at = lambda i: F.get("f", F.lit(i))
-    end = lambda i: F.when(at(i)["kind"] == "STRING", F.nullif(at(i)["text"], F.lit("")))
-    y = y.withColumns({"source": end(0), "target": end(1)})
-    ends = F.col("source").isNotNull() & F.col("target").isNotNull()
-    declared = lambda e: F.coalesce(F.array_contains("names", F.col(e)), F.lit(False))
-    values = {n: F.coalesce(F.when(at(i)["kind"] == "STRING", at(i)["text"]), F.lit("")) for i, n in enumerate(FIELDS) if i > 1}
-    odd = _times(F.filter(F.slice("f", 3, len(FIELDS)), lambda p: ~p["kind"].isin("", "VOID", "STRING")), "value not text")
-    of_relation = (
-        F.when(F.col("family").isNull(), F.array(F.lit("relation type"))).when(~ends, F.array(F.when(F.exists("others", lambda k: k.isin(KNOWN)), "ends of another family").otherwise("end missing")))
-        .when(~(declared("source") & declared("target")), F.concat(_times(F.col("others"), "relation key"), F.array(F.lit("undeclared class")))).otherwise(F.concat(_times(F.col("others"), "relation key"), odd))
-    )
-    y = y.withColumns({"issues": of_relation, "kept": F.col("family").isNotNull() & ends & declared("source") & declared("target"), **values})
-    edge = F.try_element_at(table([(k, F.lit(t)) for k, (t, _) in TYPES.items()]), F.col("rel"))
-    relations = y.where("kept").select("id", "pos", edge.alias("typ"), *FIELDS)
-
-    each = lambda df, part, pos: df.select("id", F.lit(part).alias("part"), pos.alias("pos"), F.explode("issues").alias("issue"))
-    issues = each(whole, "record", F.lit(0)).unionByName(each(x, "class", F.col("pos"))).unionByName(each(y, "relation", F.col("pos")))
-    return classes, relations, issues
+    x = judged_records(records)
+    rows = lambda k: x.select("id", F.explode(k).alias("x")).select("id", "x.*").where("kept")
+    issues = x.select("id", F.explode(issue_rows()).alias("x")).select("id", "x.*")
+    return rows("classes").select("id", "pos", "name", "kind", "members", "methods"), rows("relations").select("id", "pos", "typ", *FIELDS), issues
+
+
+def issue_rows() -> Column:
+    """(part, pos, issue) of all issues of a judged record."""
+    one = lambda part, pos: lambda i: F.struct(F.lit(part).alias("part"), pos.alias("pos"), i.alias("issue"))
+    each = lambda part, k: F.flatten(F.transform(k, lambda x: F.transform(x["issues"], one(part, x["pos"]))))
+    lists = F.array(F.transform("issues", one("record", F.lit(0))), each("class", "classes"), each("relation", "relations"))
+    return F.flatten(F.array_compact(lists))
 
 
 def leaves(records: DataFrame) -> DataFrame:

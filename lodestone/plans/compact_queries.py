@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import compact as C
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 from .registry import query
 
 #: A record of each part, in an SQL that both engines read.
@@ -50,12 +50,15 @@ _LISTED = lambda k: f"array_to_string(list_transform(list_filter({_ARR('c', k)},
  UNION ALL SELECT id, 'issue', 0, issue, 'record', '' FROM wi UNION ALL SELECT id, 'issue', pos, issue, 'class', '' FROM ci UNION ALL SELECT id, 'issue', pos, issue, 'relation', '' FROM ri""")
 def compact_read(spark, d):
     """Classes and relations that a tolerant reader keeps of each record, and all issues of what it doesn't."""
-    classes, relations, issues = C.read_compact(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr(RECORD).alias("t")))
-    row = lambda df, what, a, b, c: df.select(F.col("id").alias("p_partkey"), F.lit(what).alias("what"), "pos", a.alias("a"), b.alias("b"), c.alias("c"))
+    x = C.judged_records(dealt(table(spark, d, "part").select("p_partkey", "p_size", "p_brand")).select(F.col("p_partkey").alias("id"), F.expr(RECORD).alias("t")))
+    row = lambda what, pos, a, b, c: F.struct(F.lit(what).alias("what"), pos.alias("pos"), a.alias("a"), b.alias("b"), c.alias("c"))
     listed = lambda c: F.array_join(c, ";")
-    out = row(classes, "class", F.concat_ws(" ", "name", "kind"), listed("members"), listed("methods"))
-    out = out.unionByName(row(relations, "relation", F.col("typ"), F.concat_ws(">", "source", "target"), F.concat_ws(";", *C.FIELDS[2:])))
-    return out.unionByName(row(issues, "issue", F.col("issue"), F.col("part"), F.lit("")))
+    kept = lambda k, f: F.transform(F.filter(k, lambda x: x["kept"]), f)
+    classes = kept("classes", lambda x: row("class", x["pos"], F.concat_ws(" ", x["name"], x["kind"]), listed(x["members"]), listed(x["methods"])))
+    relations = kept("relations", lambda x: row("relation", x["pos"], x["typ"], F.concat_ws(">", x["source"], x["target"]), F.concat_ws(";", *[x[k] for k in C.FIELDS[2:]])))
+    issues = F.transform(C.issue_rows(), lambda x: row("issue", x["pos"], x["issue"], x["part"], F.lit("")))
+    rows = F.flatten(F.array_compact(F.array(classes, relations, issues)))
+    return x.select(F.col("id").alias("p_partkey"), F.explode(rows).alias("x")).select("p_partkey", "x.*")
 
 
 BEFORE = """'{"id":'||p_partkey||',"name":"'||p_brand||'","tags":["'||p_name||'",'||p_size||'],"deep":{"a":{"b":['||p_size%3||',{"c":"'||p_type||'"}]}},"gone":'||CASE WHEN p_partkey%3=0 THEN 'null' ELSE '1' END||'}'"""
