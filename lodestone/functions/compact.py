@@ -171,34 +171,37 @@ def issue_rows() -> Column:
     return F.flatten(F.array_compact(lists))
 
 
-def leaves(records: DataFrame) -> DataFrame:
-    """(id, path, value) of ``records`` (id, v: VARIANT): a row for each scalar, and for each object and array one with its sign (and length).
+def _inside(x: Column) -> Column:
+    """(key as a path tells it, value) of what an object or array holds; null for anything else."""
+    named = F.transform(F.map_entries(_map(x)), lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("k"), e["value"].alias("v")))
+    placed = F.transform(_list(x), lambda y, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("k"), y.alias("v")))
+    return F.coalesce(named, placed)
 
-    Each level of nesting is exploded into the next, written, and the last is the one where nothing is left to explode; nothing but the rows' own parts moves."""
-    at = records.select("id", F.lit("$").alias("path"), F.col("v"))
+
+def _sign(x: Column, text: Column) -> Column:
+    """What a value is compared by before what it holds: a scalar's ``text``, an object's sign, an array's sign and length."""
+    return F.when(text.startswith("{"), "{}").when(text.startswith("["), F.concat(F.lit("[] "), F.size(_list(x)).cast("string"))).otherwise(text)
+
+
+def json_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, path, change) where records (id, v: VARIANT) of equal id differ: added, removed or changed (another value, type or length).
+
+    Below a path that only one side has, or where a type or an array's length differs, nothing more is told.  Records meet once; each level of nesting is then a step of both sides together, of which only what differs in text and is
+    alike in type and length goes on, and the last is the one where nothing does."""
+    side = lambda df, k: df.select("id", F.struct("v").alias(k))
+    at = side(a, "a").join(side(b, "b"), "id", "full").select("id", F.lit("$").alias("path"), "a", "b")
+    one, two = F.col("a.v"), F.col("b.v")
     out = None
     while True:
-        what = _type(F.col("v"))
-        sign = F.when(what == "OBJECT", "{}").when(what == "ARRAY", F.concat(F.lit("[] "), F.size(F.try_variant_get("v", "$", "array<variant>")).cast("string"))).otherwise(F.to_json("v"))
-        here = at.select("id", "path", F.coalesce(sign, F.lit("null")).alias("value"))
+        at = at.withColumns({"s": F.coalesce(F.to_json(one), F.lit("null")), "t": F.coalesce(F.to_json(two), F.lit("null"))}).where("a is null or b is null or s <> t")
+        change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(_sign(one, F.col("s")) != _sign(two, F.col("t")), "changed")
+        at = held(at.withColumn("change", change).drop("s", "t"))
+        here = at.where("change is not null").select("id", "path", "change")
         out = here if out is None else out.unionByName(here)
-        named = F.transform(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>")), lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("k"), e["value"].alias("v")))
-        placed = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("k"), x.alias("v")))
-        inner = at.select("id", "path", F.explode(F.when(what == "OBJECT", named).when(what == "ARRAY", placed)).alias("x"))
-        at = held(inner.select("id", F.concat("path", "x.k").alias("path"), F.col("x.v").alias("v")))
-        if at.isEmpty():
+        deep = at.where("change is null")
+        if deep.isEmpty():
             return out
-
-
-def json_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(id, path, change) where records of equal id differ: added, removed or changed (another value, type or length), by a full outer join of their leaves.
-
-    Below a path that only one side has, or where a type or an array's length differs, nothing more is told."""
-    one, two = leaves(a), leaves(b).withColumnsRenamed({"value": "other"})
-    both = one.join(two, ["id", "path"], "full").where(~F.col("value").eqNullSafe(F.col("other")))
-    d = both.select("id", "path", F.when(F.col("value").isNull(), "added").when(F.col("other").isNull(), "removed").otherwise("changed").alias("change"))
-    above = d.select("id", F.col("path").alias("above"))
-    up = F.transform(F.sequence(F.lit(1), F.length("path")), lambda i: F.when(F.substring(F.col("path"), i, F.lit(1)).isin(".", "["), F.substring(F.col("path"), F.lit(1), i - 1)))
-    parents = d.select("id", "path", F.explode(F.array_compact(up)).alias("above"))  # as many as the path is deep
-    covered = parents.join(above, ["id", "above"], "left_semi").select("id", "path").distinct()
-    return d.join(covered, ["id", "path"], "left_anti")
+        keyed = lambda v: F.map_from_entries(F.transform(F.coalesce(_inside(v), F.array().cast("array<struct<k:string,v:variant>>")), lambda e: F.struct(e["k"], F.struct(e["v"].alias("v")))))
+        pairs = deep.select("id", "path", keyed(one).alias("l"), keyed(two).alias("r"))
+        pairs = pairs.select("id", "path", "l", "r", F.explode(F.array_union(F.map_keys("l"), F.map_keys("r"))).alias("k"))
+        at = pairs.select("id", F.concat("path", "k").alias("path"), F.try_element_at("l", F.col("k")).alias("a"), F.try_element_at("r", F.col("k")).alias("b"))

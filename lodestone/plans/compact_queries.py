@@ -71,5 +71,6 @@ AFTER = """'{"id":'||p_partkey||',"name":"'||CASE WHEN p_partkey%4=0 THEN 'other
  SELECT p_partkey, x.p path, x.c change FROM d WHERE x.c IS NOT NULL""")
 def json_diff(spark, d):
     """Where two versions of each part's record differ."""
-    version = lambda sql: table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.parse_json(F.expr(sql)).alias("v"))
+    rows = dealt(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
+    version = lambda sql: rows.select(F.col("p_partkey").alias("id"), F.parse_json(F.expr(sql)).alias("v"))
     return C.json_diff(version(BEFORE), version(AFTER)).withColumnRenamed("id", "p_partkey")
