@@ -12,7 +12,7 @@ def match_passes(gold: DataFrame, found: DataFrame, group: list[str], passes: li
     """(group..., gid, fid, pass): pairs of a gold and a found element, each used once.
 
     In each pass elements of equal keys are paired by their place in ``order``; what is left goes on to the next pass.  Pairing the n-th with the n-th equals the
-    greedy choice of the first free partner, so no loop over rows is needed."""
+    greedy choice of the first free partner, so no loop over rows is needed.  Both sides grow with the input, so they meet by a shuffle: a side that is sent to all tasks goes through the driver."""
     out = None
     left_g, left_f = gold, found
     for number, keys in enumerate(passes, 1):
@@ -20,11 +20,11 @@ def match_passes(gold: DataFrame, found: DataFrame, group: list[str], passes: li
         n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
         a = left_g.withColumn("n", n).select(*by, "n", F.col("id").alias("gid"))
         b = left_f.withColumn("n", n).select(*by, "n", F.col("id").alias("fid"))
-        pairs = a.join(b, [*by, "n"]).select(*group, "gid", "fid", F.lit(number).alias("pass"))
+        pairs = a.join(b.hint("merge"), [*by, "n"]).select(*group, "gid", "fid", F.lit(number).alias("pass"))
         out = pairs if out is None else out.unionByName(pairs)
         if number < len(passes):
-            left_g = left_g.join(pairs.select(*group, F.col("gid").alias("id")), [*group, "id"], "left_anti")
-            left_f = left_f.join(pairs.select(*group, F.col("fid").alias("id")), [*group, "id"], "left_anti")
+            left_g = left_g.join(pairs.select(*group, F.col("gid").alias("id")).hint("merge"), [*group, "id"], "left_anti")
+            left_f = left_f.join(pairs.select(*group, F.col("fid").alias("id")).hint("merge"), [*group, "id"], "left_anti")
     return out
 
 
@@ -81,9 +81,9 @@ def compare_elements(classes: tuple[DataFrame, DataFrame], attributes: tuple[Dat
         some = lambda df: df.where("norm <> ''")
         mapped = match_passes(some(gc), some(fc), ["ex"], keys, order).select("ex", "gid", "fid")
         owner = mapped.select("ex", F.col("gid").alias("cid"), F.col("fid").alias("own"))
-        mine = some(fa).withColumnRenamed("cid", "own").join(owner, ["ex", "own"]).drop("own")
-        pairs = match_passes(some(ga).join(owner.select("ex", "cid"), ["ex", "cid"]), mine, ["ex", "cid"], keys, order)
-        end = lambda e, c, n: e.join(mapped.select("ex", F.col("fid").alias(c), F.col("gid").alias(n)), ["ex", c], "left")  # noqa: E731, B023
+        mine = some(fa).withColumnRenamed("cid", "own").join(owner.hint("merge"), ["ex", "own"]).drop("own")
+        pairs = match_passes(some(ga).join(owner.select("ex", "cid").hint("merge"), ["ex", "cid"]), mine, ["ex", "cid"], keys, order)
+        end = lambda e, c, n: e.join(mapped.select("ex", F.col("fid").alias(c), F.col("gid").alias(n)).hint("merge"), ["ex", c], "left")  # noqa: E731, B023
         found = end(end(edges[1], "src", "a"), "tgt", "b")
         both = lambda df, a, b: df.withColumns({"x": F.least(a, b), "y": F.greatest(a, b)})
         gold_r, found_r = both(edges[0].where(F.col("typ").isin(*STRUCTURAL)), F.col("src"), F.col("tgt")), found.where(F.col("typ").isin(*STRUCTURAL))
